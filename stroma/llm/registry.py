@@ -4,11 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stroma.llm import decontaminate, language_ppm, quality_cnn
 from stroma.llm.neardup import near_duplicates
-from stroma.llm.shared import documents
+from stroma.llm.packing import pack
+from stroma.llm.shared import documents, remainder
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(documents(spark, sf_dir).select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("passages.item_ids", ","), 256)
+    return found.select("doc_id", "passages.n_words", "passages.n_hit", F.size("passages.item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_ppm.fit(docs)
+    found = language_ppm.identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality_cnn.score_quality(docs, quality_cnn.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "quality.score", (F.col("quality.score") >= quality_cnn.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +46,10 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_language_ppm": op4_language_ppm,
+    "op5_quality_cnn": op5_quality_cnn,
+    "op6_nnls_packing": op6_nnls_packing,
     "op9_minhash_neardup": op9_minhash_neardup,
 }
 

@@ -129,36 +129,50 @@ def slices(offs: np.ndarray, limit: int = 1 << 20):
         i = min(j, n)
 
 
-def words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of neighbouring texts, and for each text where its words begin (n + 1).
+class Words:
+    """The words of neighbouring texts: their hashes, where each text's words begin (n + 1), and their bytes' places.
 
     The hash is a polynomial over the word's bytes, taken from differences of prefix
     sums, so that all words of a slice come from a few passes over its bytes.
     """
-    base = int(offs[0])
-    data = raw[base : int(offs[-1])]
-    offs = offs - base
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    inside = ~separators[LOWER[data] if lower else data]
-    edge = np.zeros(n + 1, bool)
-    edge[offs] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    table = _BYTE[LOWER] if lower else _BYTE
-    np.cumsum(table[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offs)
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, separators: np.ndarray, lower: bool = True):
+        base = int(offs[0])
+        data = raw[base : int(offs[-1])]
+        offs = offs - base
+        n = len(data)
+        self.sums = np.zeros(n + 1, np.uint64)
+        if n == 0:
+            self.starts = self.ends = np.zeros(0, np.int64)
+            self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+            return
+        inside = ~(separators[LOWER] if lower else separators)[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offs] = True
+        before = np.empty(n, bool)
+        before[0] = False
+        before[1:] = inside[:-1]
+        self.starts = np.flatnonzero(inside & (~before | edge[:n]))
+        after = np.empty(n, bool)
+        after[-1] = False
+        after[:-1] = inside[1:]
+        self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        up, self.down = _power_tables(n + 1)
+        np.cumsum((_BYTE[LOWER] if lower else _BYTE)[data] * up[:n], out=self.sums[1:])
+        self.hashes = mix((self.sums[self.ends] - self.sums[self.starts]) * self.down[self.starts])
+        self.at = np.searchsorted(self.starts, offs)
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of each word's first ``size`` bytes, as if they were the word."""
+        if not len(self.starts):
+            return self.hashes
+        return mix((self.sums[np.minimum(self.starts + size, self.ends)] - self.sums[self.starts]) * self.down[self.starts])
+
+
+def words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of neighbouring texts, and for each text where its words begin (n + 1)."""
+    found = Words(raw, offs, separators, lower)
+    return found.hashes, found.at
 
 
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,3 +187,64 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out + hashes[k : k + n] * _STEPS[k % 64]
     return mix(out)
+
+
+def annotate(docs: DataFrame, out: str, fields: str, compute, text: str = "text") -> DataFrame:
+    """``docs`` and a struct column ``out`` that ``compute`` makes of each Arrow batch's text column.
+
+    ``compute`` is called once a task with no argument and gives the function from the
+    column to a list of arrays, one for each field. A column that is already called
+    ``out`` is replaced; all others pass through, whatever their names.
+    """
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(text)
+    struct = F.lit(None).cast(f"struct<{fields}>").alias(out)
+    schema = docs.limit(0).select("*", struct).schema
+    names = [f.name for f in schema[-1].dataType.fields]
+
+    def run(batches):
+        function = compute()
+        for batch in batches:
+            arrays = [pa.array(a) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a for a in function(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(arrays, names)], [*kept, out])
+
+    return docs.mapInArrow(run, schema)
+
+
+def sha256_hex(texts: list[str]) -> list[str]:
+    import hashlib
+
+    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+# --- bounded samples to learn from ------------------------------------------
+
+
+def sample_by_class(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
+    """About ``per_class`` rows (doc_id, label) of each class by a hash of doc_id, no fewer where there are as many."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    wanted = F.lit(False)
+    for value, n in sorted(counts.items(), key=str):
+        share = min(1.0, (per_class + 4 * per_class**0.5) / n)
+        wanted = wanted | ((F.col(label) == F.lit(value)) & (hashed < int(share * (1 << 30))))
+    return rows.where(wanted).withColumn("_hash", hashed)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, per_class: int, max_bytes: int, seed: int) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) of each class, from the rows whose fold isn't ``left_out``.
+
+    Only texts up to ``max_bytes`` are learned from, so the driver gets at most
+    classes * per_class * max_bytes bytes. Null labels and texts are left out.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(fold) != left_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
+    chosen = sample_by_class(rows, "_label", per_class, seed)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "_label", "_hash", "doc_id").collect()
+    out, taken = [], {}
+    for r in sorted(found, key=lambda r: (r["_hash"], r["doc_id"], r["_label"], r["text"])):
+        if taken.get(r["_label"], 0) < per_class:
+            taken[r["_label"]] = taken.get(r["_label"], 0) + 1
+            out.append((r["text"], r["_label"]))
+    return out
