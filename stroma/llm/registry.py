@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stroma.llm import decontaminate, language_ppm, quality_cnn
+from stroma.llm import decontaminate, language_ppm, line_rules, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
+from stroma.llm.oracle import SQL as SQL  # noqa: PLC0414
 from stroma.llm.neardup import near_duplicates
 from stroma.llm.packing import pack
 from stroma.llm.shared import documents, remainder
@@ -18,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(documents(spark, sf_dir))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(documents(spark, sf_dir).select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("passages.item_ids", ","), 256)
@@ -41,16 +50,40 @@ def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = toxicity_fst.score_toxicity(docs, toxicity_fst.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= toxicity_fst.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "lexed")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_benchmark_decontamination": op3_benchmark_decontamination,
-    "op4_language_ppm": op4_language_ppm,
-    "op5_quality_cnn": op5_quality_cnn,
-    "op6_nnls_packing": op6_nnls_packing,
-    "op9_minhash_neardup": op9_minhash_neardup,
+    f.__name__: f
+    for f in (
+        op1_jump_sharding,
+        op2_line_frequency_rules,
+        op3_benchmark_decontamination,
+        op4_language_ppm,
+        op5_quality_cnn,
+        op6_nnls_packing,
+        op7_url_filter,
+        op8_toxicity_grammar,
+        op9_minhash_neardup,
+        op10_secret_scan,
+    )
 }
-
-SQL: dict[str, str] = {}

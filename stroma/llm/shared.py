@@ -47,16 +47,17 @@ def remainder(modulus: int, key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_part: int = 100_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_part: int = 100_000, deal=None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without one task per group.
 
-    Each group is dealt into ``parts`` by a hash of the order columns; a part is
-    ranked by itself and starts where the parts before it end. The parts' sizes are
+    Each group is dealt into parts by ``deal``, a function from their number to a column,
+    or else a hash of the order columns; a part is ranked by itself and starts where the
+    parts before it end. The parts' sizes are
     one small row each. Rows equal in every order column come in any order.
     """
     total = df.count()
     parts = max(8, -(-total // rows_per_part))
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    df = df.withColumn("_part", (deal(parts) if deal else F.pmod(F.xxhash64(*order), F.lit(parts))).cast("int"))
     sizes = df.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
