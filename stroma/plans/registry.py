@@ -1,10 +1,7 @@
 """All queries of the library's core and the SQL they are checked against."""
 
-from __future__ import annotations
+from stroma.plans import ordered as _ordered  # noqa: F401
+from stroma.plans import relational as _relational  # noqa: F401
+from stroma.plans.base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
