@@ -72,13 +72,13 @@ def sessionize(spark, sf_dir):
 @query("""WITH s AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS s FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 7200000000)::INT AS b FROM events)),
 c AS (SELECT user_id, event_type, s, min(ts) AS t0, max(ts) AS t1, count(*) AS n FROM s GROUP BY 1, 2, 3),
 e AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY event_type ORDER BY t0, user_id ROWS UNBOUNDED PRECEDING), 0) AS ep FROM (SELECT *, (epoch_us(t0) - lag(epoch_us(t0)) OVER (PARTITION BY event_type ORDER BY t0, user_id) > 900000000)::INT AS b FROM c))
-SELECT event_type, min(t0) AS t0, max(t1) AS t1, count(DISTINCT user_id) AS users, sum(n)::BIGINT AS n, round((epoch_us(max(t1)) - epoch_us(min(t0))) / 60000000.0, 6) AS minutes FROM e GROUP BY event_type, ep""")
+SELECT event_type, min(t0) AS t0, max(t1) AS t1, count(DISTINCT user_id) AS users, sum(n)::BIGINT AS n, round((epoch_us(max(t1)) - epoch_us(min(t0))) / 60000000.0, 3) AS minutes FROM e GROUP BY event_type, ep""")
 def two_level_episodes(spark, sf_dir):
     """Clusters of each user and type (gap two hours), then episodes of each type over all users (gap 15 minutes)."""
     s = ordered.sessionize(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 120, "s")
     clusters = s.groupBy("user_id", "event_type", "s").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n"))
     e = ordered.sessionize(clusters, ["event_type"], "t0", "user_id", 15, "ep")
-    return e.groupBy("event_type", "ep").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count_distinct("user_id").alias("users"), F.sum("n").alias("n"), r6((micros(F.max("t1")) - micros(F.min("t0"))) / (60.0 * MICROS)).alias("minutes")).drop("ep")
+    return e.groupBy("event_type", "ep").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count_distinct("user_id").alias("users"), F.sum("n").alias("n"), F.round((micros(F.max("t1")) - micros(F.min("t0"))) / (60.0 * MICROS), 3).alias("minutes")).drop("ep")
 
 
 @query("""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds FROM
@@ -103,11 +103,11 @@ def absorbing_state(spark, sf_dir):
     return ordered.absorbing(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") < 10, "gone").select("event_id", "gone")
 
 
-@query("""SELECT event_id, event_id_prev, round((epoch_us(ts) - epoch_us(ts_prev)) / 60000000.0, 6) AS gap_minutes, round(value - value_prev, 6) AS change FROM
+@query("""SELECT event_id, event_id_prev, round((epoch_us(ts) - epoch_us(ts_prev)) / 60000000.0, 3) AS gap_minutes, round(value - value_prev, 6) AS change FROM
 (SELECT event_id, ts, value, lag(event_id) OVER w AS event_id_prev, lag(ts) OVER w AS ts_prev, lag(value) OVER w AS value_prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_id_prev IS NOT NULL""")
 def lag_pairs(spark, sf_dir):
     p = ordered.lag_pairs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "ts", "value"])
-    return p.select("event_id", "event_id_prev", r6((micros("ts") - micros("ts_prev")) / (60.0 * MICROS)).alias("gap_minutes"), r6(F.col("value") - F.col("value_prev")).alias("change"))
+    return p.select("event_id", "event_id_prev", F.round((micros("ts") - micros("ts_prev")) / (60.0 * MICROS), 3).alias("gap_minutes"), r6(F.col("value") - F.col("value_prev")).alias("change"))
 
 
 @query("""SELECT p.event_id, p.user_id, s.event_id AS asof_event_id, round(s.value, 6) AS asof_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -176,7 +176,7 @@ def drop_overlapping_events(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT user_id, ts, event_id, value, ts::DATE AS d, row_number() OVER w AS i, value < 80 AND lead(value, 1) OVER w < 80 AND lead(value, 2) OVER w < 80 AND lead(ts, 2) OVER w - ts <= INTERVAL 3 DAYS AS ok, lead(ts, 2) OVER w AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT a.event_id, round((epoch_us(min(b.ts)) - epoch_us(any_value(a.ts))) / 60000000.0, 6) AS minutes FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.i >= a.i AND b.ok WHERE a.value >= 200 GROUP BY a.event_id""")
+SELECT a.event_id, round((epoch_us(min(b.ts)) - epoch_us(any_value(a.ts))) / 60000000.0, 3) AS minutes FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.i >= a.i AND b.ok WHERE a.value >= 200 GROUP BY a.event_id""")
 def next_triple_recovery(spark, sf_dir):
     """Minutes until the first of three values in a row below 80, the third at most three days after the first."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
@@ -185,7 +185,7 @@ def next_triple_recovery(spark, sf_dir):
     marked = ordered.triple(e.withColumn("_soon", soon).withColumn("_k", F.lit(1)), ["user_id"], ["ts", "event_id"], F.col("value") < 80, F.col("_k"), "ok")
     marked = marked.withColumn("ok", F.col("ok") & F.coalesce("_soon", F.lit(False)))
     found = ordered.next_with(marked, ["user_id"], ["ts", "event_id"], F.col("ok"), ["ts"])
-    return found.where("value >= 200").select("event_id", r6((micros("next_ts") - micros("ts")) / (60.0 * MICROS)).alias("minutes"))
+    return found.where("value >= 200").select("event_id", F.round((micros("next_ts") - micros("ts")) / (60.0 * MICROS), 3).alias("minutes"))
 
 
 @query("""WITH g AS (SELECT o_orderdate::DATE AS d, c_nationkey AS n, o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),

@@ -2,6 +2,7 @@
 
 from stroma.plans import ordered as _ordered  # noqa: F401
 from stroma.plans import relational as _relational  # noqa: F401
+from stroma.plans import study as _study  # noqa: F401
 from stroma.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
