@@ -1,5 +1,6 @@
 """All queries of the library's core and the SQL they are checked against."""
 
+from stroma.plans import models as _models  # noqa: F401
 from stroma.plans import ordered as _ordered  # noqa: F401
 from stroma.plans import relational as _relational  # noqa: F401
 from stroma.plans import study as _study  # noqa: F401
