@@ -30,8 +30,8 @@ def kaplan_meier(df: DataFrame, by: list[str], time: str, event: str) -> DataFra
 
 
 def survival_quantile(curve: DataFrame, by: list[str], time: str, q: float) -> DataFrame:
-    """First time with survival <= q, infinite where there is none."""
-    return curve.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("survival") <= q, F.col(time).cast("double"))), F.lit(float("inf"))).alias("quantile"))
+    """First time with survival <= q (up to rounding), infinite where there is none."""
+    return curve.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("survival") <= q + 1e-12, F.col(time).cast("double"))), F.lit(float("inf"))).alias("quantile"))
 
 
 def logrank(df: DataFrame, group: str, time: str, event: str) -> DataFrame:

@@ -157,7 +157,7 @@ def kaplan_meier(spark, sf_dir):
     return survival.kaplan_meier(_times(spark, sf_dir), ["late"], "t", "e").withColumn("survival", r6(F.col("survival")))
 
 
-@query(f"WITH {_KM} SELECT late, coalesce(min(t) FILTER (survival <= 0.5), 'inf'::DOUBLE)::DOUBLE AS quantile FROM km GROUP BY 1")
+@query(f"WITH {_KM} SELECT late, coalesce(min(t) FILTER (survival <= 0.5 + 1e-12), 'inf'::DOUBLE)::DOUBLE AS quantile FROM km GROUP BY 1")
 def km_median(spark, sf_dir):
     return survival.survival_quantile(survival.kaplan_meier(_times(spark, sf_dir), ["late"], "t", "e"), ["late"], "t", 0.5)
 

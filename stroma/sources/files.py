@@ -24,7 +24,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 def read_csv(spark: SparkSession, path: str, schema: str, timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """A CSV scan with a declared schema, so the files are read once; rows that don't fit it raise."""
-    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", timestampFormat=timestamp_format, timestampNTZFormat=timestamp_format)
+    return spark.read.option("timestampNTZFormat", timestamp_format).csv(path, schema=schema, header=True, mode="FAILFAST", timestampFormat=timestamp_format)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
