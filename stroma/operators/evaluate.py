@@ -50,3 +50,22 @@ def crps(cdf: Column, truth: Column) -> Column:
 def median_class(cdf: Column) -> Column:
     """First class whose summed share is at least one half."""
     return F.array_position(F.transform(cdf, lambda f: f >= 0.5), True) - 1
+
+
+def platt(df: DataFrame, p: str, y: str, steps: int = 25) -> tuple[float, float]:
+    """(a, b) of the calibrated forecast sigmoid(a * logit(p) + b), by Newton steps on sums over distinct forecasts."""
+    import numpy as np
+
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(p)))
+    rows = df.groupBy(F.log(q / (1 - q)).alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("k"))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        s = 1 / (1 + F.exp(-(F.col("z") * a + b)))
+        v = F.col("n") * s * (1 - s)
+        r = F.col("k") - F.col("n") * s
+        t = rows.agg(F.sum(r * F.col("z")), F.sum(r), F.sum(v * F.col("z") ** 2), F.sum(v * F.col("z")), F.sum(v)).first()
+        move = np.linalg.solve(np.array([[t[2], t[3]], [t[3], t[4]]]) + 1e-9 * np.eye(2), np.array([t[0], t[1]]))
+        a, b = a + float(move[0]), b + float(move[1])
+        if np.abs(move).max() < 1e-10:
+            break
+    return a, b

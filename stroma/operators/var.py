@@ -223,3 +223,34 @@ def diagnostics(rest: DataFrame, series: list[str], lags: int) -> list[dict]:
         jb = n / 6 * (m["skew"] ** 2 + m["kurt"] ** 2 / 4)
         out.append({"series": s, "n": n, "ljung_box": q, "ljung_box_p": chi2_tail(q, lags), "jarque_bera": jb, "jarque_bera_p": chi2_tail(jb, 2)})
     return out
+
+
+def forecast_errors(blocks: DataFrame, model: Model, horizons: tuple[int, ...]) -> DataFrame:
+    """(series, horizon, n, rmse, rmse_walk): recursive forecasts within episodes against the last value.
+
+    An h-step forecast from a row is linear in the row's lags, so its matrix is computed
+    once on the driver and applied as expressions.
+    """
+    design, x = lagged(blocks, model.series, model.order)
+    k, names = len(model.series), model.series
+    step = np.eye(1 + k * model.order)
+    top = model.coefficients.T  # K by (1 + K p): constant, then lags
+    shift = np.zeros_like(step)
+    shift[0, 0] = 1
+    shift[1 : 1 + k] = top
+    for p in range(1, model.order):
+        shift[1 + p * k : 1 + (p + 1) * k, 1 + (p - 1) * k : 1 + p * k] = np.eye(k)
+    w = W.partitionBy("episode").orderBy("step")
+    out = None
+    for h in horizons:
+        law = np.linalg.matrix_power(shift, h)[1 : 1 + k]  # from the state before a row to h - 1 rows after it
+        cols = []
+        for i, s in enumerate(names):
+            truth = F.col(f"_truth_{i}")
+            guess = sum((F.col(c) * float(law[i, j]) for j, c in enumerate(x)), F.lit(0.0))
+            cols.append(F.struct(F.lit(s).alias("series"), (truth - guess).alias("e"), (truth - F.col(f"{s}_lag1")).alias("walk")))
+        known = design.withColumns({f"_truth_{i}": F.lead(s, h - 1).over(w) for i, s in enumerate(names)})
+        each = known.select(F.explode(F.array(*cols)).alias("c")).select("c.*").where("e is not null")
+        one = each.groupBy("series").agg(F.lit(h).alias("horizon"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.sqrt(F.avg(F.col("walk") ** 2)).alias("rmse_walk"))
+        out = one if out is None else out.unionByName(one)
+    return out
