@@ -25,6 +25,8 @@ PERCENT = 85
 MARGIN = 0.16
 #: A block of a large candidate group: documents and shingles it has at most on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+#: Up to SPREAD blocks are made as soon as they have this many documents, so that one group is many even tasks.
+SPREAD_ROWS, SPREAD = 96, 16
 #: Up to so many candidate ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -232,7 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rough = connected_components(banded.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), "neardup-rough")
 
     sized = rough.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("_n")), "node")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int")
+    members = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(members / BLOCK_ROWS), F.ceil(F.sum("_n") / BLOCK_SHINGLES), F.least(F.ceil(members / SPREAD_ROWS), F.lit(SPREAD))).cast("int")
     groups = sized.groupBy("component").agg(blocks.alias("_blocks"))
     placed = rough.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     placed = materialise(placed.select(F.col("node").alias("doc_id"), "component", "_blocks", "block"), "neardup-placed")
