@@ -17,7 +17,7 @@ say nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from stroma.llm.shared import NON_ALNUM, Words, annotate, labelled_texts, slices, text_buffers
 
 #: Learned from at most so many texts of each class, of at most so many bytes.
-PER_CLASS, MAX_BYTES = 3_000, 12_000
+PER_CLASS, MAX_BYTES = 2_000, 8_000
 #: A learned term stands between so many different pairs of neighbours in toxic texts at least, and has these log odds.
 CONTEXTS, LOG_ODDS = 10, 3.0
 STEMS = range(4, 9)
@@ -53,7 +53,7 @@ KINDS = [(what, aimed, negated, reported) for what in ("insult", "threat") for a
 _NUMBER = {k: i for i, k in enumerate(KINDS)}
 FIRST = np.array([(2.5 if what == "insult" else 1.0) + 1.5 * aimed - 1.5 * negated - 1.5 * reported for what, aimed, negated, reported in KINDS] + [-1.0])
 #: A negation, target or intent reaches this many words.
-REACH = 3
+REACH = 4
 
 
 class Lexicon:
@@ -172,49 +172,67 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(Words(raw, np.array([0, len(raw)]), NON_ALNUM).hashes)
 
 
+def _distinct(term: np.ndarray, around: np.ndarray, n_terms: int) -> np.ndarray:
+    """Number of distinct surroundings of each term."""
+    pairs = np.unique(np.stack([term, around], 1), axis=0) if len(term) else np.zeros((0, 2), np.int64)
+    return np.bincount(pairs[:, 0], minlength=n_terms)
+
+
 def learn_lexicon(examples: list[tuple[str, int]]) -> Lexicon:
-    """Words and stems whose distinct surroundings tell toxic texts from others."""
-    seen = {1: defaultdict(set), 0: defaultdict(set)}
-    kinds = defaultdict(set)
-    total = Counter(y for _, y in examples)
-    size = Counter()
-    for text, y in examples:
-        words = [w for w in _WORD.findall(text.lower()) if len(w) > 2]
-        size[y] += len(words)
-        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-            around = hash((before, after))
-            seen[y][w].add(around)
-            for n in STEMS:
-                if len(w) > n:
-                    seen[y][w[:n], n].add(around)
-                    if y:
-                        kinds[w[:n], n].add(w)
+    """Words and stems whose distinct surroundings tell toxic texts from others.
+
+    Words are numbers from the first; a surrounding is the pair of the neighbours'
+    numbers, so that memory is a few numbers for each word of the examples.
+    """
     fixed = {w: 1.0 for w in INSULTS}
-    if not total[0] or not total[1]:
+    number: dict[str, int] = {"": 0}
+    term, around, label = [], [], []
+    for text, y in examples:
+        ids = [number.setdefault(w, len(number)) for w in _WORD.findall(text.lower()) if len(w) > 2]
+        padded = np.array([0, *ids, 0], np.int64)
+        term.append(padded[1:-1])
+        around.append((padded[:-2] << 32) | padded[2:])
+        label.append(np.full(len(ids), y, bool))
+    term, around, label = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, around, label))
+    size1, size0 = int((label == 1).sum()), int((label == 0).sum())
+    if not size1 or not size0:
         return Lexicon(fixed, {})
-    ratio = size[1] / max(1, size[0])
+    ratio = size1 / size0
 
-    def odds(term) -> float:
-        bad = len(seen[1][term])
-        return np.log((bad + 0.5) / ratio) - np.log(len(seen[0].get(term, ())) + 0.5) if bad >= CONTEXTS else -np.inf
+    def counted(of_word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct surroundings in toxic texts and in others, and the log odds, of terms that words are mapped to (0: none)."""
+        mapped = of_word[term]
+        bad = _distinct(mapped[(label == 1) & (mapped > 0)], around[(label == 1) & (mapped > 0)], n)
+        good = _distinct(mapped[(label == 0) & (mapped > 0)], around[(label == 0) & (mapped > 0)], n)
+        return bad, good, np.where(bad >= CONTEXTS, np.log((bad + 0.5) / ratio) - np.log(good + 0.5), -np.inf)
+
+    by_size: dict[int, dict[str, tuple[int, int, float, int]]] = {}
+    for n in STEMS:
+        stem_of: dict[str, int] = {"": 0}
+        of_word = np.array([stem_of.setdefault(w[:n], len(stem_of)) if len(w) > n else 0 for w in number])
+        bad, good, odds = counted(of_word, len(stem_of))
+        toxic_words = np.unique(term[label == 1])
+        kinds = np.bincount(of_word[toxic_words], minlength=len(stem_of))
+        by_size[n] = {s: (int(bad[i]), int(good[i]), float(odds[i]), int(kinds[i])) for s, i in stem_of.items() if bad[i] >= CONTEXTS and i}
 
     def grown(stem: str) -> str:
-        longer = [t for n in (len(stem) + 1,) if n in STEMS for t in children[stem] if len(seen[1][t, n]) >= KEEP * len(seen[1][stem, n - 1])]
+        n = len(stem) + 1
+        longer = [t for t, v in by_size.get(n, {}).items() if t.startswith(stem) and v[0] >= KEEP * by_size[n - 1][stem][0]]
         return grown(longer[0]) if longer else stem
 
-    children = defaultdict(list)
-    for term in seen[1]:
-        if isinstance(term, tuple):
-            children[term[0][:-1]].append(term[0])
     stems: dict[str, float] = {}
+    chance = 0
     for n in STEMS:
-        for text, size_ in [t for t in seen[1] if isinstance(t, tuple) and t[1] == n]:
-            if not any(text.startswith(s) or s.startswith(text) for s in stems) and odds((text, size_)) >= LOG_ODDS and len(kinds[text, size_]) >= 5:
+        for text, (_, _, odds, kinds) in by_size[n].items():
+            if odds >= LOG_ODDS and kinds >= 5 and not any(text.startswith(s) or s.startswith(text) for s in stems):
                 stem = grown(text)
-                stems[stem] = min(1.0, odds((stem, len(stem))) / FULL)
-    words = {t: min(1.0, odds(t) / FULL) for t in seen[1] if isinstance(t, str) and odds(t) >= LOG_ODDS and not any(t.startswith(s) for s in stems)}
-    chance = sum(len(seen[0].get(t, ())) for t in [*words, *((s, len(s)) for s in stems)]) / max(1, size[0])
-    return Lexicon(words | fixed, stems, chance)
+                _, good, odds, _ = by_size[len(stem)][stem]
+                stems[stem] = min(1.0, odds / FULL)
+                chance += good
+    _, good, odds = counted(np.arange(len(number)), len(number))
+    words = {w: min(1.0, float(odds[i]) / FULL) for w, i in number.items() if i and odds[i] >= LOG_ODDS and not any(w.startswith(s) for s in stems)}
+    chance += int(sum(good[number[w]] for w in words))
+    return Lexicon(words | fixed, stems, chance / size0)
 
 
 def fit_grammar(examples: list[tuple[str, int]], pull: float = 2.0, steps: int = 300) -> Grammar:
