@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stroma.sources.tables import ship_package
+
 
 def gram(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, i, j, total): sums of the products of all pairs of ``columns`` (i <= j), over rows without nulls.
@@ -16,6 +18,7 @@ def gram(df: DataFrame, columns: list[str], by: list[str] | None = None) -> Data
     Partial matrices are made by Arrow batch and group and summed after; one row a pair,
     batch and group is shuffled, however many rows there are.
     """
+    ship_package(df.sparkSession)
     by = by or []
     clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
     kinds = dict(clean.dtypes)

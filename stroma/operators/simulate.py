@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stroma.operators.ordered import lag_pairs
 from stroma.operators.ranges import asof
+from stroma.sources.tables import ship_package
 
 LOW, HIGH = -3, 15
 #: Bin edges of a vehicle's own delay and of its predecessor's, in minutes.
@@ -120,6 +121,7 @@ def simulate(stops: DataFrame, law: DataFrame, runs: int, seed: int, scenario: S
     ``stops`` has day, vehicle, pos, place, sched, delay; the first position's delay starts the
     vehicle. ``law`` is what ``learn`` returns: groups times classes, bounded by the bins.
     """
+    ship_package(stops.sparkSession)
     table: dict = {}
     rows = law.collect()
     if len(rows) > 10_000:

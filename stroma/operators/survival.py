@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.operators.var import chi2_tail
+from stroma.sources.tables import ship_package
 
 
 def counts(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
@@ -141,6 +142,7 @@ def aft(df: DataFrame, x: list[str], time: str, event: str, law: str = "weibull"
     """
     import math
 
+    ship_package(df.sparkSession)
     rows = df.select(F.log(F.col(time).cast("double")).alias("_y"), F.col(event).cast("double").alias("_e"), *[F.col(c).cast("double").alias(c) for c in x]).na.drop().where(~F.isnan("_y"))
     k = len(x) + 1
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a Spark context, where it isn't installed there.
+
+    The package goes as a zip into the shared folder, from where Spark hands it out. A
+    package that itself lies in a zip was shipped already.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_stroma_shipped", False) or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{shared_folder(spark)}/stroma-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    system.deleteOnExit(target)
+    context.addPyFile(path)
+    context._stroma_shipped = True
