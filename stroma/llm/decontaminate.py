@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import NON_ALNUM, annotate, shingles, slices, text_buffers, words
+from stroma.llm.shared import NON_ALNUM, annotate, shingles, ship_package, slices, text_buffers, words
 
 WINDOW, SHINGLE = 13, 4
 #: Items whose windows are broadcast together; more items are taken in blocks of as many bytes.
@@ -209,6 +209,7 @@ def find_passages(docs: DataFrame, items: DataFrame, out: str = "passages", wind
     Items larger than ``block_bytes`` are taken in blocks, each broadcast; the blocks' spans
     are united.
     """
+    ship_package(docs.sparkSession)
     outs, texts = [], docs
     for part in _blocks(items, block_bytes):
         windows = Windows(part, window, shingle)

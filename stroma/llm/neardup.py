@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.components import connected_components
-from stroma.llm.shared import SPACES, materialise, mix, shingles, slices, text_buffers, words
+from stroma.llm.shared import SPACES, materialise, mix, shingles, ship_package, slices, text_buffers, words
+from stroma.operators.components import connected_components
 
 SHINGLE, BANDS, ROWS, BITS = 5, 24, 6, 1024
 PERCENT = 85
@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     Null or word-less texts have no shingles and stand alone. Rows of one doc_id count as
     one document; a null doc_id stays null and kept. Other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = docs.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
     signed = materialise(signed, "neardup-signed")

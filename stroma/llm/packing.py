@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import gapless_rank, materialise
+from stroma.llm.shared import gapless_rank, materialise, ship_package
 
 WINDOW, END = 2048, 1
 #: Lengths that triples are built from besides the first: the most frequent ones.
@@ -239,6 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
     Rows of one doc_id are packed each for itself; a null doc_id stays null. An empty
     table gives no pieces. Other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_cut(tokenizer, window, end), "doc_id long, doc_tokens long, start long, length long, ids_crc32 long")
     pieces = materialise(pieces, "packing-pieces")

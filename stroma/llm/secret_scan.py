@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import annotate
+from stroma.llm.shared import annotate, ship_package
 
 # Fixed patterns of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -141,6 +141,7 @@ def scan(docs: DataFrame, out: str = "secrets") -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans by one. All rows and columns stay."""
+    ship_package(docs.sparkSession)
     columns = docs.columns
 
     def run(batches):

@@ -3,40 +3,15 @@ byte-level tokenising of Arrow text columns."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_FOLDER = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder under /tmp where the session names none."""
-    found = spark.conf.get(_FOLDER, None)
-    if not found:
-        found = "file:///tmp/stroma-checkpoints"
-        spark.conf.set(_FOLDER, found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, and a lost executor loses none of it. The table is
-    deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+from stroma.sources.tables import materialise, shared_folder, ship_package
 
+__all__ = ["materialise", "shared_folder", "ship_package"]
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -197,6 +172,7 @@ def annotate(docs: DataFrame, out: str, fields: str, compute, text: str = "text"
     column to a list of arrays, one for each field. A column that is already called
     ``out`` is replaced; all others pass through, whatever their names.
     """
+    ship_package(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
@@ -213,12 +189,6 @@ def annotate(docs: DataFrame, out: str, fields: str, compute, text: str = "text"
     return docs.mapInArrow(run, schema)
 
 
-def sha256_hex(texts: list[str]) -> list[str]:
-    import hashlib
-
-    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-
-
 # --- bounded samples to learn from ------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import mix
+from stroma.llm.shared import mix, ship_package
 
 # Fixed values: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -114,6 +114,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
     empty host and path, which no n-gram speaks against. Rows stay as they are repeated;
     other columns are ignored.
     """
+    ship_package(pages.sparkSession)
     weights = pages.sparkSession.sparkContext.broadcast(train(blocked, allowed))
 
     @F.pandas_udf("double")
