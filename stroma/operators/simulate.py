@@ -7,6 +7,7 @@ vehicle and position, hence the same in every scenario.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 from dataclasses import dataclass
@@ -78,7 +79,10 @@ def _uniform(*key) -> float:
 
 
 def _rollout(stops: pd.DataFrame, run: int, seed: int, law: dict, scenario: Scenario) -> list[tuple]:
-    paths = {v: g.sort_values("pos")[["pos", "place", "minute", "delay"]].to_numpy() for v, g in stops.groupby("vehicle")}
+    ordered = stops.sort_values(["vehicle", "pos"])
+    paths: dict[int, list[tuple]] = {}
+    for v, *stop in zip(*(ordered[c].tolist() for c in ("vehicle", "pos", "place", "minute", "delay"))):
+        paths.setdefault(v, []).append(stop)
     last: dict[str, float] = {}  # delay of the last vehicle at a place
     free: dict[str, int] = {}  # when a closed place takes the next vehicle
     out, due = [], []
@@ -100,7 +104,7 @@ def _rollout(stops: pd.DataFrame, run: int, seed: int, law: dict, scenario: Scen
             place, pos = path[k + 1][1], int(path[k + 1][0])
             classes, cdf = law.get((bins(delay), bins(last.get(place))), law[None])
             gone = scenario.kind == "cancel" and scenario.vehicle == v and pos >= scenario.pos
-            change = classes[min(int(np.searchsorted(cdf, _uniform(seed, run, v, pos), "right")), len(classes) - 1)]
+            change = classes[min(bisect.bisect_right(cdf, _uniform(seed, run, v, pos)), len(classes) - 1)]
             if gone or change is None:
                 out += [(int(p[0]), v, None, None, True) for p in path[k + 1 :]]
                 continue
@@ -135,7 +139,7 @@ def simulate(stops: DataFrame, law: DataFrame, runs: int, seed: int, scenario: S
     for key, items in table.items():
         items = sorted(items, key=lambda x: (x[0] is not None, x[0] or 0))
         p = np.array([x for _, x in items])
-        ready[key] = ([c for c, _ in items], np.cumsum(p / p.sum()))
+        ready[key] = ([c for c, _ in items], np.cumsum(p / p.sum()).tolist())
     minute = (F.hour("sched") * 60 + F.minute("sched")).alias("minute")
     each = stops.select("day", "vehicle", "pos", "place", minute, F.col("delay").cast("double").alias("delay"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     kinds = dict(each.dtypes)
