@@ -2,6 +2,34 @@
 
 SQL: dict[str, str] = {}
 
+# crc32 from its table of 256 remainders, made by rule; jumps by a recursion in 128-bit arithmetic
+SQL["op1_jump_sharding"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), bits(k, c, i) AS (
+  SELECT k, k::UBIGINT, 0 FROM range(256) t(k)
+  UNION ALL
+  SELECT k, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, i + 1 FROM bits WHERE i < 8
+), tab AS (
+  SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8
+), h AS (
+  SELECT r, doc_id, octet_length(encode(t)) AS n, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes FROM d
+), s AS (
+  SELECT r, doc_id, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255)::BIGINT + 1]))) AS crc FROM h, tab
+), j(r, k, b, a) AS (
+  SELECT r, ((doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616 * 2862933555777941757 + 1) % 18446744073709551616, 0::BIGINT, 0::BIGINT FROM (SELECT r, coalesce(doc_id, 0) AS doc_id FROM d)
+  UNION ALL
+  SELECT r, (k * 2862933555777941757 + 1) % 18446744073709551616, a, floor((a + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1.0::DOUBLE)))::BIGINT FROM j WHERE a < 9
+), p AS (
+  SELECT r, max(a) FILTER (a < 8)::INT AS shard, max(a) FILTER (a < 9)::INT AS grown_shard FROM j GROUP BY r
+), parts AS (
+  SELECT greatest(8, ceil(count(*) / 100000))::BIGINT AS parts FROM d
+)
+SELECT doc_id, (n + 1)::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(coalesce(doc_id, 0)::VARCHAR), 1, 8))::UBIGINT % parts, doc_id NULLS FIRST, crc, n) - 1 AS slot, grown_shard
+FROM s JOIN p USING (r), parts
+"""
+
 SQL["op2_line_frequency_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
