@@ -276,7 +276,7 @@ FROM events e, (SELECT unnest(range(3)) AS doc) u WHERE e.user_id < 20 GROUP BY
 def nearest_in_time(spark, sf_dir):
     """Of each entity the row nearest to each of a few given times."""
     times = spark.range(3).select(F.col("id").alias("doc"), (F.lit("2024-01-10 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("t"))
-    e = table(spark, sf_dir, "events").where("user_id < 20").crossJoin(F.broadcast(times))
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(times))
     return e.groupBy("doc", "user_id").agg(F.min_by("event_id", F.struct(F.abs(cal.micros("ts") - cal.micros("t")).alias("d"), F.col("event_id"))).alias("event_id"))
 
 

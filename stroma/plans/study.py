@@ -102,7 +102,7 @@ _ACTIVE = """active AS (SELECT DISTINCT event_type, unnest(generate_series(time_
 
 
 def _active(spark, sf_dir) -> DataFrame:
-    e = _events(spark, sf_dir).where("user_id < 25").withColumn("end", F.col("ts") + F.make_dt_interval(mins=F.rint(F.least(F.col("value"), F.lit(90.0))).cast("int")))
+    e = _events(spark, sf_dir).withColumn("end", F.col("ts") + F.make_dt_interval(mins=F.rint(F.least(F.col("value"), F.lit(90.0))).cast("int")))
     return ranges.active_windows(e, ["event_type"], "ts", "end", 30)
 
 
