@@ -14,6 +14,11 @@ from stroma.llm.neardup import BROADCAST_IDS, near_duplicates
 from stroma.llm.shared import materialise, shared_folder
 
 
+#: Near duplicates share 80 % of their shingles. A pair at that share is missed by every band with probability 1.0e-5;
+#: its estimate has 145 samples and may lie five standard errors of them too low.
+NEAR = {"percent": 80, "bands": 29, "rows": 5, "margin": 0.18}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network doesn't reject."""
     return quality_cnn.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -21,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates; of rows of one id, one."""
-    gone = materialise(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "pipeline-gone")
+    gone = materialise(near_duplicates(docs, **NEAR).where("not kept").select("doc_id").distinct(), "pipeline-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
