@@ -47,6 +47,7 @@ SPEECH = "said says say called calls call told tells wrote writes quoted quotes
 INSULT, THREAT, INTENT, TARGET, NEGATION, SPOKE, QUOTE, OTHER = range(8)
 _LISTS = ((THREATS, THREAT), (INTENTS, INTENT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (SPEECH, SPOKE))
 _WORD = re.compile(r"[^\W_]+|[\"“”«»„]")
+_BETWEEN = re.compile(r"[\W_]+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 #: Kinds of match, each aimed or not, negated or not, reported or not: their first weights.
 KINDS = [(what, aimed, negated, reported) for what in ("insult", "threat") for aimed in (0, 1) for negated in (0, 1) for reported in (0, 1)]
@@ -153,17 +154,39 @@ class Grammar:
             self.keys = [(0, _hashes(words)), *((n, _hashes(v)) for n, v in sorted(by.items()))]
         found = []
         for i, j in slices(offs):
-            w = Words(raw, offs[i : j + 1], NON_ALNUM)
-            hit = np.zeros(len(w.hashes) + 1, np.int64)
-            for n, keys in self.keys:
-                own = w.hashes if n == 0 else w.prefixes(n)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    hit[1:] |= keys[at] == own
-            total = np.cumsum(hit)
-            found.append(total[w.at[1:]] > total[w.at[:-1]])
+            hit = self._hit(raw, offs[i : j + 1])
+            # bytes split these texts at other places than characters do: their words are parted by spaces first
+            other = i + np.flatnonzero(_beyond_latin(raw, offs[i : j + 1]))
+            if len(other):
+                plain = [_BETWEEN.sub(" ", raw[offs[k] : offs[k + 1]].tobytes().decode(errors="replace").lower()).encode() for k in other.tolist()]
+                hit[other - i] = self._hit(np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)]))
+            found.append(hit)
         return np.concatenate(found) if found else np.zeros(0, bool)
 
+    def _hit(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        w = Words(raw, offs, NON_ALNUM)
+        hit = np.zeros(len(w.hashes) + 1, np.int64)
+        for n, keys in self.keys:
+            own = w.hashes if n == 0 else w.prefixes(n)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit[1:] |= keys[at] == own
+        total = np.cumsum(hit)
+        return total[w.at[1:]] > total[w.at[:-1]]
+
+
+def _beyond_latin(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which texts have a character that is neither ASCII nor one of the lower-case letters from U+00DF to U+00FF."""
+    data = raw[int(offs[0]) : int(offs[-1])]
+    high = data >= 0x80
+    if not high.any():
+        return np.zeros(len(offs) - 1, bool)
+    letter = np.zeros(len(data) + 1, bool)
+    letter[:-2] = (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] <= 0xBF) & (data[1:] != 0xB7)
+    letter[1:] |= letter[:-1].copy()
+    total = np.concatenate([[0], np.cumsum(high & ~letter[:-1])])
+    return total[offs[1:] - offs[0]] > total[offs[:-1] - offs[0]]
+
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     if not words:
