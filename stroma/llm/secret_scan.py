@@ -27,15 +27,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = 8
 _WORDS = re.compile(r"password|passwd|secret|token|apikey|api_key", re.I | re.A)
 
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-_QUOTED = r"\"(?:[^\"\\\n]|\\.){0,4000}\"|'(?:[^'\\\n]|\\.){0,4000}'|`[^`\n]{0,4000}`"
+# Names and literals of any length; what is matched possessively isn't tried again, so that the time is linear.
+NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_QUOTED = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`"
 _TERM = rf"{_QUOTED}|[A-Za-z0-9_./+\-$@%^&*~]+=*"
 #: A name, its assignment and the terms that are assigned, joined by plus signs.
-PAIR = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<q>[\"']?)(?P<name>{NAME})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<terms>(?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*)", re.A)
-CALL = re.compile(rf"(?<![A-Za-z0-9_])(?:set_?)?(?P<name>{NAME})\([ \t]*(?P<terms>{_QUOTED})[ \t]*\)", re.A)
+PAIR = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<q>[\"']?)(?P<name>{NAME})(?P=q)[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<terms>(?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*)", re.A)
+#: From the first segment of a dotted name that doesn't begin with a digit, so that each name is read once.
+CALL = re.compile(rf"(?<![A-Za-z0-9_.\-])(?:[0-9][A-Za-z0-9_]*+|[.\-])*+(?:set_?)?(?P<name>{NAME})\([ \t]*(?P<terms>{_QUOTED})[ \t]*\)", re.A)
 OPTION = re.compile(rf"(?<!\S)--(?P<name>{NAME})[ =](?P<terms>{_TERM})", re.A)
 TERM = re.compile(_TERM, re.A)
-_SIGN = re.compile(r"[A-Za-z0-9_\"'] {0,8}(?:[:=]|\()|--")
+_SIGN = re.compile(r"[A-Za-z0-9_.\-\"'][ \t]*+[:=(]|--")
+#: A bare word without digits is a constant; one longer than this may be a value as well.
+LONG_WORD = 81
 
 # Fixed weights of the words in a target's name.
 SENSITIVE = {
@@ -44,7 +48,7 @@ SENSITIVE = {
     "cookie": 1, "salt": 2, "pin": 2, "client": 1, "encryption": 2, "master": 1, "webhook": 1, "oauth": 2, "jwt": 3,
 }
 HARMLESS = {"public": -3, "example": -3, "test": -1, "name": -2, "length": -3, "count": -3, "file": -2, "path": -2, "url": -2, "type": -3, "id": -1, "expiry": -3, "expires": -3, "hint": -3, "policy": -3}
-PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|your|change.?me|placeholder|<.*>|\$\{|\{\{|example|none|null|true|false")
+PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|your|change.?me|placeholder|\$\{|\{\{|example|none|null|true|false")
 THRESHOLD = 4.0
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -64,7 +68,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret value: its length, kinds of characters and entropy."""
-    if len(value) < LEAST or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    if len(value) < LEAST or PLACEHOLDER.search(value) or "<" in value and ">" in value[value.index("<") :] or any(c.isspace() for c in value):
         return -math.inf
     kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     n = len(value)
@@ -88,7 +92,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
                     s, e = s + 1, e - 1
                 elif re.fullmatch(NAME, raw, re.A) and not any(c.isdigit() for c in raw):
                     given[raw].add(name)
-                    continue
+                    if len(raw) <= LONG_WORD:
+                        continue
                 literals[s, e].add(name)
                 holds[name].add((s, e))
     for constant, first in given.items():  # what a constant holds also goes to whatever it is given to, step by step
