@@ -37,7 +37,8 @@ class Encoder:
     the pieces it has met. New pieces of Latin-1 characters are split by the tokenizer's
     own pattern and encoded together by ``tiktoken``, which merges the same vocabulary
     faster: its word end is written as one byte that such pieces don't contain. All
-    other pieces go to the tokenizer itself.
+    other pieces go to the tokenizer itself, as do, whole, the texts that contain one of
+    the file's added tokens.
     """
 
     STOP = "\x01"
@@ -52,9 +53,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        self.added = [t["content"] for t in file.get("added_tokens", ())]
         shown = _shown_bytes()
         ranks: dict[bytes, int] = {}
         for token, i in vocabulary.items():
@@ -99,6 +101,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian 32-bit words."""
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self.known[p] for p in pieces])
