@@ -98,7 +98,7 @@ def temporal_crosstab(spark, sf_dir):
     return c.select("event_type", "hour", "n", r6(F.col("n") / F.sum("n").over(W.partitionBy("event_type"))).alias("share"), r6(F.col("_r") / F.col("n")).alias("rush"))
 
 
-_ACTIVE = """active AS (SELECT DISTINCT event_type, unnest(generate_series(time_bucket(INTERVAL 30 MINUTES, ts), CASE WHEN time_bucket(INTERVAL 30 MINUTES, e) = e THEN e ELSE time_bucket(INTERVAL 30 MINUTES, e) + INTERVAL 30 MINUTES END, INTERVAL 30 MINUTES)) AS "window" FROM (SELECT event_type, ts, ts + to_minutes(least(value, 90)::INT) AS e FROM events WHERE user_id < 25))"""
+_ACTIVE = """active AS (SELECT DISTINCT event_type, unnest(generate_series(time_bucket(INTERVAL 30 MINUTES, ts), CASE WHEN time_bucket(INTERVAL 30 MINUTES, e) = e THEN e ELSE time_bucket(INTERVAL 30 MINUTES, e) + INTERVAL 30 MINUTES END, INTERVAL 30 MINUTES)) AS "window" FROM (SELECT event_type, ts, ts + to_minutes(least(value, 90)::INT) AS e FROM events))"""
 
 
 def _active(spark, sf_dir) -> DataFrame:
