@@ -11,10 +11,9 @@ and a text's exact code length is a sum of table entries. The shortest code wins
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,8 @@ ORDER = 4
 #: Learned from at most so many texts of each language, of at most so many bytes.
 PER_CLASS, MAX_BYTES = 500, 8_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by their Unicode categories; numerals such as ½ and ① are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Table:
@@ -124,9 +124,11 @@ class Model:
                 s, t = int(offs[i + k]), int(offs[i + k + 1])
                 data[e - (t - s) : e] = LOWER[raw[s:t]]
             spread = self._each(data)
-            total = np.concatenate([np.zeros((1, spread.shape[1])), np.cumsum(spread, axis=0, dtype=np.float64)])
-            first = ends - (offs[i + 1 : j + 1] - offs[i:j])
-            out[i:j] = total[ends] - total[first]
+            size = offs[i + 1 : j + 1] - offs[i:j]
+            full = np.flatnonzero(size)  # each text is summed by itself, so its length doesn't depend on its neighbours
+            if len(full):
+                edges = np.stack([ends[full] - size[full], ends[full]], 1).ravel()
+                out[i + full] = np.add.reduceat(np.concatenate([spread, spread[:1]]).astype(np.float64), edges, axis=0)[::2]
         return out
 
     def _each(self, data: np.ndarray) -> np.ndarray:
