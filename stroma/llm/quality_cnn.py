@@ -18,8 +18,8 @@ from stroma.llm.shared import annotate, labelled_texts, slices, text_buffers
 WIDTH, FILTERS = 5, 8
 #: Chunks are two strides long; a stride is a power of two.
 STRIDE = 32
-#: How far back a repeated four-byte string may lie.
-BACK = 48
+#: How far back a repeated four-byte string may lie, within the text; texts are parted by GAP strides of zeros, which is farther.
+BACK, GAP = 48, 2
 #: Learned from at most so many texts of each class, of at most so many bytes.
 PER_CLASS, MAX_BYTES = 700, 12_000
 EPOCHS, BATCH, RATE = 14, 32, 0.02
@@ -27,14 +27,17 @@ THRESHOLD = 0.3
 
 
 def symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, number of strides of each text): each text starts a stride and is followed by at least WIDTH zeros."""
+    """(symbols, number of strides of each text): each text starts a stride and is followed by GAP strides of zeros or more.
+
+    Zero is the symbol of no byte: a NUL of a text is read as 0xFF, which UTF-8 doesn't have.
+    """
     size = offs[1:] - offs[:-1]
     strides = -(-size // STRIDE)
-    room = (strides + 1) * STRIDE
+    room = (strides + GAP) * STRIDE
     to = np.concatenate([[0], np.cumsum(room)])
     data = np.zeros(int(to[-1]) + 8, np.uint8)
     for k, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-        data[to[k] : to[k] + e - s] = raw[s:e]
+        data[to[k] : to[k] + e - s] = np.where(raw[s:e] == 0, 0xFF, raw[s:e])
     n = len(data) - 8
     four = np.zeros(n + 4, np.uint32)
     for k in range(4):
@@ -74,16 +77,20 @@ class Network:
             half = np.maximum(half[:, :m], half[:, m:])
         half = half[:, 0]
         chunk = np.maximum(half[:-1], half[1:])  # the stride behind a text's last is zeros, so its last chunk is its last stride
-        total = np.concatenate([np.zeros((1, half.shape[1])), np.cumsum(chunk, axis=0, dtype=np.float64)])
-        first = np.concatenate([[0], np.cumsum(strides + 1)[:-1]])
-        return (total[first + strides] - total[first]) / np.maximum(strides, 1)[:, None]
+        first = np.concatenate([[0], np.cumsum(strides + GAP)[:-1]]).astype(np.int64)
+        out = np.zeros((len(strides), half.shape[1]))
+        full = np.flatnonzero(strides)  # each text is summed by itself, so its mean doesn't depend on its neighbours
+        if len(full):
+            edges = np.stack([first[full], first[full] + strides[full]], 1).ravel()
+            out[full] = np.add.reduceat(chunk.astype(np.float64), edges, axis=0)[::2] / strides[full][:, None]
+        return out
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         scores = []
         for i, j in slices(offs, 1 << 17):
             sym, strides = symbols(raw, offs[i : j + 1])
             means = self.pooled(self.filters(sym), strides)
-            scores.append(1 / (1 + np.exp(-np.clip(means @ self.weights + self.offset, -30, 30))))
+            scores.append(1 / (1 + np.exp(-np.clip((means * self.weights).sum(1) + self.offset, -30, 30))))
         return np.concatenate(scores) if scores else np.zeros(0)
 
 
@@ -121,8 +128,8 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Network:
             cut = out.reshape(-1, STRIDE, FILTERS)
             best = cut.argmax(1)
             half = np.take_along_axis(cut, best[:, None, :], 1)[:, 0, :]
-            doc = np.repeat(np.arange(len(batch)), strides + 1)
-            inside = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(strides + 1)[:-1]]), strides + 1) < strides[doc]
+            doc = np.repeat(np.arange(len(batch)), strides + GAP)
+            inside = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(strides + GAP)[:-1]]), strides + GAP) < strides[doc]
             pull = np.where(inside, slope[doc] / np.maximum(strides[doc], 1), 0)[:-1, None] * weights
             later = half[1:] > half[:-1]
             grad = np.zeros_like(half)

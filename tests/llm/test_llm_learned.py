@@ -59,6 +59,9 @@ def test_language(spark):
     found = language_ppm.identify_language(docs, language_ppm.fit(docs))
     rows = found.select("text", "language.lang", "language.score").collect()
     assert len(rows) == 7 and all((r.lang == "und") == (r.text in (None, "", "12 34 !!")) for r in rows) and all(0 <= r.score <= 1 for r in rows)
+    numerals = spark.createDataFrame([(k, t) for k, t in enumerate(["½ ¼", "①", "Ⅳ ²", "٣", "ª"])], "doc_id long, text string")
+    known = language_ppm.identify_language(numerals, language_ppm.fit(docs))
+    assert [r.lang == "und" for r in known.orderBy("doc_id").select("language.lang").collect()] == [True] * 4 + [False]
     empty = docs.limit(0)
     model = language_ppm.fit(empty)
     assert language_ppm.identify_language(empty, model).count() == 0
@@ -130,3 +133,56 @@ def test_suspects_lose_no_match():
     got = grammar.suspects(*text_buffers(pa.array(texts)))
     assert got.tolist() == [True, True, True, False, False, True, False]
     assert [grammar.counts(t).any() for t in texts] == [True, True, True, False, False, True, False]
+
+
+def scored_alike(score, texts: list[str]) -> None:
+    """Each text alone, all in order, shuffled, and each behind copies of another: the same scores to the last bit."""
+    alone = [score([t])[0] for t in texts]
+    order = np.random.default_rng(0).permutation(len(texts))
+    assert score(texts) == alone
+    assert [x for _, x in sorted(zip(order.tolist(), score([texts[k] for k in order])))] == alone
+    for k, t in enumerate(texts):
+        assert score([texts[k - 1], t, t, texts[k - 2]])[1:3] == [alone[k]] * 2
+
+
+@pytest.fixture(scope="module")
+def some_texts(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).select("text").collect()
+    return ["Anat with", "with", "", "a\0b\0a\0b", "é" * 33, *[r.text for r in rows]]
+
+
+def test_quality_scores_do_not_depend_on_neighbours(spark, some_texts):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality_cnn.fit(docs, labels)
+    scored_alike(lambda texts: net.scores(*text_buffers(pa.array(texts))).tolist(), some_texts)
+    assert net.scores(*text_buffers(pa.array(["ab", "ab\0ab\0"])))[0] != net.scores(*text_buffers(pa.array(["ab\0ab\0"])))[0]
+
+
+def test_code_lengths_do_not_depend_on_neighbours(some_texts):
+    model = language_ppm.Model({"a": [t.encode() for t in some_texts[5:20]], "b": [t.encode() for t in some_texts[20:35]]})
+    scored_alike(lambda texts: [tuple(r) for r in model.bits(*text_buffers(pa.array(texts))).tolist()], some_texts)
+
+
+def filters_by_hand(net, text: str) -> float:
+    """The score of one text, place by place."""
+    data = [b or 0xFF for b in text.encode()]
+    padded = data + [0] * 200
+    symbol = []
+    for p in range(len(data)):
+        four = padded[p : p + 4]
+        symbol.append(padded[p] + 256 * any(p - back >= 0 and padded[p - back : p - back + 4] == four for back in range(2, quality_cnn.BACK + 1)))
+    symbol += [0] * 200
+    strides = -(-len(data) // quality_cnn.STRIDE)
+    means = []
+    for f in range(len(net.bias)):
+        value = [max(0.0, float(sum(net.tables[k][symbol[p + k]][f] for k in range(quality_cnn.WIDTH)) + net.bias[f])) if p < len(data) else 0.0 for p in range((strides + 1) * quality_cnn.STRIDE)]
+        chunks = [max(value[c * quality_cnn.STRIDE : (c + 2) * quality_cnn.STRIDE]) for c in range(strides)]
+        means.append(sum(chunks) / max(1, strides))
+    return 1 / (1 + math.exp(-(sum(m * w for m, w in zip(means, net.weights)) + net.offset)))
+
+
+def test_network_equals_its_definition(some_texts):
+    net = quality_cnn.train([("fine words here and there", 1), ("bad %%% bad %%% ###", 0)] * 20)
+    texts = [t for t in some_texts if len(t) < 1500]
+    got = net.scores(*text_buffers(pa.array(texts)))
+    assert np.allclose(got, [filters_by_hand(net, t) for t in texts], atol=1e-6)
