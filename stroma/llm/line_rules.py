@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stroma.llm.shared import materialise
 
-#: A normalised line is removed if more distinct documents of its host have it than this many and this share of the host's rows.
+#: A normalised line is removed if more distinct documents of its host have it than this many and this share of the host's documents.
 LIMIT, SHARE = 20, 0.01
 #: A document is depleted if removed lines held more than this share of its words.
 DEPLETED = 0.5
@@ -92,9 +92,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lined: DataFrame, hosts: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """(_host, _line) of the lines above the limits. Copies of a text count as one document, and are combined before the shuffle."""
-    counted = lined.groupBy("_host", "_line").agg(F.count_distinct("_key").alias("_docs")).where(F.col("_docs") > limit)
-    return counted.join(hosts, "_host").where(F.col("_docs") > share * F.col("_rows")).select("_host", "_line")
+    """(_host, _line) of the lines that more of a host's documents have than the limits allow. A document's own repeats are combined before the shuffle."""
+    counted = lined.groupBy("_host", "_line").agg(F.count_distinct("_doc").alias("_docs")).where(F.col("_docs") > limit)
+    return counted.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all_docs")).select("_host", "_line")
 
 
 def apply_rules(docs: DataFrame, host: str = "source", limit: int = LIMIT, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -105,25 +105,26 @@ def apply_rules(docs: DataFrame, host: str = "source", limit: int = LIMIT, share
     more than ``depleted`` of its words is rejected, as is one that fails the base.
 
     Null texts count as empty (base fails), null hosts as one host. Rows of equal doc_id,
-    host and text are judged alike, each on its own line. Other columns are ignored.
+    host and text are one document and judged alike, each on its own line; copies of a
+    text under other ids are documents of their own. A null doc_id is an id like any
+    other. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.coalesce(F.col(host).cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("_host"), text.alias("_text"))
-    slim = slim.withColumn("_key", F.xxhash64("_text")).withColumn("_crc", F.crc32(F.col("_text").cast("binary")))
+    slim = slim.withColumn("_doc", F.struct("doc_id", F.xxhash64("_text").alias("key"), F.crc32(F.col("_text").cast("binary")).alias("crc")))
 
-    each = slim.select("doc_id", "_host", "_key", "_crc", F.explode(F.transform(lines(F.col("_text")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(_WORD)).cast("long").alias("words")))).alias("_l"))
-    each = materialise(each.select("doc_id", "_host", "_key", "_crc", F.col("_l.line").alias("_line"), F.col("_l.words").alias("_words")), "rules-lines")
-    hosts = docs.groupBy(named.alias("_host")).agg(F.count(F.lit(1)).alias("_rows"))
-    # a text's own repeats count once, so they are combined before the count
-    frequent = materialise(frequent_lines(each.select("_host", "_line", "_key"), hosts, limit, share), "rules-frequent").withColumn("_gone", F.lit(True))
+    each = slim.select("_doc", "_host", F.explode(F.transform(lines(F.col("_text")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(_WORD)).cast("long").alias("words")))).alias("_l"))
+    each = materialise(each.select("_doc", "_host", F.col("_l.line").alias("_line"), F.col("_l.words").alias("_words")), "rules-lines")
+    hosts = slim.groupBy("_host").agg(F.count_distinct("_doc").alias("_all_docs"))
+    frequent = materialise(frequent_lines(each, hosts, limit, share), "rules-frequent").withColumn("_gone", F.lit(True))
     marked = each.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_LINES else frequent, ["_host", "_line"])
-    lost = marked.groupBy("doc_id", "_host", "_key", "_crc").agg(F.sum("_words").alias("_lost"))
-    # repeated rows add up alike in what is lost and in how often the text is there
-    times = each.select("doc_id", "_host", "_key", "_crc", "_words").groupBy("doc_id", "_host", "_key", "_crc").agg(F.sum("_words").alias("_all"))
-    shares = lost.join(times, ["doc_id", "_host", "_key", "_crc"]).select(F.col("doc_id").alias("_id"), F.col("_host").alias("_h"), F.col("_key").alias("_k"), F.col("_crc").alias("_x"), (F.col("_lost") / F.col("_all")).alias("_share"))
+    # repeated rows add up alike in what is lost and in what the text has; structs with a null id are grouped and joined as equal
+    lost = marked.groupBy("_doc", "_host").agg(F.sum("_words").alias("_lost"))
+    times = each.groupBy("_doc", "_host").agg(F.sum("_words").alias("_all"))
+    shares = lost.join(times, ["_doc", "_host"]).select(F.col("_doc").alias("_d"), F.col("_host").alias("_h"), (F.col("_lost") / F.col("_all")).alias("_share"))
     based = base_counts(slim).drop("_text")
-    same = based["doc_id"].eqNullSafe(shares["_id"]) & (based["_host"] == shares["_h"]) & (based["_key"] == shares["_k"]) & (based["_crc"] == shares["_x"])
+    same = (based["_doc"] == shares["_d"]) & (based["_host"] == shares["_h"])
     out = based.join(shares, same, "left").withColumn("_share", F.coalesce("_share", F.lit(0.0)))
     removed = F.round(F.col("_share") * F.col("n_words")).cast("long").alias("n_removed_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("_share") <= depleted)).alias("kept"), removed)

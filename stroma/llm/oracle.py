@@ -49,12 +49,12 @@ WITH d AS (
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
 ), norm AS (
-  SELECT l.r, d.host, d.t, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+  SELECT l.r, d.doc_id, d.host, d.t, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM l JOIN d USING (r)
 ), often AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS docs FROM norm GROUP BY host, line) JOIN (SELECT host, count(*) AS rows FROM d GROUP BY host) USING (host)
-  WHERE docs > 20 AND docs > 0.01 * rows
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT {'i': doc_id, 't': t}) AS docs FROM norm GROUP BY host, line) JOIN (SELECT host, count(DISTINCT {'i': doc_id, 't': t}) AS all_docs FROM d GROUP BY host) USING (host)
+  WHERE docs > 20 AND docs > 0.01 * all_docs
 ), lost AS (
   SELECT norm.r, sum(words) AS lost FROM norm JOIN often USING (host, line) GROUP BY norm.r
 ), j AS (

@@ -140,8 +140,10 @@ def test_passages_match_brute_force(spark, block):
 
 
 def test_no_items(spark):
-    got = decontaminate.find_passages(documents(spark), spark.createDataFrame([], "item_id long, text string")).select("passages.*").toPandas()
-    assert got.n_hit.sum() == 0 and got.n_words.max() == 40_000 or got.n_hit.sum() == 0
+    docs = documents(spark)
+    got = decontaminate.find_passages(docs, spark.createDataFrame([], "item_id long, text string")).select("text", "passages.*").collect()
+    assert len(got) == docs.count()
+    assert all((r.n_hit, list(r.item_ids), list(r.spans)) == (0, [], []) and r.n_words == brute_passages(r.text, [])[0] for r in got)
 
 
 def test_encoder_equals_the_tokenizer():
@@ -258,11 +260,11 @@ def brute_rules(rows):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[1-9]", "0", x.lower())).strip(" ")
     lines = lambda t: [x for x in t.split("\n") if words(x)]
-    seen, hosts = defaultdict(set), Counter()
-    for _, t, host in rows:
-        hosts[host or ""] += 1
+    seen, hosts = defaultdict(set), defaultdict(set)
+    for i, t, host in rows:
+        hosts[host or ""].add((i, t or ""))
         for x in lines(t or ""):
-            seen[host or "", norm(x)].add(t)
+            seen[host or "", norm(x)].add((i, t))
     out = []
     for i, t, host in rows:
         t = t or ""
@@ -271,7 +273,7 @@ def brute_rules(rows):
         for k in range(len(w) - 2):
             at[tuple(w[k : k + 3])].append(k)
         again = {k + o for v in at.values() if len(v) > 1 for k in v for o in range(3)}
-        lost = sum(len(words(x)) for x in ls if len(seen[host or "", norm(x)]) > max(20, 0.01 * hosts[host or ""]))
+        lost = sum(len(words(x)) for x in ls if len(seen[host or "", norm(x)]) > max(20, 0.01 * len(hosts[host or ""])))
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ls) - len(set(ls)), len(again), failed, not failed and lost <= 0.5 * len(w), lost))
     return Counter(out)
@@ -286,9 +288,17 @@ def test_line_rules_match_brute_force(spark):
         footer = " ".join(["Page 12 of the same site"] * (12 if k % 3 else 1))
         rows.append((1000 + k, f"{body}\n{footer}\n \n{body if k % 7 == 0 else ''}", "h1"))
     rows += [(3000, "alpha beta " * 40, None), (3001, "alpha " * 3, None), rows[70], (None, " ".join(rng.choice(vocabulary, 80)), "h1")]
+    # documents without an id are judged like the others, copies under ids of their own count each, repeated rows once
+    shared, own = " ".join(f"s{k}" for k in range(68)), lambda k: " ".join(f"o{k}x{n}" for n in range(60))
+    rows += [(4000 + k if k < 50 else None, f"{shared}\n{own(k)}", "h2") for k in range(60)]
+    rows += [(5000 + k, f"{' '.join(f'c{n}' for n in range(70))}\nlast", "h3") for k in range(200)]
+    rows += [(6000, " ".join(f"r{n}" for n in range(70)), "h4")] * 40
     docs = spark.createDataFrame([(i, t, h, True, 4) for i, t, h in rows], "doc_id long, text string, source string, kept boolean, n_words int")
     got = line_rules.apply_rules(docs)
-    assert Counter(tuple(r) for r in got.collect()) == brute_rules(rows)
+    found = got.collect()
+    assert Counter(tuple(r) for r in found) == brute_rules(rows)
+    assert {r.kept for r in found if r.n_words == 128 and r.n_removed_words == 68} == {False}
+    assert not any(r.kept for r in found if r.doc_id and 5000 <= r.doc_id < 5200) and all(r.kept for r in found if r.doc_id == 6000)
     assert line_rules.apply_rules(docs.limit(0)).count() == 0
     assert "Python" not in docs._jdf.queryExecution().toString()
 
