@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,31 +15,42 @@ from stroma.llm.shared import mix, ship_package
 # Fixed values: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-# The small labelled table (fixed values): host names and paths that such sites have.
-BLOCKED = """
-casino-win.example.com/en/12 m.casino-win.example.net/de/3 www.casino-royal.example.org/fr/88 lucky-casino.example.com/es/5
-free-bets.example.com/en/4 www.free-bets.example.net/fr/9 best-bets.example.org/de/71 sports-betting.example.com/en/6
-cheap-pills.example.com/de/7 www.cheap-pills.example.org/en/2 buy-pills.example.net/es/44 online-pharmacy.example.com/en/10
-ads-track.example.com/en/9 m.ads-track.example.net/fr/31 ad-tracker.example.org/de/62 click-ads.example.com/es/13
-adult-cams.example.com/en/1 xxx-videos.example.net/de/5 hot-singles.example.org/en/8 porn-tube.example.com/fr/20
-payday-loans.example.com/en/11 quick-loans.example.net/es/6 crypto-double.example.org/en/3 win-prize.example.com/de/14
-replica-watches.example.com/en/21 slot-machines.example.net/fr/17 poker-bonus.example.org/de/25 free-iphone.example.com/en/30
-spam-links.example.com/en/5 spam-farm.example.org/de/40 link-farm.example.net/fr/7 adult-x.example.com/en/18 x-rated.example.org/es/9 seo-backlinks.example.net/de/12 malware-download.example.org/en/1 keygen-crack.example.com/fr/2
+# Words (fixed values) that unwanted and other sites are named by, and what stands beside them. Written without looking at any
+# table that is judged. The last line of the others holds harmless words that share letters with the unwanted ones.
+UNWANTED = """
+casino slots jackpot poker roulette bets betting lottery bingo winner
+pills viagra pharma meds steroids
+ads adserver clicks popups tracker banners
+porn xxx adult sexcams escort nudes
+spam linkfarm seo-links phish malware keygen warez cracked
+payday loans replica giftcards quick-cash crypto-double prize
 """.split()
-ALLOWED = """
-news.example.com/en/12 www.citynews.example.net/de/3 blog.thandre.example.org/fr/88 m.stories.example.com/es/5
-www.thering.example.org/en/4 blog.ertion.example.net/fr/9 onthe.example.org/de/71 thesti.example.com/en/6
-library.example.com/de/7 www.university.example.org/en/2 school.example.net/es/44 museum.example.com/en/10
-health.example.com/en/9 m.weather.example.net/fr/31 cooking.example.org/de/62 travel.example.com/es/13
-www.science.example.com/en/1 history.example.net/de/5 garden.example.org/en/8 music.example.com/fr/20
-docs.example.com/en/11 wiki.example.net/es/6 forum.example.org/en/3 blog.example.com/de/14
-m.reands.example.com/en/21 www.ingent.example.net/fr/17 aneder.example.org/de/25 hethou.example.com/en/30
-blog.tholy.example.com/en/5 www.rehand.example.net/de/12 tionore.example.org/en/1 m.whoneat.example.com/fr/2
-theble.example.com/de/4021 www.sthnd.example.net/en/771 blog.anouti.example.org/es/908 eatin.example.com/fr/1234.html library.info/about
-archive.info/a papers.info/page reports.org/x gazette.net/today open-data.info/en/set city-hall.org/de/amt long-read.net/fr/essai
+OTHERS = """
+library university museum weather recipes garden travel science newspaper football hospital school hiking opera timetable council astronomy chess birds poetry docs
+mathematics grammar bicycles philosophy architecture music folktales bakery parks archive chemistry genealogy novels essays parliament theatre volcano sailing geology health
+carpentry elections knitting pottery railways ferries insurance dentist wedding camping surfing vineyard orchestra kindergarten
+addresses bettina advent farmers athletics cashmere winter freedom pillows better shadows drugstore adulthood clickbeetle meadows slotted spanish loanwords pokeweed
 """.split()
+BESIDE = "best my online the city shop hub zone world club top mega easy info daily plus".split()
+PER_WORD = 6
 
-BITS, SIZES = 12, (3, 4, 5)
+
+def labelled_table(words: list[str], per_word: int = PER_WORD) -> list[str]:
+    """Invented addresses on reserved domains, ``per_word`` of each word: the word beside another one, before or behind it, now and then with a subdomain; the path says nothing."""
+    out = []
+    for w in words:
+        for k in range(per_word):
+            h = zlib.crc32(f"{w} {k}".encode())
+            beside, rest = BESIDE[h % len(BESIDE)], h // len(BESIDE)
+            joint = ("-", "", ".")[rest % 3]
+            name = f"{beside}{joint}{w}" if rest // 3 % 2 else f"{w}{joint if joint != '.' else ''}{beside}"
+            out.append(f"{name}.{('example', 'test')[rest // 6 % 2]}/{('en', 'de', 'fr', 'es', 'page')[rest // 12 % 5]}/{rest % 9973}")
+    return out
+
+
+BLOCKED, ALLOWED = labelled_table(UNWANTED), labelled_table(OTHERS)
+
+BITS, SIZES = 18, (3, 4, 5)
 THRESHOLD = 0.5
 
 
@@ -87,18 +99,19 @@ def features(addresses: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
 
-def train(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, steps: int = 400, pull: float = 0.02) -> np.ndarray:
-    """Weights of the hashed n-grams, the offset last: gradient steps on the logistic loss with a quadratic penalty. An allowed row counts twice, so that unknown hosts are rather allowed."""
+def train(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, steps: int = 600, rate: float = 20.0, pull: float = 0.0001) -> np.ndarray:
+    """Weights of the hashed n-grams, the offset last: gradient steps on the logistic loss, both classes weighing alike, with a quadratic penalty on the weights."""
     rows, cells = features([*blocked, *allowed])
     y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
+    share = np.where(y == 1, 0.5 / max(1, len(blocked)), 0.5 / max(1, len(allowed)))
     norm = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
     weights = np.zeros((1 << BITS) + 1)
     for _ in range(steps):
-        p = _sigmoid(np.bincount(rows, weights[cells], len(y)) * norm + weights[-1])
-        slope = (p - y) * (2 - y) / len(y)
+        p = _sigmoid(np.bincount(rows, weights[cells] * norm[rows], len(y)) + weights[-1])
+        slope = (p - y) * share
         step = np.bincount(cells, (slope * norm)[rows], 1 << BITS)
-        weights[:-1] -= 4.0 * (step + pull / len(y) * weights[:-1])
-        weights[-1] -= 4.0 * slope.sum()
+        weights[:-1] -= rate * (step + pull * weights[:-1])
+        weights[-1] -= slope.sum()
     return weights
 
 
@@ -106,6 +119,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def held_out_accuracy(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, folds: int = 10, **options) -> tuple[float, float]:
+    """Shares of the blocked and of the allowed hosts that a regression without them judges rightly: each host is left out once."""
+    right = {1: [], 0: []}
+    for k in range(folds):
+        weights = train([a for i, a in enumerate(blocked) if i % folds != k], [a for i, a in enumerate(allowed) if i % folds != k], **options)
+        for label, table in ((1, blocked), (0, allowed)):
+            asked = table[k::folds]
+            right[label] += ((probability(asked, weights) >= THRESHOLD) == bool(label)).tolist()
+    return float(np.mean(right[1])), float(np.mean(right[0]))
+
+
+def probability(addresses: list[str], weights: np.ndarray) -> np.ndarray:
+    """The regression's probability of being unwanted; 0 for an address without any n-gram."""
+    rows, cells = features(addresses)
+    many = np.bincount(rows, minlength=len(addresses))
+    total = np.bincount(rows, weights[cells], len(addresses)) / np.sqrt(np.maximum(many, 1))
+    return np.where(many > 0, _sigmoid(total + weights[-1]), 0.0)
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages`` (page_id, url, ...).
 
@@ -119,12 +151,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        w = weights.value
         for h, p in batches:
-            rows, cells = features([a + b for a, b in zip(h, p)])
-            many = np.bincount(rows, minlength=len(h))
-            total = np.bincount(rows, w[cells], len(h)) / np.sqrt(np.maximum(many, 1))
-            yield pd.Series(np.where(many > 0, _sigmoid(total + w[-1]), 0.0))
+            yield pd.Series(probability([a + b for a, b in zip(h, p)], weights.value))
 
     cut = pages.select("page_id", host("url").alias("host"), path("url").alias("path"))
     found = cut.withColumn("_rule", rule(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))
