@@ -1,10 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A first transducer maps a clause's words to classes: insult, threat verb, intent, target,
-negation, speech verb, quotation mark. A second one, composed with it, walks over the
-classes and emits a match for each insult or threat together with the state it was met
-in: aimed at someone or not, negated or not, reported or not. Each kind of match has a
-weight; a document's score is a logistic function of the weighted sum over its clauses.
+A clause is read as a string of word classes: insult, threat verb, intent, target,
+negation, speech verb, quotation mark. Machines of a few states each, all letter
+transducers, add one mark each to the insults and threats they pass: negated (a negation
+stands shortly before), reported (a speech verb or an open quotation mark before), meant
+(an intent shortly before), aimed (a target shortly before). They are composed into one
+machine that reads from left to right. The machine for targets that follow is the same
+one read from right to left; composed with the insult and threat machine, which turns
+what is marked into matches with a weight, it reads the first one's output backwards.
+So a clause costs two walks, and only matched clauses count, never words alone.
+A document's score is a logistic function of the weighted matches of its clauses.
 
 The insult transducer has a short fixed list and what is learned from labelled texts:
 words, and stems that many different words begin with, that stand in many different
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +55,18 @@ _LISTS = ((THREATS, THREAT), (INTENTS, INTENT), (TARGETS, TARGET), (NEGATIONS, N
 _WORD = re.compile(r"[^\W_]+|[\"“”«»„]")
 _BETWEEN = re.compile(r"[\W_]+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
-#: Kinds of match, each aimed or not, negated or not, reported or not: their first weights.
+#: Kinds of match, each aimed or not, negated or not, reported or not.
 KINDS = [(what, aimed, negated, reported) for what in ("insult", "threat") for aimed in (0, 1) for negated in (0, 1) for reported in (0, 1)]
-_NUMBER = {k: i for i, k in enumerate(KINDS)}
-FIRST = np.array([(2.5 if what == "insult" else 1.0) + 1.5 * aimed - 1.5 * negated - 1.5 * reported for what, aimed, negated, reported in KINDS] + [-1.0])
+#: What the machines' arcs weigh; a kind's first weight is the sum along its path.
+INSULT_WEIGHT, THREAT_WEIGHT, AIMED_WEIGHT, NEGATED_WEIGHT, REPORTED_WEIGHT = 2.5, 1.0, 1.5, -1.5, -1.5
+#: The kinds' first weights, and that of the matches that chance would give.
+FIRST = np.array([(INSULT_WEIGHT if what == "insult" else THREAT_WEIGHT) + AIMED_WEIGHT * aimed + NEGATED_WEIGHT * negated + REPORTED_WEIGHT * reported for what, aimed, negated, reported in KINDS] + [-1.0])
 #: A negation, target or intent reaches this many words.
 REACH = 4
 
 
 class Lexicon:
-    """The first transducer: classes of words; stems cover every word they begin."""
+    """Classes of words, a transducer of one state with an arc a word; a stem is an arc for every word it begins."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], chance: float = 0.0):
         """Terms with their weights; ``chance``: how often a word of a text that isn't toxic is one of them."""
@@ -77,50 +85,112 @@ class Lexicon:
         return (QUOTE if word in '"“”«»„' else OTHER), 1.0
 
 
-def matches(classes: list[tuple[int, float]]) -> list[tuple[int, float]]:
-    """The second transducer over one clause: the kinds of match it emits, by number, and their weights.
+# --- the machines -----------------------------------------------------------
+
+#: Marks that machines add to a class; a symbol is a class with a set of marks, one number.
+NEGATED, REPORTED, MEANT, BEFORE, AFTER = (8 << k for k in range(5))
+SYMBOLS = range(8 << 5)
+
+
+class Transducer:
+    """A deterministic weighted letter transducer: ``arcs[state, symbol] = (next state, output, weight)``, from state 0, all states final."""
+
+    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int, float]]):
+        self.arcs = arcs
+
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """(output, weight) of each symbol."""
+        state, out = 0, []
+        for x in symbols:
+            state, y, weight = self.arcs[state, x]
+            out.append((y, weight))
+        return out
 
-    The state is (words since a negation, since a target, since an intent, speech met,
-    within quotation marks); an emitted match is made aimed by a target that follows
-    within reach, too. A threat verb counts only with an intent before it or a target.
+    def compose(self, other: Transducer) -> Transducer:
+        """The machine that does what ``other`` does with this one's output; weights add up. Only pairs of states that can be reached are made."""
+        names, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+        by_state: dict[int, list[int]] = defaultdict(list)
+        for state, x in self.arcs:
+            by_state[state].append(x)
+        while todo:
+            a, b = todo.pop()
+            for x in by_state[a]:
+                a2, y, w1 = self.arcs[a, x]
+                b2, z, w2 = other.arcs[b, y]
+                if (a2, b2) not in names:
+                    names[a2, b2] = len(names)
+                    todo.append((a2, b2))
+                arcs[names[a, b], x] = (names[a2, b2], z, w1 + w2)
+        return Transducer(arcs)
+
+
+def _class(symbol: int) -> int:
+    return symbol % 8
+
+
+def within_reach(of: int, mark: int, weight: float, marked: tuple[int, ...]) -> Transducer:
+    """Marks the classes ``marked`` where ``of`` is one of the REACH words before. State: words since, REACH: too many; quotation marks are no words."""
+    arcs = {}
+    for state in range(REACH + 1):
+        for x in SYMBOLS:
+            c = _class(x)
+            near = c in marked and state < REACH
+            arcs[state, x] = (state if c == QUOTE else 0 if c == of else min(REACH, state + 1), x | mark if near else x, weight if near else 0.0)
+    start = {(0 if s == REACH else s + 1, x): (0 if t == REACH else t + 1, y, w) for (s, x), (t, y, w) in arcs.items()}  # nothing met yet is the first state
+    return Transducer(start)
+
+
+def reported_speech(weight: float) -> Transducer:
+    """Marks insults and threats behind a speech verb or within quotation marks. State: speech met, quotation open."""
+    arcs = {}
+    for state in range(4):
+        for x in SYMBOLS:
+            c = _class(x)
+            to = state | 1 if c == SPOKE else state ^ 2 if c == QUOTE else state
+            hit = state > 0 and c in (INSULT, THREAT)
+            arcs[state, x] = (to, x | REPORTED if hit else x, weight if hit else 0.0)
+    return Transducer(arcs)
+
+
+def matched(of: int, first: int) -> Transducer:
+    """Turns marked symbols of the class ``of`` into match numbers from ``first`` on, -1 - number; all else passes.
+
+    An insult always matches. A threat verb needs an intent before it or a target behind
+    it; a target before it counts only with an intent.
     """
-    far = REACH + 1
-    negated = aimed = meant = far
-    spoken = quoted = False
-    out: list[tuple[int, float]] = []
-    waiting: list[list] = []  # [words since, what, negated, reported, meant, weight]
-    emit = lambda w, to: out.append((_NUMBER[w[1], to, w[2], w[3]], w[5]))
-    for c, weight in classes:
-        if c != QUOTE:
-            for w in waiting:
-                w[0] += 1
-                if c == TARGET and w[0] <= REACH:
-                    emit(w, 1)
-                elif w[0] > REACH and (w[1] == "insult" or w[4]):
-                    emit(w, 0)
-            waiting = [w for w in waiting if w[0] <= REACH and c != TARGET]
+    arcs = {}
+    for x in SYMBOLS:
+        aimed = x & AFTER or x & BEFORE and (of == INSULT or x & MEANT)
+        if _class(x) == of and (of == INSULT or x & (MEANT | AFTER)):
+            number = first + 4 * bool(aimed) + 2 * bool(x & NEGATED) + bool(x & REPORTED)
+            arcs[0, x] = (0, -1 - number, (INSULT_WEIGHT if of == INSULT else THREAT_WEIGHT) + AIMED_WEIGHT * bool(aimed))
         else:
-            quoted = not quoted
-            continue
-        negated, aimed, meant = min(far, negated + 1), min(far, aimed + 1), min(far, meant + 1)
-        if c == NEGATION:
-            negated = 0
-        elif c == TARGET:
-            aimed = 0
-        elif c == INTENT:
-            meant = 0
-        elif c == SPOKE:
-            spoken = True
-        elif c in (INSULT, THREAT):
-            match = [0, "insult" if c == INSULT else "threat", int(negated <= REACH), int(spoken or quoted), meant <= REACH, weight]
-            if aimed <= REACH and (c == INSULT or match[4]):
-                emit(match, 1)
-            else:
-                waiting.append(match)
-    for w in waiting:
-        if w[1] == "insult" or w[4]:
-            emit(w, 0)
-    return out
+            arcs[0, x] = (0, x, 0.0)
+    for number in range(len(KINDS)):
+        arcs[0, -1 - number] = (0, -1 - number, 0.0)
+    return Transducer(arcs)
+
+
+def machines() -> tuple[list[Transducer], list[Transducer]]:
+    """Those that read from left to right, and those that then read from right to left, in the order they are composed in."""
+    both = (INSULT, THREAT)
+    forward = [
+        within_reach(NEGATION, NEGATED, NEGATED_WEIGHT, both),
+        reported_speech(REPORTED_WEIGHT),
+        within_reach(INTENT, MEANT, 0.0, (THREAT,)),
+        within_reach(TARGET, BEFORE, 0.0, both),
+    ]
+    return forward, [within_reach(TARGET, AFTER, 0.0, both), matched(INSULT, 0), matched(THREAT, 8)]
+
+
+FORWARD, BACKWARD = (reduce(Transducer.compose, m) for m in machines())
+
+
+def matches(classes: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The matches of one clause, from its last word to its first: (number of the kind, the term's weight)."""
+    marked = [y for y, _ in FORWARD.run([c for c, _ in classes])]
+    found = BACKWARD.run(marked[::-1])
+    return [(-1 - y, classes[-1 - k][1]) for k, (y, _) in enumerate(found) if y < 0]
 
 
 class Grammar:
@@ -142,7 +212,7 @@ class Grammar:
         return out
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.log1p(counts) @ self.weights / np.log(2) + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((np.log1p(counts) * self.weights).sum(-1) / np.log(2) + self.offset, -30, 30)))
 
     def suspects(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Which texts have an insult or threat word: only those are walked through.."""
