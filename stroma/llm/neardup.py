@@ -4,6 +4,12 @@ Each document's distinct word shingles give ``bands * rows`` MinHash samples. Eq
 samples within a band make candidates; the parity bitmap of the samples (odd sketch)
 estimates a candidate pair's similarity from the population count of the XOR; what
 passes is confirmed on the full shingle sets.
+
+Only components are wanted, so a bucket isn't compared pair by pair. In a few rounds each
+bucket's pivot, one member drawn by a hash, is compared with the members of other
+components; copies of one text are one component after that. Whatever pairs of different
+components are still in a bucket then are all compared, on their sketches alone, in
+blocks. Texts are read for pairs that pass their sketches.
 """
 
 from __future__ import annotations
@@ -19,16 +25,17 @@ from pyspark.sql import functions as F
 from stroma.llm.shared import SPACES, materialise, mix, shingles, ship_package, slices, text_buffers, words
 from stroma.operators.components import connected_components
 
-SHINGLE, BANDS, ROWS, BITS = 5, 24, 6, 1024
-PERCENT = 85
-#: An estimate may lie this far below the threshold before the pair is dropped: about five standard errors of 144 samples.
-MARGIN = 0.16
-#: A block of a large candidate group: documents and shingles it has at most on average.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
-#: Up to SPREAD blocks are made as soon as they have this many documents, so that one group is many even tasks.
-SPREAD_ROWS, SPREAD = 96, 16
-#: Up to so many candidate ids are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+SHINGLE, BITS = 5, 1024
+#: A pair at the threshold is missed by every band with probability 1.0e-5; its estimate has 145 samples and may lie five standard errors too low.
+PERCENT, BANDS, ROWS, MARGIN = 80, 29, 5, 0.18
+#: Rounds of comparisons with pivots.
+ROUNDS = 2
+#: Documents of a block of a large bucket, on average.
+BLOCK_ROWS = 512
+#: A document that is compared with many others has one group for about so many pairs of the whole table.
+PAIRS = 64
+#: Up to so many rows of ids or sketches are broadcast (16 and 150 bytes each); more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 100_000
 
 _rng = np.random.default_rng(0x0DD)
 _SEEDS = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,174 +90,270 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def _sign(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = text_buffers(batch.column(1))
-            counts, one, two, keys = [], [], [], []
+            raw, offs = text_buffers(batch.column(2))
+            m = len(offs) - 1
+            count = np.zeros(m, np.int64)
+            one, two, key, sketch = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.zeros((m, bands), np.uint64), np.zeros((m, BITS // 64), np.uint64)
             for i, j in slices(offs):
                 sets = shingle_sets(raw, offs[i : j + 1], size)
-                n = np.array([len(s) for s in sets])
-                counts.append(n)
-                a, b = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                key = np.zeros((j - i, bands), np.uint64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    some = [sets[k] for k in full]
-                    starts = np.cumsum([0, *(len(s) for s in some[:-1])])
-                    flat = np.concatenate(some)
-                    a[full] = np.add.reduceat(mix(flat + _SEEDS[-2]), starts)
-                    b[full] = np.add.reduceat(mix(flat ^ _SEEDS[-3]), starts)
-                    sig = signatures(some, bands * rows).reshape(len(full), bands, rows)
-                    one_band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _SEEDS[-4]
-                    for r in range(rows):
-                        one_band = mix(one_band + sig[:, :, r])
-                    key[full] = one_band
-                one.append(a)
-                two.append(b)
-                keys.append(key)
-            if not counts:
-                continue
-            n = np.concatenate(counts)
-            key = np.concatenate(keys)
-            listed = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * bands, pa.array(_signed(key).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_signed(np.concatenate(one))), pa.array(_signed(np.concatenate(two))), listed], schema=_SIGNED)
+                count[i:j] = [len(s) for s in sets]
+                full = np.flatnonzero(count[i:j])
+                if not len(full):
+                    continue
+                some = [sets[k] for k in full]
+                starts = np.cumsum([0, *(len(s) for s in some[:-1])])
+                flat = np.concatenate(some)
+                one[i + full] = np.add.reduceat(mix(flat + _SEEDS[-2]), starts)
+                two[i + full] = np.add.reduceat(mix(flat ^ _SEEDS[-3]), starts)
+                sig = signatures(some, bands * rows)
+                sketch[i + full] = np.ascontiguousarray(odd_sketches(sig)).view(np.uint64)
+                sig = sig.reshape(len(full), bands, rows)
+                band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _SEEDS[-4]
+                for r in range(rows):
+                    band = mix(band + sig[:, :, r])
+                key[i + full] = band
+            lists = [pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * x.shape[1], pa.array(_signed(x).ravel())) for x in (key, sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(_signed(one)), pa.array(_signed(two)), *lists], schema=_SIGNED)
 
     return run
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _links(ids: list[int], side: np.ndarray, sets: list[np.ndarray], cross: bool, samples: int, percent: int, margin: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the block's documents; in a pair of blocks, of those from one side to the other."""
-    n = len(ids)
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    sketch = np.ascontiguousarray(odd_sketches(signatures(sets, samples))).view(np.uint64)[order]
-    size, side = size[order], side[order]
-    most = farthest(samples, percent, margin)
-    found = []
-    for k in range(n - 1):
-        last = int(np.searchsorted(size, size[k] * 100 / percent, "right"))  # a larger set can't reach the threshold
-        if last <= k + 1:
-            continue
-        apart = np.bitwise_count(sketch[k + 1 : last] ^ sketch[k]).sum(1)
-        near = np.flatnonzero((apart <= most) & (side[k + 1 : last] != side[k]) if cross else apart <= most)
-        found.append(np.stack([apart[near].astype(np.int64), np.full(len(near), k), near + k + 1], 1))
-    forest, out = Forest(n), []
-    if found:
-        pairs = np.concatenate(found)
-        for _, x, y in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-            if forest.find(x) == forest.find(y):
-                continue
-            a, b = sets[order[x]], sets[order[y]]
-            place = np.searchsorted(b, a)
-            place[place == len(b)] = 0
-            both = int((b[place] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                forest.join(x, y)
-                out.append((ids[order[x]], ids[order[y]]))
-    return out
-
-
-def _verify(size: int, samples: int, percent: int, margin: float):
-    """Over partitions sorted by group: the links of each group, which is one block or two of a candidate component."""
-
-    def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        table = pa.Table.from_batches(rows)
-        raw, offs = text_buffers(table.column("text"))
-        sets = [s for i, j in slices(offs) for s in shingle_sets(raw, offs[i : j + 1], size)]
-        ids, block = table.column("doc_id").to_pylist(), table.column("block").to_numpy()
-        full = [k for k, s in enumerate(sets) if len(s)]
-        cross = table.column("first")[0].as_py() != table.column("second")[0].as_py()
-        return _links([ids[k] for k in full], block[full], [sets[k] for k in full], cross, samples, percent, margin) if len(full) > 1 else []
+def grouped(keys: int, function):
+    """Over partitions sorted by the first ``keys`` columns: calls ``function`` with each group's batches, which a group may share with no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            out = []
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
             for s, e in zip(cuts[:-1], cuts[1:]):
-                if e == s:
-                    continue
-                mine = tuple(keys[s].tolist())
-                if key is not None and mine != key:
-                    out += links(held)
+                mine = tuple(at[s].tolist())
+                if held and mine != key:
+                    yield from function(held)
                     held = []
                 key = mine
                 held.append(batch.slice(s, e - s))
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
         if held:
-            out = links(held)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            yield from function(held)
+
+    return run
+
+
+def _pairs(a: list[int], b: list[int], *more) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, *more)], ["a", "b", "comp_a", "comp_b", "apart"][: 2 + len(more)])
+
+
+def _compare(percent: int, most: int):
+    """Of one block of a bucket against another: pairs of different components whose sizes and sketches allow a link.
+
+    Side 0 are members outside the bucket's largest component, side 1 all members; a
+    pair that stands on both sides is taken once.
+    """
+
+    def function(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        side, rest = table.column("side").to_numpy(), table.column("rest").to_numpy(zero_copy_only=False)
+        right = np.flatnonzero(side == 1)
+        right = right[np.argsort(size[right], kind="stable")]
+        sizes = size[right]
+        found = []
+        for k in np.flatnonzero(side == 0).tolist():
+            lo, hi = np.searchsorted(sizes, [-(-size[k] * percent // 100), size[k] * 100 // percent + 1])
+            some = right[lo:hi]
+            some = some[(comp[some] != comp[k]) & (~rest[some] | (node[some] > node[k]))]
+            if len(some):
+                apart = np.bitwise_count(sketch[some] ^ sketch[k]).sum(1)
+                near = some[apart <= most]
+                if len(near):
+                    swap = node[near] < node[k]
+                    one, two = np.full(len(near), node[k]), node[near]
+                    ca, cb = np.full(len(near), comp[k]), comp[near]
+                    found.append([np.where(swap, two, one), np.where(swap, one, two), np.where(swap, cb, ca), np.where(swap, ca, cb), apart[apart <= most].astype(np.int64)])
+        if found:
+            yield _pairs(*map(np.concatenate, zip(*found)))
+
+    return grouped(3, function)
+
+
+def _confirm(size: int, percent: int):
+    """Of groups of one document (role 0) and others (role 1): the pairs whose full sets are linked. One set and one batch are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, []
+        for batch in batches:
+            raw, offs = text_buffers(batch.column("text"))
+            hubs, salts, roles, nodes = (batch.column(c).to_pylist() for c in ("hub", "salt", "role", "node"))
+            sets = [s for i, j in slices(offs) for s in shingle_sets(raw, offs[i : j + 1], size)]
+            a, b = [], []
+            for h, salt, role, node, mine in zip(hubs, salts, roles, nodes, sets):
+                if role == 0:
+                    if hub != (h, salt):
+                        hub, own = (h, salt), []
+                    if not any(np.array_equal(mine, x) for x in own):
+                        own.append(mine)
+                elif hub == (h, salt) and any(linked(x, mine, percent) for x in own):
+                    a.append(h)
+                    b.append(node)
+            yield _pairs(a, b)
 
     return run
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * |A & B| >= percent * |A | B| for sorted distinct shingles."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    place = np.searchsorted(b, a)
+    place[place == len(b)] = 0
+    both = int((b[place] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class _Search:
+    """The state of one search for components: what is linked, and which pairs were confirmed or refuted on full sets."""
+
+    def __init__(self, texts: DataFrame, members: DataFrame, sketches: DataFrame, size: int, percent: int, most: int):
+        self.texts, self.members, self.sketches = texts, members, sketches
+        self.size, self.percent, self.most = size, percent, most
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.checked: DataFrame | None = None
+        self.step = 0
+
+    def named(self, name: str) -> str:
+        self.step += 1
+        return f"neardup-{self.step}-{name}"
+
+    def current(self) -> DataFrame:
+        """(band, node, comp) of all members."""
+        if self.labels is None:
+            return self.members.withColumn("comp", F.col("node"))
+        return self.members.join(self.labels.withColumnRenamed("component", "comp"), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sizes and sketches allow a link, compared on the JVM. Few different a are broadcast, as one may have very many pairs."""
+        asked = materialise(pairs.select("a").distinct().join(self.sketches.withColumnRenamed("node", "a"), "a"), self.named("pivots")).toDF("a", "_na", "_sa")
+        both = pairs.join(self.sketches.toDF("b", "_nb", "_sb"), "b").join(F.broadcast(asked) if asked.count() <= BROADCAST_SKETCHES else asked, "a")
+        apart = sum((F.bit_count(F.get("_sa", F.lit(k)).bitwiseXOR(F.get("_sb", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+        fits = 100 * F.least("_na", "_nb") >= self.percent * F.greatest("_na", "_nb")
+        return both.where(fits & (apart <= self.most)).select("a", "b")
+
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Confirms the pairs (a, b) not looked at before on their full sets, and brings the components up to date. False if there was none."""
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).distinct()
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["_lo", "_hi"], "left_anti")
+        pairs = materialise(pairs, self.named("pairs"))
+        many = pairs.count()
+        if not many:
+            return False
+        seen = pairs.select("_lo", "_hi")
+        self.checked = seen if self.checked is None else self.checked.unionByName(seen)
+        # a document's pairs are dealt into groups of their own, each with a copy of it, so that none is large
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(-(-many // PAIRS))).cast("int"))
+        one = salted.select(F.col("a").alias("node"), F.col("a").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
+        placed = one.unionByName(salted.select(F.col("b").alias("node"), F.col("a").alias("hub"), "salt", F.lit(1).alias("role")))
+        joined = self.texts.join(F.broadcast(placed) if 2 * many <= BROADCAST_IDS else placed, "node").select("hub", "salt", "role", "node", "text")
+        dealt = joined.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+        found = materialise(dealt.mapInArrow(_confirm(self.size, self.percent), "a long, b long"), self.named("links"))
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.labels = connected_components(self.links, self.named("components"))
+        return True
+
+    def pivots(self, turn: int) -> bool:
+        """One round: each bucket's pivot against its members of other components. False if no bucket has two components."""
+        current = materialise(self.current(), self.named("current"))
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "comp")).alias("_p")
+        bands = current.groupBy("band").agg(drawn, F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+        asked = current.join(bands.select("band", F.col("_p.node").alias("_pivot"), F.col("_p.comp").alias("_other")), "band").where("comp <> _other")
+        pairs = materialise(asked.select(F.col("_pivot").alias("a"), F.col("node").alias("b")).distinct(), self.named("asked"))
+        if pairs.isEmpty():
+            return False
+        self.confirm(self.near(pairs))
+        return True
+
+    def rest(self) -> None:
+        """All pairs of different components that are left in a bucket. A bucket of two was its pivot and the other."""
+        current = materialise(self.current(), self.named("current"))
+        sizes = current.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
+        top = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where(f"_comps > 1 and _all > {2 if ROUNDS else 1}")
+        blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+        top = top.select("band", F.col("_top.comp").alias("_most"), blocks(F.col("_all") - F.col("_top._n")).alias("_left"), blocks(F.col("_all")).alias("_right"))
+        rows = current.join(top, "band").join(self.sketches.select("node", "n_shingles", "sketch"), "node").withColumn("rest", F.col("comp") != F.col("_most"))
+        columns = ["node", "comp", "n_shingles", "sketch", "rest"]
+        at = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("rest").select("band", at(1, "_left").alias("_i"), every("_right").alias("_j"), F.lit(0).alias("side"), *columns)
+        right = rows.select("band", every("_left").alias("_i"), at(2, "_right").alias("_j"), F.lit(1).alias("side"), *columns)
+        dealt = left.unionByName(right).repartition("band", "_i", "_j").sortWithinPartitions("band", "_i", "_j")
+        found = dealt.mapInArrow(_compare(self.percent, self.most), "a long, b long, comp_a long, comp_b long, apart long")
+        found = materialise(found.groupBy("a", "b").agg(F.any_value("comp_a").alias("comp_a"), F.any_value("comp_b").alias("comp_b"), F.min("apart").alias("apart")), self.named("near"))
+        # of each two components first the likeliest pair: its link saves the others
+        best = found.groupBy(F.least("comp_a", "comp_b").alias("_x"), F.greatest("comp_a", "comp_b").alias("_y")).agg(F.min(F.struct("apart", "a", "b")).alias("_b"))
+        if not self.confirm(best.select("_b.a", "_b.b")):
+            return
+        apart = found.select("a", "b")
+        if self.labels is not None:
+            for side in ("a", "b"):
+                apart = apart.join(self.labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+            apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        self.confirm(apart)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, text_key) for every row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets.
     With the defaults a pair at the threshold is missed by every band with probability
-    1.2e-5, and dropped by its estimate with probability below 1e-6.
+    1.0e-5, and dropped by its estimate with probability below 1e-6. Every other candidate
+    is either in one component with its partner or confirmed or refuted on full sets.
 
-    Documents of equal sets are one class from the start. Bands make candidate groups of
-    the classes (chains included); a group is compared as a whole, in blocks of bounded
-    rows and bytes, each pair of blocks in a task of its own, and gives a spanning forest of
-    confirmed links. So a group of thousands of copies never becomes all its pairs.
+    Documents of equal sets are one class from the start. A bucket of near copies costs a
+    comparison or two a member; only members of different components are compared pair by
+    pair, on 128-byte sketches, in blocks of bounded rows. No group of rows is larger than
+    a block, so a group of any size is many even tasks.
 
-    Null or word-less texts have no shingles and stand alone. Rows of one doc_id count as
-    one document; a null doc_id stays null and kept. Other columns are ignored.
+    Null or word-less texts have no shingles and stand alone. A row is judged by its own
+    text, also where rows share a doc_id; ``text_key``, a hash of the text, tells these
+    apart. A null doc_id stays null and kept. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    signed = docs.mapInArrow(_sign(size, bands, rows), "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>")
     signed = materialise(signed, "neardup-signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
-    classes = materialise(classes, "neardup-classes")
+    first = F.min(F.struct("doc_id", "text_key")).alias("_first")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(first, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = materialise(classes.select("fp1", "fp2", "n_shingles", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("text_key"), "bands", "sketch"), "neardup-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_far")).where("hub <> _far").drop("_far")
-    rough = connected_components(banded.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), "neardup-rough")
-
-    sized = rough.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("_n")), "node")
-    members = F.count(F.lit(1))
-    blocks = F.greatest(F.ceil(members / BLOCK_ROWS), F.ceil(F.sum("_n") / BLOCK_SHINGLES), F.least(F.ceil(members / SPREAD_ROWS), F.lit(SPREAD))).cast("int")
-    groups = sized.groupBy("component").agg(blocks.alias("_blocks"))
-    placed = rough.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    placed = materialise(placed.select(F.col("node").alias("doc_id"), "component", "_blocks", "block"), "neardup-placed")
-    if placed.count() <= BROADCAST_IDS:
-        with_text = docs.join(F.broadcast(placed), "doc_id")
-    else:
-        with_text = docs.join(placed, "doc_id")
-    dealt = with_text.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "doc_id", "text")
-    dealt = dealt.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second")
-    links = dealt.mapInArrow(_verify(size, bands * rows, percent, margin), "a long, b long")
-    final = connected_components(links, "neardup-links")
-
-    named = classes.select("fp1", "fp2", "n_shingles", "node").join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("_component"))
-    out = signed.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("band")
+    members = materialise(banded.join(shared, "band").select("band", "node"), "neardup-members")
+
+    some = members.select("node").distinct()
+    chosen = materialise(classes.join(some, "node", "left_semi").select("node", "text_key", "n_shingles", "sketch"), "neardup-chosen")
+    wanted = chosen.select(F.col("node").alias("doc_id"), "text_key")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", "text_key"], "left_semi")
+    texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "neardup-texts")
+
+    search = _Search(texts, members, chosen.drop("text_key"), size, percent, farthest(bands * rows, percent, margin))
+    more = all(search.pivots(turn) for turn in range(ROUNDS))
+    if more:
+        search.rest()
+    named = classes.select("fp1", "fp2", "n_shingles", "node")
+    if search.labels is not None:
+        named = named.join(search.labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    named = named.select("fp1", "fp2", "n_shingles", F.col("node").alias("_component"))
+    out = signed.drop("bands", "sketch").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")

@@ -53,9 +53,10 @@ def shingle_set(text: str | None) -> set:
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_match_brute_force(spark, percent):
     docs = documents(spark)
-    got = neardup.near_duplicates(docs).collect()
+    got = neardup.near_duplicates(docs, percent=percent).collect()
     assert len(got) == docs.count()
     sets = {k: shingle_set(t) for k, t in enumerate(texts())}
     up = {k: k for k in sets}
@@ -67,7 +68,7 @@ def test_near_duplicates_match_brute_force(spark):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     for r in got:
@@ -77,19 +78,47 @@ def test_near_duplicates_match_brute_force(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id), r
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("rounds", "broadcast"), [(0, 0), (0, 10**6), (1, 0), (2, 10**6)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, rounds, broadcast):
+    """A chain of copies, each near only to its neighbours, beside copies of a text that share half their shingles; all ways to find them agree."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
-    base = [f"v{k}" for k in range(200)]
-    rows = []
+    monkeypatch.setattr(neardup, "PAIRS", 3)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(neardup, "BROADCAST_SKETCHES", broadcast)
+    rng = np.random.default_rng(6)
+    rows, moving, base = [], [f"v{k}" for k in range(200)], [f"b{k}" for k in range(100)]
     for k in range(40):
-        copy = list(base)
-        copy[5 * k % 200] = f"z{k}"
-        rows.append((k, " ".join(copy), None, None, None, None, None, None, None))
-    got = neardup.near_duplicates(frame(spark, rows)).toPandas()
-    sets = [shingle_set(r[1]) for r in rows]
-    linked = any(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
-    assert linked and got.component_id.nunique() == 1 and got.kept.sum() == 1
+        if k % 13 != 12:  # now and then the step is too wide
+            moving[5 * k % 200] = f"z{k}"
+        else:
+            for x in range(0, 200, 20):
+                moving[x] = f"y{k} {x}"
+        rows.append((k, " ".join(moving)) + (None,) * 7)
+        half = base + [f"h{k} {x}" for x in rng.permutation(60)]
+        rows.append((100 + k, " ".join(half)) + (None,) * 7)
+        rows.append((200 + k, " ".join(base[: 100 - k // 8] + [f"t{k}"])) + (None,) * 7)
+    want = brute_components({r[0]: shingle_set(r[1]) for r in rows}, 80)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want and 40 < len(set(want.values())) < 60
+
+
+def brute_components(sets: dict[int, set], percent: int) -> dict[int, int]:
+    component = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and component[a] != component[b]:
+                lo, hi = sorted((component[a], component[b]))
+                component = {k: lo if c == hi else c for k, c in component.items()}
+    return component
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(3, one), (7, one), (7, two), (9, two), (9, two), (4, None), (4, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False), (9, 7, False), (4, 4, True), (4, 4, True)])
+    assert len({(r.doc_id, r.text_key) for r in got}) == 6
 
 
 def test_near_duplicates_of_nothing(spark):
