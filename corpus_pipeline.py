@@ -14,26 +14,30 @@ from stroma.llm.neardup import BROADCAST_IDS, near_duplicates
 from stroma.llm.shared import materialise, shared_folder
 
 
-#: Near duplicates share 80 % of their shingles. A pair at that share is missed by every band with probability 1.0e-5;
-#: its estimate has 145 samples and may lie five standard errors of them too low.
-NEAR = {"percent": 80, "bands": 29, "rows": 5, "margin": 0.18}
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network doesn't reject."""
     return quality_cnn.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of rows of one id, one."""
-    gone = materialise(near_duplicates(docs, **NEAR).where("not kept").select("doc_id").distinct(), "pipeline-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
+    """The document of the smallest id of each group of near duplicates (80 %); of rows of one id and text, one.
+
+    Rows that share an id but differ in text are judged each by its own text. Rows without an id all stay.
+    """
+    found = materialise(near_duplicates(docs).where("doc_id is not null").select("doc_id", "text_key", "kept"), "pipeline-found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    again = found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    gone, again = materialise(gone, "pipeline-gone"), materialise(again, "pipeline-again")
+    key = F.xxhash64(docs["text"].cast("string"))
+
+    def those(others: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        small = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+        return rows.join(small, (docs["doc_id"].cast("long") == others["_gone_id"]) & (key == others["_gone_key"]), how)
+
+    left = those(gone, "left_anti", docs)
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return those(again, "left_anti", left).unionByName(those(again, "left_semi", left).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
