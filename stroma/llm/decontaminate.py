@@ -5,170 +5,186 @@ ordered by rarity in the documents; as all of a window's shingles must be presen
 prefix is the rarest one. A document is joined with the windows whose prefix it has;
 the prefix's place gives where the window would lie, which must be within the document;
 what is left is compared word by word.
+
+Items up to a counted size are held as flat arrays in a broadcast; more are joined by a
+shuffle on the prefix. Either way the documents are read twice: once for the rarity of
+shingles, in a table of fixed size, once for the join.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import NON_ALNUM, annotate, shingles, ship_package, slices, text_buffers, words
+from stroma.llm.shared import LOWER, NON_ALNUM, Words, annotate, materialise, shingles, ship_package, slices, text_buffers
 
 WINDOW, SHINGLE = 13, 4
-#: Items whose windows are broadcast together; more items are taken in blocks of as many bytes.
-BLOCK_BYTES = 8 << 20
+#: Items of at most so many bytes are broadcast (about eight times as many bytes of arrays); more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 #: A document is contaminated if at least one of so many of its words is hit.
 ONE_OF = 20
+#: Shingles are counted in this many cells (a power of two), by their highest bits: the order of rarity needs no more.
+CELL_BITS = 18
+#: Bits of the map that turns away shingles which are no window's prefix, at most.
+FILTER_BITS = 26
 
 FIELDS = "n_words: bigint, n_hit: bigint, item_ids: array<string>, spans: array<struct<first: bigint, past: bigint>>"
-_FILTER_BITS = 22
 
 
-class Windows:
-    """The distinct windows of a block of items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        text = pa.array([t for _, t in items], pa.large_string())
-        raw, offs = text_buffers(text)
-        hashes, at = words(raw, offs, NON_ALNUM)
-        found: dict[tuple[int, ...], list[str]] = defaultdict(list)
-        for (item, _), s, e in zip(items, at[:-1].tolist(), at[1:].tolist()):
-            own = hashes[s:e].tolist()
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1) if size else ():
-                found[tuple(own[k : k + size])].append(item)
-        self.words = [np.array(w, np.uint64) for w in found]
-        self.items = [sorted(set(v)) for v in found.values()]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.grams = [shingles(w, min(shingle, len(w))) for w in self.words]
-        self.gram_sizes = np.minimum(self.sizes, shingle)
-
-    def tokens(self) -> dict[int, np.ndarray]:
-        """The windows' distinct shingles, by the number of their words."""
-        by = defaultdict(list)
-        for n, g in zip(self.gram_sizes.tolist(), self.grams):
-            by[n].append(g)
-        return {n: np.unique(np.concatenate(g)) for n, g in by.items()}
-
-
-class Lookup:
-    """Positions in documents of given shingles: a bitmap turns away nearly all, a binary search decides."""
-
-    def __init__(self, tokens: dict[int, np.ndarray]):
-        self.tokens, self.maps = tokens, {}
-        for n, t in tokens.items():
-            self.maps[n] = np.zeros(1 << _FILTER_BITS, bool)
-            self.maps[n][t >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def find(self, hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, document, number of the token) of each occurrence within one document."""
-        grams, token = shingles(hashes, n), self.tokens[n]
-        spot = np.flatnonzero(self.maps[n][grams >> np.uint64(64 - _FILTER_BITS)])
-        place = np.minimum(np.searchsorted(token, grams[spot]), len(token) - 1)
-        same = token[place] == grams[spot]
-        spot, place = spot[same], place[same]
-        doc = np.searchsorted(at, spot, "right") - 1
-        inside = spot + n <= at[doc + 1]
-        return spot[inside], doc[inside], place[inside]
-
-
-def _frequencies(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """In how many documents each token occurs. One row a batch and token is shuffled; the result is as large as the block."""
-    base, start = {}, 0
-    for n, t in sorted(tokens.items()):
-        base[n] = start
-        start += len(t)
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+def canonical(raw: np.ndarray, found: Words, first: int, past: int) -> bytes:
+    """The lower-cased words from ``first`` to ``past``, joined by spaces."""
+    data = LOWER[raw[int(found.starts[first]) : int(found.ends[past - 1])]].tobytes() if past > first else b""
+    base = int(found.starts[first]) if past > first else 0
+    return b" ".join(data[s - base : e - base] for s, e in zip(found.starts[first:past].tolist(), found.ends[first:past].tolist()))
+
+
+def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often shingles of each cell occur in the documents. A task sends one row a cell, and the driver gets as many."""
 
     def run(batches):
-        lookup = Lookup(shared.value)
+        count = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             raw, offs = text_buffers(batch.column(0))
-            count = np.zeros(start, np.int64)
             for i, j in slices(offs):
-                hashes, at = words(raw, offs[i : j + 1], NON_ALNUM)
-                for n in lookup.tokens:
-                    _, doc, place = lookup.find(hashes, at, n)
-                    once = np.unique(doc * np.int64(start) + place + base[n]) % start
-                    count += np.bincount(once, minlength=start)
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(some), "n": pa.array(count[some])})
-
-    rows = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(start, np.int64)
-    for r in rows:
-        flat[r["token"]] = r["n"]
-    return {n: flat[base[n] : base[n] + len(t)] for n, t in tokens.items()}
-
-
-def _matcher(windows: Windows, frequency: dict[int, np.ndarray]):
-    tokens = windows.tokens()
-    prefix: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for w, (n, grams) in enumerate(zip(windows.gram_sizes.tolist(), windows.grams)):
-        place = np.searchsorted(tokens[n], grams)
-        rarest = int(np.lexsort((place, frequency[n][place]))[0])
-        prefix[n][int(grams[rarest])].append((w, rarest))
-    keys = {n: np.array(sorted(p), np.uint64) for n, p in prefix.items()}
-    lists = {n: [prefix[n][int(k)] for k in keys[n]] for n in keys}
-    first = {n: np.cumsum([0, *map(len, v)]) for n, v in lists.items()}
-    window_of = {n: np.array([w for v in lists[n] for w, _ in v], np.int64) for n in lists}
-    shift_of = {n: np.array([o for v in lists[n] for _, o in v], np.int64) for n in lists}
-    by_size = {int(s): np.flatnonzero(windows.sizes == s) for s in np.unique(windows.sizes)}
-    row_of = np.zeros(len(windows.words), np.int64)
-    matrix = {}
-    for s, which in by_size.items():
-        row_of[which] = np.arange(len(which))
-        matrix[s] = np.stack([windows.words[w] for w in which])
+                found = Words(raw, offs[i : j + 1], NON_ALNUM)
+                grams = shingles(found.hashes, shingle)
+                # shingles over two texts are counted, too: that changes the order a little and no result
+                count += np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(count))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(some), "n": pa.array(count[some])})
+
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
 
+
+class Windows:
+    """The windows of some items, in flat arrays: where each begins among the items' words, its size, its item, its prefix and that one's place."""
+
+    def __init__(self, texts: pa.Array, window: int, shingle: int, frequency: np.ndarray):
+        raw, offs = text_buffers(texts)
+        found = Words(raw, offs, NON_ALNUM)
+        raw = raw[int(offs[0]) :]
+        self.hashes, at = found.hashes, found.at
+        many = at[1:] - at[:-1]
+        size = np.minimum(many, window)
+        windows = np.where(many > 0, many - size + 1, 0)
+        self.item = np.repeat(np.arange(len(many)), windows)
+        self.start = at[:-1][self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.size = size[self.item]
+        self.grams = np.minimum(self.size, shingle)
+        self.prefix, self.shift = np.zeros(len(self.item), np.uint64), np.zeros(len(self.item), np.int64)
+        for n in np.unique(self.grams).tolist():
+            gram = shingles(self.hashes, n)
+            # rarest first; of equals the smallest, so that neighbouring windows share theirs
+            key = (np.minimum(frequency[(gram >> np.uint64(64 - CELL_BITS)).astype(np.int64)], (1 << 30) - 1).astype(np.uint64) << np.uint64(32)) | (gram >> np.uint64(32))
+            mine = np.flatnonzero(self.grams == n)
+            best = np.full(len(mine), np.iinfo(np.uint64).max, np.uint64)
+            for o in range(int(self.size[mine].max()) - n + 1):
+                inside = self.size[mine] - n >= o
+                own = key[np.where(inside, self.start[mine] + o, 0)]
+                less = inside & (own < best)
+                best[less], self.shift[mine[less]] = own[less], o
+            self.prefix[mine] = gram[self.start[mine] + self.shift[mine]]
+        self._raw, self._found = raw, found
+
+    def text(self, k: int) -> bytes:
+        return canonical(self._raw, self._found, int(self.start[k]), int(self.start[k] + self.size[k]))
+
+    def vocabulary(self) -> dict[int, bytes]:
+        """The bytes of each word by its hash. Raises if two words share one, so that equal hashes of words found here are equal words."""
+        _, first = np.unique(self.hashes, return_index=True)
+        out = {int(self.hashes[k]): canonical(self._raw, self._found, int(k), int(k) + 1) for k in first.tolist()}
+        data = LOWER[self._raw]
+        for h, s, e in zip(self.hashes.tolist(), self._found.starts.tolist(), self._found.ends.tolist()):
+            if out[h] != data[s:e].tobytes():
+                raise ValueError("two words of the items share a hash")
+        return out
+
+
+def prefix_map(tokens: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits, bool)
+    out[(tokens >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return out
+
+
+class Index:
+    """What a task needs of broadcast items: the windows by prefix."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int, frequency: np.ndarray):
+        w = Windows(pa.array([t for _, t in items], pa.large_string()), window, shingle, frequency)
+        self.ids = [i for i, _ in items]
+        order = np.lexsort((w.prefix, w.grams))
+        self.hashes, self.vocabulary = w.hashes, w.vocabulary()
+        self.item, self.start, self.size, self.shift = w.item[order].astype(np.int32), w.start[order].astype(np.int32), w.size[order].astype(np.int16), w.shift[order].astype(np.int16)
+        self.by = {}
+        for n in np.unique(w.grams).tolist():
+            lo, hi = np.searchsorted(w.grams[order], [n, n + 1])
+            tokens, first = np.unique(w.prefix[order][lo:hi], return_index=True)
+            self.by[n] = (tokens, np.append(first, hi - lo).astype(np.int64) + lo)
+
+    def maps(self) -> dict[int, np.ndarray]:
+        return {n: prefix_map(t, min(FILTER_BITS, max(12, int(np.ceil(np.log2(16 * len(t) + 1)))))) for n, (t, _) in self.by.items()}
+
+
+def _matcher(index: Index):
     def compute():
-        lookup = Lookup(keys)
+        maps = index.maps()
 
         def function(column):
             raw, offs = text_buffers(column)
             n_words, n_hit, items, spans = [], [], [], []
             for i, j in slices(offs):
-                hashes, at = words(raw, offs[i : j + 1], NON_ALNUM)
-                starts, sizes, docs, wins = [], [], [], []
-                for n in keys:
-                    spot, doc, place = lookup.find(hashes, at, n)
-                    many = first[n][place + 1] - first[n][place]
-                    spot, doc, place = np.repeat(spot, many), np.repeat(doc, many), np.repeat(place, many)
-                    k = np.arange(len(spot)) - np.repeat(np.cumsum(many) - many, many) + first[n][place]
-                    win, start = window_of[n][k], spot - shift_of[n][k]
-                    size = windows.sizes[win]
-                    ok = (start >= at[doc]) & (start + size <= at[doc + 1])
-                    for s in np.unique(size[ok]).tolist():
-                        these = np.flatnonzero(ok & (size == s))
-                        for cut in range(0, len(these), 65536):
-                            t = these[cut : cut + 65536]
-                            t = t[(hashes[start[t][:, None] + np.arange(s)] == matrix[s][row_of[win[t]]]).all(1)]
-                            starts.append(start[t])
-                            sizes.append(size[t])
-                            docs.append(doc[t])
-                            wins.append(win[t])
+                found = Words(raw, offs[i : j + 1], NON_ALNUM)
+                data, hashes, at = raw[int(offs[i]) :], found.hashes, found.at
+                starts, wins, docs = [], [], []
+                for n, (tokens, first) in index.by.items():
+                    grams = shingles(hashes, n)
+                    spot = np.flatnonzero(maps[n][(grams >> np.uint64(64 - maps[n].size.bit_length() + 1)).astype(np.int64)])
+                    place = np.minimum(np.searchsorted(tokens, grams[spot]), len(tokens) - 1)
+                    same = tokens[place] == grams[spot]
+                    spot, place = spot[same], place[same]
+                    many = first[place + 1] - first[place]
+                    for lo, hi in _portions(many):
+                        m = many[lo:hi]
+                        where = np.repeat(spot[lo:hi], m)
+                        win = np.arange(len(where)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[place[lo:hi]], m)
+                        doc = np.searchsorted(at, where, "right") - 1
+                        start = where - index.shift[win]
+                        ok = (start >= at[doc]) & (start + index.size[win] <= at[doc + 1])
+                        start, win, doc = start[ok], win[ok], doc[ok]
+                        for o in range(int(index.size[win].max()) if len(win) else 0):
+                            within = index.size[win] > o
+                            ok = ~within | (hashes[np.where(within, start + o, 0)] == index.hashes[np.where(within, index.start[win] + o, 0)])
+                            start, win, doc = start[ok], win[ok], doc[ok]
+                        starts.append(start)
+                        wins.append(win)
+                        docs.append(doc)
                 n_words.append(at[1:] - at[:-1])
-                own, where = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
-                if starts and sum(map(len, starts)):
-                    start, size, doc, win = map(np.concatenate, (starts, sizes, docs, wins))
-                    change = np.zeros(len(hashes) + 1, np.int64)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + size, -1)
-                    hit = np.cumsum(change) > 0
-                    total = np.concatenate([[0], np.cumsum(hit[:-1])])
+                own, places = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
+                if sum(map(len, starts)):
+                    start, win, doc = map(np.concatenate, (starts, wins, docs))
+                    hit = _covered(len(hashes), start, index.size[win])
+                    wrong = [p for p in np.flatnonzero(hit).tolist() if LOWER[data[found.starts[p] : found.ends[p]]].tobytes() != index.vocabulary[int(hashes[p])]]
+                    if wrong:  # words of equal hashes that aren't equal: their windows don't count
+                        before = np.concatenate([[0], np.cumsum(np.bincount(wrong, minlength=len(hashes)))])
+                        ok = before[start + index.size[win]] == before[start]
+                        start, win, doc = start[ok], win[ok], doc[ok]
+                        hit = _covered(len(hashes), start, index.size[win])
+                    total = np.concatenate([[0], np.cumsum(hit)])
                     n_hit.append(total[at[1:]] - total[at[:-1]])
-                    pairs = np.unique(np.stack([doc, win], 1), axis=0)
-                    for d in np.unique(doc).tolist():
-                        own[d] = sorted({x for w in pairs[pairs[:, 0] == d, 1].tolist() for x in windows.items[w]})
+                    pairs = np.unique(np.stack([doc, index.item[win]], 1), axis=0)
+                    for d, cut in zip(*_groups(pairs[:, 0])):
+                        own[d] = sorted({index.ids[k] for k in pairs[cut, 1].tolist()})
                         edge = np.diff(np.concatenate([[0], hit[at[d] : at[d + 1]].astype(np.int8), [0]]))
-                        where[d] = [{"first": a, "past": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+                        places[d] = [{"first": a, "past": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
                 else:
                     n_hit.append(np.zeros(j - i, np.int64))
                 items += own
-                spans += where
+                spans += places
             whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
             spot = pa.struct([("first", pa.int64()), ("past", pa.int64())])
             return [whole(n_words), whole(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(spot))]
@@ -178,25 +194,141 @@ def _matcher(windows: Windows, frequency: dict[int, np.ndarray]):
     return compute
 
 
-def _blocks(items: DataFrame, block_bytes: int):
-    """Blocks of items of about ``block_bytes``, one at a time on the driver; usually there is one."""
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def _portions(many: np.ndarray, limit: int = 1 << 18):
+    """Ranges of candidates with about ``limit`` windows each."""
+    total = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _covered(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + size, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _groups(sorted_keys: np.ndarray):
+    """(keys, slices) of runs of equal keys."""
+    keys, first = np.unique(sorted_keys, return_index=True)
+    return keys.tolist(), [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sorted_keys)])]
+
+
+# --- items too large for a broadcast ----------------------------------------
+
+
+def _window_rows(window: int, shingle: int, frequency):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            _, offs = text_buffers(batch.column(1))
+            for i, j in slices(offs):
+                w = Windows(batch.column(1).slice(i, j - i), window, shingle, frequency.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.prefix.view(np.int64)), pa.array(w.grams.astype(np.int32)), pa.array(w.shift.astype(np.int32)), pa.array(w.size.astype(np.int32)), pa.array([ids[i + k] for k in w.item.tolist()], pa.string()), pa.array([w.text(k).decode(errors="replace") for k in range(len(w.item))], pa.string())],
+                    ["token", "grams", "shift", "size", "item_id", "words"],
+                )
+
+    return run
 
 
-def _length(spans: Column) -> Column:
-    """Number of places in a union of spans."""
-    first = F.array_sort(spans)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["past"] - F.greatest(x["first"], a["to"]))).alias("n"), F.greatest(a["to"], x["past"]).alias("to"))
-    return F.aggregate(first, zero, step, lambda a: a["n"])
+def _chunked_map(bits: int, chunk: int = 1 << 16):
+    """The prefixes' map of a partition, in the chunks that have any: bounded rows a task, united by chunk."""
 
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            for c, cut in zip(*_groups(np.sort(at) // chunk)):
+                found.setdefault(c, np.zeros(min(chunk, 1 << bits), bool))[np.sort(at)[cut] % chunk] = True
+        for c, bitmap in found.items():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "bits": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
+
+    return run
 
-def find_passages(docs: DataFrame, items: DataFrame, out: str = "passages", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _candidate_rows(window: int, sizes: list[int], shared_map, bits: int):
+    """(text's keys, token, grams, place, words before, the words around) of every place whose shingle may be a prefix."""
+
+    def run(batches):
+        packed = shared_map.value
+        for batch in batches:
+            key, crc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw, offs = text_buffers(batch.column(2))
+            for i, j in slices(offs):
+                found = Words(raw, offs[i : j + 1], NON_ALNUM)
+                data, at = raw[int(offs[i]) :], found.at
+                for n in sizes:
+                    grams = shingles(found.hashes, n)
+                    cell = (grams >> np.uint64(64 - bits)).astype(np.int64)
+                    spot = np.flatnonzero((packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+                    doc = np.searchsorted(at, spot, "right") - 1
+                    ok = spot + n <= at[doc + 1]
+                    spot, doc = spot[ok], doc[ok]
+                    lo, hi = np.maximum(at[doc], spot - window + 1), np.minimum(at[doc + 1], spot + window)
+                    around = [canonical(data, found, a, b).decode(errors="replace") for a, b in zip(lo.tolist(), hi.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[i + doc]), pa.array(crc[i + doc]), pa.array(grams[spot].view(np.int64)), pa.array(np.full(len(spot), n, np.int32)), pa.array((spot - at[doc]).astype(np.int64)), pa.array((spot - lo).astype(np.int32)), pa.array(around, pa.string())],
+                        ["key", "crc", "token", "grams", "place", "before", "around"],
+                    )
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, out: str, window: int, shingle: int) -> DataFrame:
+    spark = docs.sparkSession
+    frequency = spark.sparkContext.broadcast(rarity(docs, shingle))
+    windows = materialise(items.mapInArrow(_window_rows(window, shingle, frequency), "token long, grams int, shift int, size int, item_id string, words string"), "passages-windows")
+    bits = min(FILTER_BITS, max(12, (16 * windows.count()).bit_length()))
+    chunks = windows.select("token").mapInArrow(_chunked_map(bits), "chunk long, bits binary")
+
+    def united(pdf):
+        return pdf.head(1).assign(bits=np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes())
+
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in chunks.groupBy("chunk").applyInPandas(united, "chunk long, bits binary").collect():  # at most 2 ** (bits - 3) bytes
+        part = np.frombuffer(r["bits"], np.uint8)
+        bitmap[r["chunk"] * len(part) : (r["chunk"] + 1) * len(part)] = part
+    sizes = [r["grams"] for r in windows.select("grams").distinct().collect()]  # at most ``shingle`` rows
+    text = F.col("text").cast("string")
+    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64(text).alias("key"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
+    places = keyed.mapInArrow(_candidate_rows(window, sizes, spark.sparkContext.broadcast(bitmap), bits), "key long, crc long, token long, grams int, place long, before int, around string")
+    both = places.join(windows, ["token", "grams"]).where("before >= shift")
+    same = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("shift") + 1, F.col("size")), " ") == F.col("words")
+    first = F.col("place") - F.col("shift")
+    hits = both.where(same).select("key", "crc", F.struct(first.alias("first"), (first + F.col("size")).alias("past")).alias("span"), "item_id")
+    found = hits.groupBy("key", "crc").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"), merged(F.array_sort(F.collect_set("span"))).alias("_spans"))
+    found = materialise(found, "passages-found").toDF("_key", "_crc", "_ids", "_spans")
+
+    def compute():
+        def function(column):
+            raw, offs = text_buffers(column)
+            at = [Words(raw, offs[i : j + 1], NON_ALNUM).at for i, j in slices(offs)]
+            return [pa.array(np.concatenate([a[1:] - a[:-1] for a in at]) if at else [], pa.int64())]
+
+        return function
+
+    counted = annotate(docs, out, "n_words: bigint", compute)
+    joined = counted.join(found, (F.xxhash64(counted["text"].cast("string")) == found["_key"]) & (F.crc32(counted["text"].cast("string").cast("binary")) == found["_crc"]), "left")
+    zero = F.lit(0).cast("long")
+    spans, ids = F.coalesce(found["_spans"], F.array().cast("array<struct<first: bigint, past: bigint>>")), F.coalesce(found["_ids"], F.array().cast("array<string>"))
+    struct = F.struct(counted[out]["n_words"].alias("n_words"), F.aggregate(spans, zero, lambda a, x: a + x["past"] - x["first"]).alias("n_hit"), ids.alias("item_ids"), spans.alias("spans"))
+    return joined.select(*[counted[c] for c in counted.columns if c != out], struct.alias(out))
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch made one."""
+    empty = F.array().cast("array<struct<first: bigint, past: bigint>>")
+    last = lambda a: F.element_at(a, -1)
+    joins = lambda a, x: (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["past"] >= x["first"])
+    longer = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["past"], x["past"]).alias("past"))))
+    return F.aggregate(spans, empty, lambda a, x: F.when(joins(a, x), longer(a, x)).otherwise(F.concat(a, F.array(x))))
+
+
+def find_passages(docs: DataFrame, items: DataFrame, out: str = "passages", window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` and a struct ``out``: n_words, n_hit, item_ids (sorted), spans of hit words [first, past).
 
     Words and windows are as in the module's description: A-Z lower-cased, ASCII other than
@@ -205,27 +337,16 @@ def find_passages(docs: DataFrame, items: DataFrame, out: str = "passages", wind
     ``out`` is replaced). Null or empty texts have no words. Items of null id or text are
     left out; rows of one item_id count as one item; equal windows of several items hit
     for each. Without items nothing is hit.
-
-    Items larger than ``block_bytes`` are taken in blocks, each broadcast; the blocks' spans
-    are united.
     """
     ship_package(docs.sparkSession)
-    outs, texts = [], docs
-    for part in _blocks(items, block_bytes):
-        windows = Windows(part, window, shingle)
-        name = out if not outs else f"_{out}_{len(outs)}"
-        if windows.words:
-            frequency = _frequencies(texts, windows.tokens())
-        else:
-            frequency = {}
-        shared = docs.sparkSession.sparkContext.broadcast((windows, frequency))
-        docs = annotate(docs, name, FIELDS, lambda shared=shared: _matcher(*shared.value)())
-        outs.append(name)
-    if len(outs) > 1:
-        spans = F.flatten(F.array(*[F.col(o)["spans"] for o in outs]))
-        ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(o)["item_ids"] for o in outs]))))
-        docs = docs.withColumn(out, F.struct(F.col(out)["n_words"].alias("n_words"), _length(spans).alias("n_hit"), ids.alias("item_ids"), F.array_sort(spans).alias("spans"))).drop(*outs[1:])
-    return docs
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > broadcast_bytes:
+        return _joined(docs, items, out, window, shingle)
+    held = sorted((r["item_id"], r["text"]) for r in items.collect())
+    frequency = rarity(docs, shingle) if held else np.zeros(1 << CELL_BITS, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(held, window, shingle, frequency))
+    return annotate(docs, out, FIELDS, lambda: _matcher(shared.value)())
 
 
 def contaminated(passages: str = "passages", one_of: int = ONE_OF) -> Column:

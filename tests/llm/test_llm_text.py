@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,21 +152,36 @@ def brute_passages(text, items):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
-def test_passages_match_brute_force(spark, block):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 300])
+def test_passages_match_brute_force(spark, most):
     rng = np.random.default_rng(2)
     vocabulary = [f"t{k}" for k in range(12)]
     items = [(k, " ".join(rng.choice(vocabulary, int(n)))) for k, n in enumerate([3, 5, 13, 14, 30, 30, 2, 1])] + [(20, ""), (21, None), (None, "t1 t2"), (4, "Ünï-cöde t1 t1"), (30, "t3 t3")]
     found = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)))) for _ in range(40)] + [None, "", items[4][1].upper() + "," + items[5][1], "ünï  cöde T1 t1 rest", items[3][1]]
     docs = documents(spark, found)
-    got = decontaminate.find_passages(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    got = decontaminate.find_passages(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=most)
     assert [c for c in got.columns if c != "passages"] == [c for c in docs.columns if c != "passages"]
     valid = [(i, t) for i, t in items if i is not None and t is not None]
     for r in got.select("doc_id", "text", "passages.*").collect():
         n, hit, ids = brute_passages(r.text, valid)
         assert (r.n_words, r.n_hit, list(r.item_ids)) == (n, hit, ids), r.text
-        if block != 300:
-            assert sum(s.past - s.first for s in r.spans) == hit
+        assert sum(s.past - s.first for s in r.spans) == hit
+
+
+def test_words_of_equal_hash_but_other_bytes_do_not_hit():
+    item, text = "a b c d e f g h i j k l m n o", "x y a b c d e f g h i j k l m n o a b c"
+    index = decontaminate.Index([("1", item)], 13, 4, np.zeros(1 << decontaminate.CELL_BITS, np.int64))
+    found = lambda: [x.to_pylist()[0] for x in decontaminate._matcher(index)()(pa.array([text]))]
+    assert found() == [20, 15, ["1"], [{"first": 2, "past": 17}]]
+    index.vocabulary[next(h for h, b in index.vocabulary.items() if b == b"o")] = b"other"
+    assert found() == [20, 14, ["1"], [{"first": 2, "past": 16}]]
+
+
+def test_items_are_joined_alike_by_broadcast_and_shuffle(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one, two = (decontaminate.find_passages(docs.select("doc_id", "text"), items, broadcast_bytes=most).selectExpr("doc_id", "to_json(passages) as p") for most in (1 << 20, 0))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one) == rows(two)
 
 
 def test_no_items(spark):
