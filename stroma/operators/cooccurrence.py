@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.functions.calendar import MICROS
+from stroma.functions.calendar import MICROS, micros
 from stroma.operators.ranges import range_pairs
 
 MINUTE = 60 * MICROS
@@ -57,3 +57,42 @@ def isolated(events: DataFrame, ident: str, code: str, place: str, ts: str, minu
     b = events.select(place, F.col(code).alias("_cb"), F.col(ts).alias("_tb"))
     near = range_pairs(a, b, [place], -minutes * MINUTE, minutes * MINUTE, "_ta", "_tb").where("_ca <> _cb").select(ident).distinct()
     return events.join(near, ident, "left_anti")
+
+
+def with_meanings(inventory_: DataFrame, code: str, meanings: DataFrame, flagged: list[str]) -> DataFrame:
+    """An inventory with each code's meaning (``unknown`` where ``meanings`` has none), whether it is known, and whether it is one of ``flagged``."""
+    joined = inventory_.join(meanings.select(code, F.col("meaning").alias("_m")), code, "left")
+    return joined.select(*inventory_.columns, F.coalesce("_m", F.lit("unknown")).alias("meaning"), F.col("_m").isNotNull().alias("meaning_known"), F.col(code).isin(flagged).alias("is_flagged"))
+
+
+def episode_summary(episodes: DataFrame, code: str, minutes: str, breadth: str, size: str) -> DataFrame:
+    """By code: episodes, quartiles and maximum of their duration, median and maximum of their breadth, median and sum of their size."""
+    q = lambda c, x: F.percentile(c, x)
+    return episodes.groupBy(code).agg(
+        F.count(F.lit(1)).alias("episodes"), q(minutes, 0.5).alias("minutes_median"), q(minutes, 0.25).alias("minutes_q25"), q(minutes, 0.75).alias("minutes_q75"), F.max(minutes).alias("minutes_max"),
+        q(breadth, 0.5).alias("breadth_median"), F.max(breadth).alias("breadth_max"), q(size, 0.5).alias("size_median"), F.sum(size).alias("size_sum"),
+    )
+
+
+def isolated_anywhere(episodes: DataFrame, ident: str, code: str, places: str, begin: str, end: str, events: DataFrame, place: str, ts: str, minutes: int) -> DataFrame:
+    """Episodes with no event of another code at any of their places from ``minutes`` before their begin to ``minutes`` after their end.
+
+    ``places`` is an array, exploded for the join; both times are joined by buckets of an
+    hour that the widened episode touches, an episode being a row a bucket and place.
+    """
+    hour = 60 * MINUTE
+    lo, hi = micros(begin) - minutes * MINUTE, micros(end) + minutes * MINUTE
+    asked = episodes.select(ident, F.col(code).alias("_ca"), lo.alias("_lo"), hi.alias("_hi"), F.explode(places).alias(place))
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / hour), F.floor(F.col("_hi") / hour))))
+    seen = events.select(place, F.col(code).alias("_cb"), micros(ts).alias("_t")).withColumn("_b", F.floor(F.col("_t") / hour))
+    near = asked.join(seen, [place, "_b"]).where("_ca <> _cb and _t between _lo and _hi").select(ident).distinct()
+    return episodes.join(near, ident, "left_anti")
+
+
+def follow_table(events: DataFrame, code: str, place: str, ts: str, minutes: int, least: int) -> DataFrame:
+    """``follow_rates`` with every ordered pair of codes: those never followed have the rate 0. Codes squared are few."""
+    rates = follow_rates(events, code, place, ts, minutes, least)
+    total = events.groupBy(F.col(code).alias("code_a")).agg(F.count_distinct(F.struct(place, ts)).alias("n_a")).where(F.col("n_a") >= least)
+    pairs = total.crossJoin(events.select(F.col(code).alias("code_b")).distinct()).where("code_a <> code_b")
+    zero = F.lit(0).cast("long")
+    return pairs.join(rates.drop("n_a"), ["code_a", "code_b"], "left").select("code_a", "code_b", "n_a", F.coalesce("n_followed", zero).alias("n_followed"), F.coalesce("rate", F.lit(0.0)).alias("rate"))

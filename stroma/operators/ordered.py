@@ -101,14 +101,31 @@ def quantile_bins(df: DataFrame, by: list[str], x: str, shares: list[float], out
     return joined.withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(x))) + 1).cast("int")).drop("_e")
 
 
-def greedy_windows(df: DataFrame, start: str, score: str, length: int, most: int) -> DataFrame:
-    """The best-scored windows [start, start + length) that don't overlap, at most ``most``, picked greedily.
+def consecutive_pairs(df: DataFrame, keys: list[str], number: str, columns: list[str], suffix: str = "_prev") -> DataFrame:
+    """Each row with ``columns`` of the row before it in its key's order, where that one's number is exactly one less."""
+    pairs = lag_pairs(df, keys, [number], [number, *[c for c in columns if c != number]], 1, suffix)
+    return pairs.where(F.col(number) == F.col(number + suffix) + 1)
+
+
+def marked_not_last(df: DataFrame, keys: list[str], ts: str, tie: str, marked: Column) -> DataFrame:
+    """(keys, n, n_marked, marked_is_last): whether a key's latest row by ``ts`` (NULL first), then ``tie``, is one that is marked; NULL without a marked one.
+
+    A maximum over structs, combined before the shuffle.
+    """
+    mark = F.coalesce(marked, F.lit(False))
+    last = F.max(F.struct(F.col(ts).alias("_1"), F.col(tie).alias("_2"), mark.alias("m")))["m"]
+    n_marked = F.count_if(mark)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), n_marked.alias("n_marked"), F.when(n_marked > 0, last).alias("marked_is_last"))
+
+
+def greedy_windows(df: DataFrame, start: str, score: str, length: int, most: int, ascending: bool = False) -> DataFrame:
+    """The best-scored windows [start, start + length) that don't overlap, at most ``most``, picked greedily; the best score is the largest, or the smallest if ``ascending``.
 
     A pick depends on those before it, so the top candidates are walked on the driver:
     at most ``most`` * (2 * length - 1) rows, as each pick rules out fewer than
     2 * length - 1 starts.
     """
-    rows = df.select(start, score).orderBy(F.desc(score), F.asc(start)).limit(most * (2 * length - 1)).collect()
+    rows = df.select(start, score).orderBy(F.asc(score) if ascending else F.desc(score), F.asc(start)).limit(most * (2 * length - 1)).collect()
     picked: list[tuple] = []
     for r in rows:
         if len(picked) < most and all(abs(r[start] - s) >= length for s, _ in picked):

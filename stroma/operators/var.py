@@ -184,6 +184,16 @@ def pooled_acf(df: DataFrame, by: list[str], order: str, value: str, lags: int)
     return long.groupBy("lag").agg(F.sum(weight).alias("n"), (F.sum(weight * (F.col("_s") / weight / F.col("_v"))) / F.sum(weight)).alias("acf"))
 
 
+def curve_acf(df: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
+    """(keys, lag, n, acf): unbiased autocorrelation of each key's curve: the mean product at the lag over the variance. All keys and lags in one pass."""
+    mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    w = W.partitionBy(*keys).orderBy(order)
+    centred = df.join(mean, keys).withColumn("_c", F.col(value) - F.col("_m"))
+    shifted = centred.withColumns({f"_p{k}": F.col("_c") * (F.lag("_c", k).over(w) if k else F.col("_c")) for k in range(lags + 1)})
+    shifted = shifted.select(*keys, "_v", F.posexplode(F.array(*[F.col(f"_p{k}") for k in range(lags + 1)])).alias("lag", "_p"))
+    return shifted.where("_p is not null").groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.avg("_p"), F.any_value("_v")).alias("acf"))
+
+
 def chi2_tail(x: float, df: float) -> float:
     """P(chi-squared > x): the incomplete gamma function by series or continued fraction."""
     if x <= 0:

@@ -202,12 +202,21 @@ def convoy_components(spark, sf_dir):
     return named.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.bool_and(F.col("c_acctbal") < 0).alias("all_negative"))
 
 
-@query()
+_QUIET = f"""WITH {_GRID}, g AS (SELECT (epoch_us("window") // 900000000)::BIGINT AS slot, max(coalesce(n, 0)) OVER (ORDER BY "window" ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)::BIGINT AS score,
+ count(*) OVER (ORDER BY "window" ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS ahead FROM axis LEFT JOIN (SELECT * FROM cells WHERE event_type = 'click') USING ("window")), w AS (SELECT slot, score FROM g WHERE ahead = 12)"""
+for _k in range(5):
+    _free = " AND ".join(f"abs(slot - (SELECT slot FROM p{j})) >= 12" for j in range(_k)) or "TRUE"
+    _QUIET += f", p{_k} AS (SELECT slot, score FROM w WHERE {_free} ORDER BY score, slot LIMIT 1)"
+_QUIET += " " + " UNION ALL ".join(f"SELECT * FROM p{_k}" for _k in range(5))
+
+
+@query(_QUIET)
 def quiet_periods(spark, sf_dir):
-    """The busiest non-overlapping stretches of 12 windows, picked greedily."""
-    g = _cells(spark, sf_dir).where("event_type = 'click'").select("window", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    scored = grid.rolling(g.withColumn("event_type", F.lit("click")), ["event_type"], "window", "n", 0, 11, "score")
-    return ordered.greedy_windows(scored.withColumn("slot", F.floor(micros("window") / (15 * 60 * MICROS))), "slot", "score", 12, 5)
+    """The quietest non-overlapping stretches of 12 windows, by their busiest window, picked greedily."""
+    g = _cells(spark, sf_dir).where("event_type = 'click'").select("window", F.coalesce("n", F.lit(0)).cast("long").alias("n")).withColumn("event_type", F.lit("click"))
+    scored = grid.rolling(grid.rolling(g, ["event_type"], "window", "n", 0, 11, "score", "max"), ["event_type"], "window", "n", 0, 11, "_ahead", "count").where("_ahead = 12")
+    scored = scored.select(F.floor(micros("window") / (15 * 60 * MICROS)).cast("long").alias("slot"), F.col("score").cast("long").alias("score"))
+    return ordered.greedy_windows(scored, "slot", "score", 12, 5, ascending=True)
 
 
 @query("""SELECT "window"::TIMESTAMP AS "window", (timezone('Europe/Berlin', timezone('UTC', "window")))::TIMESTAMP AS window_local FROM (SELECT unnest(generate_series(timezone('UTC', timezone('Europe/Berlin', TIMESTAMP '2025-03-29')), timezone('UTC', timezone('Europe/Berlin', TIMESTAMP '2025-04-01')) - INTERVAL 5 MINUTES, INTERVAL 5 MINUTES)) AS "window")""")

@@ -63,3 +63,29 @@ def scan_tars(spark: SparkSession, path: str, schema: str, keep: str | None = No
 def describe(df: DataFrame) -> DataFrame:
     """(column, type) of a table."""
     return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
+
+
+def register(df: DataFrame, name: str) -> DataFrame:
+    """Makes ``df`` a relation that SQL of its session can name; replaces one of that name."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
+
+
+def choose_source(raw: DataFrame, day: str, excluded: list[str], cleaned: DataFrame | None = None, more_excluded: list[str] | None = None) -> DataFrame:
+    """The cleaned table if there is one, with its own further excluded days, else the raw one: the choice is an argument, never the environment's."""
+    days = [*excluded, *(more_excluded or [])] if cleaned is not None else excluded
+    chosen = raw if cleaned is None else cleaned
+    return chosen.where(~F.col(day).isin([F.lit(d).cast("date") for d in days])) if days else chosen
+
+
+def write_tensor(spark: SparkSession, path: str, arrays: dict[str, "np.ndarray"]) -> None:  # noqa: F821
+    """Arrays of any shape as one Parquet row each: name, shape, values."""
+    rows = [(k, [int(n) for n in a.shape], [float(x) for x in a.ravel()]) for k, a in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_tensor(spark: SparkSession, path: str) -> dict:
+    """What ``write_tensor`` wrote; as large as the driver's memory allows, like the arrays themselves."""
+    import numpy as np
+
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
