@@ -22,7 +22,7 @@ from stroma.llm.shared import LOWER, NON_ALNUM, Words, annotate, materialise, sh
 
 WINDOW, SHINGLE = 13, 4
 #: Items of at most so many bytes are broadcast (about eight times as many bytes of arrays); more are joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 #: A document is contaminated if at least one of so many of its words is hit.
 ONE_OF = 20
 #: Shingles are counted in this many cells (a power of two), by their highest bits: the order of rarity needs no more.
