@@ -28,8 +28,8 @@ from stroma.operators.components import connected_components
 SHINGLE, BITS = 5, 1024
 #: A pair at the threshold is missed by every band with probability 1.0e-5; its estimate has 145 samples and may lie five standard errors too low.
 PERCENT, BANDS, ROWS, MARGIN = 80, 29, 5, 0.18
-#: Rounds of comparisons with pivots.
-ROUNDS = 2
+#: Rounds of comparisons with pivots, at most; fewer if the pairs then left are at most so many a member of a bucket.
+ROUNDS, PAIRS_LEFT = 4, 64
 #: Documents of a block of a large bucket, on average.
 BLOCK_ROWS = 512
 #: A document that is compared with many others has one group for about so many pairs of the whole table.
@@ -267,30 +267,32 @@ class _Search:
         joined = self.texts.join(F.broadcast(placed) if 2 * many <= BROADCAST_IDS else placed, "node").select("hub", "salt", "role", "node", "text")
         dealt = joined.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
         found = materialise(dealt.mapInArrow(_confirm(self.size, self.percent), "a long, b long"), self.named("links"))
-        if not found.isEmpty():
+        if not found.isEmpty():  # else the components stay as they are
             self.links = found if self.links is None else self.links.unionByName(found)
             self.labels = connected_components(self.links, self.named("components"))
         return True
 
-    def pivots(self, turn: int) -> bool:
-        """One round: each bucket's pivot against its members of other components. False if no bucket has two components."""
-        current = materialise(self.current(), self.named("current"))
+    def pivots(self, turn: int) -> None:
+        """One round: each bucket's pivot against its members of other components."""
+        current = self.current()
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "comp")).alias("_p")
         bands = current.groupBy("band").agg(drawn, F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
         asked = current.join(bands.select("band", F.col("_p.node").alias("_pivot"), F.col("_p.comp").alias("_other")), "band").where("comp <> _other")
         pairs = materialise(asked.select(F.col("_pivot").alias("a"), F.col("node").alias("b")).distinct(), self.named("asked"))
-        if pairs.isEmpty():
-            return False
         self.confirm(self.near(pairs))
-        return True
 
-    def rest(self) -> None:
-        """All pairs of different components that are left in a bucket. A bucket of two was its pivot and the other."""
-        current = materialise(self.current(), self.named("current"))
+    def left(self, pivoted: bool) -> tuple[DataFrame, DataFrame, int]:
+        """All members, the buckets with pairs of different components still to compare, and how many pairs these are. A bucket of two was its pivot and the other."""
+        current = self.current()
         sizes = current.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        top = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where(f"_comps > 1 and _all > {2 if ROUNDS else 1}")
+        top = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where(f"_comps > 1 and _all > {2 if pivoted else 1}")
+        top = materialise(top.select("band", F.col("_top.comp").alias("_most"), (F.col("_all") - F.col("_top._n")).alias("_rest"), "_all"), self.named("left"))
+        return current, top, int(top.agg(F.sum(F.col("_rest").cast("double") * F.col("_all"))).first()[0] or 0)
+
+    def rest(self, current: DataFrame, top: DataFrame) -> None:
+        """All pairs of different components that are left in a bucket."""
         blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-        top = top.select("band", F.col("_top.comp").alias("_most"), blocks(F.col("_all") - F.col("_top._n")).alias("_left"), blocks(F.col("_all")).alias("_right"))
+        top = top.select("band", "_most", blocks(F.col("_rest")).alias("_left"), blocks(F.col("_all")).alias("_right"))
         rows = current.join(top, "band").join(self.sketches.select("node", "n_shingles", "sketch"), "node").withColumn("rest", F.col("comp") != F.col("_most"))
         columns = ["node", "comp", "n_shingles", "sketch", "rest"]
         at = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
@@ -347,9 +349,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "neardup-texts")
 
     search = _Search(texts, members, chosen.drop("text_key"), size, percent, farthest(bands * rows, percent, margin))
-    more = all(search.pivots(turn) for turn in range(ROUNDS))
-    if more:
-        search.rest()
+    turn, many = 0, members.count()
+    while True:
+        current, top, pairs = search.left(turn > 0)
+        if turn >= ROUNDS or turn > 0 and pairs <= PAIRS_LEFT * many:
+            break
+        search.pivots(turn)
+        turn += 1
+    if pairs:
+        search.rest(current, top)
     named = classes.select("fp1", "fp2", "n_shingles", "node")
     if search.labels is not None:
         named = named.join(search.labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
