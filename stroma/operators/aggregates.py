@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.functions.numbers import fisher_interval
+from stroma.operators.ordered import running_sums
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -62,12 +63,13 @@ def share_difference(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
 
 
 def rank_sum(df: DataFrame, key: str, criteria: dict[str, bool]) -> DataFrame:
-    """Sum of average ranks over the criteria (name -> larger is better), for a table of a few thousand rows: ranks span all rows."""
+    """Sum of average ranks over the criteria (name -> larger is better), NULL ranking last. Values are counted first, and counts are summed along them in parts."""
     out = df
     for c, larger in criteria.items():
-        order = F.col(c).desc_nulls_last() if larger else F.col(c).asc_nulls_last()
-        ties = F.count(F.lit(1)).over(W.partitionBy(c))
-        out = out.withColumn(f"rank_{c}", F.rank().over(W.partitionBy(F.lit(0)).orderBy(order)) + (ties - 1) / 2.0)
+        sign = -1.0 if larger else 1.0
+        at = df.groupBy((F.coalesce(F.col(c).cast("double") * sign, F.lit(float("inf")))).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+        rank = running_sums(at, [], "_v", {"_upto": "_m"}).select(F.col("_v"), (F.col("_upto") - (F.col("_m") - 1) / 2.0).alias(f"rank_{c}"))
+        out = out.withColumn("_v", F.coalesce(F.col(c).cast("double") * sign, F.lit(float("inf")))).join(rank, "_v").drop("_v")
     return out.withColumn("rank_sum", sum((F.col(f"rank_{c}") for c in list(criteria)[1:]), F.col(f"rank_{list(criteria)[0]}"))).select(key, *[f"rank_{c}" for c in criteria], "rank_sum")
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.functions.numbers import wilson
+from stroma.operators.ordered import running_sums
 
 
 def point_errors(df: DataFrame, by: list[str], forecast: str, truth: str) -> DataFrame:
@@ -35,8 +35,7 @@ def binary_scores(df: DataFrame, p: str, y: str) -> DataFrame:
     sums = df.groupBy(F.col(p).alias("_p")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"), F.sum(F.pow(F.col(p) - hit, 2)).alias("b"), F.sum(-hit * F.log(q) - (1 - hit) * F.log(1 - q)).alias("l")
     )
-    below = F.coalesce(F.sum("neg").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    t = sums.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
+    t = running_sums(sums, [], "_p", {"_below": "neg"}, before=True).withColumn("_u", F.col("pos") * (F.col("_below") + F.col("neg") / 2))
     n = F.sum("pos") + F.sum("neg")
     return t.agg(n.cast("long").alias("n"), (F.sum("b") / n).alias("brier"), (F.sum("l") / n).alias("log_loss"), F.try_divide(F.sum("_u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 

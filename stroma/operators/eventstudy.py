@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stroma.functions.calendar import MICROS, day_type, floor_to, from_micros, micros
+from stroma.functions.calendar import MICROS, day_type, floor_to, from_micros, micros, to_local, to_utc
+from stroma.operators.bootstrap import band, resampled_sums
 from stroma.operators.ordered import sessionize
+from stroma.operators.ranges import range_pairs
 
 DAY = 86_400 * MICROS
 MINUTE = 60 * MICROS
@@ -26,15 +28,21 @@ def cluster_events(hits: DataFrame, place: str, way: str, ident: str, ts: str, g
     return out.withColumn("event_id", F.concat_ws("|", F.col(place).cast("string"), F.date_format("t0", "yyyyMMddHHmmssSSSSSS")))
 
 
-def matched_controls(events: DataFrame, blockers: DataFrame, keys: list[str], days: int, before: int, after: int, k: int, seed: int, holidays: list[str] | None = None) -> DataFrame:
-    """``k`` control times of each event: (event_id, keys, t0, control).
+def matched_controls(events: DataFrame, blockers: DataFrame, keys: list[str], days: int, before: int, after: int, k: int, seed: int, holidays: list[str] | None = None, at_most: bool = False, zone: str = "UTC") -> DataFrame:
+    """``k`` control times of each event: (event_id, keys, t0, control); with ``at_most`` up to ``k`` of every event that has any.
 
     Candidates are the same minute of the day on other days within ``days`` of the same
     kind of day; one is rejected if a ``blockers`` time (keys, ts) lies in
     [candidate - before, candidate + after] minutes. Of the rest the ``k`` of the smallest
-    md5 of seed, event and day are taken; events with fewer drop out. Days are exploded
+    md5 of seed, event and day are taken; events with fewer drop out unless ``at_most``.
+    Minutes, days and kinds of day are those of ``zone``, so that a control on the other
+    side of a change of clocks stands at the same local minute. Days are exploded
     (2 * days a event) and the rejection is an equi-join on buckets as long as the window.
     """
+    if zone != "UTC":
+        local = events.withColumn("t0", to_local(F.col("t0"), zone))
+        found = matched_controls(local, blockers.withColumn("ts", to_local(F.col("ts"), zone)), keys, days, before, after, k, seed, holidays, at_most)
+        return found.drop("t0").join(events.select("event_id", "t0"), "event_id").select("event_id", *keys, "t0", to_utc(F.col("control"), zone, strict=False).alias("control"))
     us = micros("t0")
     shift = F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("_d")
     cand = events.select("event_id", *keys, "t0", shift).where("_d <> 0").withColumn("_us", us - F.pmod(us, F.lit(MINUTE)) + F.col("_d") * DAY)
@@ -48,7 +56,7 @@ def matched_controls(events: DataFrame, blockers: DataFrame, keys: list[str], da
     free = cand.join(rejected, ["event_id", "control"], "left_anti")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("event_id").cast("string"), F.col("_d").cast("string")).cast("binary"))
     # at most 2 * days candidates an event, so they fit one row
-    best = free.groupBy("event_id", *keys, "t0").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "control"))).alias("c")).where(F.size("c") >= k)
+    best = free.groupBy("event_id", *keys, "t0").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "control"))).alias("c")).where(F.size("c") >= (1 if at_most else k))
     return best.select("event_id", *keys, "t0", F.explode(F.slice("c", 1, k)).alias("c")).select("event_id", *keys, "t0", "c.control")
 
 
@@ -66,30 +74,47 @@ def response(event_curves: DataFrame, control_curves: DataFrame, value: str) ->
 
 
 def cluster_bootstrap(values: DataFrame, cluster: str, by: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Mean of ``value`` for each ``by`` and the percentile band over ``draws`` resamples of the clusters.
-
-    Sums and counts of each cluster and ``by`` reach the driver (days times minutes); a
-    resample is a multinomial weight for each cluster, exactly as if its rows were drawn.
-    """
-    cells = values.where(F.col(value).isNotNull()).groupBy(cluster, by).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster, by).toPandas()
-    names, places = np.unique(cells[cluster].astype(str), return_inverse=True)
-    steps = np.sort(cells[by].unique())
-    s, n = np.zeros((len(names), len(steps))), np.zeros((len(names), len(steps)))
-    at = np.searchsorted(steps, cells[by])
-    s[places, at], n[places, at] = cells["s"], cells["n"]
-    spark = values.sparkSession
-    schema = f"`{by}` {dict(values.dtypes)[by]}, mean double, lo double, hi double"
-    if not len(names):
-        return spark.createDataFrame([], schema)
-    weights = np.random.default_rng(seed).multinomial(len(names), np.full(len(names), 1 / len(names)), draws)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        boot = (weights @ s) / (weights @ n)
-        lo, hi = np.nanpercentile(boot, [50 * (1 - level), 50 * (1 + level)], axis=0)
-        mean = s.sum(0) / n.sum(0)
-    return spark.createDataFrame([(x.item(), float(m), float(a), float(b)) for x, m, a, b in zip(steps, mean, lo, hi)], schema)
+    """Mean of ``value`` for each ``by`` and the percentile band over ``draws`` resamples of the clusters, weighed on the executors."""
+    known = values.where(F.col(value).isNotNull()).withColumn("_s", F.col(value).cast("double")).withColumn("_n", F.lit(1.0))
+    drawn = resampled_sums(known, cluster, by, ["_s", "_n"], draws, seed).withColumn("_m", F.try_divide("_s", "_n"))
+    return band(drawn, [by], "_m", level, "mean")
 
 
 def baseline_corrected(curves: DataFrame, ident: list[str], value: str, first: int, last: int) -> DataFrame:
     """Each curve less its own mean over rel_min in [first, last]."""
     base = curves.where(F.col("rel_min").between(first, last)).groupBy(*ident).agg(F.avg(value).alias("_base"))
     return curves.join(base, ident, "left").withColumn(value, F.col(value) - F.col("_base")).drop("_base")
+
+
+def event_duration(events: DataFrame, hits: DataFrame, place: str, ts: str, gap_minutes: int, within_hours: int) -> DataFrame:
+    """``events`` (event_id, place, t0) with ``minutes`` from t0 to the last of the place's hits before the first gap of more than ``gap_minutes``, looking ``within_hours`` ahead; all ways of the place count."""
+    asked = events.select("event_id", place, F.col("t0").alias("_t0"))
+    seen = hits.where(F.col(ts).isNotNull()).select(place, F.col(ts).alias("_t"))
+    near = range_pairs(asked, seen, [place], 0, within_hours * 3600 * MICROS, "_t0", "_t").select("event_id", micros("_t0").alias("_a"), micros("_t").alias("_b"))
+    along = W.partitionBy("event_id").orderBy("_b")
+    gap = F.col("_b") - F.coalesce(F.lag("_b").over(along), F.col("_a"))
+    broken = near.withColumn("_broken", F.max((gap > gap_minutes * MINUTE).cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    last = broken.where("_broken = 0").groupBy("event_id").agg(((F.max("_b") - F.min("_a")) / (1.0 * MINUTE)).alias("minutes"))
+    return events.join(last, "event_id", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0.0)))
+
+
+def across_places(events: DataFrame, gap_minutes: int, tie: str) -> DataFrame:
+    """Episodes over all places: ``events`` (t0, ...) numbered by gaps of more than ``gap_minutes``; the first event of an episode stands for it.
+
+    One order over all events, so the sessions are found by days first: an episode ends
+    at the latest where a day has no event near its end. Days are parts, borders are
+    joined by the last time of the days before.
+    """
+    day = events.withColumn("_day", F.col("t0").cast("date"))
+    inside = W.partitionBy("_day").orderBy("t0", tie)
+    last = day.groupBy("_day").agg(F.max("t0").alias("_last"))
+    before = last.select("_day", F.lag("_last").over(W.orderBy("_day")).alias("_before"))  # one row a day
+    gap = micros("t0") - micros(F.coalesce(F.lag("t0").over(inside), F.col("_before")))
+    begins = day.join(before, "_day").withColumn("_b", F.coalesce(gap > gap_minutes * MINUTE, F.lit(True)))
+    # a row belongs to the last beginning at or before it, in its day or an earlier one
+    start = F.when(F.col("_b"), F.struct("t0", F.col(tie).alias("tie")))
+    own = begins.withColumn("_s", F.last(start, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    ends = own.groupBy("_day").agg(F.max("_s").alias("_e"))
+    carried = ends.select("_day", F.last("_e", ignorenulls=True).over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))  # one row a day
+    named = own.join(carried, "_day").withColumn("_s", F.coalesce("_s", "_c"))
+    return named.withColumn("episode_t0", F.col("_s.t0")).withColumn("representative", F.col("_s.tie")).drop("_day", "_before", "_b", "_s", "_c")

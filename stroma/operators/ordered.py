@@ -131,3 +131,27 @@ def greedy_windows(df: DataFrame, start: str, score: str, length: int, most: int
         if len(picked) < most and all(abs(r[start] - s) >= length for s, _ in picked):
             picked.append((r[start], r[score]))
     return df.sparkSession.createDataFrame(picked, df.select(start, score).schema)
+
+
+def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, str | Column], reverse: bool = False, before: bool = False, parts: int = 64) -> DataFrame:
+    """``df`` with running sums along ``order`` (a number) within ``by``: up to and with the row's value, or with ``before`` without it; from the end with ``reverse``.
+
+    The range of ``order`` is cut into ``parts`` at its approximate quantiles. A part is
+    summed by itself and starts from the totals of the parts before it, which are one row
+    a part and group: so no task holds a whole group, however many different values it has.
+    """
+    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    cut = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    dealt = df.withColumns({f"_in_{n}": F.col(c) if isinstance(c, str) else c for n, c in sums.items()})
+    dealt = dealt.withColumn("_part", F.size(F.filter(cut, lambda e: e < F.col(order))))
+    along = F.col(order).desc() if reverse else F.col(order).asc()
+    nth = F.col("_part").desc() if reverse else F.col("_part").asc()
+    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in sums])
+    earlier = W.partitionBy(*by).orderBy(nth).rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums])
+    within = W.partitionBy(*by, "_part").orderBy(along).rangeBetween(W.unboundedPreceding, 0)
+    same = W.partitionBy(*by, "_part", order)
+    summed = dealt.withColumns({n: F.coalesce(F.sum(f"_in_{n}").over(within), F.lit(0)) - (F.coalesce(F.sum(f"_in_{n}").over(same), F.lit(0)) if before else F.lit(0)) for n in sums})
+    keys = [summed[c].eqNullSafe(starts[c]) for c in (*by, "_part")]
+    kept = [c for c in df.columns if c not in sums]
+    return summed.join(starts, keys).select(*[summed[c] for c in kept], *[(summed[n] + starts[f"_start_{n}"]).alias(n) for n in sums])

@@ -172,16 +172,17 @@ def residuals(blocks: DataFrame, model: Model) -> DataFrame:
     return design.select("episode", "step", *out)
 
 
-def pooled_acf(df: DataFrame, by: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """(lag, n, acf): autocorrelation of each block around its own mean, averaged with weights n - lag."""
+def pooled_acf(df: DataFrame, by: list[str], order: str, value: str, lags: int, over: list[str] | None = None) -> DataFrame:
+    """(over, lag, n, acf): autocorrelation of each block ``by`` around its own mean, averaged within ``over`` (some of ``by``) with weights n - lag. One pass."""
     mean = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"), F.count(value).alias("_n"))
     w = W.partitionBy(*by).orderBy(order)
     centred = df.join(mean, by).withColumn("_c", F.col(value) - F.col("_m"))
     shifted = centred.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(lags + 1)})
     sums = shifted.groupBy(*by, "_n", "_v").agg(*[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(lags + 1)])
-    long = sums.where("_v > 0").select("_n", "_v", F.posexplode(F.array(*[F.col(f"_s{k}") for k in range(lags + 1)])).alias("lag", "_s")).where("_n > lag")
+    pooled = over or []
+    long = sums.where("_v > 0").select(*pooled, "_n", "_v", F.posexplode(F.array(*[F.col(f"_s{k}") for k in range(lags + 1)])).alias("lag", "_s")).where("_n > lag")
     weight = F.col("_n") - F.col("lag")
-    return long.groupBy("lag").agg(F.sum(weight).alias("n"), (F.sum(weight * (F.col("_s") / weight / F.col("_v"))) / F.sum(weight)).alias("acf"))
+    return long.groupBy(*pooled, "lag").agg(F.sum(weight).alias("n"), (F.sum(weight * (F.col("_s") / weight / F.col("_v"))) / F.sum(weight)).alias("acf"))
 
 
 def curve_acf(df: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stroma.functions.calendar import MICROS, micros
 from stroma.functions.numbers import harmonics, r6
 from stroma.operators import evaluate, grid, linear, ordered, simulate, survival, var
+from stroma.operators.bootstrap import weight_sql
 from stroma.plans.base import query, table
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -62,13 +63,9 @@ def periodogram(spark, sf_dir):
 l AS (SELECT event_type, day, v, n, lag, sum(c * p) AS s FROM (SELECT *, CASE lag {' '.join(f'WHEN {k} THEN lag(c, {k}) OVER q' for k in range(4))} END AS p FROM c CROSS JOIN (SELECT unnest(range(4)) AS lag) WINDOW q AS (PARTITION BY event_type, day, lag ORDER BY "window")) GROUP BY ALL)
 SELECT event_type, lag::INT AS lag, sum(n - lag)::BIGINT AS n, round(sum(s / v) / sum(n - lag), 6) AS acf FROM l WHERE v > 0 AND n > lag GROUP BY 1, 2""")
 def pooled_acf(spark, sf_dir):
-    """Autocorrelation within days, pooled with weights n - lag."""
+    """Autocorrelation within days, pooled with weights n - lag, all types in one pass."""
     h = _hourly(spark, sf_dir).withColumn("day", F.col("window").cast("date"))
-    out = None
-    for t in TYPES:
-        one = var.pooled_acf(h.where(F.col("event_type") == t), ["day"], "window", "mean", 3).select(F.lit(t).alias("event_type"), "lag", "n", r6(F.col("acf")).alias("acf"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return var.pooled_acf(h, ["event_type", "day"], "window", "mean", 3, ["event_type"]).select("event_type", "lag", "n", r6(F.col("acf")).alias("acf"))
 
 
 @query(f"""WITH {_HOURLY}, past AS (SELECT event_type, isodow("window") AS d, hour("window") AS h, avg(mean) AS typical FROM hourly WHERE "window" < TIMESTAMP '2024-01-21' GROUP BY 1, 2, 3),
@@ -186,10 +183,17 @@ def aft_regression(spark, sf_dir):
     return spark.createDataFrame(rows, "law string, term string, coefficient double, se double")
 
 
-@query()
+_DRAWS = 100
+
+
+@query(f"""WITH {_TIMES}, draws AS (SELECT unnest(range(-1, {_DRAWS})) AS draw), users AS (SELECT DISTINCT user_id FROM times), w AS (SELECT draw, user_id, CASE WHEN draw < 0 THEN 1 ELSE {weight_sql(1, "draw", "user_id")} END AS w FROM draws, users),
+a AS (SELECT draw, t, sum(w * e::INT) AS d, sum(w) AS m FROM times JOIN w USING (user_id) GROUP BY 1, 2), r AS (SELECT *, sum(m) OVER (PARTITION BY draw ORDER BY t DESC) AS n FROM a),
+km AS (SELECT draw, t, CASE WHEN max((d >= n)::INT) OVER q = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d / n) END) OVER q) END AS s FROM r WHERE d > 0 WINDOW q AS (PARTITION BY draw ORDER BY t)),
+f AS (SELECT draw, coalesce(min(t) FILTER (s <= 0.5 + 1e-12), 'inf'::DOUBLE)::DOUBLE AS q FROM km GROUP BY 1), l AS (SELECT list_sort(list(q) FILTER (draw >= 0)) AS x, max(q) FILTER (draw < 0) AS estimate FROM f)
+SELECT estimate, x[floor((len(x) - 1) * 0.025 + 0.5)::INT + 1] AS lo, x[floor((len(x) - 1) * 0.975 + 0.5)::INT + 1] AS hi FROM l""")
 def km_bootstrap(spark, sf_dir):
-    found = survival.km_bootstrap(_times(spark, sf_dir), "user_id", "t", "e", 0.5, 500, 1)
-    return spark.createDataFrame([found], "median double, lo double, hi double")
+    """Median time to the next event, with its interval over resamples of users."""
+    return survival.km_bootstrap(_times(spark, sf_dir), "user_id", "t", "e", 0.5, _DRAWS, 1)
 
 
 # --- forecasts of the next event being an error -----------------------------
