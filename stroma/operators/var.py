@@ -265,3 +265,89 @@ def forecast_errors(blocks: DataFrame, model: Model, horizons: tuple[int, ...])
         one = each.groupBy("series").agg(F.lit(h).alias("horizon"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.sqrt(F.avg(F.col("walk") ** 2)).alias("rmse_walk"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def order_grid(blocks: DataFrame, series: list[str], most: int) -> list[tuple[Model, int]]:
+    """Models of the orders 1 to ``most``, each on all rows that have its lags, from one pass; with each its number of parameters an equation.
+
+    Rows are told apart by how many lags they have, at most ``most``; lags beyond count as
+    0. The sums of an order are those of all rows with as many lags or more.
+    """
+    n = len(series)
+    w = W.partitionBy("episode").orderBy("step")
+    names = [f"{s}_lag{k}" for k in range(1, most + 1) for s in series]
+    wide = blocks.withColumns({f"{s}_lag{k}": F.coalesce(F.lag(s, k).over(w), F.lit(0.0)) for k in range(1, most + 1) for s in series}).withColumn("one", F.lit(1.0))
+    wide = wide.withColumn("_m", F.least(F.col("step") - 1, F.lit(most)).cast("int")).where("_m >= 1")
+    size = 1 + n * most + n
+    sums = np.zeros((most + 1, size, size))
+    for r in gram(wide, ["one", *names, *series], ["_m"]).collect():  # orders times pairs of columns
+        sums[r["_m"], r["i"], r["j"]] = sums[r["_m"], r["j"], r["i"]] = r["total"]
+    out = []
+    for p in range(1, most + 1):
+        keep = [*range(1 + n * p), *range(1 + n * most, size)]
+        m = sums[p:].sum(0)[np.ix_(keep, keep)]
+        if m[0, 0] > 1 + n * p:
+            out.append((from_gram(m, series, p), 1 + n * p))
+    return out
+
+
+def guarded(blocks: DataFrame, series: list[str], orders: range, least: float = 3.0) -> DataFrame:
+    """(order, rows, parameters, ratio, allowed): whether observations for each parameter are enough to fit all series together."""
+    steps = blocks.groupBy("episode").agg(F.count(F.lit(1)).alias("_n"))
+    asked = steps.select("_n", F.explode(F.array(*[F.lit(p) for p in orders])).alias("order"))
+    rows = asked.groupBy("order").agg(F.sum(F.greatest(F.col("_n") - F.col("order"), F.lit(0))).alias("rows"))
+    k = len(series)
+    parameters = (k * F.col("order") + 1).cast("long")
+    return rows.select("order", "rows", parameters.alias("parameters"), (F.col("rows") / parameters).alias("ratio"), (F.col("rows") / parameters > least).alias("allowed"))
+
+
+def cross_correlation(df: DataFrame, by: list[str], order: str, pairs: list[tuple[str, str]], lags: range) -> DataFrame:
+    """(a, b, lag, n, r): correlation of a with b ``lag`` rows before (after, where negative) within ``by``. All in one pass."""
+    w = W.partitionBy(*by).orderBy(order)
+    shifted = df.withColumns({f"_{b}_{k - lags.start}": F.lag(b, k).over(w) for b in {b for _, b in pairs} for k in lags})
+    long = shifted.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("lag"), F.col(a).alias("x"), F.col(f"_{b}_{k - lags.start}").alias("y")) for a, b in pairs for k in lags])).alias("c")).select("c.*")
+    return long.where("x is not null and y is not null").groupBy("a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+
+
+#: MacKinnon's asymptotic critical values of the unit-root test with a constant (fixed values).
+UNIT_ROOT = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
+
+
+def unit_root(df: DataFrame, by: list[str], order: str, value: str, lags: int, least: int) -> DataFrame:
+    """(by, n, statistic, rejected_at_5): augmented Dickey-Fuller with a constant for each block of ``least`` rows or more; blocks are solved on the executors from their sums."""
+    w = W.partitionBy(*by).orderBy(order)
+    long = df.withColumn("_many", F.count(value).over(W.partitionBy(*by))).where(F.col("_many") >= least)
+    d = long.withColumn("_d", F.col(value) - F.lag(value).over(w)).withColumn("_y", F.lag(value).over(w)).withColumn("_one", F.lit(1.0))
+    d = d.withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
+    columns = ["_y", "_one", *[f"_d{k}" for k in range(1, lags + 1)], "_d"]
+    k = len(columns)
+    kinds = dict(df.dtypes)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((k, k))
+        m[rows["i"], rows["j"]] = m[rows["j"], rows["i"]] = rows["total"]
+        b, rest = fit(m, k - 1)
+        n = m[1, 1]
+        free = n - (k - 1)
+        se = math.sqrt(max(rest[0, 0], 0.0) / free * np.linalg.pinv(m[: k - 1, : k - 1])[0, 0]) if free > 0 else 0.0
+        stat = float(b[0, 0] / se) if se > 0 else None
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in by}, "n": [int(n)], "statistic": [stat], "rejected_at_5": [None if stat is None else stat < UNIT_ROOT[0.05]]})
+
+    return gram(d, columns, by).groupBy(*by).applyInPandas(solve, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long, statistic double, rejected_at_5 boolean"]))
+
+
+def arch_lm(df: DataFrame, keys: list[str], block: list[str], order: str, value: str) -> DataFrame:
+    """(keys, n, lm): Engle's test of one lag: n times the R squared of the squares on the squares before them in the same block; chi squared with one degree."""
+    w = W.partitionBy(*keys, *block).orderBy(order)
+    e = df.withColumn("_e", F.col(value) * F.col(value)).withColumn("_b", F.lag(F.col(value) * F.col(value)).over(w)).where("_e is not null and _b is not null")
+    return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.pow(F.corr("_e", "_b"), 2)).alias("lm"))
+
+
+def odd_days(df: DataFrame, keys: list[str], day: str, value: str, factor: float = 3.0) -> DataFrame:
+    """(keys, day, mean, deviation, odd): a day's mean against the median of all days, in median absolute deviations."""
+    days = df.groupBy(*keys, day).agg(F.avg(value).alias("mean"))
+    middle = days.groupBy(*keys).agg(F.median("mean").alias("_m"))
+    off = days.join(middle, keys).withColumn("_o", F.abs(F.col("mean") - F.col("_m")))
+    scale = off.groupBy(*keys).agg(F.median("_o").alias("_s"))
+    deviation = F.try_divide(F.col("mean") - F.col("_m"), F.col("_s"))
+    return off.join(scale, keys).select(*keys, day, "mean", deviation.alias("deviation"), F.coalesce(F.abs(deviation) > factor, F.lit(False)).alias("odd"))

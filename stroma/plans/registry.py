@@ -1,5 +1,6 @@
 """All queries of the library's core and the SQL they are checked against."""
 
+from stroma.plans import autoregression as _autoregression  # noqa: F401
 from stroma.plans import composite as _composite  # noqa: F401
 from stroma.plans import inference as _inference  # noqa: F401
 from stroma.plans import models as _models  # noqa: F401
