@@ -68,3 +68,34 @@ def platt(df: DataFrame, p: str, y: str, steps: int = 25) -> tuple[float, float]
         if np.abs(move).max() < 1e-10:
             break
     return a, b
+
+
+def temperature_grid(df: DataFrame, by: list[str], row: list[str], cls: str, p: str, true: str, temperatures: list[float]) -> DataFrame:
+    """(by, temperature, n, log_loss) of class shares made flatter or steeper: rows (``row``, ``cls``, ``p``, ``true``), one a class; shares are normalised within ``row``. All temperatures in one pass."""
+    each = df.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
+    raised = each.withColumn("_q", F.pow(F.greatest(F.col(p), F.lit(1e-12)), 1 / F.col("temperature")))
+    scored = raised.groupBy(*by, *row, "temperature").agg(F.sum("_q").alias("_all"), F.max(F.when(F.col(cls) == F.col(true), F.col("_q"))).alias("_hit"))
+    return scored.groupBy(*by, "temperature").agg(F.count(F.lit(1)).alias("n"), F.avg(-F.log(F.coalesce("_hit", F.lit(1e-12)) / F.col("_all"))).alias("log_loss"))
+
+
+def best_temperature(grid: DataFrame, by: list[str]) -> DataFrame:
+    """(by, temperature) of the least log loss, of equal ones the lower."""
+    return grid.groupBy(*by).agg(F.min(F.struct("log_loss", "temperature"))["temperature"].alias("temperature"))
+
+
+def criteria(simulated: DataFrame, real: DataFrame, cell: list[str], value: str, cancelled: str, late: float, band: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """Five criteria of a simulation against what happened, by ``cell``, each with its rule's verdict.
+
+    a: mean value, within a minute; b: share of the real values within the runs' band, at
+    least 80 %; c: share above ``late``, within 5 points; d: share cancelled, within 2
+    points; e: spread (standard deviation), within a quarter.
+    """
+    ok = lambda c: F.when(~F.col(cancelled), F.col(c))
+    stats = lambda df, s: df.groupBy(*cell).agg(F.avg(ok(value)).alias(f"{s}a"), F.avg((ok(value) > late).cast("double")).alias(f"{s}c"), F.avg(F.col(cancelled).cast("double")).alias(f"{s}d"), F.stddev_samp(ok(value)).alias(f"{s}e"))
+    edges = simulated.groupBy(*cell).agg(F.percentile(ok(value), band[0]).alias("_lo"), F.percentile(ok(value), band[1]).alias("_hi"))
+    inside = real.join(edges, cell).where(~F.col(cancelled)).groupBy(*cell).agg(F.avg(F.col(value).between(F.col("_lo"), F.col("_hi")).cast("double")).alias("rb"))
+    both = stats(simulated, "s").join(stats(real, "r"), cell).join(inside, cell, "left")
+    row = lambda name, s, r, good: F.struct(F.lit(name).alias("criterion"), s.alias("simulated"), r.alias("real"), F.coalesce(good, F.lit(False)).alias("met"))
+    sa, ra, sc, rc, sd, rd, se, re, rb = (F.col(c) for c in ("sa", "ra", "sc", "rc", "sd", "rd", "se", "re", "rb"))
+    rows = F.array(row("a", sa, ra, F.abs(sa - ra) <= 1), row("b", F.lit(band[1] - band[0]), rb, rb >= 0.8), row("c", sc, rc, F.abs(sc - rc) <= 0.05), row("d", sd, rd, F.abs(sd - rd) <= 0.02), row("e", se, re, F.abs(se - re) <= 0.25 * re))
+    return both.select(*cell, F.explode(rows).alias("c")).select(*cell, "c.*")

@@ -1,7 +1,7 @@
 """A stochastic rollout of vehicles along their stops, minute by minute, and effects of scenarios.
 
-Vehicles of one day and run depend on each other, so a (day, run) is one group of
-``applyInPandas``; days and runs are what scales out. Uniform draws are hashes of seed, run,
+Vehicles of one day and run depend on each other, so a day with a few runs is one group
+of ``applyInPandas``; days and runs are what scales out. Uniform draws are hashes of seed, run,
 vehicle and position, hence the same in every scenario.
 """
 
@@ -22,6 +22,8 @@ from stroma.operators.ranges import asof
 from stroma.sources.tables import ship_package
 
 LOW, HIGH = -3, 15
+#: Runs of one group: a day's stops are sent once for so many.
+RUNS = 8
 #: Bin edges of a vehicle's own delay and of its predecessor's, in minutes.
 EDGES = [0, 3, 6, 12, 24]
 
@@ -78,11 +80,19 @@ def _uniform(*key) -> float:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=7).digest(), "big") / 2**56
 
 
-def _rollout(stops: pd.DataFrame, run: int, seed: int, law: dict, scenario: Scenario) -> list[tuple]:
+Paths = dict[int, list[tuple]]
+
+
+def _paths(stops: pd.DataFrame) -> Paths:
+    """Each vehicle's stops (pos, place, minute, delay) in order, read by all runs."""
     ordered = stops.sort_values(["vehicle", "pos"])
-    paths: dict[int, list[tuple]] = {}
+    paths: Paths = {}
     for v, *stop in zip(*(ordered[c].tolist() for c in ("vehicle", "pos", "place", "minute", "delay"))):
         paths.setdefault(v, []).append(stop)
+    return paths
+
+
+def _rollout(paths: Paths, run: int, seed: int, law: dict, scenario: Scenario) -> list[tuple]:
     last: dict[str, float] = {}  # delay of the last vehicle at a place
     free: dict[str, int] = {}  # when a closed place takes the next vehicle
     out, due = [], []
@@ -141,14 +151,15 @@ def simulate(stops: DataFrame, law: DataFrame, runs: int, seed: int, scenario: S
         p = np.array([x for _, x in items])
         ready[key] = ([c for c, _ in items], np.cumsum(p / p.sum()).tolist())
     minute = (F.hour("sched") * 60 + F.minute("sched")).alias("minute")
-    each = stops.select("day", "vehicle", "pos", "place", minute, F.col("delay").cast("double").alias("delay"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    each = stops.select("day", "vehicle", "pos", "place", minute, F.col("delay").cast("double").alias("delay"), F.explode(F.sequence(F.lit(0), F.lit((runs - 1) // RUNS))).alias("_runs"))
     kinds = dict(each.dtypes)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _rollout(rows, int(key[1]), seed, ready, scenario)
-        return pd.DataFrame([(key[0], key[1], v, p, a, d, c) for p, v, a, d, c in found], columns=["day", "run", "vehicle", "pos", "arrival", "delay", "cancelled"]).astype({"arrival": "Int64"})
+        paths = _paths(rows)
+        found = [(run, *x) for run in range(int(key[1]) * RUNS, min(runs, int(key[1] + 1) * RUNS)) for x in _rollout(paths, run, seed, ready, scenario)]
+        return pd.DataFrame([(key[0], run, v, p, a, d, c) for run, p, v, a, d, c in found], columns=["day", "run", "vehicle", "pos", "arrival", "delay", "cancelled"]).astype({"arrival": "Int64"})
 
-    return each.groupBy("day", "run").applyInPandas(one, f"day {kinds['day']}, run int, vehicle {kinds['vehicle']}, pos int, arrival long, delay double, cancelled boolean")
+    return each.groupBy("day", "_runs").applyInPandas(one, f"day {kinds['day']}, run int, vehicle {kinds['vehicle']}, pos int, arrival long, delay double, cancelled boolean")
 
 
 def effects(base: DataFrame, changed: DataFrame, without: int | None = None, block: int = 10) -> DataFrame:
@@ -161,3 +172,16 @@ def effects(base: DataFrame, changed: DataFrame, without: int | None = None, blo
         both = both.where(F.col("vehicle") != without)
     d = F.col("_b") - F.col("_a")
     return both.groupBy(F.floor(F.col("_t") / block).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("se"), F.count_if(F.abs(d) >= 1).alias("affected"))
+
+
+def decay_minutes(blocks: DataFrame, by: list[str], block: str, mean: str, se: str, width: int, small: float = 0.1, z: float = 1.96) -> DataFrame:
+    """(by, minutes): from when on an effect is over: the first block from which every block's interval holds zero or its mean is below ``small``; NULL if the last one doesn't."""
+    over = (F.abs(mean) < small) | (F.abs(mean) <= z * F.coalesce(F.col(se), F.lit(0.0)))
+    lasting = blocks.groupBy(*by).agg(F.max(F.when(~over, F.col(block))).alias("_last"), F.min(block).alias("_first"), F.max(block).alias("_end"))
+    return lasting.select(*by, F.when(F.col("_last").isNull(), F.lit(0)).when(F.col("_last") < F.col("_end"), (F.col("_last") + 1 - F.col("_first")) * width).cast("long").alias("minutes"))
+
+
+def result_table(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, runs, cancelled_share, q05, q50, q95) over the runs of each stop."""
+    q = lambda p: F.percentile(value, p)
+    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.avg(F.col("cancelled").cast("double")).alias("cancelled_share"), q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
