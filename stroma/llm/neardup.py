@@ -1,9 +1,10 @@
 """MinHash near-duplicates with odd sketches.
 
 Each document's distinct word shingles give ``bands * rows`` MinHash samples. Equal
-samples within a band make candidates; the parity bitmap of the samples (odd sketch)
-estimates a candidate pair's similarity from the population count of the XOR; what
-passes is confirmed on the full shingle sets.
+samples within a band make candidates. A candidate has two thousand samples more, folded
+into a parity bitmap (odd sketch), which estimates a pair's similarity from the
+population count of the XOR to about one hundredth; what passes is confirmed on the full
+shingle sets.
 
 Only components are wanted, so a bucket isn't compared pair by pair. In a few rounds each
 bucket's pivot, one member drawn by a hash, is compared with the members of other
@@ -25,17 +26,19 @@ from pyspark.sql import functions as F
 from stroma.llm.shared import SPACES, materialise, mix, shingles, ship_package, slices, text_buffers, words
 from stroma.operators.components import connected_components
 
-SHINGLE, BITS = 5, 1024
-#: A pair at the threshold is missed by every band with probability 1.0e-5; its estimate has 145 samples and may lie five standard errors too low.
-PERCENT, BANDS, ROWS, MARGIN = 80, 29, 5, 0.18
-#: Rounds of comparisons with pivots, at most; fewer if the pairs then left are at most so many a member of a bucket.
-ROUNDS, PAIRS_LEFT = 4, 64
+SHINGLE = 5
+#: A pair at the threshold is missed by every band with probability 1.0e-5.
+PERCENT, BANDS, ROWS = 80, 29, 5
+#: Samples that a candidate's odd sketch folds, its bits, and how many standard errors an estimate may lie below the threshold.
+SAMPLES, BITS, ERRORS = 2048, 4096, 5.5
+#: Rounds of comparisons with pivots, at most; one only if the pairs then left are at most so many a member of a bucket.
+ROUNDS, PAIRS_LEFT = 2, 64
 #: Documents of a block of a large bucket, on average.
 BLOCK_ROWS = 512
 #: A document that is compared with many others has one group for about so many pairs of the whole table.
 PAIRS = 64
-#: Up to so many rows of ids or sketches are broadcast (16 and 150 bytes each); more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 100_000
+#: Up to so many rows of ids or sketches are broadcast (16 and 530 bytes each); more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 30_000
 
 _rng = np.random.default_rng(0x0DD)
 _SEEDS = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,21 +79,27 @@ def odd_sketches(sig: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(odd.astype(bool), axis=1)
 
 
-def farthest(samples: int, percent: int, margin: float, bits: int = BITS) -> int:
-    """The largest XOR count of two sketches whose estimated similarity is at least the threshold less the margin.
+def farthest(percent: int, samples: int = SAMPLES, bits: int = BITS, errors: float = ERRORS) -> int:
+    """The largest XOR count of two sketches whose estimated similarity is at least the threshold less ``errors`` standard errors.
 
     Each of k samples that differs toggles two random bits, so the count x has the mean
-    bits / 2 * (1 - exp(-4 k (1 - J) / bits)), which solved for J is the estimate.
+    bits / 2 * (1 - exp(-4 k (1 - J) / bits)), which solved for J is the estimate. Its
+    error is that of a share of k samples.
     """
-    low = max(0.0, percent / 100 - margin)
-    return math.floor(bits / 2 * (1 - math.exp(-4 * samples * (1 - low) / bits)))
+    j = percent / 100
+    low = max(0.0, j - errors * math.sqrt(j * (1 - j) / samples))
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - low) / bits)))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(_signed(x).ravel()))
 
 
 def _sign(size: int, bands: int, rows: int):
@@ -99,7 +108,7 @@ def _sign(size: int, bands: int, rows: int):
             raw, offs = text_buffers(batch.column(2))
             m = len(offs) - 1
             count = np.zeros(m, np.int64)
-            one, two, key, sketch = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.zeros((m, bands), np.uint64), np.zeros((m, BITS // 64), np.uint64)
+            one, two, key = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.zeros((m, bands), np.uint64)
             for i, j in slices(offs):
                 sets = shingle_sets(raw, offs[i : j + 1], size)
                 count[i:j] = [len(s) for s in sets]
@@ -111,15 +120,26 @@ def _sign(size: int, bands: int, rows: int):
                 flat = np.concatenate(some)
                 one[i + full] = np.add.reduceat(mix(flat + _SEEDS[-2]), starts)
                 two[i + full] = np.add.reduceat(mix(flat ^ _SEEDS[-3]), starts)
-                sig = signatures(some, bands * rows)
-                sketch[i + full] = np.ascontiguousarray(odd_sketches(sig)).view(np.uint64)
-                sig = sig.reshape(len(full), bands, rows)
+                sig = signatures(some, bands * rows).reshape(len(full), bands, rows)
                 band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _SEEDS[-4]
                 for r in range(rows):
                     band = mix(band + sig[:, :, r])
                 key[i + full] = band
-            lists = [pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * x.shape[1], pa.array(_signed(x).ravel())) for x in (key, sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(_signed(one)), pa.array(_signed(two)), *lists], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(_signed(one)), pa.array(_signed(two)), _listed(key)], schema=_SIGNED)
+
+    return run
+
+
+def _sketch(size: int):
+    """(node, n_shingles, sketch) of texts that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = text_buffers(batch.column(1))
+            for i, j in slices(offs):
+                sets = shingle_sets(raw, offs[i : j + 1], size)
+                made = np.ascontiguousarray(odd_sketches(signatures(sets, SAMPLES))).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _listed(made)], ["node", "n_shingles", "sketch"])
 
     return run
 
@@ -245,7 +265,7 @@ class _Search:
         """Those of the pairs (a, b) whose sizes and sketches allow a link, compared on the JVM. Few different a are broadcast, as one may have very many pairs."""
         asked = materialise(pairs.select("a").distinct().join(self.sketches.withColumnRenamed("node", "a"), "a"), self.named("pivots")).toDF("a", "_na", "_sa")
         both = pairs.join(self.sketches.toDF("b", "_nb", "_sb"), "b").join(F.broadcast(asked) if asked.count() <= BROADCAST_SKETCHES else asked, "a")
-        apart = sum((F.bit_count(F.get("_sa", F.lit(k)).bitwiseXOR(F.get("_sb", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+        apart = F.aggregate(F.zip_with("_sa", "_sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         fits = 100 * F.least("_na", "_nb") >= self.percent * F.greatest("_na", "_nb")
         return both.where(fits & (apart <= self.most)).select("a", "b")
 
@@ -289,8 +309,8 @@ class _Search:
         top = materialise(top.select("band", F.col("_top.comp").alias("_most"), (F.col("_all") - F.col("_top._n")).alias("_rest"), "_all"), self.named("left"))
         return current, top, int(top.agg(F.sum(F.col("_rest").cast("double") * F.col("_all"))).first()[0] or 0)
 
-    def rest(self, current: DataFrame, top: DataFrame) -> None:
-        """All pairs of different components that are left in a bucket."""
+    def rest(self, current: DataFrame, top: DataFrame, many: int) -> None:
+        """All pairs of different components that are left in a bucket; at once if at most ``many`` pass their sketches."""
         blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
         top = top.select("band", "_most", blocks(F.col("_rest")).alias("_left"), blocks(F.col("_all")).alias("_right"))
         rows = current.join(top, "band").join(self.sketches.select("node", "n_shingles", "sketch"), "node").withColumn("rest", F.col("comp") != F.col("_most"))
@@ -302,11 +322,13 @@ class _Search:
         dealt = left.unionByName(right).repartition("band", "_i", "_j").sortWithinPartitions("band", "_i", "_j")
         found = dealt.mapInArrow(_compare(self.percent, self.most), "a long, b long, comp_a long, comp_b long, apart long")
         found = materialise(found.groupBy("a", "b").agg(F.any_value("comp_a").alias("comp_a"), F.any_value("comp_b").alias("comp_b"), F.min("apart").alias("apart")), self.named("near"))
+        apart = found.select("a", "b")
+        if found.count() <= many:
+            self.confirm(apart)
+            return
         # of each two components first the likeliest pair: its link saves the others
         best = found.groupBy(F.least("comp_a", "comp_b").alias("_x"), F.greatest("comp_a", "comp_b").alias("_y")).agg(F.min(F.struct("apart", "a", "b")).alias("_b"))
-        if not self.confirm(best.select("_b.a", "_b.b")):
-            return
-        apart = found.select("a", "b")
+        self.confirm(best.select("_b.a", "_b.b"))
         if self.labels is not None:
             for side in ("a", "b"):
                 apart = apart.join(self.labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
@@ -314,7 +336,7 @@ class _Search:
         self.confirm(apart)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key) for every row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets.
@@ -324,7 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     Documents of equal sets are one class from the start. A bucket of near copies costs a
     comparison or two a member; only members of different components are compared pair by
-    pair, on 128-byte sketches, in blocks of bounded rows. No group of rows is larger than
+    pair, on 512-byte sketches, in blocks of bounded rows. No group of rows is larger than
     a block, so a group of any size is many even tasks.
 
     Null or word-less texts have no shingles and stand alone. A row is judged by its own
@@ -333,22 +355,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    signed = docs.mapInArrow(_sign(size, bands, rows), "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>")
+    signed = docs.mapInArrow(_sign(size, bands, rows), "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>")
     signed = materialise(signed, "neardup-signed")
     first = F.min(F.struct("doc_id", "text_key")).alias("_first")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(first, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    classes = materialise(classes.select("fp1", "fp2", "n_shingles", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("text_key"), "bands", "sketch"), "neardup-classes")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(first, F.any_value("bands").alias("bands"))
+    classes = materialise(classes.select("fp1", "fp2", "n_shingles", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("text_key"), "bands"), "neardup-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("band")
     members = materialise(banded.join(shared, "band").select("band", "node"), "neardup-members")
 
     some = members.select("node").distinct()
-    chosen = materialise(classes.join(some, "node", "left_semi").select("node", "text_key", "n_shingles", "sketch"), "neardup-chosen")
-    wanted = chosen.select(F.col("node").alias("doc_id"), "text_key")
+    wanted = classes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "text_key")
+    wanted = materialise(wanted, "neardup-wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", "text_key"], "left_semi")
     texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "neardup-texts")
+    sketches = materialise(texts.mapInArrow(_sketch(size), "node long, n_shingles long, sketch array<long>"), "neardup-sketches")
 
-    search = _Search(texts, members, chosen.drop("text_key"), size, percent, farthest(bands * rows, percent, margin))
+    search = _Search(texts, members, sketches, size, percent, farthest(percent))
     turn, many = 0, members.count()
     while True:
         current, top, pairs = search.left(turn > 0)
@@ -357,11 +380,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         search.pivots(turn)
         turn += 1
     if pairs:
-        search.rest(current, top)
+        search.rest(current, top, many)
     named = classes.select("fp1", "fp2", "n_shingles", "node")
     if search.labels is not None:
         named = named.join(search.labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     named = named.select("fp1", "fp2", "n_shingles", F.col("node").alias("_component"))
-    out = signed.drop("bands", "sketch").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    out = signed.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
