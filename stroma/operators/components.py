@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.sources.tables import materialise
+from stroma.sources.tables import discard, materialise
 
 
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     replaces the edges' ends by what they point at. Edges within one target vanish; a
     star is gone after one round, a path of n nodes after about log n. The minimum is
     combined before the shuffle, so a node with very many neighbours costs one row a
-    task. Each round is written to the shared folder.
+    task. Each round is written to the shared folder, and deleted when the next one is.
 
     Edges with a null end are left out. Raises if ``max_rounds`` rounds don't do.
     """
@@ -31,10 +31,16 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         if labels is None:
             labels = target
         else:
-            labels = labels.join(step, labels["component"] == step["_n"], "left").select("node", F.coalesce("_c", "component").alias("component"))
-            labels = materialise(labels, f"{name}-labels{turn}")
+            moved = labels.join(step, labels["component"] == step["_n"], "left").select("node", F.coalesce("_c", "component").alias("component"))
+            moved = materialise(moved, f"{name}-labels{turn}")
+            discard(labels)
+            labels = moved
+        before = edges
         edges = edges.join(target.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a").join(target.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b")
         edges = materialise(edges.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), f"{name}-edges{turn}")
+        discard(before)
+        if target is not labels:
+            discard(target)
     else:
         raise RuntimeError(f"{name}: still not contracted after {max_rounds} rounds")
     if labels is None:

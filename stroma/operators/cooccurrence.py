@@ -30,7 +30,7 @@ def lift_pairs(active: DataFrame, code: str, windows: int | DataFrame, least: in
     a, b = active.select("window", F.col(code).alias("code_a")), active.select("window", F.col(code).alias("code_b"))
     joint = a.join(b, "window").where("code_a < code_b").groupBy("code_a", "code_b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= least)
     each = active.groupBy(code).agg(F.count(F.lit(1)).alias("_n"))
-    counted = joint.join(F.broadcast(each.select(F.col(code).alias("code_a"), F.col("_n").alias("_a"))), "code_a").join(F.broadcast(each.select(F.col(code).alias("code_b"), F.col("_n").alias("_b"))), "code_b")
+    counted = joint.join(each.select(F.col(code).alias("code_a"), F.col("_n").alias("_a")), "code_a").join(each.select(F.col(code).alias("code_b"), F.col("_n").alias("_b")), "code_b")
     total = F.lit(windows) if isinstance(windows, int) else F.col("_windows")
     if not isinstance(windows, int):
         counted = counted.crossJoin(F.broadcast(windows.toDF("_windows")))
@@ -48,7 +48,7 @@ def follow_rates(events: DataFrame, code: str, place: str, ts: str, minutes: int
     pairs = range_pairs(a, b, [place], 1, minutes * MINUTE, "_ta", "_tb").where("code_a <> code_b")
     followed = pairs.groupBy("code_a", "code_b").agg(F.count_distinct(F.struct(place, "_ta")).alias("n_followed"))
     total = events.groupBy(F.col(code).alias("code_a")).agg(F.count_distinct(F.struct(place, ts)).alias("n_a")).where(F.col("n_a") >= least)
-    return followed.join(F.broadcast(total), "code_a").select("code_a", "code_b", "n_a", "n_followed", (F.col("n_followed") / F.col("n_a")).alias("rate"))
+    return followed.join(total, "code_a").select("code_a", "code_b", "n_a", "n_followed", (F.col("n_followed") / F.col("n_a")).alias("rate"))
 
 
 def isolated(events: DataFrame, ident: str, code: str, place: str, ts: str, minutes: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stroma.functions.calendar import MICROS, ceil_to, floor_to, from_micros, micros
 from stroma.functions.numbers import no_nan
+from stroma.sources.tables import materialise
 
 
 def axis(df: DataFrame, ts: str, minutes: int, out: str = "window") -> DataFrame:
@@ -33,9 +34,9 @@ def local_axis(spark, first: str, last: str, zone: str, minutes: int) -> DataFra
 def dense(times: DataFrame, entities: DataFrame, sparse: DataFrame, keys: list[str]) -> DataFrame:
     """Every entity at every time, with what ``sparse`` has there and NULL where it has nothing.
 
-    The axes are crossed, which is the size of the grid itself; both are small against it.
+    The axes are crossed, which is the size of the grid itself; Spark broadcasts the side that its statistics call small.
     """
-    return times.crossJoin(F.broadcast(entities)).join(sparse, keys, "left")
+    return times.crossJoin(entities).join(sparse, keys, "left")
 
 
 def state_grid(events: DataFrame, entity: str, ts: str, value: str, minutes: int, over: float, cancelled: Column | None = None) -> DataFrame:
@@ -55,7 +56,8 @@ def state_grid(events: DataFrame, entity: str, ts: str, value: str, minutes: int
         F.avg((F.col("_v") > over).cast("double")).alias("share_over"),
         F.count_if("_gone").alias("n_cancelled"),
     )
-    return dense(axis(events, ts, minutes), events.select(entity).distinct(), cells, ["window", entity])
+    cells = materialise(cells, "grid-cells")  # the axes come from the cells, so the events are read once
+    return dense(axis(cells, "window", minutes), cells.select(entity).distinct(), cells, ["window", entity])
 
 
 def gap_variation(events: DataFrame, keys: list[str], ts: str, tie: str, minutes: int) -> DataFrame:

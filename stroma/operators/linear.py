@@ -83,4 +83,4 @@ def detrend(df: DataFrame, by: str, y: str, columns: list[str], out: str) -> tup
     table = spark.createDataFrame([(k, n, float(v), float(a), float(c)) for k, n, v, a, c in fits], f"`{by}` {kind}, n long, variance double, aic double, bic double")
     lines = spark.createDataFrame(coefs, f"`{by}` {kind}, _b array<double>")
     line = sum((F.get("_b", F.lit(i)) * F.col(c) for i, c in enumerate(x) if i), F.get("_b", F.lit(0)))
-    return with_one.join(F.broadcast(lines), by, "left").withColumn(out, F.col(y) - line).drop("_one", "_b"), table
+    return with_one.join(lines, by, "left").withColumn(out, F.col(y) - line).drop("_one", "_b"), table

@@ -100,9 +100,9 @@ def from_gram(matrix: np.ndarray, series: list[str], order: int) -> Model:
     return Model(series, order, b, (rest + rest.T) / (2 * t), int(t))
 
 
-def variance_shares(responses: np.ndarray, horizon: int) -> np.ndarray:
-    """FEVD up to ``horizon``: row i's shares of shocks j, adding to 1."""
-    squares = (responses[:horizon] ** 2).sum(0)
+def variance_shares(responses: np.ndarray, horizon: int, inclusive: bool = False) -> np.ndarray:
+    """FEVD: row i's shares of shocks j, adding to 1: of the error ``horizon`` steps ahead (steps 0 to horizon - 1), or with ``inclusive`` the step at the horizon, too."""
+    squares = (responses[: horizon + bool(inclusive)] ** 2).sum(0)
     return squares / squares.sum(1, keepdims=True)
 
 

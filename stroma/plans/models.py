@@ -28,13 +28,13 @@ _HOURLY = """hourly AS (SELECT event_type, date_trunc('hour', ts) AS "window", a
 _TERMS = ["1.0", *[f"{f}(hours * {2 * math.pi * k / p!r})" for p, many in ((24.0, 2), (168.0, 1)) for k in range(1, many + 1) for f in ("sin", "cos")], "mean"]
 
 
-@query(f"WITH {_HOURLY} " + " UNION ALL ".join(f"SELECT event_type, {i} AS i, {j} AS j, round(sum(({a}) * ({b})) + 1.7e-6, 4) AS total FROM hourly GROUP BY 1" for i, a in enumerate(_TERMS) for j, b in enumerate(_TERMS) if i <= j))
+@query(f"WITH {_HOURLY} " + " UNION ALL ".join(f"SELECT event_type, {i} AS i, {j} AS j, round(sum(({a}) * ({b})), 3) + 0.0 AS total FROM hourly GROUP BY 1" for i, a in enumerate(_TERMS) for j, b in enumerate(_TERMS) if i <= j))
 def ols_normal_equations(spark, sf_dir):
-    """Normal equations of daily and weekly harmonics, by event type; shifted a little, so that no exact half is rounded."""
+    """Normal equations of daily and weekly harmonics, by event type."""
     h = _hourly(spark, sf_dir)
     terms = harmonics(F.col("hours"), [(24.0, 2), (168.0, 1)])
     x = h.select("event_type", F.lit(1.0).alias("x0"), *[t.alias(f"x{i + 1}") for i, t in enumerate(terms)], "mean")
-    return linear.gram(x, [*[f"x{i}" for i in range(len(terms) + 1)], "mean"], ["event_type"]).withColumn("total", F.round(F.col("total") + 1.7e-6, 4))
+    return linear.gram(x, [*[f"x{i}" for i in range(len(terms) + 1)], "mean"], ["event_type"]).withColumn("total", F.round("total", 3) + F.lit(0.0))
 
 
 def _detrended(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -197,7 +197,11 @@ def convoy_components(spark, sf_dir):
     """Customers of one nation with orders on two common days or more, closed transitively, collapsed to one row a component."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     g = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderdate").cast("date").alias("d"), F.col("c_nationkey").alias("n"), F.col("o_custkey").alias("c")).distinct()
-    pairs = g.withColumnRenamed("c", "a").join(g.withColumnRenamed("c", "b"), ["d", "n"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    # two common days are one common pair of days: its customers are linked with the first of them, so no key makes all its pairs
+    days = g.groupBy("c", "n").agg(F.array_sort(F.collect_list("d")).alias("days"))  # a customer's own days
+    twice = days.select("c", "n", F.explode("days").alias("d1"), "days").select("c", "n", "d1", F.explode(F.filter("days", lambda d: d > F.col("d1"))).alias("d2"))
+    hubs = twice.groupBy("n", "d1", "d2").agg(F.min("c").alias("a"), F.max("c").alias("_far")).where("a <> _far").drop("_far")
+    pairs = twice.join(hubs, ["n", "d1", "d2"]).where("c <> a").select("a", F.col("c").alias("b"))
     named = c.join(connected_components(pairs, "convoys"), F.col("c_custkey") == F.col("node"), "left").withColumn("component", F.coalesce("component", "c_custkey"))
     return named.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.bool_and(F.col("c_acctbal") < 0).alias("all_negative"))
 

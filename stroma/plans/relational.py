@@ -247,8 +247,11 @@ SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000.0 * asin(sqrt(pow(s
 FROM s a JOIN s b ON a.lat = b.lat AND a.s_suppkey < b.s_suppkey WHERE abs(a.lon - b.lon) <= 3""")
 def great_circle(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 2.0 - 10).alias("lat"), (F.col("s_suppkey") % 40 - 20.0).alias("lon"))
-    a, b = s.select(F.col("s_suppkey").alias("a"), "lat", F.col("lon").alias("lon_a")), s.select(F.col("s_suppkey").alias("b"), "lat", F.col("lon").alias("lon_b"))
-    return a.join(b, "lat").where((F.col("a") < F.col("b")) & (F.abs(F.col("lon_a") - F.col("lon_b")) <= 3)).select("a", "b", F.round(haversine(F.col("lat"), F.col("lon_a"), F.col("lat"), F.col("lon_b")), 2).alias("metres"))
+    # within 3 degrees of longitude: a stands in its strip of 3 degrees and both beside it, b in its own
+    strip = F.floor(F.col("lon") / 3)
+    a = s.select(F.col("s_suppkey").alias("a"), "lat", F.col("lon").alias("lon_a"), F.explode(F.sequence(strip - 1, strip + 1)).alias("strip"))
+    b = s.select(F.col("s_suppkey").alias("b"), "lat", F.col("lon").alias("lon_b"), strip.alias("strip"))
+    return a.join(b, ["lat", "strip"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("lon_a") - F.col("lon_b")) <= 3)).select("a", "b", F.round(haversine(F.col("lat"), F.col("lon_a"), F.col("lat"), F.col("lon_b")), 2).alias("metres"))
 
 
 @query("""SELECT event_id, isodow(ts)::INT AS weekday, CASE WHEN isodow(ts) = 7 OR ts::DATE = DATE '2024-01-01' THEN 'sunday' WHEN isodow(ts) = 6 THEN 'saturday' WHEN isodow(ts) = 5 THEN 'friday' ELSE 'workday' END AS day_type,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.functions.calendar import MICROS, micros
@@ -94,8 +95,6 @@ def code_inventory(spark, sf_dir):
 
 @query("""SELECT event_type, hour, n, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS share, round(rush / n, 6) AS rush FROM (SELECT event_type, hour(ts)::INT AS hour, count(*) AS n, count(*) FILTER (hour(ts) IN (6, 7, 8, 9, 15, 16, 17, 18, 19)) AS rush FROM events GROUP BY 1, 2)""")
 def temporal_crosstab(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     from stroma.functions.calendar import rush_hour
 
     c = _events(spark, sf_dir).groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(rush_hour(F.col("ts"))).alias("_r"))
@@ -169,11 +168,13 @@ def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n, round(corr(value, pv), 6) AS r, round(median((epoch_us(ts) - epoch_us(pt)) / 3600000000.0), 3) AS median_gap FROM (SELECT ts, value, lag(ts, {k}) OVER w AS pt, lag(value, {k}) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE pt IS NOT NULL AND epoch_us(ts) - epoch_us(pt) <= 864000000000" for k in (1, 2, 3, 5, 10)))
 def lag_k_corr(spark, sf_dir):
-    out = None
-    for k in (1, 2, 3, 5, 10):
-        one = _pairs(spark, sf_dir, k).where("gap <= 240").agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n"), r6(F.corr("value", "value_prev")).alias("r"), F.round(F.median("gap"), 3).alias("median_gap"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All lags in one pass."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    ks = (1, 2, 3, 5, 10)
+    lagged = _events(spark, sf_dir).withColumns({f"_v{k}": F.lag("value", k).over(w) for k in ks} | {f"_t{k}": F.lag("ts", k).over(w) for k in ks})
+    gap = lambda k: (micros("ts") - micros(f"_t{k}")) / (3600.0 * MICROS)
+    long = lagged.select("value", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_v{k}").alias("v"), gap(k).alias("gap")) for k in ks])).alias("p")).select("value", "p.*").where("gap <= 240")
+    return long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("value", "v")).alias("r"), F.round(F.median("gap"), 3).alias("median_gap"))
 
 
 @query(f"""WITH {_PAIRS} SELECT band, event_type, n, round(m, 6) AS mean, round(m - 1.96 * sd / sqrt(n), 6) AS lo, round(m + 1.96 * sd / sqrt(n), 6) AS hi FROM (SELECT band, event_type, count(*) AS n, avg(value - pv) AS m, stddev_samp(value - pv) AS sd FROM pairs GROUP BY 1, 2) WHERE n >= 2""")

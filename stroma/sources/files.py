@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stroma.sources.tables import ship_package
+
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """A Parquet scan of those of ``columns`` that exist; missing ones with a type in ``types`` come as NULL."""
@@ -39,27 +42,45 @@ def write_results(df: DataFrame, path: str, kind: str = "csv", compress: bool =
 
 
 def scan_tars(spark: SparkSession, path: str, schema: str, keep: str | None = None, suffix: str = ".parquet", chunk_rows: int = 100_000) -> DataFrame:
-    """Rows of all Parquet members of the tar files under ``path``, one archive a task, members one at a time.
+    """Rows of all Parquet members of the tar files under ``path``, which may be of any size.
 
-    ``keep`` is a filter applied to the rows as they come. An archive is held in memory by
-    the task that reads it, so archives should be of moderate size; unpack larger ones.
+    First each archive's headers are read by seeking from one to the next; then each
+    member is a row of its own, dealt over tasks, which read just its bytes. ``keep`` is a
+    filter applied to the rows as they come. A member is held in memory by its task.
     """
+    ship_package(spark)
     names = [f.name for f in spark.createDataFrame([], schema).schema]
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with _opened(name) as file, tarfile.open(fileobj=file, mode="r:") as tar:
+                    found = [(name, m.offset_data, m.size) for m in tar if m.isfile() and m.name.endswith(suffix)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "start", "size"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(blob.as_py())) as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.endswith(suffix):
-                            table = pq.ParquetFile(io.BytesIO(tar.extractfile(member).read()))
-                            for part in table.iter_batches(chunk_rows, columns=names):
-                                yield part
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+            for name, start, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with _opened(name) as file:
+                    file.seek(start)
+                    body = file.read(size)
+                yield from pq.ParquetFile(io.BytesIO(body)).iter_batches(chunk_rows, columns=names)
+
+    listed = files.mapInArrow(headers, "path string, start long, size long")
+    tasks = max(1, min(int(listed.count()), 10_000))
+    found = listed.repartition(tasks, "path", "start").mapInArrow(members, schema)
     return found.where(keep) if keep else found
 
 
+def _opened(path: str):
+    """A seekable file of any file system that Arrow knows by its address."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/+", "file:///", path))
+    return system.open_input_file(inner)
+
+
 def describe(df: DataFrame) -> DataFrame:
     """(column, type) of a table."""
     return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")

@@ -13,9 +13,15 @@ _FOLDER = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one under /tmp where the session names none."""
+    """The session's checkpoint folder.
+
+    Where the session names none, a local session gets one under /tmp; on a cluster that
+    raises, as a folder of one machine would be seen by its executors alone.
+    """
     found = spark.conf.get(_FOLDER, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_FOLDER} must name a folder that driver and executors share")
         found = "file:///tmp/stroma-checkpoints"
         spark.conf.set(_FOLDER, found)
     return found.rstrip("/")
@@ -24,8 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage, and a lost executor loses none of it. The table is deleted
-    when the driver's JVM ends.
+    This cuts the lineage, and a lost executor loses none of it. The table is deleted by
+    ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,7 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stroma_path = path
+    return read
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing that is still to run reads it."""
+    path = getattr(df, "_stroma_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:

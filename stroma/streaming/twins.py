@@ -1,4 +1,4 @@
-"""Streaming twins of the latest record, the state grid and sessions."""
+"""Streaming twins of the first and latest record, the state grid and sessions."""
 
 from __future__ import annotations
 
@@ -11,6 +11,13 @@ def first_per_key(stream: DataFrame, keys: list[str], ts: str, late: str) -> Dat
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def latest_per_key(stream: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """The row of the latest time of each key, NULL times last; of equal times the one of the largest ``tie``. Run it in update mode; its state is one row a key."""
+    rest = [c for c in stream.columns if c not in keys]
+    packed = F.max(F.struct(F.col(ts).alias("_1"), F.col(tie).alias("_2"), F.struct(*rest).alias("_3"))).alias("_m")
+    return stream.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_m._3.{c}").alias(c) for c in rest])
+
+
 def tumbling_state(stream: DataFrame, entity: str, ts: str, value: str, minutes: int, late: str) -> DataFrame:
     """n, mean and maximum of each entity and window, in append mode once the watermark has passed the window."""
     w = F.window(ts, f"{minutes} minutes")
