@@ -6,8 +6,8 @@ into a parity bitmap (odd sketch), which estimates a pair's similarity from the
 population count of the XOR to about one hundredth; what passes is confirmed on the full
 shingle sets.
 
-Only components are wanted, so a bucket isn't compared pair by pair. In a few rounds each
-bucket's pivot, one member drawn by a hash, is compared with the members of other
+Only components are wanted, so a large bucket isn't compared pair by pair. First some
+pivots of each bucket, members drawn by a hash, are compared with the members of other
 components; copies of one text are one component after that. Whatever pairs of different
 components are still in a bucket then are all compared, on their sketches alone, in
 blocks. Texts are read for pairs that pass their sketches.
@@ -31,6 +31,8 @@ SHINGLE = 5
 PERCENT, BANDS, ROWS = 80, 29, 5
 #: Samples that a candidate's odd sketch folds, its bits, and how many standard errors an estimate may lie below the threshold.
 SAMPLES, BITS, ERRORS = 2048, 4096, 5.5
+#: Pivots of a bucket; a bucket of no more members is compared whole.
+PIVOTS = 8
 #: Rounds of comparisons with pivots, at most; one only if the pairs then left are at most so many a member of a bucket.
 ROUNDS, PAIRS_LEFT = 2, 64
 #: Documents of a block of a large bucket, on average.
@@ -98,6 +100,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The hash of each band of the first ``bands * rows`` samples."""
+    sig = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _SEEDS[-4]
+    for r in range(rows):
+        out = mix(out + sig[:, :, r])
+    return out
+
+
 def _listed(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(_signed(x).ravel()))
 
@@ -120,26 +131,24 @@ def _sign(size: int, bands: int, rows: int):
                 flat = np.concatenate(some)
                 one[i + full] = np.add.reduceat(mix(flat + _SEEDS[-2]), starts)
                 two[i + full] = np.add.reduceat(mix(flat ^ _SEEDS[-3]), starts)
-                sig = signatures(some, bands * rows).reshape(len(full), bands, rows)
-                band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _SEEDS[-4]
-                for r in range(rows):
-                    band = mix(band + sig[:, :, r])
-                key[i + full] = band
+                key[i + full] = band_keys(signatures(some, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(_signed(one)), pa.array(_signed(two)), _listed(key)], schema=_SIGNED)
 
     return run
 
 
-def _sketch(size: int):
-    """(node, n_shingles, sketch) of texts that have shingles."""
+def _sketch(size: int, bands: int, rows: int):
+    """(node, n_shingles, sketch, keys of the bands) of texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = text_buffers(batch.column(1))
             for i, j in slices(offs):
                 sets = shingle_sets(raw, offs[i : j + 1], size)
-                made = np.ascontiguousarray(odd_sketches(signatures(sets, SAMPLES))).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _listed(made)], ["node", "n_shingles", "sketch"])
+                sig = signatures(sets, max(SAMPLES, bands * rows))
+                made = np.ascontiguousarray(odd_sketches(sig[:, :SAMPLES])).view(np.uint64)
+                keys = band_keys(sig, bands, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _listed(made), _listed(keys)], ["node", "n_shingles", "sketch", "keys"])
 
     return run
 
@@ -176,13 +185,15 @@ def _compare(percent: int, most: int):
     """Of one block of a bucket against another: pairs of different components whose sizes and sketches allow a link.
 
     Side 0 are members outside the bucket's largest component, side 1 all members; a
-    pair that stands on both sides is taken once.
+    pair that stands on both sides is taken once, and one that shares several bands in
+    the first of them alone.
     """
 
     def function(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        keys, band = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1), table.column("band")[0].as_py()
         side, rest = table.column("side").to_numpy(), table.column("rest").to_numpy(zero_copy_only=False)
         right = np.flatnonzero(side == 1)
         right = right[np.argsort(size[right], kind="stable")]
@@ -193,6 +204,7 @@ def _compare(percent: int, most: int):
             some = right[lo:hi]
             some = some[(comp[some] != comp[k]) & (~rest[some] | (node[some] > node[k]))]
             if len(some):
+                some = some[keys[k][(keys[some] == keys[k]).argmax(1)] == band]
                 apart = np.bitwise_count(sketch[some] ^ sketch[k]).sum(1)
                 near = some[apart <= most]
                 if len(near):
@@ -256,15 +268,15 @@ class _Search:
         return f"neardup-{self.step}-{name}"
 
     def current(self) -> DataFrame:
-        """(band, node, comp) of all members."""
+        """(band, size, node, comp) of all members."""
         if self.labels is None:
             return self.members.withColumn("comp", F.col("node"))
-        return self.members.join(self.labels.withColumnRenamed("component", "comp"), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+        return self.members.join(self.labels.withColumnRenamed("component", "comp"), "node", "left").select("band", "size", "node", F.coalesce("comp", "node").alias("comp"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sizes and sketches allow a link, compared on the JVM. Few different a are broadcast, as one may have very many pairs."""
-        asked = materialise(pairs.select("a").distinct().join(self.sketches.withColumnRenamed("node", "a"), "a"), self.named("pivots")).toDF("a", "_na", "_sa")
-        both = pairs.join(self.sketches.toDF("b", "_nb", "_sb"), "b").join(F.broadcast(asked) if asked.count() <= BROADCAST_SKETCHES else asked, "a")
+        asked = materialise(pairs.select("a").distinct().join(self.sketches.drop("keys").withColumnRenamed("node", "a"), "a"), self.named("pivots")).toDF("a", "_na", "_sa")
+        both = pairs.join(self.sketches.drop("keys").toDF("b", "_nb", "_sb"), "b").join(F.broadcast(asked) if asked.count() <= BROADCAST_SKETCHES else asked, "a")
         apart = F.aggregate(F.zip_with("_sa", "_sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         fits = 100 * F.least("_na", "_nb") >= self.percent * F.greatest("_na", "_nb")
         return both.where(fits & (apart <= self.most)).select("a", "b")
@@ -293,19 +305,24 @@ class _Search:
         return True
 
     def pivots(self, turn: int) -> None:
-        """One round: each bucket's pivot against its members of other components."""
-        current = self.current()
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "comp")).alias("_p")
-        bands = current.groupBy("band").agg(drawn, F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-        asked = current.join(bands.select("band", F.col("_p.node").alias("_pivot"), F.col("_p.comp").alias("_other")), "band").where("comp <> _other")
-        pairs = materialise(asked.select(F.col("_pivot").alias("a"), F.col("node").alias("b")).distinct(), self.named("asked"))
+        """One round: each bucket's pivots against its members of other components. The pivots are the first, by a hash, of as many classes that another hash deals the members into."""
+        current = self.current() if turn == 0 else self.current().where(F.col("size") > PIVOTS)
+        dealt = F.when(F.col("size") <= PIVOTS, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS)))
+        first = F.min(F.struct(F.xxhash64("node", F.lit(-1 - turn)).alias("_h"), "node", "comp")).alias("_p")
+        drawn = current.groupBy("band", dealt.alias("_class")).agg(first, F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        bands = drawn.groupBy("band").agg(F.collect_list(F.struct("_p.node", "_p.comp")).alias("_pivots"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi")
+        asked = current.join(bands.select("band", "_pivots"), "band").select("node", "comp", F.explode("_pivots").alias("_p")).where("comp <> _p.comp")
+        # of two pivots the smaller asks; a pivot is what many pairs share, so it stands first
+        pairs = asked.select(F.col("_p.node").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = pairs.groupBy(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("b"))
+        pairs = materialise(pairs, self.named("asked"))
         self.confirm(self.near(pairs))
 
     def left(self, pivoted: bool) -> tuple[DataFrame, DataFrame, int]:
-        """All members, the buckets with pairs of different components still to compare, and how many pairs these are. A bucket of two was its pivot and the other."""
+        """All members, the buckets with pairs of different components still to compare, and how many pairs these are. A bucket of no more members than pivots is done after a round."""
         current = self.current()
         sizes = current.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        top = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where(f"_comps > 1 and _all > {2 if pivoted else 1}")
+        top = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where(f"_comps > 1 and _all > {PIVOTS if pivoted else 1}")
         top = materialise(top.select("band", F.col("_top.comp").alias("_most"), (F.col("_all") - F.col("_top._n")).alias("_rest"), "_all"), self.named("left"))
         return current, top, int(top.agg(F.sum(F.col("_rest").cast("double") * F.col("_all"))).first()[0] or 0)
 
@@ -313,8 +330,8 @@ class _Search:
         """All pairs of different components that are left in a bucket; at once if at most ``many`` pass their sketches."""
         blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
         top = top.select("band", "_most", blocks(F.col("_rest")).alias("_left"), blocks(F.col("_all")).alias("_right"))
-        rows = current.join(top, "band").join(self.sketches.select("node", "n_shingles", "sketch"), "node").withColumn("rest", F.col("comp") != F.col("_most"))
-        columns = ["node", "comp", "n_shingles", "sketch", "rest"]
+        rows = current.join(top, "band").join(self.sketches, "node").withColumn("rest", F.col("comp") != F.col("_most"))
+        columns = ["node", "comp", "n_shingles", "sketch", "keys", "rest"]
         at = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("rest").select("band", at(1, "_left").alias("_i"), every("_right").alias("_j"), F.lit(0).alias("side"), *columns)
@@ -361,15 +378,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(first, F.any_value("bands").alias("bands"))
     classes = materialise(classes.select("fp1", "fp2", "n_shingles", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("text_key"), "bands"), "neardup-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("band")
-    members = materialise(banded.join(shared, "band").select("band", "node"), "neardup-members")
+    shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo <> _hi").select("band", "size")
+    members = materialise(banded.join(shared, "band").select("band", "size", "node"), "neardup-members")
 
     some = members.select("node").distinct()
     wanted = classes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "text_key")
     wanted = materialise(wanted, "neardup-wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", "text_key"], "left_semi")
     texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "neardup-texts")
-    sketches = materialise(texts.mapInArrow(_sketch(size), "node long, n_shingles long, sketch array<long>"), "neardup-sketches")
+    sketches = materialise(texts.mapInArrow(_sketch(size, bands, rows), "node long, n_shingles long, sketch array<long>, keys array<long>"), "neardup-sketches")
 
     search = _Search(texts, members, sketches, size, percent, farthest(percent))
     turn, many = 0, members.count()

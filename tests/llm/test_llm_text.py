@@ -84,6 +84,8 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, rounds, broadcast):
     """A chain of copies, each near only to its neighbours, beside copies of a text that share half their shingles; all ways to find them agree."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
     monkeypatch.setattr(neardup, "PAIRS", 3)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    monkeypatch.setattr(neardup, "PAIRS_LEFT", 0)
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
     monkeypatch.setattr(neardup, "BROADCAST_SKETCHES", broadcast)
