@@ -1,7 +1,4 @@
-"""Queries read all rows of their tables, whatever the ids: against brute force on a fixture of many users.
-
-The SQL of these queries still has a filter on user_id, which the users of sf0.001 all pass.
-"""
+"""Queries read all rows of their tables, whatever the ids: against brute force on a fixture of many users."""
 
 from __future__ import annotations
 
