@@ -34,7 +34,7 @@ SAMPLES, BITS, ERRORS = 2048, 4096, 5.5
 #: Pivots of a bucket; a bucket of no more members is compared whole.
 PIVOTS = 8
 #: Rounds of comparisons with pivots, at most; one only if the pairs then left are at most so many a member of a bucket.
-ROUNDS, PAIRS_LEFT = 2, 64
+ROUNDS, PAIRS_LEFT = 2, 1024
 #: Documents of a block of a large bucket, on average.
 BLOCK_ROWS = 512
 #: A document that is compared with many others has one group for about so many pairs of the whole table.
