@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     combined before the shuffle, so a node with very many neighbours costs one row a
     task. Each round is written to the shared folder, and deleted when the next one is.
 
-    Edges with a null end are left out. Raises if ``max_rounds`` rounds don't do.
+    Edges that become equal are kept: they cost a row each in the next round, where making
+    them distinct would cost a shuffle a round. Edges with a null end are left out. Raises if ``max_rounds`` rounds don't do.
     """
     edges = materialise(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), f"{name}-edges")
     labels = None
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
             labels = moved
         before = edges
         edges = edges.join(target.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a").join(target.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b")
-        edges = materialise(edges.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), f"{name}-edges{turn}")
+        edges = materialise(edges.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), f"{name}-edges{turn}")
         discard(before)
         if target is not labels:
             discard(target)

@@ -46,16 +46,11 @@ bl AS (SELECT "window"::DATE AS day, epoch_us("window") // {minutes * 60 * MICRO
 def var_orders(spark, sf_dir):
     """Orders 1 to 20 from one pass: rows and parameters of each, and the largest product of residuals and regressors, which is zero at the solution."""
     b, names = _wide(spark, sf_dir, 30, 6, 24)
-    rows, found = [], var.order_grid(b, names, 20)
-    for m, k in found:
-        aic, bic = m.criteria()
-        if not np.isfinite([aic, bic]).all():
-            raise ValueError("no criteria")
-        rows.append((m.order, m.rows, k, 0.0))
-    # the score is looked at for the order the criterion picks
-    picked = min(found, key=lambda x: x[0].criteria()[1])[0]
-    score = _largest_score(b, picked)
-    return spark.createDataFrame([(p, n, k, round(score, 6) + 0.0) for p, n, k, _ in rows], "p int, rows long, parameters int, score double")
+    found = [m for m, _ in var.order_grid(b, names, 20) if np.isfinite(m.criteria()).all()]
+    # the score is looked at for the order that the criterion picks, if there are rows enough for any
+    score = round(_largest_score(b, min(found, key=lambda m: m.criteria()[1])), 6) + 0.0 if found else 0.0
+    g = var.guarded(b, names, range(1, 21))
+    return g.select(F.col("order").alias("p"), "rows", F.col("parameters").cast("int").alias("parameters"), F.lit(score).alias("score"))
 
 
 def _largest_score(blocks: DataFrame, m: var.Model) -> float:
