@@ -93,3 +93,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN placed USING (r) LEFT JOIN items USING (r)
 """
+
+# the level is the largest quotient over prefixes of the sources ordered by what they hold a unit of weight
+SQL["op12_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('12:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS n FROM s
+), levels AS (
+  SELECT ((SELECT 1.5 * sum(source_size) FROM s) - coalesce(sum(2.0 * source_size) OVER b, 0)) / sum(weight) OVER (ORDER BY n DESC) AS level
+  FROM o WINDOW b AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(weight * (SELECT max(level) FROM levels), 2.0 * source_size)::DOUBLE AS target FROM s
+), f AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS whole FROM t
+), r AS (
+  SELECT doc_id, size, source_size, target, whole, floor(target + 0.5)::BIGINT - whole * source_size AS more,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM r
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stroma.llm import decontaminate, language_ppm, line_rules, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
+from stroma.llm import decontaminate, language_ppm, line_rules, mixing, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
 from stroma.llm.oracle import SQL as SQL  # noqa: PLC0414
 from stroma.llm.neardup import near_duplicates
 from stroma.llm.packing import pack
@@ -73,6 +73,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("whole") * F.col("size") + F.col("part")).alias("taken")
+    return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_grammar,
         op9_minhash_neardup,
         op10_secret_scan,
+        op12_source_mixing,
     )
 }

@@ -42,6 +42,30 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ro
     return joined.select(*[ranked[c] for c in df.columns if c != "_part"], (F.col("_rank") - 1 + F.col("_start")).alias(out))
 
 
+def number_rows(df: DataFrame, by: list[str], order: list[str], out: str, rows_per_run: int = 200_000, name: str = "numbered") -> DataFrame:
+    """``df`` with each row's place in its group, from 0 without gaps, by ``order``; null comes first.
+
+    The table is cut into runs along (by, order), so a group of any size is spread; each run is
+    sorted by itself and written in that order, and a group's place in a run starts after its
+    rows in the runs before. Rows equal in every order column share a run. ``df`` is
+    evaluated two to three times, so it should be cheap to read; besides ``out`` the result has ``_group_rows``.
+    """
+    runs = max(1, -(-df.count() // rows_per_run))
+    one = by or ["_all"]
+    keyed = df if by else df.withColumn("_all", F.lit(0))
+    line = F.monotonically_increasing_id()  # the run's number in the upper bits, the row's place in the lower 33
+    ordered = keyed.repartitionByRange(runs, *one, *order).sortWithinPartitions(*one, *order).withColumn("_line", line)
+    table = materialise(ordered.withColumns({"_run": F.shiftright("_line", 33), "_at": F.col("_line").bitwiseAND((1 << 33) - 1)}).drop("_line"), name)
+    held = table.groupBy(*one, "_run").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    group = W.partitionBy(*one)
+    earlier = F.coalesce(F.sum("_rows").over(group.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select(*[F.col(c).alias(f"_by_{c}") for c in one], F.col("_run").alias("_r"), (earlier - F.col("_first")).alias("_shift"), F.sum("_rows").over(group).alias("_group_rows"))
+    same = F.col("_run") == F.col("_r")
+    for c in one:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return table.join(starts, same).select(*[table[c] for c in df.columns], (F.col("_at") + F.col("_shift")).cast("long").alias(out), "_group_rows")
+
+
 # --- byte-level tokenising -------------------------------------------------
 
 #: Separators of the white-space words `[^\x20\x09-\x0D]+`.
