@@ -27,15 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, a folder for each value of ``by``, and read it back.
 
     This cuts the lineage, and a lost executor loses none of it. The table is deleted by
     ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
