@@ -116,3 +116,47 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM r
 """
+
+
+def _merkle() -> str:
+    """Level by level: a node's run of siblings is one string, from which its own 64 digits are cut; enough levels for 8^9 rows and as many groups."""
+    crc = """bits(k, c, i) AS (
+  SELECT k, k::UBIGINT, 0 FROM range(256) t(k) UNION ALL SELECT k, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, i + 1 FROM bits WHERE i < 8
+), tab AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8), d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text,
+         xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::UBIGINT)), lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255)::BIGINT + 1]))) AS crc
+  FROM documents, tab
+)"""
+    f = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(f, ("doc_id", "source", "lang", "n_chars")))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [crc, f"""l AS (SELECT r, doc_id, lang, sha256({head} || {f("text")}) AS leaf, sha256({head} || CASE WHEN crc % 3 = 0 THEN {f(low)} ELSE {f("text")} END) AS claimed FROM d)""",
+             "t0 AS (SELECT r, doc_id, lang, leaf, claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l)",
+             "a0 AS (SELECT lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM t0)"]
+
+    def climb(name: str, group: str, depth: int) -> None:
+        for k in range(depth):
+            parts.append(f"{name}r{k} AS (SELECT {group}, i // 8 AS i, string_agg(h, '' ORDER BY i) AS run FROM {name}{k} WHERE n > 1 GROUP BY {group}, i // 8)")
+            parts.append(f"{name}{k + 1} AS (SELECT {group}, i, sha256(run) AS h, count(*) OVER (PARTITION BY {group}) AS n FROM {name}r{k})")
+
+    def fold(source: str, name: str, group: str, runs: str, depth: int) -> str:
+        for k in range(depth):
+            own = f"64 * (i // {8**k} % 8)::INT"
+            parts.append(f"""{name}{k + 1} AS (SELECT * EXCLUDE (g, gi, run, up) REPLACE (proof || coalesce(run[: {own}] || run[{own} + 65 :], '') AS proof, CASE WHEN run IS NULL THEN fold ELSE sha256(run[: {own}] || fold || run[{own} + 65 :]) END AS fold)
+FROM (SELECT *, i // {8 ** (k + 1)} AS up FROM {source}) s LEFT JOIN (SELECT {group} AS g, i AS gi, run FROM {runs}{k}) q ON q.g IS NOT DISTINCT FROM s.{group} AND q.gi = s.up)""")
+            source = f"{name}{k + 1}"
+        return source
+
+    climb("a", "lang", 9)
+    parts.append("roots AS (" + " UNION ALL ".join(f"SELECT lang, h FROM a{k} WHERE n = 1" for k in range(10)) + ")")
+    parts.append("b0 AS (SELECT 0 AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM roots)")
+    climb("b", "top", 3)
+    parts.append("root AS (" + " UNION ALL ".join(f"SELECT h FROM b{k} WHERE n = 1" for k in range(4)) + ")")
+    parts.append("f0 AS (SELECT doc_id, lang, leaf, i, claimed AS fold, '' AS proof FROM t0)")
+    last = fold("f0", "f", "lang", "ar", 9)
+    parts.append(f"g0 AS (SELECT doc_id, leaf, fold, proof, 0 AS top, p.i, p.h AS subroot FROM {last} f JOIN (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM roots) p ON f.lang IS NOT DISTINCT FROM p.lang)")
+    last = fold("g0", "g", "top", "br", 3)
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM {last}, root"
+
+
+SQL["op11_merkle_manifest"] = _merkle()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stroma.llm import decontaminate, language_ppm, line_rules, mixing, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
+from stroma.llm import decontaminate, language_ppm, line_rules, merkle, mixing, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
 from stroma.llm.oracle import SQL as SQL  # noqa: PLC0414
 from stroma.llm.neardup import near_duplicates
 from stroma.llm.packing import pack
@@ -73,6 +74,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    text = F.col("text").cast("string")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(text)
+    found = merkle.prove(merkle.build(docs, claimed={"text": tampered}), siblings=False)
+    return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = (F.col("whole") * F.col("size") + F.col("part")).alias("taken")
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_grammar,
         op9_minhash_neardup,
         op10_secret_scan,
+        op11_merkle_manifest,
         op12_source_mixing,
     )
 }
