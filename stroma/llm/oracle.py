@@ -160,3 +160,62 @@ FROM (SELECT *, i // {8 ** (k + 1)} AS up FROM {source}) s LEFT JOIN (SELECT {gr
 
 
 SQL["op11_merkle_manifest"] = _merkle()
+
+
+def _conversations() -> str:
+    """A recursion along each conversation that carries, for each last role, the cheapest edits so far with their letters."""
+    between = {("z", "s"): 0, ("z", "u"): 0, ("z", "a"): 1, ("s", "u"): 0, ("s", "a"): 1, ("u", "u"): 1, ("u", "a"): 0, ("a", "u"): 0, ("a", "a"): 1}
+    steps = []
+    for to in "zsua":
+        ways = [f"CASE WHEN j.{to} IS NOT NULL THEN {{'c': j.{to}.c + 4, 'a': j.{to}.a || 'D'}} END"]
+        for (before, after), many in between.items():
+            if after == to:
+                ways.append(f"CASE WHEN j.{before} IS NOT NULL AND NOT must AND init = '{to}' THEN {{'c': j.{before}.c + {3 * many} + 3 * cut::INT, 'a': j.{before}.a || '{'I' * many}K'}} END")
+                if to != "s":
+                    ways.append(f"CASE WHEN j.{before} IS NOT NULL AND NOT must THEN {{'c': j.{before}.c + {3 * many + 3} + 3 * cut::INT, 'a': j.{before}.a || '{'I' * many}R'}} END")
+        steps.append(f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1] AS {to}")
+    ends = ", ".join(f"CASE WHEN {q} IS NOT NULL THEN {{'c': {q}.c + {3 * k}, 'a': {q}.a || '{'I' * k}'}} END" for q, k in (("z", 0), ("s", 2), ("u", 1), ("a", 0)))
+    return rf"""
+WITH RECURSIVE bits(k, c, i) AS (
+  SELECT k, k::UBIGINT, 0 FROM range(256) t(k) UNION ALL SELECT k, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, i + 1 FROM bits WHERE i < 8
+), tab AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8), o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS conv,
+         xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::UBIGINT)), lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255)::BIGINT + 1]))) % 20 AS fault
+  FROM conversations, tab
+), d AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o WHERE fault != 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), copy) AS i FROM d
+), f AS (
+  SELECT *, left(role, 1) AS init, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS open, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS prev FROM n
+), r AS (
+  SELECT *, blank OR again AS must, open AND NOT blank AND NOT again AS cut FROM f
+), sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate, count_if(cut) AS truncated,
+         count_if(prev IS NOT NULL AND prev || init NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM r GROUP BY conv
+), j(conv, i, z, s, u, a) AS (
+  SELECT conv, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, NULL::STRUCT(c BIGINT, a VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR) FROM sums
+  UNION ALL
+  SELECT j.conv, r.i, {", ".join(steps)} FROM j JOIN r ON r.conv = j.conv AND r.i = j.i + 1
+), best AS (
+  SELECT conv, list_sort(list_filter([{ends}], lambda x: x IS NOT NULL))[1] AS b FROM j JOIN sums USING (conv) WHERE j.i = sums.rows
+), letters AS (
+  SELECT conv, p, b.a[p : p] AS letter, length(replace(b.a[: p], 'I', '')) AS i, length(replace(b.a[: p], 'D', '')) AS nth FROM (SELECT conv, b, unnest(range(1, length(b.a) + 1)) AS p FROM best)
+), made AS (
+  SELECT letters.conv, p, nth, CASE WHEN letter = 'K' THEN role END AS own, CASE WHEN letter = 'I' THEN '' ELSE text END AS text,
+         count_if(nth = 1 AND letter = 'K' AND init = 's') OVER (PARTITION BY letters.conv) AS has_s
+  FROM letters JOIN r ON r.conv = letters.conv AND r.i = greatest(letters.i, 1) WHERE letter != 'D'
+), hashed AS (
+  SELECT conv, sha256(string_agg(coalesce(own, CASE WHEN (nth - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p)) AS h FROM made GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM o) LEFT JOIN sums USING (conv) LEFT JOIN best USING (conv) LEFT JOIN hashed USING (conv)
+"""
+
+
+SQL["op13_conversation_repair"] = _conversations()

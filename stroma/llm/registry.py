@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stroma.llm import decontaminate, language_ppm, line_rules, merkle, mixing, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
+from stroma.llm import conversation, decontaminate, language_ppm, line_rules, merkle, mixing, quality_cnn, secret_scan, sharding, toxicity_fst, url_filter
 from stroma.llm.oracle import SQL as SQL  # noqa: PLC0414
 from stroma.llm.neardup import near_duplicates
 from stroma.llm.packing import pack
@@ -87,6 +87,11 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversation.summarise(conversation.damage(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_merkle_manifest,
         op12_source_mixing,
+        op13_conversation_repair,
     )
 }
