@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from stroma.llm.shared import materialise, number_rows, ship_package
 
 FANOUT = 8
-#: Levels that one pass adds; a stretch has FANOUT ** LEVELS nodes of the pass's lowest level (32,768: about 5 MB of digests).
-LEVELS = 5
+#: Levels that one pass adds; a stretch has FANOUT ** LEVELS nodes of the pass's lowest level (4,096: about 0.6 MB of digests).
+LEVELS = 4
 #: Columns of ``documents`` that a leaf covers, in this order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -229,13 +229,8 @@ SCHEMAS = {
 }
 
 
-def _spread(paths: DataFrame, stretches: DataFrame) -> DataFrame:
-    """(tree, stretch, path): the path of a whole tree for its only stretch."""
-    return paths.join(stretches, "tree").select("tree", "stretch", "path")
-
-
-def _descend(leaves: DataFrame, stores: list[DataFrame], tops: DataFrame, fanout: int, levels: int) -> DataFrame:
-    """(tree, stretch, path) for all stretches of the trees' lowest level, from ``tops`` (tree, path), the paths above the trees' roots.
+def _descend(leaves: DataFrame, stores: list[DataFrame], tops: DataFrame | None, fanout: int, levels: int) -> DataFrame:
+    """(tree, stretch, path) for all stretches of the trees' lowest level, from ``tops`` (tree, path), the paths above the trees' roots; none if there is nothing above.
 
     Trees differ in height: each begins in the pass in which it fits one stretch.
     """
@@ -244,7 +239,7 @@ def _descend(leaves: DataFrame, stores: list[DataFrame], tops: DataFrame, fanout
         base = k * levels
         level = leaves if k == 0 else stores[k - 1].where(F.col("level") == base)
         fits = level.where((F.col("n") <= size) & (F.col("index") == 0) & ((F.col("n") > 1) | F.lit(k == 0))).select("tree", F.lit(0).cast("long").alias("stretch"))
-        begun = _spread(tops, fits)
+        begun = fits.join(tops, "tree").select("tree", "stretch", "path") if tops else fits.withColumn("path", F.array().cast("array<string>"))
         above = begun if above is None else begun.unionByName(above)
         if k == 0:
             return above
@@ -265,8 +260,7 @@ def prove(manifest: Manifest, siblings: bool = True) -> DataFrame:
     fanout, levels = manifest.fanout, manifest.levels
     roots = manifest.roots
     top = roots.select(F.lit("").alias("tree"), "index", F.col("subroot").alias("digest"), "n", F.col("tree").alias("of"))
-    none = roots.sparkSession.createDataFrame([("", [])], "tree string, path array<string>")
-    over = _descend(top, manifest.top_stores, none, fanout, levels)
+    over = _descend(top, manifest.top_stores, None, fanout, levels)
     low = top.select("tree", "index", "digest", F.struct("n", "of", "digest").alias("row"))
     # the tree's own root rides at the end of its path
     tops = _paths(low, manifest.top_stores[0] if manifest.top_stores else None, 0, over, fanout, levels, _PATH, lambda tree, row, path: {"tree": row["of"], "stretch": 0, "path": [*path, row["digest"]]})

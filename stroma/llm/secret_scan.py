@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ _WORDS = re.compile(r"password|passwd|secret|token|apikey|api_key", re.I | re.A)
 # Names and literals of any length; what is matched possessively isn't tried again, so that the time is linear.
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _QUOTED = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`"
-_BARE = r"[A-Za-z0-9_./+\-$@%^&*~]+=*"
+_BARE = r"[A-Za-z0-9_./+\-$@%^&*~]++(?:[!?#|]++[A-Za-z0-9_./+\-$@%^&*~]++)*+=*"
 #: What the scan stops at; all else is passed over. A word is read whole; its name begins at its first segment without a leading digit.
 TOKEN = re.compile(
     rf"""(?P<line>\n[ \t]*+(?:-[ \t]++)?)|(?P<word>[A-Za-z0-9_.\-]++)|(?P<key>[\"'](?P<quoted>{NAME})[\"'](?=[ \t]*+(?::|=)))|(?P<sign>:=|=>|=(?!=)|:(?![:/]))|(?P<open>[{{(\[])|(?P<close>[}})\]])|(?P<blank>[ \t]++)|(?P<other>.)""",
@@ -56,8 +57,8 @@ SECTION = re.compile(r"\[{1,2}([^\[\]\n]++)\]{1,2}[ \t\r]*+(?=\n|\Z)")
 SPACED, LINE = re.compile(r"\s"), re.compile(r"[^\s](?:[^\n\r]*[^\s])?")
 REST_OF_NAME = re.compile(NAME, re.A)
 _SIGN = re.compile(r"[A-Za-z0-9_.\-\"'][ \t]*+[:=(]|--")
-#: A bare word without digits is a constant; one longer than this may be a value as well.
-LONG_WORD = 81
+#: A bare word without digits is a constant; if its parts are on average not so long, it may be a value as well.
+PARTS_OF_NAMES = (3, 15)
 
 # Fixed weights of the words in a target's name.
 SENSITIVE = {
@@ -80,6 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+@lru_cache(4096)
 def name_score(name: str) -> float:
     """Sum of the weights of the words that a name is made of."""
     return float(sum(SENSITIVE.get(w, 0) + HARMLESS.get(w, 0) for w in (p.lower() for p in _PART.findall(name))))
@@ -95,20 +97,48 @@ def literal_score(value: str) -> float:
     return 0.5 * (kinds - 1) + 0.4 * (entropy - 2) + (0.5 if n >= 16 else 0)
 
 
+def like_a_name(word: str) -> bool:
+    """Whether a word of letters, dots, dashes and underscores reads as a name: a constant, not a value."""
+    parts = _PART.findall(word)
+    return bool(parts) and PARTS_OF_NAMES[0] <= sum(map(len, parts)) / len(parts) <= PARTS_OF_NAMES[1]
+
+
 Place = tuple[int, int]
+#: A dotted name: a hash that can be extended by a further part, and the sum of the weights of its words.
+Path = tuple[int, float]
+_PRIME = 2**128 - 159
+
+
+def longer(path: Path, name: str) -> Path:
+    """``path`` with one more part, in time of the part alone."""
+    raw = (f".{name}" if path != NO_PATH else name).encode()
+    return (path[0] * pow(256, len(raw), _PRIME) + int.from_bytes(raw, "big")) % _PRIME, path[1] + name_score(name)
+
+
+NO_PATH: Path = (0, 0.0)
 
 
 class Lexer:
-    """One pass over a text: ``pairs`` of a name and the literals it was given, and ``given``: constant -> names it was given to."""
+    """One pass over a text: ``pairs`` of a name, its path and the literals it was given; ``given``: constant -> names and paths it was given to; ``own``: the score of each by itself.
+
+    Names, paths and constants are hashes, as paths may be as long as brackets are deep.
+    """
 
     def __init__(self, text: str):
-        self.text, self.pairs, self.given = text, [], defaultdict(set)
-        self.section = ""
-        #: What encloses the place read: (name, indentation, False) of an indented key, or (name, -1, True) of a bracket.
-        self.scopes: list[tuple[str, int, bool]] = []
+        self.text, self.pairs, self.given, self.own = text, [], defaultdict(set), {}
+        self.section = NO_PATH
+        #: What encloses the place read: (path, indentation, False) of an indented key, or (path, -1, True) of a bracket.
+        self.scopes: list[tuple[Path, int, bool]] = []
         self.indent = 0
         self._scan()
 
+    def _enter(self, name: str, indent: int, bracket: bool) -> None:
+        around = self._around()
+        self.scopes.append((longer(around, name) if name else around, indent, bracket))
+
+    def _around(self) -> Path:
+        return self.scopes[-1][0] if self.scopes else self.section
+
     def _scan(self) -> None:
         text, at, end = self.text, self._line(0), len(self.text)
         held, adjacent = "", False  # the name before the place, which a sign may follow, and whether it ends there
@@ -135,7 +165,7 @@ class Lexer:
             elif kind == "open":
                 if m[0] == "(" and name and adjacent:
                     self._call(name, at)
-                self.scopes.append(("", -1, True))
+                self._enter("", -1, True)
             elif kind == "close":
                 while self.scopes and not self.scopes.pop()[2]:
                     pass
@@ -151,14 +181,15 @@ class Lexer:
             while self.scopes and not self.scopes[-1][2] and self.scopes[-1][1] >= self.indent:
                 self.scopes.pop()
         if text[at] == "[" and (header := SECTION.match(text, at)):
-            self.section, self.scopes = header[1].strip("\"' \t"), []
+            self.section, self.scopes = longer(NO_PATH, header[1].strip("\"' \t")), []
             return header.end()
         return at
 
-    def _named(self, name: str) -> tuple[str, str]:
-        """The name itself, and with what encloses it: the section and the last three keys."""
-        around = [self.section, *(s[0] for s in self.scopes[-3:])]
-        return name, ".".join([*(x for x in around if x), name])
+    def _named(self, name: str) -> tuple[int, int]:
+        """The name itself, and with all that encloses it, the section first."""
+        both = longer(NO_PATH, name), longer(self._around(), name)
+        self.own.update(both)
+        return both[0][0], both[1][0]
 
     def _give(self, name: str, places: list[Place], at: int) -> int:
         """Notes the literals, which end at ``at``; gives where to go on: within the first with white space, which is no value but may hold assignments, else behind them."""
@@ -167,13 +198,15 @@ class Lexer:
         return next((s for s, e in places if SPACED.search(self.text, s, e)), at)
 
     def _term(self, name: str, m: re.Match) -> Place | None:
-        """The place of a literal; a bare word without digits is a constant, one that is long may be a value as well."""
+        """The place of a literal; a bare word without digits is a constant, one that doesn't read as a name may be a value as well."""
         raw, s, e = m[0], m.start(), m.end()
         if raw[0] in "\"'`":
             return s + 1, e - 1
         if REST_OF_NAME.fullmatch(raw) and not any(c.isdigit() for c in raw):
-            self.given[raw].update(self._named(name))
-            if e - s <= LONG_WORD:
+            constant, score = longer(NO_PATH, raw)
+            self.own[constant] = score
+            self.given[constant].update(self._named(name))
+            if like_a_name(raw):
                 return None
         return s, e
 
@@ -182,12 +215,12 @@ class Lexer:
         text = self.text
         at = BLANK.match(text, at).end()
         if at >= len(text) or text[at] in "\n\r":
-            self.scopes.append((name, self.indent, False))
+            self._enter(name, self.indent, False)
             return at
         if block := BLOCK.match(text, at):
             return self._block(name, block.end())
         if text[at] in "{[":
-            self.scopes.append((name, -1, True))
+            self._enter(name, -1, True)
             return at + 1
         if text[at] == "(":
             return self._strings(name, at + 1)
@@ -220,7 +253,7 @@ class Lexer:
                 break
             places.append((m.start() + 1, m.end() - 1))
             at = m.end()
-        self.scopes.append((name, -1, True))
+        self._enter(name, -1, True)
         return self._give(name, places, at) if places else start
 
     def _block(self, name: str, at: int) -> int:
@@ -255,17 +288,17 @@ class Lexer:
         return past
 
 
-def best_scores(own: dict[str, float], given: dict[str, set[str]]) -> dict[str, float]:
+def best_scores(own: dict, given: dict) -> dict:
     """For each name the best score among its own and those of the names it was given to, step by step.
 
     Names are taken by falling score; each passes its score on to the constants given to
     it that have none yet. So every assignment is looked at once, cycles included.
     """
-    holds: dict[str, list[str]] = defaultdict(list)
+    holds: dict = defaultdict(list)
     for constant, names in given.items():
         for n in names:
             holds[n].append(constant)
-    best: dict[str, float] = {}
+    best: dict = {}
     for name in sorted(own, key=lambda n: -own[n]):
         todo = [name]
         while todo:
@@ -281,9 +314,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     if not _SIGN.search(text):
         return []
     lexer = Lexer(text)
-    names = {x for name, path, _ in lexer.pairs for x in (name, path)} | set(lexer.given)
-    own = {n: name_score(n) for n in names.union(*lexer.given.values())}
-    best = best_scores(own, lexer.given)
+    best = best_scores(lexer.own, lexer.given)
     found: set[Place] = set()
     for name, path, places in lexer.pairs:
         score = max(best[name], best[path])
@@ -301,17 +332,17 @@ KINDS = ("assign", "access", "hex", "lexed")
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """All spans by start and kind; a lexed one that lies within a base span or holds one isn't repeated."""
+    """All spans by start and kind; a lexed one that lies within a base span isn't repeated, one that reaches beyond it stands beside it."""
     base = sorted(base_spans(text))
     starts, ends = [s for s, _, _ in base], []
     for _, _, e in base:
         ends.append(max(e, ends[-1]) if ends else e)  # the farthest end so far
 
-    def free(span: tuple[int, int, int]) -> bool:
-        before = bisect_left(starts, span[2])  # base spans that start before this one ends
-        return not before or ends[before - 1] <= span[0]
+    def beyond(span: tuple[int, int, int]) -> bool:
+        before = bisect_right(starts, span[0])  # base spans that start no later
+        return not before or ends[before - 1] < span[2]
 
-    return sorted(base + [x for x in lexed_spans(text) if free(x)])
+    return sorted(base + [x for x in lexed_spans(text) if beyond(x)])
 
 
 def scan(docs: DataFrame, out: str = "secrets") -> DataFrame:

@@ -38,6 +38,10 @@ def lexed(text: str) -> list[str]:
         (f"a = b\nb = a\njwt = a\nb = '{V}'", [V]),
         (f"db_pwd = 'your-{V}'\npassword_hint = '{V}'\npublic_example_key = '{V}'", []),
         (f"f(secret_sauce: [\n\nthen: {V}", []),
+        (f"a:\n b:\n  jwt:\n   d:\n    e:\n     f:\n      g:\n       v: '{V}'", [V]),
+        (f"jwt: {{a: {{b: {{c: {{d: {{e: '{V}'}}}}}}}}}}", [V]),
+        ("jwt = qWeRtYuIoPaSdFgHjKlZxCvBnMqWeRtYuIoPaSdF", ["qWeRtYuIoPaSdFgHjKlZxCvBnMqWeRtYuIoPaSdF"]),
+        ("jwt = getUserPasswordFromDatabase", []), ("jwt_pin = current_working_directory_of_the_service_that_is_to_be_started_by_the_host_of_it", []),
         ("db_pwd =", []), ("db_pwd = '", []), ('db_pwd = """', []), ("db_pwd: |", []), ("db_pwd = (", []), ("--", []), ("[a", []), ("", []),
     ],
 )
@@ -87,3 +91,30 @@ def test_columns_of_any_name_stay(spark):
     got = secret_scan.scan(docs)
     assert sorted(got.columns) == sorted(docs.columns) and [r._secrets_struct for r in got.orderBy("doc_id").collect()] == ["x", None]
     assert secret_scan.redact(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [('password = "Zx9kLmQ2wX$7abYtR9pQvvKK"', "Zx9kLmQ2wX$7abYtR9pQvvKK"), ("api_key: abcdefgh!QWERTYsecretTAIL99", "abcdefgh!QWERTYsecretTAIL99"), ('"token": "abcdefgh,ijk$lmnopqr12"', "abcdefgh,ijk$lmnopqr12")],
+)
+def test_nothing_is_left_behind_a_base_span(spark, text, hidden):
+    spans = secret_scan.spans(text)
+    assert (text.index(hidden), 3, text.index(hidden) + len(hidden)) in spans and spans[0][1] == 0
+    left = secret_scan.redact(spark.createDataFrame([(1, f"a {text} b")], "doc_id long, text string"), "#").first().text
+    assert not any(hidden[k : k + 4] in left for k in range(len(hidden) - 3)) and left.startswith("a ") and left.endswith(" b")
+
+
+def test_redacted_texts_have_no_character_of_a_span(spark):
+    rng = random.Random(4)
+    names = ["password", "db_pwd", "token", "jwt", "secret_key", "note", "api_key", "auth"]
+    value = lambda: "".join(rng.choice("abcXYZ0189$!,+/=_-#") for _ in range(rng.randint(3, 40)))
+    texts = []
+    for _ in range(400):
+        quote = rng.choice(["", '"', "'"])
+        texts.append(rng.choice(["", "x\n", "auth:\n  "]) + " ".join(f"{rng.choice(names)}{rng.choice([': ', ' = ', '='])}{quote}{value()}{quote}" for _ in range(rng.randint(1, 3))) + rng.choice(["", " end"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.redact(docs, "\x01").collect():
+        text, covered = texts[r.doc_id], set()
+        for s, _, e in [*secret_scan.base_spans(text), *secret_scan.lexed_spans(text)]:
+            covered.update(range(s, e))
+        assert r.text.replace("\x01", "") == "".join(c for k, c in enumerate(text) if k not in covered)
