@@ -133,14 +133,26 @@ def greedy_windows(df: DataFrame, start: str, score: str, length: int, most: int
     return df.sparkSession.createDataFrame(picked, df.select(start, score).schema)
 
 
+#: Up to so many rows in all are summed by a plain window.
+FEW_ROWS = 20_000
+
+
 def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, str | Column], reverse: bool = False, before: bool = False, parts: int = 64) -> DataFrame:
     """``df`` with running sums along ``order`` (a number) within ``by``: up to and with the row's value, or with ``before`` without it; from the end with ``reverse``.
 
     The range of ``order`` is cut into ``parts`` at its approximate quantiles. A part is
     summed by itself and starts from the totals of the parts before it, which are one row
     a part and group: so no task holds a whole group, however many different values it has.
+    A table of no more than ``FEW_ROWS``, which is counted, is summed in one piece.
     """
-    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    edges, rows = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / parts for k in range(1, parts)], 1000), F.count(F.lit(1))).first()
+    edges = edges or []
+    if rows <= FEW_ROWS:
+        w = W.partitionBy(*by).orderBy(F.col(order).desc() if reverse else F.col(order).asc())
+        upto = lambda c: F.coalesce(F.sum(c).over(w.rangeBetween(W.unboundedPreceding, 0)), F.lit(0))
+        own = lambda c: F.coalesce(F.sum(c).over(W.partitionBy(*by, order)), F.lit(0)) if before else F.lit(0)
+        made = df.select("*", *[((upto(c) - own(c)) if before else upto(c)).alias(f"_sum_{n}") for n, c in ((n, F.col(c) if isinstance(c, str) else c) for n, c in sums.items())])
+        return made.select(*[c for c in df.columns if c not in sums], *[F.col(f"_sum_{n}").alias(n) for n in sums])
     cut = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
     dealt = df.withColumns({f"_in_{n}": F.col(c) if isinstance(c, str) else c for n, c in sums.items()})
     dealt = dealt.withColumn("_part", F.size(F.filter(cut, lambda e: e < F.col(order))))

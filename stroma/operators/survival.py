@@ -18,19 +18,17 @@ from stroma.sources.tables import materialise, ship_package
 
 
 def counts(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
-    """(by, time, d, c, n): events, censored and at risk at each time. Times are counted before any order is needed."""
+    """(by, time, d, c, n): events, censored and at risk at each time. Times are counted before any order is needed; no task holds all times of a group."""
     at = df.where(F.col(time).isNotNull()).groupBy(*by, time).agg(F.count_if(F.col(event)).alias("d"), F.count_if(~F.col(event)).alias("c"))
-    later = W.partitionBy(*by).orderBy(F.col(time).desc()).rowsBetween(W.unboundedPreceding, 0)
-    return at.withColumn("n", F.sum(F.col("d") + F.col("c")).over(later))
+    return running_sums(at, by, time, {"n": F.col("d") + F.col("c")}, reverse=True)
 
 
 def kaplan_meier(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
     """(by, time, d, n, survival) at every time with an event: the product of 1 - d / n, as a sum of logarithms; 0 once all at risk have gone."""
     at = counts(df, by, time, event).where("d > 0")
-    sofar = W.partitionBy(*by).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    left = F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n")))
-    gone = F.max((F.col("d") >= F.col("n")).cast("int")).over(sofar)
-    return at.select(*by, time, "d", "n", F.when(gone == 1, 0.0).otherwise(F.exp(F.sum(left).over(sofar))).alias("survival"))
+    left = F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)
+    curve = running_sums(at, by, time, {"_log": left, "_gone": (F.col("d") >= F.col("n")).cast("int")})
+    return curve.select(*by, time, "d", "n", F.when(F.col("_gone") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"))
 
 
 def survival_quantile(curve: DataFrame, by: list[str], time: str, q: float) -> DataFrame:
@@ -94,6 +92,43 @@ def pairwise_logrank(df: DataFrame, group: str, time: str, event: str) -> DataFr
     return sums.withColumn("chi2", F.try_divide(F.pow(F.col("observed") - F.col("expected"), 2), F.col("variance")))
 
 
+def logrank_robust(df: DataFrame, by: list[str], group: str, time: str, event: str, cluster: str) -> DataFrame:
+    """(by, n, events, score, information, robust, chi2, log_ratio, robust_se): the two-sample log-rank score with errors by cluster.
+
+    A row's share of the score is what its own event adds, group less the group's share of
+    those at risk, less what the pooled hazard made it expect up to its time: differences
+    of prefix sums over times. ``robust`` is the sum over clusters of their squared shares,
+    ``information`` the hypergeometric variance; ``log_ratio`` is one Newton step from 0,
+    above 0 where the group (a boolean) has its events sooner. Rows with a null in any
+    column but ``by`` are left out. Rows of one cluster, time, group and event are counted
+    first, so what is joined with the times has a row for each of these.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(cluster).isNotNull())
+    cells = rows.groupBy(*by, F.col(cluster).alias("_c"), F.col(time).alias("_t"), F.col(group).cast("int").alias("_z"), F.col(event).cast("int").alias("_e")).agg(F.count(F.lit(1)).alias("_m"))
+    at = cells.groupBy(*by, "_t").agg(F.sum(F.col("_m") * F.col("_e")).alias("_d"), F.sum("_m").alias("_n"), F.sum(F.col("_m") * F.col("_z")).alias("_nz"))
+    at = running_sums(at, by, "_t", {"_risk": "_n", "_risk_z": "_nz"}, reverse=True)
+    at = at.withColumns({"_share": F.col("_risk_z") / F.col("_risk"), "_hazard": F.col("_d") / F.col("_risk")})
+    n, share = F.col("_risk"), F.col("_share")
+    information = F.when(n > 1, F.col("_d") * (n - F.col("_d")) / (n - 1) * share * (1 - share)).otherwise(0.0)
+    at = running_sums(at.withColumn("_v", information), by, "_t", {"_all": "_hazard", "_own": F.col("_share") * F.col("_hazard")})
+    at = at.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_t").alias("_at"), "_share", "_v", "_all", "_own")
+    same = F.col("_t") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    part = F.col("_e") * (F.col("_z") - F.col("_share")) - F.when(F.col("_z") > 0, F.col("_all") - F.col("_own")).otherwise(-F.col("_own"))
+    clusters = cells.join(at, same).groupBy(*by, "_c").agg(F.sum(part * F.col("_m")).alias("_u"), F.sum("_m").alias("_rows"), F.sum(F.col("_m") * F.col("_e")).alias("_events"))
+    sums = clusters.groupBy(*by).agg(F.sum("_rows").alias("n"), F.sum("_events").alias("events"), F.sum("_u").alias("score"), F.sum(F.col("_u") * F.col("_u")).alias("robust"))
+    model = at.groupBy(*[f"_by_{c}" for c in by]).agg(F.sum("_v").alias("information"))
+    if by:
+        match = F.lit(True)
+        for c in by:
+            match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        both = sums.join(model, match)
+    else:
+        both = sums.crossJoin(F.broadcast(model))  # one row each
+    return both.select(*by, "n", "events", "score", "information", "robust", F.try_divide(F.col("score") * F.col("score"), F.col("robust")).alias("chi2"), F.try_divide("score", "information").alias("log_ratio"), F.try_divide(F.sqrt("robust"), F.col("information")).alias("robust_se"))
+
+
 def recovery_times(stream: DataFrame, keys: list[str], day: str, ts: str, tie: str, onset: Column, calm: Column, foreign: Column) -> DataFrame:
     """Each ``onset`` row with ``minutes`` to its recovery and whether it was seen (``recovered``).
 
@@ -124,23 +159,22 @@ def holm(ps: list[float]) -> list[float]:
     return out
 
 
-def km_bootstrap(df: DataFrame, cluster: str, time: str, event: str, q: float, draws: int, seed: int) -> DataFrame:
-    """(estimate, lo, hi) of the first time with survival <= q over resamples of the clusters, weighed on the executors; infinite where a curve stays above.
+def km_bootstrap(df: DataFrame, cluster: str, time: str, event: str, q: float, draws: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """(by, estimate, lo, hi) of the first time with survival <= q over resamples of the clusters, weighed on the executors; infinite where a curve stays above.
 
     The bounds are the draws next to the 2.5 and 97.5 % places of their order, as there may be infinite ones.
     """
+    by = by or []
     rows = df.where(F.col(time).isNotNull()).withColumn("_d", F.when(F.col(event), 1.0).otherwise(0.0)).withColumn("_m", F.lit(1.0))
-    sums = resampled_sums(rows, cluster, time, ["_d", "_m"], draws, seed)
-    risk = W.partitionBy("draw").orderBy(F.col(time).desc()).rowsBetween(W.unboundedPreceding, 0)
-    at = sums.withColumn("_n", F.sum("_m").over(risk)).where("_d > 0")
-    sofar = W.partitionBy("draw").orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    sums = resampled_sums(rows, cluster, [*by, time], ["_d", "_m"], draws, seed)
+    at = running_sums(sums, ["draw", *by], time, {"_n": "_m"}, reverse=True).where("_d > 0")
     left = F.when(F.col("_d") < F.col("_n"), F.log(1 - F.col("_d") / F.col("_n")))
-    gone = F.max((F.col("_d") >= F.col("_n")).cast("int")).over(sofar)
-    curve = at.withColumn("survival", F.when(gone == 1, 0.0).otherwise(F.exp(F.sum(left).over(sofar))))
-    found = survival_quantile(curve, ["draw"], time, q)
+    gone = (F.col("_d") >= F.col("_n")).cast("int")
+    curve = running_sums(at, ["draw", *by], time, {"_log": F.coalesce(left, F.lit(0.0)), "_gone": gone}).withColumn("survival", F.when(F.col("_gone") > 0, 0.0).otherwise(F.exp("_log")))
+    found = survival_quantile(curve, ["draw", *by], time, q)
     drawn = F.array_sort(F.collect_list(F.when(F.col("draw") >= 0, F.col("quantile"))))  # one number a draw
     near = lambda p: F.get("_all", F.floor((F.size("_all") - 1) * p + 0.5).cast("int"))
-    return found.agg(F.max(F.when(F.col("draw") < 0, F.col("quantile"))).alias("estimate"), drawn.alias("_all")).select("estimate", near(0.025).alias("lo"), near(0.975).alias("hi"))
+    return found.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("quantile"))).alias("estimate"), drawn.alias("_all")).select(*by, "estimate", near(0.025).alias("lo"), near(0.975).alias("hi"))
 
 
 # --- Cox regression ---------------------------------------------------------

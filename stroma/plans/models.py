@@ -183,11 +183,11 @@ def aft_regression(spark, sf_dir):
     return spark.createDataFrame(rows, "law string, term string, coefficient double, se double")
 
 
-_DRAWS = 100
+_DRAWS = 500
 
 
 @query(f"""WITH {_TIMES}, draws AS (SELECT unnest(range(-1, {_DRAWS})) AS draw), users AS (SELECT DISTINCT user_id FROM times), w AS (SELECT draw, user_id, CASE WHEN draw < 0 THEN 1 ELSE {weight_sql(1, "draw", "user_id")} END AS w FROM draws, users),
-a AS (SELECT draw, t, sum(w * e::INT) AS d, sum(w) AS m FROM times JOIN w USING (user_id) GROUP BY 1, 2), r AS (SELECT *, sum(m) OVER (PARTITION BY draw ORDER BY t DESC) AS n FROM a),
+own AS (SELECT user_id, t, sum(e::INT) AS d, count(*) AS m FROM times GROUP BY 1, 2), a AS (SELECT draw, t, sum(w * d) AS d, sum(w * m) AS m FROM own JOIN w USING (user_id) GROUP BY 1, 2), r AS (SELECT *, sum(m) OVER (PARTITION BY draw ORDER BY t DESC) AS n FROM a),
 km AS (SELECT draw, t, CASE WHEN max((d >= n)::INT) OVER q = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d / n) END) OVER q) END AS s FROM r WHERE d > 0 WINDOW q AS (PARTITION BY draw ORDER BY t)),
 f AS (SELECT draw, coalesce(min(t) FILTER (s <= 0.5 + 1e-12), 'inf'::DOUBLE)::DOUBLE AS q FROM km GROUP BY 1), l AS (SELECT list_sort(list(q) FILTER (draw >= 0)) AS x, max(q) FILTER (draw < 0) AS estimate FROM f)
 SELECT estimate, x[floor((len(x) - 1) * 0.025 + 0.5)::INT + 1] AS lo, x[floor((len(x) - 1) * 0.975 + 0.5)::INT + 1] AS hi FROM l""")

@@ -70,14 +70,14 @@ def baseline_corrected_response(spark, sf_dir):
     return d.groupBy("rel_min").agg(F.count("difference").alias("n"), r6(F.avg("difference")).alias("mean"), r6(F.stddev_samp("difference")).alias("sd"))
 
 
-@query(f"""WITH e AS (SELECT ts::DATE::VARCHAR AS day, hour(ts) AS hour, value FROM events), w AS (SELECT draw, day, CASE WHEN draw < 0 THEN 1 ELSE {weight_sql(42, "draw", "day")} END AS w FROM (SELECT unnest(range(-1, 200)) AS draw), (SELECT DISTINCT day FROM e)),
-m AS (SELECT draw, hour, CASE WHEN sum(w) > 0 THEN sum(w * value) / sum(w) END AS m FROM e JOIN w USING (day) GROUP BY 1, 2)
+@query(f"""WITH e AS (SELECT ts::DATE::VARCHAR AS day, hour(ts) AS hour, value FROM events), w AS (SELECT draw, day, CASE WHEN draw < 0 THEN 1 ELSE {weight_sql(42, "draw", "day")} END AS w FROM (SELECT unnest(range(-1, 1000)) AS draw), (SELECT DISTINCT day FROM e)), c AS (SELECT day, hour, sum(value) AS s, count(value) AS n FROM e GROUP BY 1, 2),
+m AS (SELECT draw, hour, CASE WHEN sum(w * n) > 0 THEN sum(w * s) / sum(w * n) END AS m FROM c JOIN w USING (day) GROUP BY 1, 2)
 SELECT hour, round(max(m) FILTER (draw < 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (draw >= 0), 6) AS lo, round(quantile_cont(m, 0.975) FILTER (draw >= 0), 6) AS hi FROM m GROUP BY 1""")
 def cluster_bootstrap_band(spark, sf_dir):
     """Mean value by hour of the day, with a band by resampling days."""
     e = _events(spark, sf_dir)
     d = e.select(F.col("ts").cast("date").cast("string").alias("day"), F.hour("ts").alias("hour"), "value")
-    b = es.cluster_bootstrap(d, "day", "hour", "value", 200, 42)
+    b = es.cluster_bootstrap(d, "day", "hour", "value", 1000, 42)
     return b.select("hour", *[r6(F.col(c)).alias(c) for c in ("mean", "lo", "hi")])
 
 

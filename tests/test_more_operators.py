@@ -21,7 +21,9 @@ T0 = dt.datetime(2024, 1, 1, 8)
 
 @pytest.mark.parametrize("reverse", [False, True])
 @pytest.mark.parametrize("before", [False, True])
-def test_running_sums_in_parts(spark, reverse, before):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_running_sums_in_parts(spark, monkeypatch, reverse, before, few):
+    monkeypatch.setattr(ordered, "FEW_ROWS", few)
     rng = np.random.default_rng(0)
     rows = [(str(g), float(t), float(v)) for g, t, v in zip(rng.integers(0, 3, 500), rng.integers(0, 90, 500), rng.integers(0, 9, 500))]
     df = spark.createDataFrame(rows, "g string, t double, v double")
