@@ -232,7 +232,8 @@ def test_long_paths_are_contracted(spark):
 
 
 @pytest.mark.parametrize("name", ["binary_scores", "logrank_counts", "rank_sum_ranking", "logrank_covariance"])
-def test_running_sums_are_dealt_in_parts(spark, name):
-    """What is summed along all times or forecasts is exchanged by parts; only a row a part comes together."""
+def test_running_sums_are_dealt_in_parts(spark, monkeypatch, name):
+    """What is summed along more than a few times or forecasts is exchanged by parts; only a row a part comes together."""
+    monkeypatch.setattr(ordered, "FEW_ROWS", 0)
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_part" in plan or "_part#" in plan.split("hashpartitioning(")[-1] or any("_part#" in x for x in plan.split("hashpartitioning(")[1:])
