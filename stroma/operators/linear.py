@@ -20,7 +20,11 @@ def gram(df: DataFrame, columns: list[str], by: list[str] | None = None) -> Data
     """
     ship_package(df.sparkSession)
     by = by or []
-    clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    # a new name for a column doubles the constraints that name it, so columns that are doubles keep theirs
+    typed = dict(df.dtypes)
+    clean = df.select(*by, *[F.col(c) if typed[c] == "double" else F.col(c).cast("double").alias(c) for c in columns])
+    unsure = [c for c in columns if clean.schema[c].nullable]
+    clean = clean.na.drop(subset=unsure) if unsure else clean
     kinds = dict(clean.dtypes)
     k = len(columns)
     up = np.triu_indices(k)

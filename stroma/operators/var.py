@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stroma.functions.calendar import MICROS, micros
+from stroma.functions.calendar import MICROS, from_micros, micros
 from stroma.operators.linear import fit, gram, gram_matrix
+from stroma.sources.tables import ship_package
 
 
 def episodes(wide: DataFrame, series: list[str], ts: str, minutes: int, least: int) -> DataFrame:
@@ -267,6 +269,58 @@ def forecast_errors(blocks: DataFrame, model: Model, horizons: tuple[int, ...])
     return out
 
 
+def recursive_forecasts(blocks: DataFrame, ts: str, minutes: int, model: Model, horizons: list[int]) -> DataFrame:
+    """(episode, step, ts, horizon, series, forecast, walk, truth): forecasts from each row that has the lags, ``horizons`` steps ahead within its episode.
+
+    A row carries the model's state, its last ``order`` values, which is advanced step by
+    step for all rows of an Arrow batch at once, each forecast being the next step's
+    first value. ``ts`` is the time that is forecast; ``walk`` the last known value.
+    """
+    ship_package(blocks.sparkSession)
+    names, p = model.series, model.order
+    k = len(names)
+    w = W.partitionBy("episode").orderBy("step")
+    state = {f"_s{l}_{i}": F.lag(s, l).over(w) if l else F.col(s).cast("double") for l in range(p) for i, s in enumerate(names)}
+    truth = {f"_t{h}_{i}": F.lead(s, h).over(w) for h in horizons for i, s in enumerate(names)}
+    rows = blocks.select("episode", "step", micros(F.col(ts)).alias("_us"), *[c.cast("double").alias(n) for n, c in (state | truth).items()]).na.drop(subset=list(state))
+    constant, law = model.coefficients[0], [model.lag(l) for l in range(1, p + 1)]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda n: batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            held = [np.stack([col(f"_s{l}_{i}") for i in range(k)], 1) for l in range(p)]
+            last = held[0]
+            for h in range(1, max(horizons) + 1):
+                ahead = constant + sum(x @ a.T for x, a in zip(held, law, strict=True))
+                held = [ahead, *held[:-1]]
+                if h in horizons:
+                    for i, s in enumerate(names):
+                        known = np.asarray(col(f"_t{h}_{i}"), float)
+                        at = np.flatnonzero(~np.isnan(known))
+                        take = lambda n: batch.column(batch.schema.names.index(n)).take(pa.array(at))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_pydict({"episode": take("episode"), "step": pa.array(col("step")[at].astype(np.int32)), "_us": pa.array(col("_us")[at] + h * minutes * 60 * MICROS), "horizon": pa.array(np.full(len(at), h, np.int32)), "series": pa.array([s] * len(at)), "forecast": pa.array(ahead[at, i]), "walk": pa.array(last[at, i]), "truth": pa.array(known[at])})
+
+    made = rows.mapInArrow(run, "episode string, step int, _us long, horizon int, series string, forecast double, walk double, truth double")
+    return made.select("episode", "step", from_micros(F.col("_us")).alias(ts), "horizon", "series", "forecast", "walk", "truth")
+
+
+def forecast_scores(train: DataFrame, test: DataFrame, series: list[str], ts: str, minutes: int, order: int, horizons: list[int], by: list[Column] | None = None) -> DataFrame:
+    """(by, series, horizon, n, rmse and mae of var, walk and mean): a model fitted on ``train``'s episodes against the last value and the mean of ``train`` at that weekday and hour, on ``test``'s episodes.
+
+    Targets at a weekday and hour that ``train`` hasn't seen count for the first two alone.
+    """
+    forecasts = recursive_forecasts(test, ts, minutes, fit_var(train, series, order), horizons)
+    known = train.select(F.weekday(ts).alias("_wd"), F.hour(ts).alias("_h"), F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("_v")) for s in series])).alias("c"))
+    means = known.groupBy("_wd", "_h", "c.series").agg(F.avg("c._v").alias("mean"))  # at most 168 a series
+    joined = forecasts.withColumns({"_wd": F.weekday(ts), "_h": F.hour(ts)}).join(F.broadcast(means), ["_wd", "_h", "series"], "left")
+    rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("truth") - F.col(c), 2)))
+    mae = lambda c: F.avg(F.abs(F.col("truth") - F.col(c)))
+    scores = [f(c).alias(f"{n}_{out}") for c, out in (("forecast", "var"), ("walk", "walk"), ("mean", "mean")) for n, f in (("rmse", rmse), ("mae", mae))]
+    return joined.groupBy(*(by or []), "series", "horizon").agg(F.count(F.lit(1)).alias("n"), *scores)
+
+
 def order_grid(blocks: DataFrame, series: list[str], most: int) -> list[tuple[Model, int]]:
     """Models of the orders 1 to ``most``, each on all rows that have its lags, from one pass; with each its number of parameters an equation.
 
@@ -291,6 +345,49 @@ def order_grid(blocks: DataFrame, series: list[str], most: int) -> list[tuple[Mo
     return out
 
 
+def _by_known_lags(blocks: DataFrame, by: list[str], order: str, lagged_: dict[str, tuple[str, int]], most: int) -> DataFrame:
+    """``blocks`` with lags (name: column and how far back), those beyond a block's start 0, and ``_m``, how many rows back there are, at most ``most``."""
+    w = W.partitionBy(*by).orderBy(order)
+    return blocks.withColumns({n: F.coalesce(F.lag(c, k).over(w), F.lit(0.0)) for n, (c, k) in lagged_.items()}).withColumn("_m", F.least(F.row_number().over(w) - 1, F.lit(most)).cast("int"))
+
+
+def order_criteria(blocks: DataFrame, series: list[str], orders: list[int]) -> DataFrame:
+    """(order, rows, parameters, log_det, aic, bic): the joint model of all ``series`` at each order, on all rows with its lags.
+
+    One pass sums the products of the longest design by how many lags a row has; an
+    order's matrix is the sum over rows with as many or more, cut to its columns, and is
+    swept in a task of its own: the pivots of the series behind the regressors multiply to
+    the residuals' determinant. NULL where rows don't exceed parameters or are dependent.
+    """
+    n, most = len(series), max(orders)
+    lags = {f"{s}_lag{k}": (s, k) for k in range(1, most + 1) for s in series}
+    wide = _by_known_lags(blocks, ["episode"], "step", lags, most).where("_m >= 1").withColumn("_one", F.lit(1.0))
+    first_y = 1 + n * most
+    asked = gram(wide, ["_one", *lags, *series], ["_m"]).withColumn("order", F.explode(F.array(*[F.lit(p) for p in orders])))
+    within = lambda c: (F.col(c) < 1 + n * F.col("order")) | (F.col(c) >= first_y)
+    sums = asked.where((F.col("order") <= F.col("_m")) & within("i") & within("j")).groupBy("order", "i", "j").agg(F.sum("total").alias("total"))
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        p = int(rows["order"].iloc[0])
+        at = {c: k for k, c in enumerate([*range(1 + n * p), *range(first_y, first_y + n)])}
+        m = np.zeros((len(at), len(at)))
+        i, j = rows["i"].map(at), rows["j"].map(at)
+        m[i, j] = m[j, i] = rows["total"]
+        t, size = m[0, 0], 1 + n * p
+        log_det = None
+        if t > size:
+            scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+            try:
+                root = np.diag(np.linalg.cholesky(m / np.outer(scale, scale))) * scale
+                log_det = float(2 * np.log(root[size:]).sum() - n * math.log(t))
+            except np.linalg.LinAlgError:
+                pass
+        known = log_det is not None
+        return pd.DataFrame({"order": [p], "rows": [int(t)], "parameters": [size], "log_det": [log_det], "aic": [log_det + 2 / t * n * size if known else None], "bic": [log_det + math.log(t) / t * n * size if known else None]})
+
+    return sums.groupBy("order").applyInPandas(sweep, "order int, rows long, parameters int, log_det double, aic double, bic double")
+
+
 def guarded(blocks: DataFrame, series: list[str], orders: range, least: float = 3.0) -> DataFrame:
     """(order, rows, parameters, ratio, allowed): whether observations for each parameter are enough to fit all series together."""
     steps = blocks.groupBy("episode").agg(F.count(F.lit(1)).alias("_n"))
@@ -336,6 +433,66 @@ def unit_root(df: DataFrame, by: list[str], order: str, value: str, lags: int, l
     return gram(d, columns, by).groupBy(*by).applyInPandas(solve, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long, statistic double, rejected_at_5 boolean"]))
 
 
+#: Response surfaces of MacKinnon's critical values of the test with a constant: b0 + b1 / n + b2 / n^2 + b3 / n^3 (fixed values, 2010).
+SURFACES = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def critical_value(level: float, n: Column) -> Column:
+    b0, b1, b2, b3 = SURFACES[level]
+    return F.lit(b0) + b1 / n + b2 / (n * n) + b3 / (n * n * n)
+
+
+def unit_root_lags(df: DataFrame, by: list[str], order: str, value: str, most: int, least: int) -> DataFrame:
+    """(by, n, lags, statistic, p_range): augmented Dickey-Fuller with a constant, lags chosen by AIC, for each block of ``least`` values or more.
+
+    Up to ``most`` lagged differences, and no more than 12 (n / 100)^(1/4) or a third of
+    the block, are compared on the rows that have them all; the chosen regression then
+    takes every row that has its lags. ``p_range`` is read from critical values at the
+    rows taken: below 0.01, to 0.05, to 0.10, above. A block's sums of products are made
+    from one pass, by how many lags a row has; no block is held whole. Null values are
+    left out; constant blocks have no statistic.
+    """
+    known = df.where(F.col(value).isNotNull())
+    w = W.partitionBy(*by).orderBy(order)
+    d = known.withColumns({"_many": F.count(F.lit(1)).over(W.partitionBy(*by)), "_y": F.lag(value).over(w)}).withColumn("_d", F.col(value) - F.col("_y"))
+    d = d.where((F.col("_many") >= least) & F.col("_y").isNotNull()).withColumn("_one", F.lit(1.0))
+    lags = {f"_d{k}": ("_d", k) for k in range(1, most + 1)}
+    wide = _by_known_lags(d, by, order, lags, most)
+    columns, kinds = ["_one", "_y", *lags, "_d"], dict(df.dtypes)
+    last = len(columns) - 1
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros((most + 1, last + 1, last + 1))
+        m, i, j = rows["_m"], rows["i"], rows["j"]
+        sums[m, i, j] = sums[m, j, i] = rows["total"]
+        n_all = sums[:, 0, 0].sum() + 1  # the first value has no difference
+        top = int(max(0, min(most, math.ceil(12 * (n_all / 100) ** 0.25), n_all // 3)))
+
+        def fitted(k: int, from_: int) -> tuple[np.ndarray, float, float, np.ndarray]:
+            keep = [*range(2 + k), last]
+            g = sums[from_:].sum(0)[np.ix_(keep, keep)]
+            b, rest = fit(g, 2 + k)
+            return b, float(rest[0, 0]), g[0, 0], g[: 2 + k, : 2 + k]
+
+        def aic(k: int) -> float:
+            _, rest, n, _ = fitted(k, top)
+            return n * math.log(max(rest, 1e-300) / n) + 2 * (2 + k) if n > 2 + k else math.inf
+
+        best = min(range(top + 1), key=lambda k: (round(aic(k), 9), k))
+        b, rest, n, xx = fitted(best, best)
+        free, spread = n - 2 - best, xx[1, 1] - xx[0, 1] ** 2 / xx[0, 0]
+        stat = None
+        if free > 0 and spread > 1e-12 * xx[1, 1] and rest > 1e-12 * sums[:, last, last].sum():
+            se = math.sqrt(rest / free * np.linalg.pinv(xx)[1, 1])
+            stat = float(b[1, 0] / se) if se > 0 else None
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in by}, "n": [int(n)], "lags": [best], "statistic": [stat]})
+
+    found = gram(wide, columns, [*by, "_m"]).groupBy(*by).applyInPandas(solve, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long, lags int, statistic double"]))
+    s, n = F.col("statistic"), F.col("n")
+    span = F.when(s < critical_value(0.01, n), "below 0.01").when(s < critical_value(0.05, n), "to 0.05").when(s < critical_value(0.10, n), "to 0.10").when(s.isNotNull(), "above 0.10")
+    return found.withColumn("p_range", span)
+
+
 def arch_lm(df: DataFrame, keys: list[str], block: list[str], order: str, value: str) -> DataFrame:
     """(keys, n, lm): Engle's test of one lag: n times the R squared of the squares on the squares before them in the same block; chi squared with one degree."""
     w = W.partitionBy(*keys, *block).orderBy(order)

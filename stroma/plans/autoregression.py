@@ -14,6 +14,7 @@ from stroma.functions.calendar import MICROS, micros
 from stroma.functions.numbers import harmonics, r6
 from stroma.operators import evaluate, grid, linear, ordered, var
 from stroma.plans.base import query, table
+from stroma.sources.tables import materialise
 from stroma.plans.models import _HOURLY, TYPES, _blocks, _detrended, _forecast, _hourly
 
 _NAMES = {"types": TYPES, "halves": [f"{t}{k}" for t in TYPES for k in (0, 1)]}
@@ -28,6 +29,8 @@ def _wide(spark, sf_dir, minutes: int, limit: int, least: int, of: str = "types"
     cells = grid.state_grid(e, "event_type", "ts", "value", minutes, 100.0).select("window", "event_type", "mean")
     filled = ordered.interpolate(cells, ["event_type"], ["window"], "mean", limit, "filled")
     wide = filled.groupBy("window").pivot("event_type", _NAMES[of]).agg(F.first("filled"))
+    if len(_NAMES[of]) > 5:  # else the optimiser's constraints on the pivot of many series outgrow its memory
+        wide = materialise(wide, "wide")
     return var.episodes(wide, _NAMES[of], "window", minutes, least), _NAMES[of]
 
 

@@ -2,6 +2,7 @@
 
 from stroma.plans import autoregression as _autoregression  # noqa: F401
 from stroma.plans import composite as _composite  # noqa: F401
+from stroma.plans import forecasts as _forecasts  # noqa: F401
 from stroma.plans import inference as _inference  # noqa: F401
 from stroma.plans import models as _models  # noqa: F401
 from stroma.plans import ordered as _ordered  # noqa: F401
