@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stroma.functions.names import resolve_aliases
 from stroma.operators import bootstrap, cooccurrence, design, evaluate, features, ordered, simulate, survival, var
+from stroma.operators import components
 from stroma.operators.components import connected_components
 from stroma.plans.registry import QUERIES
 from stroma.sources.tables import discard, materialise, shared_folder
@@ -225,7 +226,9 @@ def test_tables_are_discarded(spark):
     assert not system.exists(path) and shared_folder(spark).startswith("file:")
 
 
-def test_long_paths_are_contracted(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_long_paths_are_contracted(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, "test-path").collect()}
     assert set(got.values()) == {0, 500} and got[200] == 0 and len(got) == 203
