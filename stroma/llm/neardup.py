@@ -366,8 +366,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     pair, on 512-byte sketches, in blocks of bounded rows. No group of rows is larger than
     a block, so a group of any size is many even tasks.
 
-    Null or word-less texts have no shingles and stand alone. A row is judged by its own
-    text, also where rows share a doc_id; ``text_key``, a hash of the text, tells these
+    Null or word-less texts have no shingles and stand alone. What is linked are classes of
+    equal sets, each with a number of its own; so a row is judged by its own text, also
+    where rows share a doc_id. ``component_id`` is the smallest doc_id of a component, and
+    ``kept`` are the rows of that doc_id in one of the component's classes, so that each
+    component keeps some row; ``text_key``, a hash of the text, tells rows of one doc_id
     apart. A null doc_id stays null and kept. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
@@ -376,16 +379,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     signed = materialise(signed, "neardup-signed")
     first = F.min(F.struct("doc_id", "text_key")).alias("_first")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(first, F.any_value("bands").alias("bands"))
-    classes = materialise(classes.select("fp1", "fp2", "n_shingles", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("text_key"), "bands"), "neardup-classes")
+    # numbered as they are written: rows that share a doc_id may be of several classes
+    number = F.monotonically_increasing_id().alias("node")
+    classes = materialise(classes.select("fp1", "fp2", "n_shingles", number, F.col("_first.doc_id").alias("doc_id"), F.col("_first.text_key").alias("text_key"), "bands"), "neardup-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo <> _hi").select("band", "size")
     members = materialise(banded.join(shared, "band").select("band", "size", "node"), "neardup-members")
 
     some = members.select("node").distinct()
-    wanted = classes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "text_key")
-    wanted = materialise(wanted, "neardup-wanted")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", "text_key"], "left_semi")
-    texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "neardup-texts")
+    wanted = materialise(classes.join(some, "node", "left_semi").select("node", "doc_id", "text_key"), "neardup-wanted")
+    nodes = wanted.count()
+    texts = docs.join(F.broadcast(wanted) if nodes <= BROADCAST_IDS else wanted, ["doc_id", "text_key"])
+    texts = materialise(texts.select("node", "text"), "neardup-texts")
+    if texts.count() > nodes:  # rows of one id and text
+        texts = materialise(texts.dropDuplicates(["node"]), "neardup-single")
     sketches = materialise(texts.mapInArrow(_sketch(size, bands, rows), "node long, n_shingles long, sketch array<long>, keys array<long>"), "neardup-sketches")
 
     search = _Search(texts, members, sketches, size, percent, farthest(percent))
@@ -398,10 +405,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         turn += 1
     if pairs:
         search.rest(current, top, many)
-    named = classes.select("fp1", "fp2", "n_shingles", "node")
-    if search.labels is not None:
-        named = named.join(search.labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
-    named = named.select("fp1", "fp2", "n_shingles", F.col("node").alias("_component"))
+    named = classes.select("fp1", "fp2", "n_shingles", "node", "doc_id", F.col("text_key").alias("_key"))
+    own = F.struct("doc_id", "node", "_key")
+    if search.labels is None:
+        named = named.withColumn("_keeper", own)
+    else:
+        labelled = named.join(search.labels, "node").select("node", "component", own.alias("_own"))
+        first = labelled.groupBy("component").agg(F.min("_own").alias("_first"))
+        linked_ = labelled.join(first, "component").select("node", "_first")
+        named = named.join(linked_, "node", "left").withColumn("_keeper", F.coalesce("_first", own))
+    named = named.select("fp1", "fp2", "n_shingles", F.col("_keeper.doc_id").alias("_component"), (F.col("node") == F.col("_keeper.node")).alias("_first_class"), F.col("_keeper._key").alias("_key"))
     out = signed.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    kept = (F.col("doc_id") == component) & F.coalesce(F.col("_first_class") & (F.col("text_key") == F.col("_key")), F.lit(True))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_key")

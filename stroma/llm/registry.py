@@ -63,7 +63,8 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # at 85 % 24 bands of 6 miss a pair at the threshold with probability 1.2e-5
-    return near_duplicates(documents(spark, sf_dir), percent=85, bands=24, rows=6).drop("text_key")
+    found = near_duplicates(documents(spark, sf_dir), percent=85, bands=24, rows=6)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stroma.operators import components
 from stroma.llm import decontaminate, line_rules, neardup, packing, secret_scan, sharding, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +126,46 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     assert len({(r.doc_id, r.text_key) for r in got}) == 6
 
 
+def test_groups_of_one_id_are_not_welded(spark):
+    """Two groups of near copies that share a doc_id, but no text, stay two."""
+    text = lambda c, k: " ".join(f"{c}{j}" for j in range(200)) + f" {c}end{k}"
+    rows = [(1, text("a", 0)), (5, text("a", 1)), (5, text("b", 0)), (9, text("b", 1))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)])
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_of_every_text_some_linked_one_is_kept(spark, monkeypatch, few):
+    """On rows that share ids, with near copies, copies and the same words in other spacing: components are those of the texts, and each keeps one text."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(6)
+    families = [[f"f{f}w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 60, 150]))] for f in range(25)]
+    rows = []
+    for _ in range(160):
+        words = list(rng.choice(families))
+        if rng.random() < 0.5:
+            words[-1] = f"x{rng.randrange(3)}"
+        rows.append((rng.randrange(40), rng.choice([" ", "  "]).join(words)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    sets = {t: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) or {tuple(t.split())} for _, t in rows}
+    names = sorted(sets)
+    component = brute_components({k: sets[t] for k, t in enumerate(names)}, 80)
+    least = {}
+    for i, t in rows:
+        c = component[names.index(t)]
+        least[c] = min(i, least.get(c, i))
+    keys = {r.text: r.k for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("k")).collect()}
+    by_key = {k: t for t, k in keys.items()}
+    kept = defaultdict(set)
+    for r in got:
+        c = component[names.index(by_key[r.text_key])]
+        assert r.component_id == least[c]
+        if r.kept:
+            kept[c].add((r.doc_id, r.text_key))
+    assert set(kept) == set(component.values()) and all(len(v) == 1 for v in kept.values())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert neardup.near_duplicates(frame(spark, [(1, None) + (None,) * 7])).collect()[0].kept
