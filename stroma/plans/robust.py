@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stroma.functions.numbers import cut, r6
 from stroma.operators import placebo, survival
 from stroma.operators.bootstrap import band, resampled_moments, weight_sql
-from stroma.plans.base import query, table
+from stroma.plans.base import SQL, query, table
 from stroma.plans.inference import _RECOVERY, _recovery
 from stroma.plans.models import _TIMES, _times
+from stroma.sources import builder
+from stroma.sources.tables import materialise, new_folder
 
 _INF = float("inf")
 
@@ -75,6 +77,23 @@ def placebo_anchored(spark, sf_dir):
     return placebo.placebo_anchored(errors, e, errors, ["user_id"], "event_id", "event_id", "ts", _K, _DAYS, _BEFORE, _AFTER, 120, _SEED)
 
 
+_TABLE = "kind string, event_id long, user_id long, draw int, at timestamp_ntz, day string"
+
+
+@query("""WITH p AS (""" + SQL["placebo_uniform"] + """) SELECT 'event' AS kind, event_id, user_id, NULL::INT AS draw, ts AS at, ts::DATE::VARCHAR AS day FROM events WHERE event_type = 'error' UNION ALL SELECT 'placebo', event_id, user_id, draw, "at", ("at")::DATE::VARCHAR FROM p""")
+def episode_tables(spark, sf_dir):
+    """Events and their placebos as one table built by days: in two runs, of which the second makes some days of the first anew."""
+    e, errors = _placebo(spark, sf_dir)
+    drawn = placebo.placebo_uniform(errors, e, errors, ["user_id"], "event_id", "ts", _K, _DAYS, _BEFORE, _AFTER, _SEED)
+    rows = errors.select(F.lit("event").alias("kind"), "event_id", "user_id", F.lit(None).cast("int").alias("draw"), F.col("ts").alias("at"))
+    rows = rows.unionByName(drawn.select(F.lit("placebo").alias("kind"), "event_id", "user_id", "draw", "at"))
+    rows = materialise(rows.withColumn("day", F.col("at").cast("date").cast("string")), "episode-rows")
+    path = new_folder(spark, "episode-tables")
+    builder.build(rows.where("dayofmonth(at) <= 20"), path, "day")
+    builder.build(rows.where("dayofmonth(at) > 10"), path, "day")
+    return builder.read(spark, path, _TABLE)
+
+
 # --- slopes by resampling ---------------------------------------------------
 
 _SLOPE_DRAWS = 1000

@@ -44,6 +44,16 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return read
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The address of a folder in the shared folder that nothing uses yet, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that ``materialise`` wrote, once nothing that is still to run reads it."""
     path = getattr(df, "_stroma_path", None)
