@@ -4,7 +4,9 @@ A window of an item is the set of its word shingles with their places. Shingles
 ordered by rarity in the documents; as all of a window's shingles must be present, its
 prefix is the rarest one. A document is joined with the windows whose prefix it has;
 the prefix's place gives where the window would lie, which must be within the document;
-what is left is compared word by word.
+the words there are looked up among the distinct windows of that size and compared one by
+one. Equal windows are one, with a list of items, so a text of one repeated word costs no
+more than another.
 
 Items up to a counted size are held as flat arrays in a broadcast; more are joined by a
 shuffle on the prefix. Either way the documents are read twice: once for the rarity of
@@ -16,9 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import LOWER, NON_ALNUM, Words, annotate, materialise, shingles, ship_package, slices, text_buffers
+from stroma.llm.shared import LOWER, NON_ALNUM, Words, annotate, materialise, shingles, shingles_at, ship_package, slices, text_buffers
 
 WINDOW, SHINGLE = 13, 4
 #: Items of at most so many bytes are broadcast (about eight times as many bytes of arrays); more are joined by a shuffle.
@@ -27,6 +30,8 @@ BROADCAST_BYTES = 4 << 20
 ONE_OF = 20
 #: Shingles are counted in this many cells (a power of two), by their highest bits: the order of rarity needs no more.
 CELL_BITS = 18
+#: Tasks that share a token's places where items are joined by a shuffle.
+SALTS = 8
 #: Bits of the map that turns away shingles which are no window's prefix, at most.
 FILTER_BITS = 26
 
@@ -94,15 +99,32 @@ class Windows:
     def text(self, k: int) -> bytes:
         return canonical(self._raw, self._found, int(self.start[k]), int(self.start[k] + self.size[k]))
 
-    def vocabulary(self) -> dict[int, bytes]:
-        """The bytes of each word by its hash. Raises if two words share one, so that equal hashes of words found here are equal words."""
+    def vocabulary(self) -> tuple[dict[int, bytes], set[int]]:
+        """The bytes of each word by its hash, and the hashes that different words share."""
         _, first = np.unique(self.hashes, return_index=True)
         out = {int(self.hashes[k]): canonical(self._raw, self._found, int(k), int(k) + 1) for k in first.tolist()}
-        data = LOWER[self._raw]
+        data, shared = LOWER[self._raw], set()
         for h, s, e in zip(self.hashes.tolist(), self._found.starts.tolist(), self._found.ends.tolist()):
             if out[h] != data[s:e].tobytes():
-                raise ValueError("two words of the items share a hash")
-        return out
+                shared.add(h)
+        return out, shared
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One window of each words, sorted by size and hash; that hash; and (number of that window, item) of all items that have it."""
+        hashed = np.zeros(len(self.item), np.uint64)
+        for n in np.unique(self.size).tolist():
+            mine = np.flatnonzero(self.size == n)
+            hashed[mine] = shingles_at(self.hashes, self.start[mine], n)
+        order = np.lexsort((hashed, self.size))
+        size, start = self.size[order], self.start[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (size[1:] == size[:-1]) & (hashed[order][1:] == hashed[order][:-1])
+        for o in range(int(size.max()) if len(size) else 0):  # word by word with the one before
+            asked = np.flatnonzero(same & (size > o))
+            same[asked] = self.hashes[start[asked] + o] == self.hashes[start[asked - 1] + o]
+        first = order[~same]
+        pairs = np.unique(np.stack([np.cumsum(~same) - 1, self.item[order]], 1), axis=0)
+        return first, hashed[first], pairs
 
 
 def prefix_map(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -112,22 +134,36 @@ def prefix_map(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Index:
-    """What a task needs of broadcast items: the windows by prefix."""
+    """What a task needs of broadcast items: the distinct windows, their items, and for each prefix at which places of which sizes it stands in some window."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int, frequency: np.ndarray):
         w = Windows(pa.array([t for _, t in items], pa.large_string()), window, shingle, frequency)
         self.ids = [i for i, _ in items]
-        order = np.lexsort((w.prefix, w.grams))
-        self.hashes, self.vocabulary = w.hashes, w.vocabulary()
-        self.item, self.start, self.size, self.shift = w.item[order].astype(np.int32), w.start[order].astype(np.int32), w.size[order].astype(np.int16), w.shift[order].astype(np.int16)
+        self.hashes = w.hashes
+        self.vocabulary, unsure = w.vocabulary()
+        first, hashed, pairs = w.distinct()
+        self.start, self.size = w.start[first].astype(np.int64), w.size[first].astype(np.int64)
+        self.item, self.items_at = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.windows = {}
+        for n in np.unique(self.size).tolist():
+            lo, hi = np.searchsorted(self.size, [n, n + 1])
+            self.windows[n] = (hashed[lo:hi], int(lo))
+        #: The bytes of windows with a word whose hash another word shares.
+        self.exact = {k: w.text(int(f)) for k, f in enumerate(first.tolist()) if unsure & set(w.hashes[w.start[f] : w.start[f] + w.size[f]].tolist())} if unsure else {}
+        for h in unsure:
+            del self.vocabulary[h]
         self.by = {}
-        for n in np.unique(w.grams).tolist():
-            lo, hi = np.searchsorted(w.grams[order], [n, n + 1])
-            tokens, first = np.unique(w.prefix[order][lo:hi], return_index=True)
-            self.by[n] = (tokens, np.append(first, hi - lo).astype(np.int64) + lo)
+        grams, prefix, shift = w.grams[first], w.prefix[first], w.shift[first].astype(np.int64)
+        for n in np.unique(grams).tolist():
+            mine = np.flatnonzero(grams == n)
+            mine = mine[np.lexsort((self.size[mine], shift[mine], prefix[mine]))]
+            p, s, z = prefix[mine], shift[mine], self.size[mine]
+            new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]) | (z[1:] != z[:-1])])
+            tokens, at = np.unique(p[new], return_index=True)
+            self.by[n] = (tokens, np.append(at, int(new.sum())), s[new], z[new])
 
     def maps(self) -> dict[int, np.ndarray]:
-        return {n: prefix_map(t, min(FILTER_BITS, max(12, int(np.ceil(np.log2(16 * len(t) + 1)))))) for n, (t, _) in self.by.items()}
+        return {n: prefix_map(t, min(FILTER_BITS, max(12, int(np.ceil(np.log2(16 * len(t) + 1)))))) for n, (t, *_) in self.by.items()}
 
 
 def _matcher(index: Index):
@@ -141,7 +177,7 @@ def _matcher(index: Index):
                 found = Words(raw, offs[i : j + 1], NON_ALNUM)
                 data, hashes, at = raw[int(offs[i]) :], found.hashes, found.at
                 starts, wins, docs = [], [], []
-                for n, (tokens, first) in index.by.items():
+                for n, (tokens, first, shifts, sizes) in index.by.items():
                     grams = shingles(hashes, n)
                     spot = np.flatnonzero(maps[n][(grams >> np.uint64(64 - maps[n].size.bit_length() + 1)).astype(np.int64)])
                     place = np.minimum(np.searchsorted(tokens, grams[spot]), len(tokens) - 1)
@@ -151,34 +187,33 @@ def _matcher(index: Index):
                     for lo, hi in _portions(many):
                         m = many[lo:hi]
                         where = np.repeat(spot[lo:hi], m)
-                        win = np.arange(len(where)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[place[lo:hi]], m)
+                        way = np.arange(len(where)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[place[lo:hi]], m)
                         doc = np.searchsorted(at, where, "right") - 1
-                        start = where - index.shift[win]
-                        ok = (start >= at[doc]) & (start + index.size[win] <= at[doc + 1])
-                        start, win, doc = start[ok], win[ok], doc[ok]
-                        for o in range(int(index.size[win].max()) if len(win) else 0):
-                            within = index.size[win] > o
-                            ok = ~within | (hashes[np.where(within, start + o, 0)] == index.hashes[np.where(within, index.start[win] + o, 0)])
-                            start, win, doc = start[ok], win[ok], doc[ok]
-                        starts.append(start)
-                        wins.append(win)
-                        docs.append(doc)
+                        start, size = where - shifts[way], sizes[way]
+                        ok = (start >= at[doc]) & (start + size <= at[doc + 1])
+                        for start, win, doc in _looked_up(index, hashes, start[ok], size[ok], doc[ok]):
+                            starts.append(start)
+                            wins.append(win)
+                            docs.append(doc)
                 n_words.append(at[1:] - at[:-1])
                 own, places = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
                 if sum(map(len, starts)):
                     start, win, doc = map(np.concatenate, (starts, wins, docs))
                     hit = _covered(len(hashes), start, index.size[win])
-                    wrong = [p for p in np.flatnonzero(hit).tolist() if LOWER[data[found.starts[p] : found.ends[p]]].tobytes() != index.vocabulary[int(hashes[p])]]
+                    if index.exact:
+                        ok = np.array([k not in index.exact or canonical(data, found, s, s + z) == index.exact[k] for s, k, z in zip(start.tolist(), win.tolist(), index.size[win].tolist())])
+                        start, win, doc = start[ok], win[ok], doc[ok]
+                    wrong = [p for p in np.flatnonzero(hit).tolist() if (known := index.vocabulary.get(int(hashes[p]))) is not None and LOWER[data[found.starts[p] : found.ends[p]]].tobytes() != known]
                     if wrong:  # words of equal hashes that aren't equal: their windows don't count
                         before = np.concatenate([[0], np.cumsum(np.bincount(wrong, minlength=len(hashes)))])
                         ok = before[start + index.size[win]] == before[start]
                         start, win, doc = start[ok], win[ok], doc[ok]
-                        hit = _covered(len(hashes), start, index.size[win])
+                    hit = _covered(len(hashes), start, index.size[win])
                     total = np.concatenate([[0], np.cumsum(hit)])
                     n_hit.append(total[at[1:]] - total[at[:-1]])
-                    pairs = np.unique(np.stack([doc, index.item[win]], 1), axis=0)
+                    pairs = np.unique(np.stack([doc, win], 1), axis=0)
                     for d, cut in zip(*_groups(pairs[:, 0])):
-                        own[d] = sorted({index.ids[k] for k in pairs[cut, 1].tolist()})
+                        own[d] = sorted({index.ids[k] for x in pairs[cut, 1].tolist() for k in index.item[index.items_at[x] : index.items_at[x + 1]].tolist()})
                         edge = np.diff(np.concatenate([[0], hit[at[d] : at[d + 1]].astype(np.int8), [0]]))
                         places[d] = [{"first": a, "past": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
                 else:
@@ -194,6 +229,23 @@ def _matcher(index: Index):
     return compute
 
 
+def _looked_up(index: Index, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray):
+    """(start, window, text) of the candidates at ``start`` whose words are a window's: found by the hash of all words, then compared word by word."""
+    for n in np.unique(size).tolist():
+        mine = np.flatnonzero(size == n)
+        s, d = start[mine], doc[mine]
+        keys, base = index.windows[n]
+        h = shingles_at(hashes, s, n)
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        m = hi - lo
+        win = base + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+        s, d = np.repeat(s, m), np.repeat(d, m)
+        for o in range(n):
+            ok = hashes[s + o] == index.hashes[index.start[win] + o]
+            s, win, d = s[ok], win[ok], d[ok]
+        yield s, win, d
+
+
 def _portions(many: np.ndarray, limit: int = 1 << 18):
     """Ranges of candidates with about ``limit`` windows each."""
     total = np.concatenate([[0], np.cumsum(many)])
@@ -296,11 +348,16 @@ def _joined(docs: DataFrame, items: DataFrame, out: str, window: int, shingle: i
     text = F.col("text").cast("string")
     keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64(text).alias("key"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
     places = keyed.mapInArrow(_candidate_rows(window, sizes, spark.sparkContext.broadcast(bitmap), bits), "key long, crc long, token long, grams int, place long, before int, around string")
-    both = places.join(windows, ["token", "grams"]).where("before >= shift")
+    # equal windows are one, whoever's they are; a token's places are dealt to several tasks, each with the token's windows
+    numbered = windows.groupBy("token", "grams", "shift", "size", "words").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"))
+    numbered = materialise(numbered.withColumn("win", F.monotonically_increasing_id()), "passages-distinct")
+    dealt = numbered.drop("_ids").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = places.withColumn("_salt", F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")).join(dealt, ["token", "grams", "_salt"]).where("before >= shift")
     same = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("shift") + 1, F.col("size")), " ") == F.col("words")
     first = F.col("place") - F.col("shift")
-    hits = both.where(same).select("key", "crc", F.struct(first.alias("first"), (first + F.col("size")).alias("past")).alias("span"), "item_id")
-    found = hits.groupBy("key", "crc").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"), merged(F.array_sort(F.collect_set("span"))).alias("_spans"))
+    hits = materialise(both.where(same).select("key", "crc", first.alias("first"), (first + F.col("size")).alias("past"), "win").distinct(), "passages-hits")
+    ids = hits.select("key", "crc", "win").distinct().join(numbered.select("win", F.explode("_ids").alias("item_id")), "win").groupBy("key", "crc").agg(F.array_sort(F.collect_set("item_id")).alias("_ids"))
+    found = ids.join(united_spans(hits), ["key", "crc"]).select("key", "crc", "_ids", "_spans")
     found = materialise(found, "passages-found").toDF("_key", "_crc", "_ids", "_spans")
 
     def compute():
@@ -319,13 +376,13 @@ def _joined(docs: DataFrame, items: DataFrame, out: str, window: int, shingle: i
     return joined.select(*[counted[c] for c in counted.columns if c != out], struct.alias(out))
 
 
-def merged(spans: Column) -> Column:
-    """Sorted spans, those that overlap or touch made one."""
-    empty = F.array().cast("array<struct<first: bigint, past: bigint>>")
-    last = lambda a: F.element_at(a, -1)
-    joins = lambda a, x: (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["past"] >= x["first"])
-    longer = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["past"], x["past"]).alias("past"))))
-    return F.aggregate(spans, empty, lambda a, x: F.when(joins(a, x), longer(a, x)).otherwise(F.concat(a, F.array(x))))
+def united_spans(hits: DataFrame) -> DataFrame:
+    """(key, crc, _spans): each text's spans in order, those that overlap or touch made one, in one walk along them."""
+    w = W.partitionBy("key", "crc").orderBy("first", "past")
+    reach = F.max("past").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = hits.select("key", "crc", "first", "past").distinct().withColumn("_new", F.when(F.col("first") <= reach, 0).otherwise(1))
+    runs = marked.withColumn("_run", F.sum("_new").over(w)).groupBy("key", "crc", "_run").agg(F.min("first").alias("first"), F.max("past").alias("past"))
+    return runs.groupBy("key", "crc").agg(F.array_sort(F.collect_list(F.struct("first", "past"))).alias("_spans"))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, out: str = "passages", window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

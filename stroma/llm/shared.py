@@ -189,6 +189,14 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def shingles_at(hashes: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of ``size`` words at ``places``, as ``shingles`` gives them."""
+    out = np.full(len(places), np.uint64(size), np.uint64)
+    for k in range(size):
+        out = out + hashes[places + k] * _STEPS[k % 64]
+    return mix(out)
+
+
 def annotate(docs: DataFrame, out: str, fields: str, compute, text: str = "text") -> DataFrame:
     """``docs`` and a struct column ``out`` that ``compute`` makes of each Arrow batch's text column.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from decimal import Decimal  # noqa: F401
@@ -212,6 +213,60 @@ def test_passages_match_brute_force(spark, most):
         assert sum(s.past - s.first for s in r.spans) == hit
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+def test_passages_of_few_words_match_brute_force(spark, most):
+    """Repeated words, windows that several items share, and overlapping runs of hits."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("aab") for _ in range(n))
+    items = [(k, text(rng.choice([1, 2, 12, 13, 14, 40]))) for k in range(12)] + [(50, "a " * 30), (51, "a " * 13), (52, "a " * 60), (53, "a b " * 20), (54, "b a " * 9)]
+    docs = documents(spark, [text(rng.randint(0, 50)) for _ in range(25)] + ["a " * 300, "a b " * 150, "x " + "a " * 20 + "x " + "a b " * 10, None])
+    got = decontaminate.find_passages(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=most)
+    for r in got.select("text", "passages.*").collect():
+        assert (r.n_words, r.n_hit, list(r.item_ids)) == brute_passages(r.text, items), r.text
+        assert sum(s.past - s.first for s in r.spans) == r.n_hit and all(a.past < b.first for a, b in zip(r.spans, r.spans[1:]))
+
+
+def test_repeated_words_take_linear_time():
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        index = decontaminate.Index([("1", "one " * n)], 13, 4, np.zeros(1 << decontaminate.CELL_BITS, np.int64))
+        assert len(index.start) == 1
+        found = decontaminate._matcher(index)()(pa.array(["one " * n]))
+        assert found[1].to_pylist() == [n]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3 and took[1] < 2
+    many = decontaminate.Index([(str(k), "one " * 60) for k in range(1000)], 13, 4, np.zeros(1 << decontaminate.CELL_BITS, np.int64))
+    began = time.process_time()
+    assert len(decontaminate._matcher(many)()(pa.array(["one " * 20_000]))[2][0].as_py()) == 1000
+    assert time.process_time() - began < 2
+
+
+def test_repeated_words_by_shuffle(spark):
+    docs = spark.createDataFrame([(1, "one " * 20_000)], "doc_id long, text string")
+    r = decontaminate.find_passages(docs, spark.createDataFrame([(k, "one " * 500) for k in range(100)], "item_id long, text string"), broadcast_bytes=0).select("passages.*").first()
+    assert (r.n_words, r.n_hit, len(r.item_ids), len(r.spans)) == (20_000, 20_000, 100, 1)
+
+
+def test_words_of_items_that_share_a_hash_are_told_apart(monkeypatch):
+    """As if o and z had one hash: windows with either are compared by their bytes."""
+    item, text = "a b c d e f g h i j k l m n o", "x a b c d e f g h i j k l m n o y a b c d e f g h i j k l m n z"
+    real = decontaminate.Words
+    table = {}
+
+    class Clash(real):
+        def __init__(self, raw, offs, *args):
+            super().__init__(raw, offs, *args)
+            base = raw[int(offs[0]) :]
+            words = [base[s:e].tobytes() for s, e in zip(self.starts.tolist(), self.ends.tolist())]
+            self.hashes = np.array([table.setdefault(b"o" if w == b"z" else w, h) for w, h in zip(words, self.hashes.tolist())], np.uint64)
+
+    monkeypatch.setattr(decontaminate, "Words", Clash)
+    index = decontaminate.Index([("1", item), ("2", "z y")], 13, 4, np.zeros(1 << decontaminate.CELL_BITS, np.int64))
+    assert len(index.exact) == 2
+    assert [x.to_pylist()[0] for x in decontaminate._matcher(index)()(pa.array([text]))][1:3] == [29, ["1"]]
+
+
 def test_words_of_equal_hash_but_other_bytes_do_not_hit():
     item, text = "a b c d e f g h i j k l m n o", "x y a b c d e f g h i j k l m n o a b c"
     index = decontaminate.Index([("1", item)], 13, 4, np.zeros(1 << decontaminate.CELL_BITS, np.int64))
