@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stroma.sources.tables import materialise
+
 from stroma.functions.calendar import MICROS, day_type, micros, rush_hour
 from stroma.operators.ordered import lag_pairs
 from stroma.operators.ranges import asof
@@ -115,6 +117,50 @@ def boosted(train: DataFrame, columns: list[str], label: str, trees: int = 20, d
     return Pipeline(stages=steps).fit(ready)
 
 
+def boosted_grid(train: DataFrame, columns: list[str], label: str, held: str, grid: list[tuple[int, float]], trees: int = 60, patience: float = 0.005, seed: int = 1) -> tuple[object, DataFrame]:
+    """The best of several boosted models by their log loss where the column ``held`` is true, and (depth, step, trees, n, log_loss, chosen) of all.
+
+    Rows with ``held`` stop the fit: boosting ends when their error falls by less than
+    ``patience`` of itself, and the trees up to the best are kept (Spark's
+    ``validationIndicatorCol``). Features may be null (-99). The rows are written once for all fits.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = materialise(numeric(train.select(*columns, label, held), columns).withColumn("_y", F.col(label).cast("double")), "boosted-rows")
+    rows, fitted = [], []
+    for depth, step in grid:
+        tree = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=1.0, validationIndicatorCol=held, validationTol=patience)
+        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), tree]).fit(ready)
+        loss = log_loss(model, ready.where(F.col(held)), columns, label)
+        rows.append((depth, step, len(model.stages[-1].trees), loss["n"], loss["log_loss"]))
+        fitted.append(model)
+    best = min(range(len(grid)), key=lambda k: (rows[k][4], k))
+    table = train.sparkSession.createDataFrame([(*r, k == best) for k, r in enumerate(rows)], "depth int, step double, trees int, n long, log_loss double, chosen boolean")
+    return fitted[best], table
+
+
+def log_loss(model, rows: DataFrame, columns: list[str], label: str) -> dict:
+    """n and mean log loss of a boosted model on rows whose label is known."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = model.transform(numeric(rows.select(*columns, label), columns)).withColumn("_p", F.element_at(vector_to_array("probability"), 2))
+    kept = F.least(F.greatest(F.col("_p"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return p.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(label).cast("boolean"), -F.log(kept)).otherwise(-F.log(1 - kept))).alias("log_loss")).first().asDict()
+
+
+def group_log_loss(train: DataFrame, test: DataFrame, by: list[str], label: str, weight: float = 5.0) -> DataFrame:
+    """(n, log_loss) on ``test`` of the share of ``label`` in each group of ``train``, drawn to the whole share by ``weight`` rows; unseen groups have the whole share."""
+    y = F.col(label).cast("int")
+    whole = train.agg(F.avg(y).alias("_all"))
+    shares = train.groupBy(*by).agg(F.sum(y).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    joined = test.join(shares, by, "left").crossJoin(F.broadcast(whole))  # one row
+    p = (F.coalesce("_k", F.lit(0)) + weight * F.col("_all")) / (F.coalesce("_n", F.lit(0)) + weight)
+    kept = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(y == 1, -F.log(kept)).otherwise(-F.log(1 - kept))).alias("log_loss"))
+
+
 def boosted_classes(train: DataFrame, columns: list[str], label: str, trees: int = 5, depth: int = 3, seed: int = 1):
     """One boosted model a class against the rest; ``label`` numbers the classes from 0."""
     from pyspark.ml import Pipeline

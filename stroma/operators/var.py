@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.functions.calendar import MICROS, from_micros, micros
-from stroma.operators.linear import fit, gram, gram_matrix
+from stroma.functions.numbers import harmonics
+from stroma.operators.linear import detrend, fit, gram, gram_matrix
 from stroma.sources.tables import ship_package
 
 
@@ -102,6 +103,42 @@ def from_gram(matrix: np.ndarray, series: list[str], order: int) -> Model:
     return Model(series, order, b, (rest + rest.T) / (2 * t), int(t))
 
 
+def matched_roots(before: Model, after: Model, minutes: int) -> list[dict]:
+    """Each root of ``before`` in the upper half plane, largest first, with the root of ``after`` of the nearest frequency: (rank, modulus, period, modulus_after, period_after, moved).
+
+    Frequencies are angles a step, from 0 to pi; of equally near roots the one of the nearest
+    modulus counts. ``moved`` is the difference of the angles. NULL periods have no oscillation.
+    """
+
+    def upper(m: Model) -> list[tuple[float, float]]:
+        found = [(abs(z), abs(math.atan2(z.imag, z.real))) for z in np.linalg.eigvals(m.companion()) if z.imag > -1e-9]
+        return sorted(((float(r), float(a)) for r, a in found), key=lambda x: (-round(x[0], 9), x[1]))
+
+    period = lambda a: 2 * math.pi / a * minutes if a > 1e-9 else None
+    out, others = [], upper(after)
+    for rank, (r, a) in enumerate(upper(before), 1):
+        r2, a2 = min(others, key=lambda x: (round(abs(x[1] - a), 9), abs(x[0] - r)))
+        out.append({"rank": rank, "modulus": r, "period": period(a), "modulus_after": r2, "period_after": period(a2), "moved": a2 - a})
+    return out
+
+
+def oscillation_placebo(cells: DataFrame, entity: str, series: list[str], ts: str, value: str, hours: str, base: list[tuple[float, int]], extra: list[float], minutes: int, least: int, order: int) -> list[dict]:
+    """``matched_roots`` of the model of ``cells`` (entity, ts, value, hours) detrended with ``base`` harmonics (period in hours, number), and with one more harmonic at each of the ``extra`` periods.
+
+    If an oscillation of the model came from a cycle at such a period, its root would
+    vanish with it. Each detrending is one table of sums an entity; each model one more.
+    """
+
+    def model(terms: list[Column]) -> Model:
+        named = {f"_x{i}": t for i, t in enumerate(terms)}
+        rest = detrend(cells.where(F.col(value).isNotNull()).withColumns(named), entity, value, list(named), "_rest")[0]
+        wide = rest.groupBy(ts).pivot(entity, series).agg(F.first("_rest"))
+        return fit_var(episodes(wide, series, ts, minutes, least), series, order)
+
+    usual = harmonics(F.col(hours), base)
+    return matched_roots(model(usual), model([*usual, *harmonics(F.col(hours), [(p, 1) for p in extra])]), minutes)
+
+
 def variance_shares(responses: np.ndarray, horizon: int, inclusive: bool = False) -> np.ndarray:
     """FEVD: row i's shares of shocks j, adding to 1: of the error ``horizon`` steps ahead (steps 0 to horizon - 1), or with ``inclusive`` the step at the horizon, too."""
     squares = (responses[: horizon + bool(inclusive)] ** 2).sum(0)

@@ -28,3 +28,17 @@ def eliminated(base: str, keys: list[str], pivots: list[int], out: str) -> list[
         before = f"{out}{step}"
     ctes.append(f"{out}_pivots AS ({' UNION ALL '.join(found)})")
     return ctes
+
+
+def coefficients(base: str, keys: list[str], regressors: list[int], y: int, out: str) -> list[str]:
+    """CTEs that solve ``base`` (keys, i, j, v) for the coefficients of ``regressors`` on ``y``; the last one, ``out``, is (keys, i, b)."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+    names, ctes, before = ", ".join(f"a.{k}" for k in keys), [], base
+    for step, p in enumerate(regressors, 1):
+        ctes.append(
+            f"{out}{step} AS (SELECT {names}, a.i, a.j, CASE WHEN a.i = {p} THEN a.v / d.v ELSE a.v - b.v * c.v / d.v END AS v FROM {before} a JOIN {before} d ON {on('a', 'd')} AND d.i = {p} AND d.j = {p} "
+            f"JOIN {before} b ON {on('a', 'b')} AND b.i = a.i AND b.j = {p} JOIN {before} c ON {on('a', 'c')} AND c.i = {p} AND c.j = a.j)"
+        )
+        before = f"{out}{step}"
+    ctes.append(f"{out} AS (SELECT {', '.join(keys)}, i, v AS b FROM {before} WHERE j = {y} AND i <> {y})")
+    return ctes

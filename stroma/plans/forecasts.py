@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from stroma.functions.numbers import r6
 from stroma.operators import var
 from stroma.plans.autoregression import _NAMES, _episodes_sql, _wide
 from stroma.plans.base import query
-from stroma.plans.elimination import eliminated, products
+from stroma.plans.elimination import coefficients, eliminated, products
 from stroma.plans.models import _HOURLY, _hourly
 
 
@@ -129,3 +131,43 @@ def unit_root_lags(spark, sf_dir):
     """Augmented Dickey-Fuller tests with lags chosen by AIC of each long enough day and type."""
     h = _hourly(spark, sf_dir).withColumn("day", F.col("window").cast("date"))
     return var.unit_root_lags(h, ["event_type", "day"], "window", "mean", _MOST, 12).withColumn("statistic", F.round("statistic", 4))
+
+
+# --- oscillations -----------------------------------------------------------
+
+#: Harmonics that are taken out before the model is fitted, and periods that are tried besides, in hours.
+_USUAL, _EXTRA = [(24.0, 1)], [4.0, 9.6]
+
+
+def _oscillation_sql() -> str:
+    terms = [f"{f}(hours * {2 * math.pi / p!r})" for p in (24.0, *_EXTRA) for f in ("sin", "cos")]
+    parts = [products("hourly", "event_type", ["1", *terms, "mean"], "every")]
+    y = len(terms) + 1
+    parts += coefficients("every", ["event_type"], [*range(y)], y, "w1")
+    parts.append(f"few AS (SELECT * FROM every WHERE (i < 3 OR i = {y}) AND (j < 3 OR j = {y}))")
+    parts += coefficients("few", ["event_type"], [0, 1, 2], y, "w0")
+    line = "list_sum(list_transform(range(len(b)), lambda k: b[k + 1] * x[k + 1]))"
+    both = " UNION ALL ".join(f"SELECT {n} AS variant, event_type, list(b ORDER BY i) AS b FROM w{n} GROUP BY 2" for n in (0, 1))
+    return f"""WITH {_HOURLY}, {", ".join(parts)}, laws AS ({both}),
+rest AS (SELECT variant, event_type, "window", mean - {line} AS r FROM (SELECT event_type, "window", mean, [1.0, {", ".join(terms)}] AS x FROM hourly) JOIN laws USING (event_type)),
+wide AS (SELECT variant, "window", "window"::DATE AS day, max(r) FILTER (event_type = 'click') AS a, max(r) FILTER (event_type = 'view') AS b FROM rest GROUP BY 1, 2),
+full_ AS (SELECT *, epoch_us("window") // 3600000000 - row_number() OVER (PARTITION BY variant, day ORDER BY "window") AS g FROM wide WHERE a IS NOT NULL AND b IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY variant, day, g) AS n FROM full_),
+l AS (SELECT *, lag(a) OVER e AS x1, lag(b) OVER e AS x2 FROM sized WHERE n >= 2 WINDOW e AS (PARTITION BY variant, day, g ORDER BY "window")),
+m AS (SELECT variant, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, a) AS a1, covar_pop(x2, a) AS a2, covar_pop(x1, b) AS b1, covar_pop(x2, b) AS b2 FROM l WHERE x1 IS NOT NULL GROUP BY 1),
+c AS (SELECT variant, (a1 * s22 - a2 * s12) / (s11 * s22 - s12 * s12) AS aa, (a2 * s11 - a1 * s12) / (s11 * s22 - s12 * s12) AS ab, (b1 * s22 - b2 * s12) / (s11 * s22 - s12 * s12) AS ba, (b2 * s11 - b1 * s12) / (s11 * s22 - s12 * s12) AS bb FROM m),
+d AS (SELECT variant, (aa + bb) / 2 AS h, aa * bb - ab * ba AS det FROM c),
+z AS (SELECT variant, unnest(CASE WHEN h * h - det < 0 THEN [{{'re': h, 'im': sqrt(det - h * h)}}] ELSE [{{'re': h + sqrt(h * h - det), 'im': 0.0}}, {{'re': h - sqrt(h * h - det), 'im': 0.0}}] END) AS z FROM d),
+p AS (SELECT variant, sqrt(z.re * z.re + z.im * z.im) AS modulus, abs(atan2(z.im, z.re)) AS angle FROM z),
+n AS (SELECT *, row_number() OVER (ORDER BY round(modulus, 9) DESC, angle) AS rank FROM p WHERE variant = 0),
+k AS (SELECT n.rank, n.modulus, n.angle, o.modulus AS m2, o.angle AS a2, row_number() OVER (PARTITION BY n.rank ORDER BY round(abs(o.angle - n.angle), 9), abs(o.modulus - n.modulus)) AS nth FROM n JOIN p o ON o.variant = 1)
+SELECT rank::INT AS rank, round(modulus, 5) AS modulus, round(CASE WHEN angle > 1e-9 THEN 2 * pi() / angle * 60 END, 3) AS period, round(m2, 5) AS modulus_after, round(CASE WHEN a2 > 1e-9 THEN 2 * pi() / a2 * 60 END, 3) AS period_after, round(a2 - angle, 5) + 0.0 AS moved FROM k WHERE nth = 1"""
+
+
+@query(_oscillation_sql())
+def oscillation_roots(spark, sf_dir):
+    """The roots of a pair's hourly model beside those of the model from which two periods more are taken out."""
+    h = _hourly(spark, sf_dir).where(F.col("event_type").isin(_PAIR))
+    rows = var.oscillation_placebo(h, "event_type", _PAIR, "window", "mean", "hours", _USUAL, _EXTRA, 60, 2, 1)
+    found = spark.createDataFrame([tuple(r.values()) for r in rows], "rank int, modulus double, period double, modulus_after double, period_after double, moved double")
+    return found.select("rank", F.round("modulus", 5).alias("modulus"), F.round("period", 3).alias("period"), F.round("modulus_after", 5).alias("modulus_after"), F.round("period_after", 3).alias("period_after"), (F.round("moved", 5) + 0.0).alias("moved"))

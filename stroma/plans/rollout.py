@@ -12,6 +12,7 @@ from stroma.functions.numbers import r6
 from stroma.operators import evaluate, features, ranges, simulate
 from stroma.plans.base import query, table
 from stroma.plans.models import _stops as _plain_stops
+from stroma.sources.tables import materialise
 
 HOUR = 3600 * MICROS
 
@@ -179,3 +180,29 @@ def boosted_cancellation(spark, sf_dir):
     good = F.min("p").between(0, 1) & F.max("p").between(0, 1) & (F.avg(F.pow(F.col("p") - F.col("cancelled_next").cast("double"), 2)) <= 0.25)
     return p.groupBy("part").agg(F.count(F.lit(1)).alias("n"), good.alias("between"))
 
+
+
+_FIT, _HELD, _TEST = "day(day) <= 15", "day(day) > 15 AND day(day) <= 20", "day(day) > 20"
+
+
+@query(f"""WITH {_FEATURES}, kn AS (SELECT line, rank % 3 AS r, cancelled_next::INT AS y, day FROM f WHERE cancelled_next IS NOT NULL), ab AS (SELECT avg(y) AS b FROM kn WHERE {_FIT}), gl AS (SELECT line, r, sum(y) AS s, count(*) AS n FROM kn WHERE {_FIT} GROUP BY 1, 2),
+pl AS (SELECT y, least(greatest((coalesce(s, 0) + 5 * b) / (coalesce(n, 0) + 5), 1e-12), 1 - 1e-12) AS p FROM kn LEFT JOIN gl USING (line, r), ab WHERE {_TEST})
+SELECT count(*) AS n, round(avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS log_loss FROM pl""")
+def group_baseline(spark, sf_dir):
+    """Log loss, on the last days, of the smoothed share of cancellations of a line and rank."""
+    f = _features(spark, sf_dir).where("cancelled_next is not null").withColumn("r", F.col("rank") % 3)
+    day = F.dayofmonth("day")
+    got = features.group_log_loss(f.where(day <= 15), f.where(day > 20), ["line", "r"], "cancelled_next")
+    return got.select("n", r6(F.col("log_loss")).alias("log_loss"))
+
+
+@query()
+def boosting_grid(spark, sf_dir):
+    """Boosting at four grid points, stopped early on five days; the chosen one's log loss on the last days, beside the group baseline's."""
+    columns = ["d_k", "d_km1", "rank", "hour", "plan_gap_pred", "act_gap_pred", "d_pred_k", "d_pred_k1", "net_mean15", "net_n15", "cancel_here30", "cancel_net30", "plan_run"]
+    f = materialise(_features(spark, sf_dir).where("cancelled_next is not null").withColumn("r", F.col("rank") % 3), "boosting-features")
+    day = F.dayofmonth("day")
+    model, grid = features.boosted_grid(f.where(day <= 20).withColumn("held", day > 15), columns, "cancelled_next", "held", [(2, 0.1), (2, 0.3), (4, 0.1), (4, 0.3)], trees=20)
+    test = features.log_loss(model, f.where(day > 20), columns, "cancelled_next")
+    base = features.group_log_loss(f.where(day <= 15), f.where(day > 20), ["line", "r"], "cancelled_next").first()
+    return grid.withColumns({"test_log_loss": F.when(F.col("chosen"), F.lit(test["log_loss"])), "group_log_loss": F.lit(base["log_loss"]), "test_rows": F.lit(test["n"])})

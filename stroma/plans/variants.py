@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stroma.functions.calendar import MICROS, micros, to_local
 from stroma.functions.numbers import r6
 from stroma.operators import eventstudy as es
-from stroma.operators import ranges
+from stroma.operators import ranges, routes
 from stroma.plans.base import query, table
 from stroma.plans.study import _CONTROLS
 
@@ -137,3 +137,28 @@ def route_confidence(spark, sf_dir):
     p = x.join(F.broadcast(steps), "a").join(y, ["user_id", "day", "b"]).groupBy("a").agg(F.count(F.lit(1)).alias("trips"), F.median((micros("_y") - micros("_x")) / (60.0 * MICROS)).alias("_m"), F.avg((F.col("_y") > F.col("_x")).cast("int")).alias("_f"))
     level = F.when(F.col("_f") >= 0.6, "sure").when(F.col("_f") >= 0.45, "likely").when(F.col("_f").isNotNull(), "doubtful")
     return r.join(p, F.col("event_type") == F.col("a"), "left").select("rank", "event_type", "next_type", "trips", r6(F.col("_m")).alias("median_minutes"), level.alias("confidence"))
+
+
+def _picks(steps: int) -> str:
+    """Of the places left, one after the other: the one that the fewest precede, then that precedes most, then by the anchor and by name."""
+    left, out = "w", []
+    for k in range(1, steps + 1):
+        out.append(
+            f"pick{k} AS (SELECT l.p, {k} AS position FROM {left} l LEFT JOIN anchor USING (p) ORDER BY (SELECT count(*) FROM pairs JOIN {left} q ON q.p = pairs.b WHERE pairs.a = l.p AND m > n), "
+            f"(SELECT count(*) FROM pairs JOIN {left} q ON q.p = pairs.b WHERE pairs.a = l.p AND n > m) DESC, r NULLS LAST, l.p LIMIT 1), left{k} AS (SELECT * FROM {left} WHERE p NOT IN (SELECT p FROM pick{k}))"
+        )
+        left = f"left{k}"
+    return ", ".join(out) + ", placed AS (" + " UNION ALL ".join(f"SELECT * FROM pick{k}" for k in range(1, steps + 1)) + ")"
+
+
+@query("""WITH f AS (SELECT user_id, ts::DATE AS day, event_type AS p, min((ts, event_id)) AS k FROM events GROUP BY 1, 2, 3), v AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY k) AS i, count(*) OVER (PARTITION BY user_id, day) AS n FROM f),
+anchor AS (SELECT p, i AS r FROM v WHERE (user_id, day) = (SELECT (user_id, day) FROM v ORDER BY n DESC, user_id, day LIMIT 1)), x AS (SELECT user_id, day, i, r FROM v JOIN anchor USING (p)),
+m AS (SELECT unnest(range(1, 32)) AS mask), s AS (SELECT user_id, day, mask, count(*) AS k, list(i ORDER BY r) AS seq FROM x, m WHERE (mask >> (r - 1)) & 1 = 1 GROUP BY 1, 2, 3), l AS (SELECT user_id, day, max(k) FILTER (seq = list_sort(seq)) AS forward, max(k) FILTER (seq = list_reverse_sort(seq)) AS backward FROM s GROUP BY 1, 2),
+o AS (SELECT v.user_id, v.day, p, CASE WHEN backward > forward THEN -i ELSE i END AS i FROM v LEFT JOIN l USING (user_id, day)), pairs AS (SELECT a.p AS a, b.p AS b, count(*) FILTER (a.i < b.i) AS n, count(*) FILTER (a.i > b.i) AS m FROM o a JOIN o b ON a.user_id = b.user_id AND a.day = b.day AND a.p <> b.p GROUP BY 1, 2),
+w AS (SELECT o.p, count(*) AS trips, coalesce(any_value(before), 0) AS before FROM o LEFT JOIN (SELECT a AS p, count_if(n > m) AS before FROM pairs GROUP BY 1) USING (p) GROUP BY 1), """ + _picks(5) + """, z AS (SELECT w.*, r AS anchor_rank, position FROM w JOIN placed USING (p) LEFT JOIN anchor USING (p)),
+g AS (SELECT a AS p, sum(CASE WHEN za.position < zb.position THEN n ELSE m END) / sum(n + m) AS agreed FROM pairs JOIN z za ON za.p = a JOIN z zb ON zb.p = b GROUP BY 1)
+SELECT z.p AS event_type, position::INT AS position, anchor_rank::INT AS anchor_rank, trips, before::BIGINT AS before, round(agreed, 6) AS agreed FROM z LEFT JOIN g USING (p)""")
+def route_from_trips(spark, sf_dir):
+    """The order of the types along the days of the users, by votes of all days, those against the anchor turned round."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
+    return routes.route_order(e, ["user_id", "day"], "event_type", ["ts", "event_id"]).withColumn("agreed", r6(F.col("agreed")))
