@@ -65,6 +65,36 @@ def fit(matrix: np.ndarray, n_x: int) -> tuple[np.ndarray, np.ndarray]:
     return b, yy - b.T @ xy - xy.T @ b + b.T @ xx @ b
 
 
+def nested_fits(df: DataFrame, by: str, y: str, designs: dict[str, list[str]]) -> DataFrame:
+    """(by, design, n, parameters, variance, aic, bic) of each group's regression of ``y`` on a constant and the columns of each design, from one pass.
+
+    All columns' products are summed once; a design's matrix is cut out of that, on the
+    executors, a group at a time. Variance is that of the residuals over n; AIC = n ln(var) + 2 k,
+    BIC = n ln(var) + k ln(n). Rows of null ``y`` are left out; NULL where rows don't exceed parameters.
+    """
+    columns = list(dict.fromkeys(c for d in designs.values() for c in d))
+    sums = gram(df.withColumn("_one", F.lit(1.0)), ["_one", *columns, y], [by])
+    kind, size = dict(df.dtypes)[by], len(columns) + 2
+    places = {name: [0, *(1 + columns.index(c) for c in d), size - 1] for name, d in designs.items()}
+
+    def solve(rows):
+        import pandas as pd
+
+        m = np.zeros((size, size))
+        m[rows["i"], rows["j"]] = m[rows["j"], rows["i"]] = rows["total"]
+        n, out = m[0, 0], []
+        for name, at in places.items():
+            k = len(at) - 1
+            var = None
+            if n > k:
+                _, rest = fit(m[np.ix_(at, at)], k)
+                var = max(float(rest[0, 0]) / n, 1e-300)
+            out.append((rows[by].iloc[0], name, int(n), k, var, None if var is None else n * np.log(var) + 2 * k, None if var is None else n * np.log(var) + k * np.log(n)))
+        return pd.DataFrame(out, columns=[by, "design", "n", "parameters", "variance", "aic", "bic"])
+
+    return sums.groupBy(by).applyInPandas(solve, f"`{by}` {kind}, design string, n long, parameters int, variance double, aic double, bic double")
+
+
 def detrend(df: DataFrame, by: str, y: str, columns: list[str], out: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with the residual of each group's regression of ``y`` on ``columns`` (a constant is added), and a table of fits.
 

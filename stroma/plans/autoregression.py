@@ -98,12 +98,9 @@ def harmonic_grid(spark, sf_dir):
     h = _hourly(spark, sf_dir)
     terms = {("d", k): x for k, x in enumerate(harmonics(F.col("hours"), [(24.0, 4)]))} | {("w", k): x for k, x in enumerate(harmonics(F.col("hours"), [(168.0, 3)]))}
     wide = h.withColumns({f"{a}{k}": x for (a, k), x in terms.items()})
-    found = {}
-    for d in (1, 2, 4):
-        for w in (0, 1, 3):
-            fits = linear.detrend(wide, "event_type", "mean", [*[f"d{k}" for k in range(2 * d)], *[f"w{k}" for k in range(2 * w)]], "_r")[1]
-            for r in fits.collect():  # one row a type
-                found[r["event_type"], d, w] = (r["n"], r["variance"], r["bic"])
+    designs = {f"{d}|{w}": [*[f"d{k}" for k in range(2 * d)], *[f"w{k}" for k in range(2 * w)]] for d in (1, 2, 4) for w in (0, 1, 3)}
+    fits = linear.nested_fits(wide, "event_type", "mean", designs).collect()  # nine rows a type
+    found = {(r["event_type"], *map(int, r["design"].split("|"))): (r["n"], r["variance"], r["bic"]) for r in fits}
     fewer = {2: 1, 4: 2, 1: 1}
     less = {0: 0, 1: 0, 3: 1}
     rows = [(t, d, w, n, 1 + 2 * d + 2 * w, bool(v <= found[t, fewer[d], w][1] + 1e-9 and v <= found[t, d, less[w]][1] + 1e-9)) for (t, d, w), (n, v, _) in found.items()]

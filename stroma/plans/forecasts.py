@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.functions.numbers import r6
-from stroma.operators import var
+from stroma.functions.numbers import harmonics
+from stroma.operators import linear, var
 from stroma.plans.autoregression import _NAMES, _episodes_sql, _wide
 from stroma.plans.base import query
 from stroma.plans.elimination import coefficients, eliminated, products
@@ -133,6 +133,37 @@ def unit_root_lags(spark, sf_dir):
     return var.unit_root_lags(h, ["event_type", "day"], "window", "mean", _MOST, 12).withColumn("statistic", F.round("statistic", 4))
 
 
+# --- numbers of harmonics ---------------------------------------------------
+
+_DAILY, _WEEKLY = (1, 2, 4), (0, 1, 3)
+
+
+def _harmonic_sql() -> str:
+    """All designs are cut out of one matrix; a design's variance is what is left of the last variable when its own regressors are eliminated."""
+    terms = [f"{f}(hours * {2 * math.pi * k / p!r})" for p, many in ((24.0, 4), (168.0, 3)) for k in range(1, many + 1) for f in ("sin", "cos")]
+    y = len(terms) + 1
+    cut = []
+    for d in _DAILY:
+        for w in _WEEKLY:
+            at = ", ".join(str(k) for k in [0, *range(1, 2 * d + 1), *range(9, 9 + 2 * w), y])
+            cut.append(f"SELECT event_type, {d} AS daily, {w} AS weekly, i, j, v FROM every WHERE i IN ({at}) AND j IN ({at})")
+    sweep = eliminated("base", ["event_type", "daily", "weekly"], [*range(y)], "s")
+    return f"""WITH {_HOURLY}, {products("hourly", "event_type", ["1", *terms, "mean"], "every")}, base AS ({" UNION ALL ".join(cut)}), {", ".join(sweep)},
+n AS (SELECT event_type, any_value(v) AS n FROM every WHERE i = 0 AND j = 0 GROUP BY 1), f AS (SELECT event_type, daily, weekly, n, 1 + 2 * daily + 2 * weekly AS k, v / n AS var FROM s{y} JOIN n USING (event_type) WHERE i = {y} AND j = {y})
+SELECT event_type, daily::INT AS daily, weekly::INT AS weekly, n::BIGINT AS n, k::INT AS parameters, CASE WHEN n > k THEN round(var, 5) END AS variance, CASE WHEN n > k THEN round(n * ln(var) + 2 * k, 4) END AS aic, CASE WHEN n > k THEN round(n * ln(var) + k * ln(n), 4) END AS bic FROM f"""
+
+
+@query(_harmonic_sql())
+def harmonic_orders(spark, sf_dir):
+    """Variance, AIC and BIC by numbers of daily and weekly harmonics, from one table of sums."""
+    h = _hourly(spark, sf_dir)
+    named = {f"{a}{k}": x for a, period, many in (("d", 24.0, 4), ("w", 168.0, 3)) for k, x in enumerate(harmonics(F.col("hours"), [(period, many)]))}
+    designs = {f"{d}|{w}": [*[f"d{k}" for k in range(2 * d)], *[f"w{k}" for k in range(2 * w)]] for d in _DAILY for w in _WEEKLY}
+    got = linear.nested_fits(h.withColumns(named), "event_type", "mean", designs)
+    part = lambda k: F.get(F.split("design", r"\|"), F.lit(k)).cast("int")
+    return got.select("event_type", part(0).alias("daily"), part(1).alias("weekly"), "n", "parameters", F.round("variance", 5).alias("variance"), F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+
+
 # --- oscillations -----------------------------------------------------------
 
 #: Harmonics that are taken out before the model is fitted, and periods that are tried besides, in hours.
