@@ -15,7 +15,7 @@ from stroma.functions.numbers import harmonics, r6
 from stroma.operators import evaluate, grid, linear, ordered, var
 from stroma.plans.base import query, table
 from stroma.sources.tables import materialise
-from stroma.plans.models import _HOURLY, TYPES, _blocks, _detrended, _forecast, _hourly
+from stroma.plans.models import _FORECAST, _HOURLY, TYPES, _blocks, _detrended, _forecast, _hourly
 
 _NAMES = {"types": TYPES, "halves": [f"{t}{k}" for t in TYPES for k in (0, 1)]}
 _ENTITY = {"types": "event_type", "halves": "event_type || (user_id % 2)::VARCHAR"}
@@ -208,6 +208,20 @@ def platt_certificates(spark, sf_dir):
     return spark.createDataFrame([("slope", abs(round(r["s"], 8))), ("offset", abs(round(r["o"], 8)))], "term string, score double")
 
 
+_EACH = "list_sum(list_transform(range(1, len(z) + 1), lambda i: {0}))"
+_Q = "(1 / (1 + exp(-(a * z[i] + b))))"
+
+
+@query(f"""WITH RECURSIVE {_FORECAST}, bins AS (SELECT ln(p / (1 - p)) AS z, count(*) AS n, sum(y::INT) AS k FROM f GROUP BY p), l AS (SELECT list(z ORDER BY z) AS z, list(n ORDER BY z) AS n, list(k ORDER BY z) AS k FROM bins),
+newton(step, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT step + 1, a + (s0 * h11 - s1 * h01) / (h00 * h11 - h01 * h01), b + (s1 * h00 - s0 * h01) / (h00 * h11 - h01 * h01) FROM
+(SELECT step, a, b, {_EACH.format(f"(k[i] - n[i] * {_Q}) * z[i]")} AS s0, {_EACH.format(f"k[i] - n[i] * {_Q}")} AS s1, {_EACH.format(f"n[i] * {_Q} * (1 - {_Q}) * z[i] * z[i]")} AS h00, {_EACH.format(f"n[i] * {_Q} * (1 - {_Q}) * z[i]")} AS h01, {_EACH.format(f"n[i] * {_Q} * (1 - {_Q})")} AS h11 FROM newton, l WHERE step < 30))
+SELECT round(a, 5) AS slope, round(b, 5) AS "offset" FROM newton WHERE step = 30""")
+def platt_line(spark, sf_dir):
+    """The calibration's line itself; the SQL takes thirty Newton steps on the distinct forecasts."""
+    a, b = evaluate.platt(_forecast(spark, sf_dir), "p", "y")
+    return spark.createDataFrame([(round(float(a), 5), round(float(b), 5))], "slope double, offset double")
+
+
 @query("""WITH l AS (SELECT *, lag(ts) OVER w AS pts, lag(value) OVER w AS pv, lag(event_type) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), p AS (SELECT event_type, pt, value - pv AS d, epoch_us(ts) - epoch_us(pts) <= 3600000000 AS near FROM l WHERE pts IS NOT NULL)
 SELECT 'neighbours' AS part, near, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM p GROUP BY 2 UNION ALL SELECT 'line', NULL, count(*), round(avg(t - f), 6), round(stddev_samp(t - f), 6) FROM (SELECT arg_min(value, (ts, event_id)) AS f, arg_max(value, (ts, event_id)) AS t FROM events GROUP BY user_id, ts::DATE HAVING count(*) >= 2)""")
 def increments(spark, sf_dir):

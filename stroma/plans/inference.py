@@ -87,6 +87,22 @@ def cox_solution(spark, sf_dir):
     return spark.createDataFrame([(t, round(float(g), 5) + 0.0, ok) for t, g in zip(terms, grad)], "term string, score double, is_maximum boolean")
 
 
+_OVER = "list_sum(list_transform(range(1, len(n0) + 1), lambda i: {0}))"
+_Z = "(n1[i] * exp(b) / (n0[i] + n1[i] * exp(b)))"
+
+
+@query(f"""WITH RECURSIVE {_TIMES}, k AS (SELECT t, count(*) FILTER (e AND late) AS d1, count(*) FILTER (e AND NOT late) AS d0, count(*) FILTER (late) AS m1, count(*) FILTER (NOT late) AS m0 FROM times GROUP BY 1),
+r AS (SELECT *, sum(m1) OVER (ORDER BY t DESC) AS n1, sum(m0) OVER (ORDER BY t DESC) AS n0 FROM k), tie AS (SELECT t, l, n0 - l / (d0 + d1) * d0 AS n0, n1 - l / (d0 + d1) * d1 AS n1 FROM (SELECT *, unnest(range(d0 + d1)) AS l FROM r WHERE d0 + d1 > 0)),
+l AS (SELECT list(n0 ORDER BY t, l) AS n0, list(n1 ORDER BY t, l) AS n1, (SELECT sum(d1) FROM k) AS hits FROM tie),
+newton(step, b) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT step + 1, b + (hits - {_OVER.format(_Z)}) / {_OVER.format(f"{_Z} * (1 - {_Z})")} FROM newton, l WHERE step < 20)
+SELECT 'late' AS term, round(b, 6) AS coefficient, round(1 / sqrt({_OVER.format(f"{_Z} * (1 - {_Z})")}), 6) AS se, round(hits * b - {_OVER.format("ln(n0[i] + n1[i] * exp(b))")}, 4) AS loglik FROM newton, l WHERE step = 20""")
+def cox_coefficient(spark, sf_dir):
+    """The coefficient itself, of one yes-or-no covariate with Efron's ties; the SQL takes twenty Newton steps over the tied events."""
+    x = _times(spark, sf_dir).select("t", "e", F.col("late").cast("double").alias("late"))
+    m = survival.cox(x, ["late"], "t", "e")
+    return spark.createDataFrame([("late", round(float(m["coefficients"][0]), 6), round(float(m["se"][0]), 6), round(float(m["loglik"]), 4))], "term string, coefficient double, se double, loglik double")
+
+
 @query(f"""WITH {_TIMES}, r AS (SELECT t, e, late::INT::DOUBLE AS x, exp(0.2 * late::INT) AS w FROM times), ties AS (SELECT t, count(*) AS d, sum(w) AS e0, sum(w * x) AS e1 FROM r WHERE e GROUP BY 1),
 risk AS (SELECT k.t, any_value(d) AS d, any_value(e0) AS e0, any_value(e1) AS e1, sum(w) AS s0, sum(w * x) AS s1 FROM ties k JOIN r ON r.t >= k.t GROUP BY 1),
 own AS (SELECT t, avg((s1 - l / d * e1) / (s0 - l / d * e0)) AS m FROM (SELECT *, unnest(range(d)) AS l FROM risk) GROUP BY 1),
