@@ -77,7 +77,7 @@ def two_level_episodes(spark, sf_dir):
     """Clusters of each user and type (gap two hours), then episodes of each type over all users (gap 15 minutes)."""
     s = ordered.sessionize(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 120, "s")
     clusters = s.groupBy("user_id", "event_type", "s").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n"))
-    e = ordered.sessionize(clusters, ["event_type"], "t0", "user_id", 15, "ep")
+    e = ordered.sessionize_by_days(clusters, ["event_type"], "t0", "user_id", 15, "ep")
     return e.groupBy("event_type", "ep").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count_distinct("user_id").alias("users"), F.sum("n").alias("n"), F.round((micros(F.max("t1")) - micros(F.min("t0"))) / (60.0 * MICROS), 3).alias("minutes")).drop("ep")
 
 

@@ -92,7 +92,7 @@ ep AS (SELECT event_type, ep, min(ts) AS t0, max(ts) AS t1, count(DISTINCT user_
 
 def _episodes(spark, sf_dir) -> DataFrame:
     """Episodes of a type over all places: a gap of more than 15 minutes ends one."""
-    s = ordered.sessionize(_events(spark, sf_dir), ["event_type"], "ts", "event_id", 15, "ep")
+    s = ordered.sessionize_by_days(_events(spark, sf_dir), ["event_type"], "ts", "event_id", 15, "ep")
     return s.groupBy("event_type", "ep").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.collect_set("user_id").alias("places"), F.count(F.lit(1)).alias("size")).withColumn("breadth", F.size("places").cast("long")).withColumn("minutes", (micros("t1") - micros("t0")) / (60.0 * MICROS))
 
 

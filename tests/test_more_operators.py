@@ -240,3 +240,21 @@ def test_running_sums_are_dealt_in_parts(spark, monkeypatch, name):
     monkeypatch.setattr(ordered, "FEW_ROWS", 0)
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_part" in plan or "_part#" in plan.split("hashpartitioning(")[-1] or any("_part#" in x for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_sessions_by_days_are_the_sessions(spark):
+    rng = np.random.default_rng(9)
+    rows = [("ab"[k % 2] if k % 17 else None, k, None if k % 31 == 0 else T0 + dt.timedelta(minutes=int(m))) for k, m in enumerate(rng.integers(0, 9000, 400))]
+    rows += [("a", 1000 + k, dt.datetime(2024, 2, 1, 23, 50) + dt.timedelta(minutes=10 * k)) for k in range(4)] + [("b", 2000, dt.datetime(2024, 3, 9))]
+    df = spark.createDataFrame(rows, "g string, i long, t timestamp_ntz")
+    one, two = (f(df, ["g"], "t", "i", 15, "s") for f in (ordered.sessionize, ordered.sessionize_by_days))
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert ordered.sessionize_by_days(df.limit(0), ["g"], "t", "i", 15).count() == 0
+
+
+@pytest.mark.parametrize("name", ["episode_summary", "isolated_episodes"])
+def test_no_window_over_raw_rows_by_type_alone(spark, name):
+    """Windows over events are dealt by type and day; by the type alone only a row a day is ordered."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x and "windowspecdefinition(event_type" in x]
+    assert windows and all("_day#" in x for x in windows)
