@@ -93,6 +93,27 @@ def overlaps(probes: DataFrame, blocks: DataFrame, keys: list[str], start: str,
     return asked.withColumn(out, F.coalesce(F.col("_asof_until") > F.col(start), F.lit(False))).drop("_t", "_end", "_asof_until")
 
 
+def overlaps_anywhere(probes: DataFrame, blocks: DataFrame, keys: list[str], start: str, end: str, network: DataFrame, out: str = "overlaps") -> DataFrame:
+    """``probes`` (keys, start, end, ...) and whether a block of their own keys, or one of ``network`` (start, end), which holds for all keys, overlaps them; both ends strict.
+
+    Probes are compared with the network's blocks day by day: the last that begins before a
+    probe's end decides, in the day of that end or, where there is none, in the days before, of which
+    one small row a day is kept. So no task has all probes, as it would with one key for all.
+    The network's own blocks, a few a day, are merged in one task.
+    """
+    whole = merge_intervals(network.withColumn("_all", F.lit(0)), ["_all"], start, end).select(F.col(start).alias("_ns"), F.col(end).alias("_ne"))
+    dated = whole.withColumn("_day", F.col("_ns").cast("date"))
+    last = dated.groupBy("_day").agg(F.max(F.struct("_ns", "_ne"))["_ne"].alias("_until"))
+    ends = probes.select(F.col(end).cast("date").alias("_day")).distinct().join(last, "_day", "full").where("_day is not null")
+    along = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)  # one row a day
+    carried = ends.select(F.col("_day").alias("_d"), F.last("_until", ignorenulls=True).over(along).alias("_before"))
+    own = overlaps(probes, blocks, keys, start, end, "_own").withColumns({"_day": F.col(end).cast("date"), "_t": F.col(end)})
+    seen = asof(own, dated.select("_day", F.col("_ns").alias("_t"), F.col("_ne").alias("_u")), ["_day"], "_t", ["_u"], "_u", prefix="_in")
+    joined = seen.join(carried, F.col("_day") == F.col("_d"), "left")
+    hit = F.col("_own") | F.coalesce(F.coalesce("_in_u", "_before") > F.col(start), F.lit(False))
+    return joined.withColumn(out, hit).select(*probes.columns, out)
+
+
 def active_windows(df: DataFrame, keys: list[str], start: str, end: str, minutes: int, tail: int = 0) -> DataFrame:
     """Distinct windows of ``minutes`` that [start, end] touches, from its floor to its ceiling and ``tail`` windows more."""
     step = minutes * 60 * MICROS

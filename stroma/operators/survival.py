@@ -306,6 +306,21 @@ def proportionality(df: DataFrame, x: list[str], time: str, event: str, b: np.nd
     return long.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rank", "r").alias("covariance"), F.var_pop("_rank").alias("variance_t"), F.var_pop("r").alias("variance_r"))
 
 
+def early_late(df: DataFrame, x: list[str], time: str, event: str, split: float | None = None, cluster: str | None = None) -> tuple[float, list[tuple[str, float, float, float, float]]]:
+    """(split, (term, early, its error, late, its error) for each term): Cox coefficients up to the time ``split`` and after it, by default the median of the events' times.
+
+    Whoever is still at risk at the split is censored there for the first, and enters
+    there for the second: how far the two lie apart shows the size of a hazard that isn't proportional.
+    """
+    if split is None:
+        split = float(df.where(F.col(event)).agg(F.median(F.col(time).cast("double"))).first()[0])
+    early = df.withColumns({"_until": F.least(F.col(time), F.lit(split)), "_hit": F.col(event) & (F.col(time) <= split)})
+    late = df.where(F.col(time) > split).withColumn("_from", F.lit(split))
+    one, two = cox(early, x, "_until", "_hit", cluster=cluster), cox(late, x, time, event, entry="_from", cluster=cluster)
+    error = "robust_se" if cluster else "se"
+    return split, [(c, float(one["coefficients"][i]), float(one[error][i]), float(two["coefficients"][i]), float(two[error][i])) for i, c in enumerate(x)]
+
+
 def aft(df: DataFrame, x: list[str], time: str, event: str, law: str = "weibull", steps: int = 60, cluster: str | None = None) -> dict:
     """Accelerated failure time regression (``weibull`` or ``lognormal``) by Newton steps on distributed sums.
 

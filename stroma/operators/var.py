@@ -224,6 +224,13 @@ def pooled_acf(df: DataFrame, by: list[str], order: str, value: str, lags: int,
     return long.groupBy(*pooled, "lag").agg(F.sum(weight).alias("n"), (F.sum(weight * (F.col("_s") / weight / F.col("_v"))) / F.sum(weight)).alias("acf"))
 
 
+def side_peak(acf: DataFrame, over: list[str], first: int) -> DataFrame:
+    """(over, lag, acf): the largest autocorrelation at lag ``first`` or later, of equal ones the first."""
+    key = F.struct(F.round("acf", 9).alias("a"), (-F.col("lag")).alias("l"))
+    found = acf.where((F.col("lag") >= first) & F.col("acf").isNotNull()).groupBy(*over).agg(F.max_by("lag", key).alias("lag"), F.max_by("acf", key).alias("acf"))
+    return found.select(*over, "lag", "acf")
+
+
 def curve_acf(df: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
     """(keys, lag, n, acf): unbiased autocorrelation of each key's curve: the mean product at the lag over the variance. All keys and lags in one pass."""
     mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))

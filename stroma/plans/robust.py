@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stroma.functions.numbers import cut, r6
-from stroma.operators import placebo, survival
+from stroma.operators import placebo, ranges, survival, var
 from stroma.operators.bootstrap import band, resampled_moments, weight_sql
 from stroma.plans.base import SQL, query, table
 from stroma.plans.inference import _RECOVERY, _recovery
-from stroma.plans.models import _TIMES, _times
+from stroma.plans.models import _HOURLY, _TIMES, _hourly, _times
 from stroma.sources import builder
 from stroma.sources.tables import materialise, new_folder
 
@@ -135,3 +135,53 @@ def class_medians(spark, sf_dir):
     medians = survival.km_bootstrap(k, "place", "t", "recovered", 0.5, 400, 11, by=["class"])
     shares = k.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.avg((~F.col("recovered")).cast("int")).alias("censored"), F.median("value").alias("severity"))
     return shares.join(medians, "class").select("class", "n", r6(F.col("censored")).alias("censored"), r6(F.col("severity")).alias("severity"), F.col("estimate").alias("median"), "lo", "hi")
+
+
+# --- hazards early and late, side peaks, network-wide blocks -----------------
+
+
+def _newton_sql(name: str, rows: str) -> str:
+    """CTEs that end in ``name`` (b, se): Cox's coefficient of the boolean z on rows (t, e, z), by Newton steps over tied events."""
+    over = "list_sum(list_transform(range(1, len(n0) + 1), lambda i: {0}))"
+    z = "(n1[i] * exp(b) / (n0[i] + n1[i] * exp(b)))"
+    return f"""{name}_k AS (SELECT t, count(*) FILTER (e AND z) AS d1, count(*) FILTER (e AND NOT z) AS d0, count(*) FILTER (z) AS m1, count(*) FILTER (NOT z) AS m0 FROM ({rows}) GROUP BY 1),
+{name}_r AS (SELECT *, sum(m1) OVER (ORDER BY t DESC) AS n1, sum(m0) OVER (ORDER BY t DESC) AS n0 FROM {name}_k), {name}_t AS (SELECT t, l, n0 - l / (d0 + d1) * d0 AS n0, n1 - l / (d0 + d1) * d1 AS n1 FROM (SELECT *, unnest(range(d0 + d1)) AS l FROM {name}_r WHERE d0 + d1 > 0)),
+{name}_l AS (SELECT list(n0 ORDER BY t, l) AS n0, list(n1 ORDER BY t, l) AS n1, (SELECT sum(d1) FROM {name}_k) AS hits FROM {name}_t),
+{name}_n(step, b) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT step + 1, b + (hits - {over.format(z)}) / {over.format(f"{z} * (1 - {z})")} FROM {name}_n, {name}_l WHERE step < 20),
+{name} AS (SELECT b, 1 / sqrt({over.format(f"{z} * (1 - {z})")}) AS se FROM {name}_n, {name}_l WHERE step = 20)"""
+
+
+@query(f"""WITH RECURSIVE {_TIMES}, cut_ AS (SELECT median(t)::DOUBLE AS s FROM times WHERE e), {_newton_sql("early", "SELECT least(t, s) AS t, e AND t <= s AS e, late AS z FROM times, cut_")}, {_newton_sql("later", "SELECT t, e, late AS z FROM times, cut_ WHERE t > s")}
+SELECT 'late' AS term, s AS split, round(early.b, 5) AS early, round(early.se, 5) AS early_se, round(later.b, 5) AS later, round(later.se, 5) AS later_se, round(later.b - early.b, 5) AS log_ratio FROM cut_, early, later""")
+def hazards_early_late(spark, sf_dir):
+    """A covariate's coefficient up to the median time of the events, and after it."""
+    x = _times(spark, sf_dir).select("t", "e", F.col("late").cast("double").alias("late"))
+    split, rows = survival.early_late(x, ["late"], "t", "e")
+    found = spark.createDataFrame([(c, split, *map(float, r)) for c, *r in rows], "term string, split double, early double, early_se double, later double, later_se double")
+    return found.select("term", "split", *[F.round(c, 5).alias(c) for c in ("early", "early_se", "later", "later_se")], F.round(F.col("later") - F.col("early"), 5).alias("log_ratio"))
+
+
+@query(f"""WITH {_HOURLY}, x AS (SELECT event_type, "window"::DATE AS day, "window" AS w, mean - avg(mean) OVER q AS c, var_pop(mean) OVER q AS v, count(*) OVER q AS n FROM hourly WINDOW q AS (PARTITION BY event_type, "window"::DATE)),
+l AS (SELECT event_type, day, v, n, lag, sum(c * p) AS s FROM (SELECT *, CASE lag {" ".join(f"WHEN {k} THEN lag(c, {k}) OVER q" for k in range(9))} END AS p FROM x CROSS JOIN (SELECT unnest(range(9)) AS lag) WINDOW q AS (PARTITION BY event_type, day, lag ORDER BY w)) GROUP BY ALL),
+a AS (SELECT event_type, lag, sum(s / v) / sum(n - lag) AS acf FROM l WHERE v > 0 AND n > lag GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(acf, 9) DESC, lag) AS k FROM a WHERE lag >= 3 AND acf IS NOT NULL)
+SELECT event_type, lag::INT AS lag, round(acf, 6) AS acf FROM r WHERE k = 1""")
+def acf_side_peak(spark, sf_dir):
+    """Where each type's hourly autocorrelation is largest from three hours on."""
+    h = _hourly(spark, sf_dir).withColumn("day", F.col("window").cast("date"))
+    acf = var.pooled_acf(h, ["event_type", "day"], "window", "mean", 8, ["event_type"])
+    return var.side_peak(acf, ["event_type"], 3).select("event_type", F.col("lag").cast("int").alias("lag"), r6(F.col("acf")).alias("acf"))
+
+
+@query("""WITH own AS (SELECT user_id, ts AS a, ts + INTERVAL 2 HOURS AS b FROM events WHERE event_type = 'signup'), h AS (SELECT date_trunc('hour', ts) AS a, count(*) AS n FROM events GROUP BY 1), net AS (SELECT a, a + INTERVAL 1 HOUR AS b FROM h WHERE n <= (SELECT quantile_disc(n, 0.02) FROM h)),
+p AS (SELECT event_id, user_id, ts - INTERVAL 10 MINUTES AS a, ts + INTERVAL 40 MINUTES AS b FROM events WHERE event_type = 'error')
+SELECT event_id, EXISTS (SELECT 1 FROM own WHERE own.user_id = p.user_id AND own.a < p.b AND own.b > p.a) OR EXISTS (SELECT 1 FROM net WHERE net.a < p.b AND net.b > p.a) AS hit FROM p""")
+def overlap_with_network(spark, sf_dir):
+    """Whether errors lie near a block of their own user or one of the quietest hours, which hold for all."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    shift = lambda minutes: F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))
+    own = ranges.merge_intervals(e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("a"), shift(120).alias("b")), ["user_id"], "a", "b")
+    h = e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    low = h.agg(F.expr("percentile_disc(0.02) within group (order by n)").alias("_low"))
+    net = h.join(F.broadcast(low), F.col("n") <= F.col("_low")).select(F.col("ts").alias("a"), shift(60).alias("b"))  # one row
+    probes = e.where("event_type = 'error'").select("event_id", "user_id", shift(-10).alias("a"), shift(40).alias("b"))
+    return ranges.overlaps_anywhere(probes, own, ["user_id"], "a", "b", net, "hit").select("event_id", "hit")

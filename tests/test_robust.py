@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stroma.operators import bootstrap, ordered, placebo, survival
+from stroma.operators import bootstrap, ordered, placebo, ranges, survival, var
 
 
 def score_test(rows):
@@ -159,3 +159,34 @@ def test_medians_by_group_are_each_group_s(spark):
     both = {r.g: tuple(r)[1:] for r in survival.km_bootstrap(df, "c", "t", "e", 0.5, 60, 2, by=["g"]).collect()}
     for g in "ab":
         assert both[g] == tuple(survival.km_bootstrap(df.where(F.col("g") == g), "c", "t", "e", 0.5, 60, 2).first())
+
+
+def test_blocks_of_the_network_hold_for_all(spark):
+    rng = np.random.default_rng(11)
+    start = dt.datetime(2025, 3, 1)
+    at = lambda m: start + dt.timedelta(minutes=int(m))
+    own = [("pq"[k % 2], at(m), at(m + d)) for k, (m, d) in enumerate(zip(rng.integers(0, 9000, 30), rng.integers(1, 200, 30)))]
+    net = [(at(m), at(m + d)) for m, d in zip(rng.integers(0, 9000, 6), [5, 30, 2000, 60, 60, 1])] + [(at(2880), at(2940))]
+    probes = [(k, "pqr"[k % 3], at(m), at(m + 50)) for k, m in enumerate(rng.integers(-500, 12000, 400))] + [(900, "p", at(2940), at(2990)), (901, "r", at(2830), at(2880))]
+    df = spark.createDataFrame(probes, "id long, k string, a timestamp_ntz, b timestamp_ntz")
+    got = {r.id: r.hit for r in ranges.overlaps_anywhere(df, ranges.merge_intervals(spark.createDataFrame(own, "k string, a timestamp_ntz, b timestamp_ntz"), ["k"], "a", "b"), ["k"], "a", "b", spark.createDataFrame(net, "a timestamp_ntz, b timestamp_ntz"), "hit").collect()}
+    assert len(got) == len(probes)
+    for i, k, a, b in probes:
+        assert got[i] == (any(s < b and e > a for p, s, e in own if p == k) or any(s < b and e > a for s, e in net)), i
+    none = spark.createDataFrame([], "a timestamp_ntz, b timestamp_ntz")
+    assert not any(r.hit for r in ranges.overlaps_anywhere(df.where("k = 'r'"), spark.createDataFrame([], "k string, a timestamp_ntz, b timestamp_ntz"), ["k"], "a", "b", none, "hit").collect())
+
+
+def test_a_hazard_that_changes_is_seen(spark):
+    rng = np.random.default_rng(12)
+    z = rng.random(1500) < 0.5
+    early = rng.exponential(np.where(z, 0.5, 1.0))
+    t = np.where(early < 0.6, early, 0.6 + rng.exponential(1.0, 1500))
+    df = spark.createDataFrame([(float(a), True, float(b)) for a, b in zip(t, z)], "t double, e boolean, z double")
+    split, [(term, one, _, two, _)] = survival.early_late(df, ["z"], "t", "e", 0.6)
+    assert (split, term) == (0.6, "z") and one == pytest.approx(np.log(2), abs=0.25) and two == pytest.approx(0, abs=0.25)
+
+
+def test_the_side_peak_is_behind_the_first_lags(spark):
+    acf = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.9), ("a", 2, 0.2), ("a", 3, 0.5), ("a", 4, 0.5), ("b", 2, None), ("b", 3, -0.1)], "s string, lag int, acf double")
+    assert {tuple(r) for r in var.side_peak(acf, ["s"], 2).collect()} == {("a", 3, 0.5), ("b", 3, -0.1)}
