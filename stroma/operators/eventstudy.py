@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from stroma.functions.calendar import MICROS, day_type, floor_to, from_micros, micros, to_local, to_utc
 from stroma.operators.bootstrap import band, resampled_sums
 from stroma.operators.ordered import sessionize
-from stroma.operators.ranges import range_pairs
 
 DAY = 86_400 * MICROS
 MINUTE = 60 * MICROS
@@ -87,15 +86,28 @@ def baseline_corrected(curves: DataFrame, ident: list[str], value: str, first: i
 
 
 def event_duration(events: DataFrame, hits: DataFrame, place: str, ts: str, gap_minutes: int, within_hours: int) -> DataFrame:
-    """``events`` (event_id, place, t0) with ``minutes`` from t0 to the last of the place's hits before the first gap of more than ``gap_minutes``, looking ``within_hours`` ahead; all ways of the place count."""
-    asked = events.select("event_id", place, F.col("t0").alias("_t0"))
-    seen = hits.where(F.col(ts).isNotNull()).select(place, F.col(ts).alias("_t"))
-    near = range_pairs(asked, seen, [place], 0, within_hours * 3600 * MICROS, "_t0", "_t").select("event_id", micros("_t0").alias("_a"), micros("_t").alias("_b"))
-    along = W.partitionBy("event_id").orderBy("_b")
-    gap = F.col("_b") - F.coalesce(F.lag("_b").over(along), F.col("_a"))
-    broken = near.withColumn("_broken", F.max((gap > gap_minutes * MINUTE).cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
-    last = broken.where("_broken = 0").groupBy("event_id").agg(((F.max("_b") - F.min("_a")) / (1.0 * MINUTE)).alias("minutes"))
-    return events.join(last, "event_id", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0.0)))
+    """``events`` (event_id, place, t0) with ``minutes`` from t0 to the last of the place's hits before the first gap of more than ``gap_minutes``, looking ``within_hours`` ahead; all ways of the place count.
+
+    No pairs are made. Hits, each time once, stand in their bucket of ``within_hours`` and in the one
+    before, so all that an event sees is in its own bucket. There it reads the first hit from t0 on with
+    the end of that hit's run, and the last hit within its hours: two running frames over the same rows.
+    """
+    span, gap = within_hours * 3600 * MICROS, gap_minutes * MINUTE
+    row = F.struct(*events.columns)
+    left = events.select(place, F.floor(micros("t0") / span).alias("_b"), micros("t0").alias("_us"), F.lit(None).cast("long").alias("_hit"), row.alias("_row"))
+    seen = hits.where(F.col(ts).isNotNull() & F.col(place).isNotNull()).select(place, micros(ts).alias("_us")).distinct()
+    seen = seen.withColumn("_b", F.explode(F.array(F.floor(F.col("_us") / span) - 1, F.floor(F.col("_us") / span))))
+    right = seen.select(place, "_b", "_us", F.col("_us").alias("_hit"), F.lit(None).cast(events.select(row).schema[0].dataType).alias("_row"))
+    upto = W.unboundedPreceding
+    back = W.partitionBy(place, "_b").orderBy(F.col("_us").desc(), F.col("_hit").asc_nulls_last())  # a hit at t0 is seen from t0
+    ahead = W.partitionBy(place, "_b").orderBy(F.when(F.col("_hit").isNull(), F.col("_us") + span).otherwise(F.col("_us")), F.col("_hit").asc_nulls_last())
+    both = left.unionByName(right).withColumn("_next", F.last("_hit", ignorenulls=True).over(back.rowsBetween(upto, -1)))
+    ends = F.when(F.col("_next") - F.col("_hit") > gap, F.col("_hit"))  # the last one's run ends beyond what an event of the bucket sees
+    both = both.withColumns({"_first": F.last("_hit", ignorenulls=True).over(back.rowsBetween(upto, 0)), "_end": F.last(ends, ignorenulls=True).over(back.rowsBetween(upto, 0))})
+    both = both.withColumn("_last", F.last("_hit", ignorenulls=True).over(ahead.rowsBetween(upto, 0))).where("_row is not null")
+    there = (F.col("_first") - F.col("_us") <= gap) & (F.col("_first") <= F.col("_us") + span)
+    minutes = (F.least("_end", "_last") - F.col("_us")) / (1.0 * MINUTE)
+    return both.select("_row.*", F.coalesce(F.when(there, minutes), F.lit(0.0)).alias("minutes"))
 
 
 def across_places(events: DataFrame, gap_minutes: int, tie: str) -> DataFrame:

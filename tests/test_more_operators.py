@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stroma.functions.names import resolve_aliases
+from stroma.operators import eventstudy as es
 from stroma.operators import bootstrap, cooccurrence, design, evaluate, features, ordered, simulate, survival, var
 from stroma.operators import components
 from stroma.operators.components import connected_components
@@ -258,3 +259,27 @@ def test_no_window_over_raw_rows_by_type_alone(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x and "windowspecdefinition(event_type" in x]
     assert windows and all("_day#" in x for x in windows)
+
+
+
+def test_durations_match_a_walk_over_the_hits(spark):
+    rng = np.random.default_rng(4)
+    hits = [(p, T0 + dt.timedelta(minutes=int(m) / 2)) for p, m in zip(rng.integers(0, 3, 300), rng.integers(0, 6000, 300))] + [(0, None)]
+    hits = [(int(p), t) for p, t in hits]
+    asked = [(k, k % 4, T0 + dt.timedelta(minutes=int(m) / 2)) for k, m in enumerate(rng.integers(-50, 6100, 200))] + [(1000 + k, p, t) for k, (p, t) in enumerate(hits)]
+    events = spark.createDataFrame(asked, "event_id long, place long, t0 timestamp_ntz")
+    got = es.event_duration(events, spark.createDataFrame(hits, "place long, ts timestamp_ntz"), "place", "ts", 45, 6)
+    want = {}
+    for i, p, t0 in asked:
+        at = last = t0
+        for t in sorted(t for q, t in hits if q == p and t and t0 and t0 <= t <= t0 + dt.timedelta(hours=6)):
+            if t - at > dt.timedelta(minutes=45):
+                break
+            at = last = t
+        want[i] = (last - t0).total_seconds() / 60 if t0 else 0.0
+    assert {r.event_id: r.minutes for r in got.collect()} == pytest.approx(want)
+
+
+def test_durations_make_no_pairs(spark):
+    plan = QUERIES["event_durations"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
\ No newline at end of file
