@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stroma.functions.calendar import MICROS, micros
-from stroma.operators.ranges import range_pairs
+from stroma.functions.calendar import MICROS, from_micros, micros
+from stroma.operators.ranges import asof, range_pairs
 
 MINUTE = 60 * MICROS
 
@@ -75,18 +76,28 @@ def episode_summary(episodes: DataFrame, code: str, minutes: str, breadth: str,
 
 
 def isolated_anywhere(episodes: DataFrame, ident: str, code: str, places: str, begin: str, end: str, events: DataFrame, place: str, ts: str, minutes: int) -> DataFrame:
-    """Episodes with no event of another code at any of their places from ``minutes`` before their begin to ``minutes`` after their end.
+    """Episodes with no event of another code at any of their places from ``minutes`` before their begin to ``minutes`` after their end. ``places`` is an array."""
+    members = episodes.select(ident, F.explode(places).alias(place))
+    return episodes.join(not_alone(episodes, members, ident, code, begin, end, events, place, ts, minutes), ident, "left_anti")
 
-    ``places`` is an array, exploded for the join; both times are joined by buckets of an
-    hour that the widened episode touches, an episode being a row a bucket and place.
+
+def not_alone(episodes: DataFrame, members: DataFrame, ident: str, code: str, begin: str, end: str, events: DataFrame, place: str, ts: str, minutes: int) -> DataFrame:
+    """(ident) of the episodes that an event of another code is near to, at a place that ``members`` (ident, place) names for them.
+
+    No pairs with events are made: each member looks up the last event at or before its widened end that has
+    another code. Of each time and place only matters whether it has one code, and which; if
+    that is the episode's own, the last time before it that hasn't this code alone decides.
     """
-    hour = 60 * MINUTE
-    lo, hi = micros(begin) - minutes * MINUTE, micros(end) + minutes * MINUTE
-    asked = episodes.select(ident, F.col(code).alias("_ca"), lo.alias("_lo"), hi.alias("_hi"), F.explode(places).alias(place))
-    asked = asked.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / hour), F.floor(F.col("_hi") / hour))))
-    seen = events.select(place, F.col(code).alias("_cb"), micros(ts).alias("_t")).withColumn("_b", F.floor(F.col("_t") / hour))
-    near = asked.join(seen, [place, "_b"]).where("_ca <> _cb and _t between _lo and _hi").select(ident).distinct()
-    return episodes.join(near, ident, "left_anti")
+    along = W.partitionBy(place).orderBy("_at")
+    times = events.where(F.col(ts).isNotNull() & F.col(code).isNotNull() & F.col(place).isNotNull()).groupBy(place, F.col(ts).alias("_at")).agg(F.min(code).alias("_lo"), F.max(code).alias("_hi"))
+    times = times.withColumn("_one", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
+    times = times.withColumns({"_before": F.lag("_at").over(along), "_same": F.coalesce(F.lag("_one").over(along) == F.col("_one"), F.lit(False))})
+    changed = F.when(~F.col("_same"), F.struct(F.col("_before").alias("t")))
+    times = times.select(place, "_at", "_one", F.last(changed, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0))["t"].alias("_other"), F.col("_at").alias("_when"))
+    wide = episodes.select(ident, F.col(code).alias("_own"), (micros(begin) - minutes * MINUTE).alias("_from"), from_micros(micros(end) + minutes * MINUTE).alias("_at"))
+    found = asof(members.where(F.col(place).isNotNull()).join(wide, ident), times, [place], "_at", ["_one", "_other", "_when"], "_when", prefix="_seen", strict=False)
+    near = F.when(F.col("_seen_one") == F.col("_own"), F.col("_seen_other")).otherwise(F.col("_seen_when"))
+    return found.where(F.col("_own").isNotNull() & (micros(near) >= F.col("_from"))).select(ident).distinct()
 
 
 def follow_table(events: DataFrame, code: str, place: str, ts: str, minutes: int, least: int) -> DataFrame:

@@ -90,10 +90,16 @@ _EPISODES = """numbered AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY event_t
 ep AS (SELECT event_type, ep, min(ts) AS t0, max(ts) AS t1, count(DISTINCT user_id) AS breadth, count(*) AS size, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 AS minutes FROM numbered GROUP BY 1, 2)"""
 
 
+def _numbered(spark, sf_dir) -> DataFrame:
+    """Events with the number of their episode: over all places of a type, a gap of more than 15 minutes ends one."""
+    return ordered.sessionize_by_days(_events(spark, sf_dir), ["event_type"], "ts", "event_id", 15, "ep")
+
+
 def _episodes(spark, sf_dir) -> DataFrame:
-    """Episodes of a type over all places: a gap of more than 15 minutes ends one."""
-    s = ordered.sessionize_by_days(_events(spark, sf_dir), ["event_type"], "ts", "event_id", 15, "ep")
-    return s.groupBy("event_type", "ep").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.collect_set("user_id").alias("places"), F.count(F.lit(1)).alias("size")).withColumn("breadth", F.size("places").cast("long")).withColumn("minutes", (micros("t1") - micros("t0")) / (60.0 * MICROS))
+    # places are counted, never listed: an episode may have any number
+    s = _numbered(spark, sf_dir).groupBy("event_type", "ep", "user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("size"))
+    g = s.groupBy("event_type", "ep").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("user_id").alias("breadth"), F.sum("size").alias("size"))
+    return g.withColumn("minutes", (micros("t1") - micros("t0")) / (60.0 * MICROS))
 
 
 @query(f"""WITH {_EPISODES} SELECT event_type, count(*) AS episodes, round(median(minutes), 6) AS minutes_median, round(quantile_cont(minutes, 0.25), 6) AS minutes_q25, round(quantile_cont(minutes, 0.75), 6) AS minutes_q75, round(max(minutes), 6) AS minutes_max,
@@ -107,8 +113,11 @@ def episode_summary(spark, sf_dir):
  AND o.ts BETWEEN e.t0 - INTERVAL 60 MINUTES AND e.t1 + INTERVAL 60 MINUTES)) AS isolated FROM ep e GROUP BY 1""")
 def isolated_episodes(spark, sf_dir):
     """Episodes that no other type was near to, at any of their places."""
-    e = _episodes(spark, sf_dir).withColumn("id", F.concat_ws("|", "event_type", "ep"))
-    alone = co.isolated_anywhere(e, "id", "event_type", "places", "t0", "t1", _events(spark, sf_dir), "user_id", "ts", 60).groupBy("event_type").agg(F.count(F.lit(1)).alias("isolated"))
+    ident = F.concat_ws("|", "event_type", "ep").alias("id")
+    e = _episodes(spark, sf_dir).withColumn("id", ident)
+    members = _numbered(spark, sf_dir).select(ident, "user_id").distinct()
+    near = co.not_alone(e, members, "id", "event_type", "t0", "t1", _events(spark, sf_dir), "user_id", "ts", 60)
+    alone = e.join(near, "id", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("isolated"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("episodes")).join(alone, "event_type", "left").select("event_type", "episodes", F.coalesce("isolated", F.lit(0)).cast("long").alias("isolated"))
 
 

@@ -282,4 +282,21 @@ def test_durations_match_a_walk_over_the_hits(spark):
 
 def test_durations_make_no_pairs(spark):
     plan = QUERIES["event_durations"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
\ No newline at end of file
+    assert "Join" not in plan
+
+
+def test_isolation_lists_no_places(spark):
+    """Neither an array of an episode's places nor a row an hour, place and episode."""
+    plan = QUERIES["isolated_episodes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Generate" not in plan
+
+
+def test_isolation_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    at = lambda m: T0 + dt.timedelta(minutes=int(m))
+    events = [(("a", "b", "c", None)[k % 4 if k % 9 else 3], "pqr"[int(p)], at(m)) for k, (p, m) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 900, 60) * 20))]
+    episodes = [(k, "abc"[k % 3], sorted({"pqr"[int(x)] for x in rng.integers(0, 3, 2)}), at(m), at(m + 30)) for k, m in enumerate(rng.integers(0, 18_000, 80))]
+    hour = dt.timedelta(minutes=60)
+    want = [i for i, code, places, t0, t1 in episodes if not any(c and c != code and p in places and t0 - hour <= t <= t1 + hour for c, p, t in events)]
+    have = cooccurrence.isolated_anywhere(spark.createDataFrame(episodes, "id int, code string, places array<string>, t0 timestamp_ntz, t1 timestamp_ntz"), "id", "code", "places", "t0", "t1", spark.createDataFrame(events, "code string, place string, ts timestamp_ntz"), "place", "ts", 60)
+    assert 0 < len(want) < 80 and sorted(r.id for r in have.collect()) == want
\ No newline at end of file
