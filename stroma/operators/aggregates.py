@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stroma.functions.numbers import fisher_interval
 from stroma.operators.ordered import running_sums
+from stroma.sources.tables import materialise
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def share_difference(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
 
 def rank_sum(df: DataFrame, key: str, criteria: dict[str, bool]) -> DataFrame:
     """Sum of average ranks over the criteria (name -> larger is better), NULL ranking last. Values are counted first, and counts are summed along them in parts."""
-    out = df
+    # written once: ranks are joined by value, and sums made anew could differ in their last bits
+    df = out = materialise(df.select(key, *criteria), "rank-sum")
     for c, larger in criteria.items():
         sign = -1.0 if larger else 1.0
         at = df.groupBy((F.coalesce(F.col(c).cast("double") * sign, F.lit(float("inf")))).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
