@@ -74,6 +74,31 @@ def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], lo: int, hi:
     return a.join(b, [*keys, "_b"]).where((F.col("_us") >= F.col("_lo")) & (F.col("_us") <= F.col("_lo") + (hi - lo))).drop("_b", "_lo", "_us")
 
 
+def distinct_others(df: DataFrame, keys: list[str], ts: str, who: str, back: int, out: str) -> DataFrame:
+    """Each row of ``df`` with how many other ``who`` have a row of the same keys in [t - back, t], in microseconds.
+
+    No pairs are made. A row stands for its ``who`` from its time on, until ``back`` later or just before
+    the next row of the same: at any time each counts once. These spans are dealt into the
+    buckets of ``back`` that they touch, two at most, and a running sum of their begins and ends is
+    read at each row. Rows of a null time or ``who`` have none.
+    """
+    kept = F.struct(*df.columns)
+    us = micros(F.col(ts))
+    known = df.where(us.isNotNull() & F.col(who).isNotNull()).select(*keys, F.col(who), us.alias("_s"))
+    following = F.lead("_s").over(W.partitionBy(*keys, who).orderBy("_s"))
+    spans = known.withColumn("_e", F.least(F.col("_s") + back + 1, following)).where("_e > _s")  # [_s, _e)
+    first, last = (F.floor(c / back) for c in (F.col("_s"), F.col("_e") - 1))
+    spans = spans.withColumn("_b", F.explode(F.array_distinct(F.array(first, last))))
+    ends = F.array(F.struct(F.greatest(F.col("_s"), F.col("_b") * back).alias("_us"), F.lit(1).alias("_d")), F.struct(F.col("_e").alias("_us"), F.lit(-1).alias("_d")))
+    kind = df.select(kept).schema[0].dataType
+    steps = spans.select(*keys, "_b", F.explode(ends).alias("_x")).select(*keys, "_b", "_x._us", "_x._d", F.lit(None).cast(kind).alias("_row"))
+    asked = df.select(*keys, F.floor(us / back).alias("_b"), us.alias("_us"), F.lit(0).alias("_d"), kept.alias("_row"))
+    along = W.partitionBy(*keys, "_b").orderBy("_us", F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    counted = asked.unionByName(steps).withColumn("_n", F.sum("_d").over(along)).where("_row is not null")
+    own = F.when(F.col(f"_row.{ts}").isNotNull() & F.col(f"_row.{who}").isNotNull(), F.col("_n") - 1)  # the row's own is always among them
+    return counted.select("_row.*", F.coalesce(own, F.lit(0)).cast("long").alias(out))
+
+
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Disjoint intervals (keys, start, end, n) that cover the same times; those that touch are one."""
     w = W.partitionBy(*keys).orderBy(start, end)

@@ -24,10 +24,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disturbance_load(spark, sf_dir):
     """Distinct other users with an error in [t - 30 min, t]."""
     e = _events(spark, sf_dir).where("event_type = 'error'")
-    o = e.select("event_type", F.col("user_id").alias("other"), F.col("ts").alias("ts2"))
-    near = ranges.range_pairs(e, o, ["event_type"], -HOUR // 2, 0, "ts", "ts2").where("other <> user_id")
-    load = near.groupBy("event_id").agg(F.count_distinct("other").alias("load"))
-    return e.join(load, "event_id", "left").select("event_id", F.coalesce("load", F.lit(0)).cast("long").alias("load"))
+    return ranges.distinct_others(e, ["event_type"], "ts", "user_id", HOUR // 2, "load").select("event_id", "load")
 
 
 @query("""WITH b AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n, avg((value < 30)::INT) AS low FROM events GROUP BY 1, 2)
