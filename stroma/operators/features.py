@@ -19,19 +19,27 @@ FEATURES = ["d_k", "d_km1", "rank", "way", "line", "hour", "rush", "day_kind", "
 def recent_sums(probes: DataFrame, stream: DataFrame, keys: list[str], ts: str, minutes: int, sums: dict[str, str]) -> DataFrame:
     """``probes`` with sums over the ``stream`` rows of the same keys in [t - minutes, t).
 
-    Times are dealt into buckets as long as the window; a stream row stands in its bucket
-    and the next, a probe in its own. So a frame never leaves its bucket, and no task
-    holds a whole key.
+    Times are dealt into buckets as long as the window, so no task holds a whole key. What a probe sees
+    of its own bucket comes before it, and what it sees of the bucket before reaches to that one's
+    end: two running sums, one from each side, whose work grows with the rows and not with
+    those of a window. A stream row stands in its bucket at its time, and in the next at the
+    last time that sees it. Only sums of addends are taken, no differences.
     """
     width = minutes * MINUTE
     us = micros(F.col(ts))
     kept = F.struct(*probes.columns)
-    left = probes.select(*keys, us.alias("_us"), kept.alias("_row"), *[F.lit(None).cast("double").alias(n) for n in sums]).withColumn("_b", F.floor(F.col("_us") / width))
-    right = stream.select(*keys, us.alias("_us"), F.lit(None).cast(probes.select(kept).schema[0].dataType).alias("_row"), *[F.col(c).cast("double").alias(n) for n, c in sums.items()])
-    right = right.withColumn("_b", F.explode(F.array(F.floor(F.col("_us") / width), F.floor(F.col("_us") / width) + 1)))
-    w = W.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-width, -1)
-    both = left.unionByName(right).withColumns({f"_sum_{n}": F.sum(n).over(w) for n in sums})
-    return both.where("_row is not null").select("_row.*", *[F.coalesce(f"_sum_{n}", F.lit(0.0)).alias(n) for n in sums])
+    kind = probes.select(kept).schema[0].dataType
+    left = probes.select(*keys, us.alias("_us"), kept.alias("_row"), F.lit(None).cast("boolean").alias("_old"), *[F.lit(None).cast("double").alias(n) for n in sums]).withColumn("_b", F.floor(F.col("_us") / width))
+    right = stream.where(F.col(ts).isNotNull()).select(*keys, us.alias("_us"), F.lit(None).cast(kind).alias("_row"), F.explode(F.array(F.lit(False), F.lit(True))).alias("_old"), *[F.col(c).cast("double").alias(n) for n, c in sums.items()])
+    right = right.withColumn("_us", F.when(F.col("_old"), F.col("_us") + width).otherwise(F.col("_us"))).withColumn("_b", F.floor(F.col("_us") / width))
+    row = F.col("_row").isNull()  # at one time, probes come before the rows of their bucket, and after those of the one before
+    w = W.partitionBy(*keys, "_b")
+    ahead = w.orderBy("_us", row).rowsBetween(W.unboundedPreceding, 0)
+    back = w.orderBy(F.col("_us").desc(), ~row).rowsBetween(W.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumns({f"_new_{n}": F.sum(F.when(~F.col("_old"), F.col(n))).over(ahead) for n in sums})
+    both = both.withColumns({f"_old_{n}": F.sum(F.when(F.col("_old"), F.col(n))).over(back) for n in sums})
+    zero = F.lit(0.0)
+    return both.where("_row is not null").select("_row.*", *[(F.coalesce(f"_new_{n}", zero) + F.coalesce(f"_old_{n}", zero)).alias(n) for n in sums])
 
 
 def transition_features(stops: DataFrame) -> DataFrame:

@@ -28,3 +28,18 @@ def test_others_match_brute_force(spark):
 
 def test_load_makes_no_pairs(spark):
     assert "Join" not in plan(spark, "disturbance_load")
+
+
+def test_sums_of_a_window_end_where_it_ends(spark):
+    rng = np.random.default_rng(6)
+    at = lambda s: T0 + dt.timedelta(seconds=int(s))
+    stream = [("ab"[k % 2], at(s), 1.0 + k) for k, s in enumerate([0, 900, 900, 1800, 2699, *rng.integers(0, 5400, 200)])] + [("a", None, 5.0)]
+    asked = [(i, "abc"[i % 3], at(s)) for i, s in enumerate([900, 1800, 1801, 2700, *rng.integers(0, 6000, 200)])] + [(999, "a", None)]
+    got = features.recent_sums(spark.createDataFrame(asked, "i long, k string, t timestamp_ntz"), spark.createDataFrame(stream, "k string, t timestamp_ntz, v double"), ["k"], "t", 15, {"s": "v"}).collect()
+    want = {i: sum(v for q, s, v in stream if q == k and s and t and t - dt.timedelta(minutes=15) <= s < t) for i, k, t in asked}
+    assert {r.i: r.s for r in got} == want
+
+
+def test_features_take_no_sliding_frames(spark):
+    """A range frame that slides is summed anew for each row."""
+    assert "RangeFrame" not in plan(spark, "transition_features").replace("RangeFrame, unboundedpreceding$(), currentrow$()", "")
