@@ -174,7 +174,8 @@ def closure_test(spark, sf_dir):
 def boosted_cancellation(spark, sf_dir):
     """Gradient boosting of the next cancellation, fitted on the first days; every probability lies between 0 and 1 and beats a coin on the days of the fit."""
     columns = ["d_k", "d_km1", "rank", "hour", "plan_gap_pred", "act_gap_pred", "d_pred_k", "d_pred_k1", "net_mean15", "net_n15", "cancel_here30", "cancel_net30", "plan_run"]
-    f = _features(spark, sf_dir).withColumn("part", F.when(F.dayofmonth("day") <= 20, "fit").otherwise("test"))
+    # written once: the fit reads its rows again and again
+    f = materialise(_features(spark, sf_dir).select("day", *columns, "cancelled_next"), "boosting-features").withColumn("part", F.when(F.dayofmonth("day") <= 20, "fit").otherwise("test"))
     model = features.boosted(f.where("part = 'fit'"), columns, "cancelled_next", trees=5, depth=3)
     p = model.transform(features.numeric(f, columns)).withColumn("p", F.element_at(vector_to_array("probability"), 2))
     good = F.min("p").between(0, 1) & F.max("p").between(0, 1) & (F.avg(F.pow(F.col("p") - F.col("cancelled_next").cast("double"), 2)) <= 0.25)

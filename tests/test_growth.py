@@ -43,3 +43,8 @@ def test_sums_of_a_window_end_where_it_ends(spark):
 def test_features_take_no_sliding_frames(spark):
     """A range frame that slides is summed anew for each row."""
     assert "RangeFrame" not in plan(spark, "transition_features").replace("RangeFrame, unboundedpreceding$(), currentrow$()", "")
+
+
+def test_boosting_reads_written_rows(spark):
+    """The fit reads its rows many times; they are not worked out anew each time."""
+    assert "Window" not in plan(spark, "boosted_cancellation")
