@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stroma.llm.shared import gapless_rank, materialise, ship_package
+from stroma.llm.shared import gapless_rank, materialise, ship_package, tidy
 
 WINDOW, END = 2048, 1
 #: Lengths that triples are built from besides the first: the most frequent ones.
@@ -125,7 +125,9 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start"
 
 def _cut(tokenizer: str, window: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         encode, last = Encoder(tokenizer), np.array([end], "<u4").tobytes()
+        tidy()  # the vocabulary's file, read whole
         for batch in batches:
             doc, total, start, length, crc = [], [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):

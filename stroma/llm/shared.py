@@ -3,6 +3,9 @@ byte-level tokenising of Arrow text columns."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +108,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def tidy() -> None:
+    """Give back what earlier tasks of this Python worker left: workers are used again, and allocators keep what is freed."""
+    _powers.update(n=0, up=None, down=None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -213,6 +227,7 @@ def annotate(docs: DataFrame, out: str, fields: str, compute, text: str = "text"
     names = [f.name for f in schema[-1].dataType.fields]
 
     def run(batches):
+        tidy()
         function = compute()
         for batch in batches:
             arrays = [pa.array(a) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a for a in function(batch.column(at))]
