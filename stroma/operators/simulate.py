@@ -5,12 +5,13 @@ of ``applyInPandas``; days and runs are what scales out. Uniform draws are hashe
 vehicle and position, hence the same in every scenario.
 """
 
-from __future__ import annotations
-
 import bisect
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from stroma.sources.tables import ship_package
 LOW, HIGH = -3, 15
 #: Runs of one group: a day's stops are sent once for so many.
 RUNS = 8
+#: Rows of the result that a task gives at a time.
+CHUNK = 20_000
 #: Bin edges of a vehicle's own delay and of its predecessor's, in minutes.
 EDGES = [0, 3, 6, 12, 24]
 
@@ -80,53 +83,64 @@ def _uniform(*key) -> float:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=7).digest(), "big") / 2**56
 
 
-Paths = dict[int, list[tuple]]
+@dataclass
+class Paths:
+    """The stops of a day's vehicles, one vehicle after another in order: columns, read by all runs. A vehicle has the stops from ``first`` of it to before the next one's."""
+
+    vehicle: np.ndarray
+    first: np.ndarray
+    pos: np.ndarray
+    minute: np.ndarray
+    place: np.ndarray
+    delay: np.ndarray
+    places: list
 
 
-def _paths(stops: pd.DataFrame) -> Paths:
-    """Each vehicle's stops (pos, place, minute, delay) in order, read by all runs."""
-    ordered = stops.sort_values(["vehicle", "pos"])
-    paths: Paths = {}
-    for v, *stop in zip(*(ordered[c].tolist() for c in ("vehicle", "pos", "place", "minute", "delay"))):
-        paths.setdefault(v, []).append(stop)
-    return paths
+def _paths(columns: dict[str, np.ndarray], places: list) -> Paths:
+    order = np.lexsort((columns["pos"], columns["vehicle"]))
+    c = {k: x[order] for k, x in columns.items()}
+    first = np.flatnonzero(np.r_[True, c["vehicle"][1:] != c["vehicle"][:-1]]) if len(order) else np.zeros(0, np.int64)
+    return Paths(c["vehicle"][first], np.r_[first, len(order)], c["pos"], c["minute"], c["place"], c["delay"], places)
 
 
-def _rollout(paths: Paths, run: int, seed: int, law: dict, scenario: Scenario) -> list[tuple]:
-    last: dict[str, float] = {}  # delay of the last vehicle at a place
-    free: dict[str, int] = {}  # when a closed place takes the next vehicle
-    out, due = [], []
+def _rollout(paths: Paths, run: int, seed: int, law: dict, scenario: Scenario):
+    """Yields (pos, vehicle, minute, delay, cancelled) as they happen; what it holds is a stop a vehicle."""
+    last: dict[int, float] = {}  # delay of the last vehicle at a place
+    free: dict[int, int] = {}  # when a closed place takes the next vehicle
+    due = []
     bins = lambda d: -1 if d is None else sum(d >= e for e in EDGES)
-    for v, path in paths.items():
-        delay = float(path[0][3]) if path[0][3] == path[0][3] else 0.0
+    vehicles, first = paths.vehicle.tolist(), paths.first.tolist()
+    pos, minute, place = paths.pos, paths.minute, paths.place
+    for i, v in enumerate(vehicles):
+        begin, sched = float(paths.delay[first[i]]), int(minute[first[i]])
+        delay = begin if begin == begin else 0.0
         if scenario.kind == "delay" and scenario.vehicle == v and scenario.pos == 0:
             delay += scenario.minutes
-        heapq.heappush(due, (int(path[0][2] + round(delay)), int(path[0][2]), v, 0, delay))
+        heapq.heappush(due, (sched + round(delay), sched, v, first[i], delay, i))
     while due:
         now, arrived = due[0][0], []
         while due and due[0][0] == now:
             arrived.append(heapq.heappop(due))
-        for _, sched, v, k, delay in arrived:  # all see the state before this minute
-            path = paths[v]
-            out.append((int(path[k][0]), v, now, delay, False))
-            if k + 1 >= len(path):
+        for _, sched, v, k, delay, i in arrived:  # all see the state before this minute
+            yield int(pos[k]), v, now, delay, False
+            if k + 1 >= first[i + 1]:
                 continue
-            place, pos = path[k + 1][1], int(path[k + 1][0])
-            classes, cdf = law.get((bins(delay), bins(last.get(place))), law[None])
-            gone = scenario.kind == "cancel" and scenario.vehicle == v and pos >= scenario.pos
-            change = classes[min(bisect.bisect_right(cdf, _uniform(seed, run, v, pos)), len(classes) - 1)]
+            there, p, planned = int(place[k + 1]), int(pos[k + 1]), int(minute[k + 1])
+            classes, cdf = law.get((bins(delay), bins(last.get(there))), law[None])
+            gone = scenario.kind == "cancel" and scenario.vehicle == v and p >= scenario.pos
+            change = classes[min(bisect.bisect_right(cdf, _uniform(seed, run, v, p)), len(classes) - 1)]
             if gone or change is None:
-                out += [(int(p[0]), v, None, None, True) for p in path[k + 1 :]]
+                for q in pos[k + 1 : first[i + 1]].tolist():
+                    yield q, v, None, None, True
                 continue
-            following = delay + change + (scenario.minutes if scenario.kind == "delay" and scenario.vehicle == v and scenario.pos == pos else 0)
-            at = max(int(path[k + 1][2]) + round(following), now + 1)
-            if scenario.kind == "closure" and place == scenario.place and at >= scenario.first and (at < scenario.last or at < free.get(place, 0)):
-                at = max(scenario.last, free.get(place, 0))
-                free[place] = at + scenario.apart
-            heapq.heappush(due, (at, int(path[k + 1][2]), v, k + 1, float(at - path[k + 1][2])))
-        for _, sched, v, k, delay in sorted(arrived, key=lambda a: (a[1], a[2])):
-            last[paths[v][k][1]] = delay
-    return out
+            following = delay + change + (scenario.minutes if scenario.kind == "delay" and scenario.vehicle == v and scenario.pos == p else 0)
+            at = max(planned + round(following), now + 1)
+            if scenario.kind == "closure" and paths.places[there] == scenario.place and at >= scenario.first and (at < scenario.last or at < free.get(there, 0)):
+                at = max(scenario.last, free.get(there, 0))
+                free[there] = at + scenario.apart
+            heapq.heappush(due, (at, planned, v, k + 1, float(at - planned), i))
+        for _, sched, v, k, delay, i in sorted(arrived, key=lambda a: (a[1], a[2])):
+            last[int(place[k])] = delay
 
 
 def simulate(stops: DataFrame, law: DataFrame, runs: int, seed: int, scenario: Scenario = Scenario()) -> DataFrame:
@@ -154,10 +168,22 @@ def simulate(stops: DataFrame, law: DataFrame, runs: int, seed: int, scenario: S
     each = stops.select("day", "vehicle", "pos", "place", minute, F.col("delay").cast("double").alias("delay"), F.explode(F.sequence(F.lit(0), F.lit((runs - 1) // RUNS))).alias("_runs"))
     kinds = dict(each.dtypes)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        paths = _paths(rows)
-        found = [(run, *x) for run in range(int(key[1]) * RUNS, min(runs, int(key[1] + 1) * RUNS)) for x in _rollout(paths, run, seed, ready, scenario)]
-        return pd.DataFrame([(key[0], run, v, p, a, d, c) for run, p, v, a, d, c in found], columns=["day", "run", "vehicle", "pos", "arrival", "delay", "cancelled"]).astype({"arrival": "Int64"})
+    out = ["day", "run", "vehicle", "pos", "arrival", "delay", "cancelled"]
+
+    def one(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes: dict = {}
+        parts: dict[str, list] = {"vehicle": [], "pos": [], "minute": [], "place": [], "delay": []}
+        for b in batches:  # kept as plain columns, places as numbers
+            parts["place"].append(np.array([codes.setdefault(None if x != x else x, len(codes)) for x in b["place"]], np.int32))
+            parts["vehicle"].append(b["vehicle"].to_numpy())
+            parts["delay"].append(b["delay"].to_numpy(np.float64))
+            for c in ("pos", "minute"):
+                parts[c].append(b[c].to_numpy(np.int32))
+        paths = _paths({c: np.concatenate(parts.pop(c)) for c in list(parts)}, list(codes))
+        for run in range(int(key[1]) * RUNS, min(runs, int(key[1] + 1) * RUNS)):
+            found = ((key[0], run, v, p, a, d, c) for p, v, a, d, c in _rollout(paths, run, seed, ready, scenario))
+            while chunk := list(islice(found, CHUNK)):
+                yield pd.DataFrame(chunk, columns=out).astype({"arrival": "Int64"})
 
     return each.groupBy("day", "_runs").applyInPandas(one, f"day {kinds['day']}, run int, vehicle {kinds['vehicle']}, pos int, arrival long, delay double, cancelled boolean")
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 import numpy as np
 
-from stroma.operators import features, ranges
+from stroma.operators import features, ranges, simulate
 from stroma.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,3 +48,12 @@ def test_features_take_no_sliding_frames(spark):
 def test_boosting_reads_written_rows(spark):
     """The fit reads its rows many times; they are not worked out anew each time."""
     assert "Window" not in plan(spark, "boosted_cancellation")
+
+
+def test_rollout_gives_rows_as_they_happen():
+    """A run's result never lies whole in a task: it comes while the day goes on."""
+    n = 1000
+    columns = {"vehicle": np.repeat(np.arange(n), 3), "pos": np.tile(np.arange(3), n), "minute": np.tile([5, 9, 14], n), "place": np.zeros(3 * n, np.int32), "delay": np.zeros(3 * n)}
+    rows = simulate._rollout(simulate._paths(columns, ["p"]), 0, 1, {None: ([0], [1.0])}, simulate.Scenario())
+    assert iter(rows) is rows and next(rows)[:3] == (0, 0, 5)
+    assert sum(1 for _ in rows) == 3 * n - 1
