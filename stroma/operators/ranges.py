@@ -8,11 +8,19 @@ join is an equi-join with a residual.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stroma.functions.calendar import MICROS, from_micros, micros
+from stroma.sources.tables import ship_package
+
+#: Pairs that ``close_pairs`` holds at a time.
+_PAIRS = 1 << 20
 
 
 def asof(probes: DataFrame, stream: DataFrame, keys: list[str], ts: str, columns: list[str], tie: str, prefix: str = "asof_", strict: bool = True) -> DataFrame:
@@ -74,6 +82,86 @@ def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], lo: int, hi:
     return a.join(b, [*keys, "_b"]).where((F.col("_us") >= F.col("_lo")) & (F.col("_us") <= F.col("_lo") + (hi - lo))).drop("_b", "_lo", "_us")
 
 
+def close_pairs(df: DataFrame, key: str, who: str, ts: str, reach: int, groups: int = 12) -> DataFrame:
+    """(a, b, n, mean) for each two whole numbers ``who``, a < b: how often rows of both with equal ``key`` lie within ``reach`` microseconds, and the mean seconds from a's to b's.
+
+    Pairs of rows are never shuffled. ``who`` are dealt by hash into ``groups``, and each two groups, or one
+    with itself, are a block with a task of its own: rows go to ``groups`` blocks, and all pairs of
+    two ``who`` are made and summed in one. A task holds the rows of two groups and a bounded
+    number of pairs. Rows with a null have none.
+    """
+    ship_package(df.sparkSession)
+    kept = df.where(F.col(key).isNotNull() & F.col(who).isNotNull() & F.col(ts).isNotNull())
+    own = kept.select(F.col(key).cast("string").alias("_k"), F.col(who).cast("long").alias("_who"), micros(F.col(ts)).alias("_us"), F.pmod(F.xxhash64(who), F.lit(groups)).cast("int").alias("_g"))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    low, high = F.least("_g", "_o"), F.greatest("_g", "_o")
+    dealt = dealt.select("_k", "_who", "_us", (F.col("_g") == low).alias("_low"), (high * (high + 1) / 2 + low).cast("int").alias("_block"))
+    inner = [g * (g + 1) // 2 + g for g in range(groups)]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = list(batches)
+        if not read:
+            return
+        rows = pa.Table.from_batches(read)
+        code = np.concatenate([np.asarray(c.indices) for c in rows["_k"].dictionary_encode().unify_dictionaries().chunks])
+        block, who_, us, low_ = (rows[c].to_numpy() for c in ("_block", "_who", "_us", "_low"))
+        for b in np.unique(block):
+            at = np.flatnonzero(block == b)
+            yield from _pairs_of_block(code[at].astype(np.int64), who_[at], us[at], low_[at], b in inner, reach)
+
+    return dealt.repartitionById(groups * (groups + 1) // 2, F.col("_block")).mapInArrow(pairs, "a long, b long, n long, mean double")
+
+
+def _pairs_of_block(code: np.ndarray, who: np.ndarray, us: np.ndarray, low: np.ndarray, inner: bool, reach: int, most: int = _PAIRS) -> Iterator[pa.RecordBatch]:
+    """Sums by pair over rows (code, who, us) of the ``low`` group and of the other, or of one with itself (``inner``); about ``most`` pairs at a time."""
+    left = np.flatnonzero(low)
+    right = left if inner else np.flatnonzero(~low)
+    if not len(left) or not len(right):
+        return
+    # both by time, as searches in order are far quicker; the partners of a row lie side by side along (code, time)
+    left, right = left[np.argsort(us[left], kind="stable")], right[np.argsort(us[right], kind="stable")]
+    new = np.concatenate([[True], np.diff(us[right]) > 0])
+    times, rank = us[right][new], np.cumsum(new) - 1
+    along = code[right] * (len(times) + 1) + rank
+    order = np.argsort(along, kind="stable")
+    right, along = right[order], along[order]
+    first = np.searchsorted(along, code[left] * (len(times) + 1) + np.searchsorted(times, us[left] - reach))
+    until = np.searchsorted(along, code[left] * (len(times) + 1) + np.searchsorted(times, us[left] + reach, "right"))
+    order = np.argsort(who[left], kind="stable")
+    left, first, until = left[order], first[order], until[order]
+    a_names, a = np.unique(who[left], return_inverse=True)
+    b_names, b = np.unique(who[right], return_inverse=True)
+    upto = np.concatenate([[0], np.cumsum(until - first)])
+    at, held = 0, None  # what is summed so far of the last a, as its next rows may have pairs with the same b
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        count = until[at:to] - first[at:to]
+        i = np.repeat(np.arange(at, to), count)
+        j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at] - first[at:to], count)
+        if inner:
+            kept = b_names[b[j]] > a_names[a[i]]
+            i, j = i[kept], j[kept]
+        pair = a[i] * len(b_names) + b[j]
+        n, seconds = np.ones(len(i), np.int64), (us[right[j]] - us[left[i]]) / 1e6
+        if held is not None:
+            pair, n, seconds = (np.concatenate(x) for x in zip(held, (pair, n, seconds)))
+        at, held = to, None
+        if not len(pair):
+            continue
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        pair, n, seconds = pair[starts], np.add.reduceat(n[order], starts), np.add.reduceat(seconds[order], starts)
+        if at < len(left):
+            cut = int(np.searchsorted(pair, a[at] * len(b_names)))
+            held = pair[cut:], n[cut:], seconds[cut:]
+            pair, n, seconds = pair[:cut], n[:cut], seconds[:cut]
+        x, y = a_names[pair // len(b_names)], b_names[pair % len(b_names)]
+        found = pa.record_batch([np.minimum(x, y), np.maximum(x, y), n, np.where(x < y, seconds, -seconds) / n], ["a", "b", "n", "mean"])
+        for k in range(0, len(pair), 1 << 17):
+            yield found.slice(k, 1 << 17)
+
+
 def distinct_others(df: DataFrame, keys: list[str], ts: str, who: str, back: int, out: str) -> DataFrame:
     """Each row of ``df`` with how many other ``who`` have a row of the same keys in [t - back, t], in microseconds.
 

@@ -46,11 +46,8 @@ def consecutive_pairs(spark, sf_dir):
 @query("""SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS n, round(avg((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6), 6) AS mean_seconds FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id < b.user_id AND b.ts BETWEEN a.ts - INTERVAL 60 SECONDS AND a.ts + INTERVAL 60 SECONDS GROUP BY 1, 2""")
 def aligned_pairs(spark, sf_dir):
     """Pairs of users whose events of one type lie within a minute of each other."""
-    e = _events(spark, sf_dir)
-    a = e.select("event_type", F.col("user_id").alias("user_a"), F.col("ts").alias("_ta"))
-    b = e.select("event_type", F.col("user_id").alias("user_b"), F.col("ts").alias("_tb"))
-    p = ranges.range_pairs(a, b, ["event_type"], -MINUTE, MINUTE, "_ta", "_tb").where("user_a < user_b")
-    return p.groupBy("user_a", "user_b").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((micros("_tb") - micros("_ta")) / 1e6)).alias("mean_seconds"))
+    p = ranges.close_pairs(_events(spark, sf_dir), "event_type", "user_id", "ts", MINUTE)
+    return p.select(F.col("a").alias("user_a"), F.col("b").alias("user_b"), "n", r6(F.col("mean")).alias("mean_seconds"))
 
 
 _CODE = "(json_extract(props, '$.k')::BIGINT)"

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from stroma.functions import calendar as cal
 from stroma.functions import numbers
 from stroma.operators import aggregates, evaluate, eventstudy, grid, linear, ordered, ranges, simulate, survival, var
@@ -145,6 +146,33 @@ def test_range_count_and_pairs(spark):
     assert sorted((r.id, r.id2) for r in pairs) == [(1, 0), (2, 0), (2, 1)]
 
 
+@pytest.mark.parametrize("groups, most", [(1, 1 << 20), (3, 1 << 20), (3, 1)])
+def test_close_pairs_are_summed_without_shuffling_them(spark, groups, most):
+    """One of them has most rows; times and types repeat; the bound on pairs held at a time changes nothing."""
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("ab"[k], 0 if w % 3 else int(w), start + dt.timedelta(seconds=int(s))) for k, w, s in zip(rng.integers(0, 2, 300), rng.integers(-7, 7, 300), rng.integers(0, 900, 300))]
+    rows += [(None, 1, start), ("a", None, start), ("a", 1, None), ("b", 2, start - dt.timedelta(days=9))]
+    want: dict[tuple, list] = {}
+    for k, a, s in rows:
+        for j, b, t in rows:
+            if None not in (k, a, b, s, t) and k == j and a < b and abs((t - s).total_seconds()) <= 60:
+                want.setdefault((a, b), []).append((t - s).total_seconds())
+    df = spark.createDataFrame(rows, "kind string, who long, ts timestamp_ntz")
+    pairs = ranges.close_pairs(df, "kind", "who", "ts", 60_000_000, groups)
+    assert {(r.a, r.b): (r.n, r.mean) for r in pairs.collect()} == {p: (len(v), pytest.approx(sum(v) / len(v))) for p, v in want.items()}
+    assert ranges.close_pairs(df.limit(0), "kind", "who", "ts", 60_000_000, groups).count() == 0
+    k, who, us = (np.array(x) for x in zip(*[("ab".index(k), w, int((t - start).total_seconds()) * 1_000_000) for k, w, t in rows if None not in (k, w, t)]))
+    batches = list(ranges._pairs_of_block(k, who, us, np.ones(len(k), bool), True, 60_000_000, most))
+    got = [(r["a"], r["b"], r["n"]) for b in batches for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and {(a, b): n for a, b, n in got} == {p: len(v) for p, v in want.items()}
+
+
+def test_aligned_pairs_shuffle_rows_only(spark):
+    plan = __spark_entry__.queries()["aligned_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_kaplan_meier_and_quantile(spark):
     df = spark.createDataFrame([("g", t, e) for t, e in [(1, True), (2, True), (2, False), (3, True)]], "g string, t int, e boolean")
     curve = survival.kaplan_meier(df, ["g"], "t", "e")
