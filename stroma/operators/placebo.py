@@ -30,18 +30,22 @@ def candidate_hours(events: DataFrame, stream: DataFrame, keys: list[str], ident
     The operating day must be another one than the event's, of the same kind, none of ``excluded``,
     and have rows of the keys in ``stream``. An hour that the clock shows never or twice is left out.
     """
-    day = lambda local: operating_day(local)
     local = to_local(F.col(ts), zone)
     asked = events.where(F.col(ts).isNotNull()).select(ident, *keys, local.alias("_local"))
-    asked = asked.withColumn("_shift", F.explode(F.sequence(F.lit(-days), F.lit(days)))).where("_shift <> 0")
-    there = F.date_trunc("hour", F.col("_local")).cast("timestamp_ntz") + F.make_dt_interval(F.col("_shift"))
-    asked = asked.withColumns({"_there": there, "_own": day(F.col("_local")), "_kind": day_type(day(F.col("_local")), holidays)})
-    asked = asked.withColumns({"_day": day(F.col("_there")), "_us": micros(to_utc(F.col("_there"), zone))})
-    fits = F.col("_us").isNotNull() & (F.col("_day") != F.col("_own")) & (day_type(F.col("_day"), holidays) == F.col("_kind"))
+    # all that an event's days share is worked out before they are listed: a day later on the clock is a day later in operation
+    own = operating_day(F.col("_local"))
+    asked = asked.select(ident, *keys, F.date_trunc("hour", F.col("_local")).cast("timestamp_ntz").alias("_hour"), own.alias("_own"))
+    like = lambda d: day_type(F.date_add("_own", d), holidays) == day_type(F.col("_own"), holidays)
+    shifts = F.filter(F.sequence(F.lit(-days), F.lit(days)), lambda d: (d != 0) & like(d))
+    asked = asked.select("*", F.explode(shifts).alias("_shift")).withColumn("_day", F.date_add("_own", F.col("_shift")))
     if excluded:
-        fits = fits & ~F.col("_day").cast("string").isin(excluded)
-    known = stream.select(*keys, day(to_local(F.col(ts), zone)).alias("_day")).distinct()
-    return asked.where(fits).join(known, [*keys, "_day"], "left_semi").select(ident, *keys, F.floor(F.col("_us") / MICROS).alias("hour"))
+        asked = asked.where(~F.col("_day").cast("string").isin(excluded))
+    known = stream.where(F.col(ts).isNotNull()).select(*keys, operating_day(to_local(F.col(ts), zone)).alias("_day")).distinct()
+    kept = asked.join(known, [*keys, "_day"], "left_semi")
+    there = F.col("_hour") + F.make_dt_interval(F.col("_shift"))
+    # the clock of UTC shows every hour once
+    us = micros(F.col("_hour")) + F.col("_shift").cast("long") * (24 * HOUR * MICROS) if zone == "UTC" else micros(to_utc(there, zone))
+    return kept.select(ident, *keys, F.floor(us / MICROS).alias("hour")).where("hour is not null")
 
 
 def free_seconds(hours: DataFrame, hits: DataFrame, keys: list[str], ts: str, before: int, after: int) -> DataFrame:

@@ -115,6 +115,28 @@ def test_placebos_keep_to_the_rules(spark, anchored):
     assert again is None or Counter(again.collect()) == Counter(got)
 
 
+def test_hours_are_asked_for_like_days_alone(spark):
+    """Only days of the event's kind are listed, and no time is moved between zones for each of them where the clock is UTC's; another name of that zone gives the same hours."""
+    rows, stream, hits = scene(spark)
+    ask = lambda zone: placebo.candidate_hours(hits, stream, ["place"], "id", "ts", 10, zone=zone, holidays=["2025-03-11"], excluded=["2025-03-20"])
+    plan = ask("UTC")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate explode")[0]
+    assert "from_utc_timestamp" not in above and "sequence(" not in above and above.count("to_utc_timestamp") <= 2
+    got = Counter(ask("UTC").collect())
+    assert got == Counter(ask("Etc/UTC").collect())
+    opday = lambda t: (t - dt.timedelta(hours=3)).date()
+    kind = lambda d: 3 if str(d) == "2025-03-11" else {4: 1, 5: 2, 6: 3}.get(d.weekday(), 0)
+    known = {(p, opday(t)) for _, p, t in rows if p and t}
+    want: Counter = Counter()
+    for i, p, t in rows:
+        if (i % 7 == 0 or i >= 9000) and p and t:
+            for d in range(-10, 11):
+                there = t.replace(minute=0, second=0) + dt.timedelta(days=d)
+                if d and kind(opday(there)) == kind(opday(t)) and (p, opday(there)) in known and str(opday(there)) != "2025-03-20":
+                    want[(i, p, int(there.replace(tzinfo=dt.UTC).timestamp()))] += 1
+    assert got == want and len(want) > 500
+
+
 def test_uniform_draws_cover_what_is_free_evenly(spark):
     stream = table(spark, [(k, "p", dt.datetime(2025, 3, 3, 8) + dt.timedelta(days=k)) for k in range(3)])
     events, hits = stream.where("id = 0"), table(spark, [(9, "p", dt.datetime(2025, 3, 4, 8, 30))])
