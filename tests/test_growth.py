@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from stroma.operators import features, ranges, simulate
+from stroma.plans import rollout
 from stroma.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,6 +47,22 @@ def test_features_take_no_sliding_frames(spark):
     assert "RangeFrame" not in plan(spark, "transition_features").replace("RangeFrame, unboundedpreceding$(), currentrow$()", "")
 
 
+def test_boosting_grid_takes_no_sliding_frames(spark, monkeypatch):
+    """Nor do the features that it writes before it fits."""
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, name):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(rollout, "materialise", stop)
+    with pytest.raises(Seen) as seen:
+        QUERIES["boosting_grid"](spark, SMALL)
+    found = str(seen.value)
+    assert "Window" in found and "RangeFrame" not in found.replace("RangeFrame, unboundedpreceding$(), currentrow$()", "")
+
+
 def test_boosting_reads_written_rows(spark):
     """The fit reads its rows many times; they are not worked out anew each time."""
     assert "Window" not in plan(spark, "boosted_cancellation")
